@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, sharding, tokenfiles
+from . import bpe, images, licenses, neighbours, packing, sharding, simhash, suffixes, tokenfiles, toxicity
 
 QUERIES = {
     "op1_token_files": tokenfiles.query,
+    "op2_license_scan": licenses.query,
+    "op3_toxicity_crf": toxicity.query,
     "op4_stratified_shards": sharding.query,
+    "op5_simhash_golay": simhash.query,
+    "op6_suffix_dedup": suffixes.query,
+    "op7_collision_counting": neighbours.query,
     "op8_mixture_packing": packing.query,
+    "op9_image_copies": images.query,
     "op10_byte_bpe": bpe.query,
 }
-ORACLES: dict[str, str] = {}
+#: SQL can tell the license scan; the others are held against brute force in tests/llm.
+ORACLES: dict[str, str] = {"op2_license_scan": licenses.ORACLE}
