@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -96,19 +97,15 @@ TAG_RULES = {"genre": ["قصائد"], "poem_type": ["عموديه", "التفع
 def tag_classes(c) -> dict[str, Column]:
     """Each class's last tag; a tag belongs to the first class whose word it has."""
     own = F.transform(col(c), trim_ws)
-    out, before = {}, []
-    for name, marks in TAG_RULES.items():
 
-        def is_it(t, marks=marks, before=tuple(before)):
-            yes, no = F.lit(False), F.lit(False)
-            for m in marks:
-                yes = yes | t.contains(m)
-            for m in before:
-                no = no | t.contains(m)
-            return yes & ~no
+    def last(marks: list[str], earlier: list[str]) -> Column:
+        has = lambda t, words: reduce(lambda a, b: a | b, [t.contains(w) for w in words], F.lit(False))
+        return F.try_element_at(F.filter(own, lambda t: has(t, marks) & ~has(t, earlier)), F.lit(-1))
 
-        out[name] = F.try_element_at(F.filter(own, is_it), F.lit(-1))
-        before += marks
+    out, earlier = {}, []
+    for name, marks in TAG_RULES.items():
+        out[name] = last(marks, list(earlier))
+        earlier += marks
     return out
 
 

@@ -152,7 +152,7 @@ def usage(df: DataFrame, key: str = "template_key", dialect: str = "dialect") ->
 
 def stats_lines(spark, path: str) -> DataFrame:
     """(section, key, n) of a written statistics file, whose sections are titled."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parts = F.regexp_extract_all("value", F.lit(r"(?m)^((?:Template|Dialect) Statistics|[^\n]+: *[0-9]+)\s*$"), 1)
     tagged = text.select(F.posexplode(parts).alias("i", "line"), parts.alias("all"))
     head = F.try_element_at(F.filter(F.slice("all", F.lit(1), F.col("i") + 1), lambda x: x.endswith(" Statistics")), F.lit(-1))

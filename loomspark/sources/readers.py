@@ -87,7 +87,7 @@ def datasets(spark: SparkSession, root: str, fmt: str = "csv", **options) -> Dat
 
 def titled_files(spark: SparkSession, root: str) -> DataFrame:
     """Whole files genre/era/<poet>_<title>.<ext>: the name is split at its last underscore; files without one are left out."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
     stem = F.regexp_replace(path_part(0), r"\.[^.]*$", "")
     rows = files.select(path_part(2).alias("genre"), path_part(1).alias("era"), stem.alias("stem"), F.col("value").alias("poem"))
     rows = rows.where(F.instr("stem", "_") > 0)
@@ -96,7 +96,7 @@ def titled_files(spark: SparkSession, root: str) -> DataFrame:
 
 def html_files(spark: SparkSession, root: str, glob: str = "*.html") -> DataFrame:
     """(path, html) of every file, by path."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 
 

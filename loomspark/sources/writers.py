@@ -47,7 +47,7 @@ def by_context(df: DataFrame, path: str, tokens: str = "num_tokens", threshold:
 
 def json_array(df: DataFrame) -> str:
     """A small table as one JSON array, for harnesses that read nothing else."""
-    return "[" + ",\n".join(df.toJSON().collect()) + "]"
+    return "[" + ",\n".join(r[0] for r in df.select(F.to_json(F.struct("*"))).collect()) + "]"
 
 
 def stats_text(templates: DataFrame, dialects: DataFrame) -> str:
@@ -58,7 +58,11 @@ def stats_text(templates: DataFrame, dialects: DataFrame) -> str:
 
 def latex_table(df: DataFrame, caption: str = "") -> str:
     """A small table in LaTeX."""
-    esc = lambda v: "" if v is None else "".join("\\" + c if c in "&%$#_{}" else c for c in f"{v:,}" * isinstance(v, int) or str(v))
+
+    def esc(v) -> str:
+        shown = "" if v is None else f"{v:,}" if isinstance(v, int) else str(v)
+        return "".join("\\" + c if c in "&%$#_{}" else c for c in shown)
+
     body = [" & ".join(map(esc, r)) + r" \\" for r in df.collect()]
     return "\n".join([r"\begin{table}", rf"\caption{{{esc(caption)}}}", rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", " & ".join(map(esc, df.columns)) + r" \\ \hline", *body, r"\end{tabular}", r"\end{table}"])
 
