@@ -189,7 +189,7 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", end
 
     Columns: _part, start (ids before the segment within its part), n_tokens, image.
     A null text is empty and holds the end id only; null keys come first; rows with
-    equal keys all stay, ordered by their ids; other columns are left out; an empty
+    equal keys all stay, ordered by a hash of their ids; other columns are left out; an empty
     table gives no segment. The code book is bounded by the vocabulary; nothing else
     that is collected grows with the rows but a count per partition.
     """
@@ -243,7 +243,8 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", end
         if held:
             yield image()
 
-    ordered = rows.repartitionByRange(partitions(spark), key, "ids").sortWithinPartitions(key, "ids")
+    # equal keys are ordered by a hash of their ids: sort keys are sampled on the driver, so they stay narrow
+    ordered = rows.withColumn("h", F.xxhash64("ids")).repartitionByRange(partitions(spark), key, "h").sortWithinPartitions(key, "h").drop("h")
     packed = ordered.mapInArrow(pack_rows, "_part int, start long, n_tokens long, image binary")
     if out is not None:
         packed.write.option("compression", "none").parquet(out)
