@@ -164,16 +164,17 @@ def mawsooaa(df: DataFrame) -> DataFrame:
     return out.withColumnsRenamed({"rhyme_letter": "rhyme", "poetry_type": "poem_language", "theme": "genre", "hemistichs_format": "poem_text", "source_file": "source"})
 
 
+# Keys of the public collections, and of three layouts that have no public name.
 UNIFIERS = {
     "AraPoems": grouped_lines,
-    "arabic-pcd": hemistich_columns,
-    "6th-21st-century": category_split,
-    "ashaar": quoted_poems,
-    "fann-or-flop": numbered_poems,
-    "arabic-poetry-dataset": counted_poems,
-    "arabic-poetry-melody": emotional_poems,
-    "poems_hakim": filed_poems,
-    "boda_scrapped": scraped_poems,
+    "Arabic PCD": hemistich_columns,
+    "Arabic Poetry Dataset (6th - 21st century)": category_split,
+    "Ashaar": quoted_poems,
+    "numbered_poems": numbered_poems,
+    "Arabic Poetry Dataset": counted_poems,
+    "Arabic-Poetry-Melody": emotional_poems,
+    "filed_poems": filed_poems,
+    "scraped_poems": scraped_poems,
     "adab_world": adab_world,
     "arapoet": arapoet,
     "mawsooaa": mawsooaa,

@@ -103,7 +103,7 @@ def test_unify(spark):
     s = spark.createDataFrame([("adab", "t", "a\n\n\tb", "x", ["بحر س"], "مصر", "p", "1", "u"), ("diwan", "t - s", "z", "x", None, ">", "p", "2", "u")], "source string, title string, poem string, poem_no_diacritics string, tags array<string>, era string, poet string, id string, poet_page_url string")
     got = unify.scraped_poems(s).collect()
     assert [(r.poem_text, r.location, r.poet_era, r.meter) for r in got] == [("a\nb", "مصر", None, "بحر س")]
-    union, unknown = unify.unify_all({"AraPoems": arapoems, "boda_scrapped": s, "what": s})
+    union, unknown = unify.unify_all({"AraPoems": arapoems, "scraped_poems": s, "what": s})
     assert unknown == ["what"] and sorted(r.poem_id for r in union.collect()) == [1, 2]
     e = spark.createDataFrame([("مصر", "", "البحر الطويل"), ("الحديث", "x", None)], "poet_era string, location string, meter string")
     got = unify.normalise_eras(e).collect()
