@@ -6,10 +6,11 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import row_number_id
+from .sampling import row_numbers
 
 
 def with_retries(call: Callable, attempts: int = 3, delay: float = 1.0, growth: float = 2.0) -> Callable:
@@ -74,15 +75,14 @@ def merge_back(base: DataFrame, new: DataFrame, key: str, columns: list[str]) ->
 
 def rows_by_id(output: DataFrame, base: DataFrame, output_id: str, order: str) -> DataFrame:
     """output joined to the base row that its id p<n>_r<row> numbers, from 0 in the order; other ids are dropped."""
-    numbered = base.withColumn("_row", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1)
+    numbered = row_numbers(base, order).withColumn("_row", F.col("pos") - 1).drop("pos")
     parsed = output.withColumn("_p", row_number_id(output_id)).where("_p is not null")
     return parsed.withColumn("prompt_num", F.col("_p.prompt")).withColumn("_row", F.col("_p.row")).drop("_p").join(numbered, "_row").drop("_row")
 
 
 def zipped(a: DataFrame, b: DataFrame, a_order: str, b_order: str, key: str) -> DataFrame:
-    """Rows of two equally long, report-sized tables side by side, by their places in the orders; side: a coin per row."""
-    number = lambda df, o: df.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(o)))
-    both = number(a, a_order).join(number(b, b_order), "_n").drop("_n")
+    """Rows of two equally long tables side by side, by their places in the numeric orders; side: a coin per row."""
+    both = row_numbers(a, a_order).join(row_numbers(b, b_order), "pos").drop("pos")
     return both.withColumn("side", F.when(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 1), 16, 10).cast("int") % 2 == 0, "a").otherwise("b"))
 
 

@@ -42,17 +42,31 @@ def shuffle_keys(df: DataFrame, key: str, seed: int = SEED) -> DataFrame:
     return df.withColumn("shuffle_key", draw(key, seed))
 
 
+def _numbered(rows: DataFrame, bucket, order: list) -> DataFrame:
+    """rows with pos from 1: numbered within ordered buckets, whose first numbers are what the buckets before hold."""
+    rows = rows.withColumn("_b", bucket)
+    base = rows.groupBy("_b").agg(F.count("*").alias("_c"))
+    # as many rows as buckets, which is a constant
+    base = base.select("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
+    return ranked.join(F.broadcast(base), ranked["_b"].eqNullSafe(base["_b"])).withColumn("pos", F.col("_base") + F.col("_rn")).drop("_b", "_rn", "_base")
+
+
 def positions(df: DataFrame, key: str, seed: int = SEED, digits: int = 3) -> DataFrame:
-    """df with pos from 1 in seeded order.
+    """df with pos from 1 in seeded order; buckets are the first hex digits of the draw."""
+    rows = df.withColumn("_h", draw(key, seed))
+    return _numbered(rows, F.substring("_h", 1, digits), ["_h", key]).drop("_h")
 
-    Rows are numbered within buckets of the draw's first hex digits, and a bucket's first
-    number is what the buckets before it hold: 16 ** digits counts, however many rows.
+
+def row_numbers(df: DataFrame, order: str, buckets: int = 256) -> DataFrame:
+    """df with pos from 1 by a numeric column of distinct values.
+
+    Buckets lie between quantiles, of which only their number reaches the driver; that
+    these are approximate moves work between tasks, not rows between places.
     """
-    rows = df.withColumn("_h", draw(key, seed)).withColumn("_b", F.substring("_h", 1, digits))
-    base = rows.groupBy("_b").agg(F.count("*").alias("_c"))
-    base = base.select("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
-    return ranked.join(F.broadcast(base), "_b").withColumn("pos", F.col("_base") + F.col("_rn")).drop("_h", "_b", "_rn", "_base")
+    cuts = sorted(set(df.approxQuantile(order, [k / buckets for k in range(1, buckets)], 0.5 / buckets)))
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    return _numbered(df, bucket, [order])
 
 
 def mixture(df: DataFrame, weights: dict[str, float], source: str, key: str, test_size: float = 0.0, seed: int = SEED) -> DataFrame:

@@ -178,3 +178,21 @@ def test_rows_by_id(spark):
     out = spark.createDataFrame([("p1_r0", "x"), ("bad", "y"), ("p2_r9", "z")], "oid string, c string")
     base = spark.createDataFrame([(10,), (20,)], "id long")
     assert [(r.id, r.prompt_num, r.c) for r in enrich.rows_by_id(out, base, "oid", "id").collect()] == [(10, 1, "x")]
+
+
+def test_row_numbers(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000 * 10).alias("k"))
+    got = sampling.row_numbers(df, "k", 8)
+    assert sorted((r.pos, r.k) for r in got.collect()) == [(i + 1, 10 * i) for i in range(1000)]
+    assert sampling.row_numbers(df.limit(0), "k").count() == 0
+
+
+def test_zipped(spark):
+    a, b = spark.range(5).withColumnRenamed("id", "x"), spark.range(10, 15).withColumnRenamed("id", "y")
+    got = enrich.zipped(a, b, "x", "y", "x").collect()
+    assert sorted((r.x, r.y) for r in got) == [(k, k + 10) for k in range(5)] and {r.side for r in got} <= {"a", "b"}
+
+
+def test_matched_names(spark):
+    a, b = spark.createDataFrame([("ar_1.json",), ("ar_2.json",)], "n string"), spark.createDataFrame([("en_1.json",)], "n string")
+    assert [r.stem for r in enrich.matched_names(a, b, "n").collect()] == ["1.json"]
