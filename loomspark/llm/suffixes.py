@@ -62,13 +62,7 @@ class CoverRanks:
         at = at[at <= len(text) + PERIOD]
         self.place = np.full(PERIOD, -1)
         self.place[list(COVER)] = np.arange(len(COVER))
-        words = self.words(at)
-        order = np.lexsort(words[::-1])
-        new = np.zeros(len(at), bool)
-        for w in words:
-            new[1:] |= w[order][1:] != w[order][:-1]
-        rank = np.empty(len(at), np.int64)
-        rank[order] = np.cumsum(new)
+        rank = self.ranked(self.words(at))
         step, reach = PERIOD, 64
         while reach < width + PERIOD:
             ahead = np.append(rank, 0)[np.minimum(self.index(at + step), len(at))] + 1
@@ -76,6 +70,25 @@ class CoverRanks:
             reach, step = reach + step, step * 2
         self.rank = np.append(rank, 0)
 
+    @staticmethod
+    def ranked(words: list[np.ndarray]) -> np.ndarray:
+        """The rank of each 64-byte block; equal blocks are found by a hash, so only different ones are sorted."""
+        h = np.zeros(len(words[0]), np.uint64)
+        for w in words:
+            h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+        _, first, of = np.unique(h, return_index=True, return_inverse=True)
+        if any((w[first][of] != w).any() for w in words):  # two blocks share a hash
+            first, of = np.arange(len(h)), np.arange(len(h))
+        few = [w[first] for w in words]
+        order = np.lexsort(few[::-1])
+        new = np.zeros(len(order), bool)
+        for w in few:
+            new[1:] |= w[order][1:] != w[order][:-1]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(new)
+        return rank[of]
+
     def words(self, at: np.ndarray) -> list[np.ndarray]:
         """The 64 bytes at each position as eight integers in byte order."""
         view = np.ndarray((len(self.text) - 7,), ">u8", self.text, strides=(1,))
@@ -142,23 +155,29 @@ def repeats(keys: np.ndarray, texts: list[bytes], anchor: np.ndarray, width: int
 
 def _block(keys, texts, anchor, width):
     size = np.fromiter(map(len, texts), np.int64, len(texts))
-    text = np.frombuffer(b"".join(texts), np.uint8)
-    start = np.cumsum(size) - size
-    at = start + anchor
-    most = size - width  # last string's start
-    # strings by their left part's length: anchor - start; those of entry e have lengths low[e] to anchor[e]
-    low = anchor - most
-    right, r_lcp = CoverRanks(text, width).sort(at, keys, width)
-    left, l_lcp = CoverRanks(text[::-1], width).sort(len(text) - at, keys, width)
+    # strings by their left part's length, anchor - start: those of entry e have lengths low[e] to anchor[e]
+    low = anchor - (size - width)
+
+    def sides(parts, length):
+        at = np.cumsum(length) - length
+        order, lcp = CoverRanks(np.frombuffer(b"".join(parts), np.uint8), width).sort(at, keys, width)
+        place = np.empty(len(at), np.int64)
+        place[order] = np.arange(len(at))
+        # what an entry shares at most with any other of its key
+        most = np.maximum(lcp, np.append(lcp[1:], -1))[place]
+        return lcp, place, most
+
+    r_lcp, r_place, r_most = sides([t[a:] for t, a in zip(texts, anchor.tolist(), strict=True)], size - anchor)
+    l_lcp, l_place, l_most = sides([t[:a][::-1] for t, a in zip(texts, anchor.tolist(), strict=True)], anchor)
+    first_a, last_a = np.maximum(low, width - r_most), np.minimum(anchor, l_most)
     flags = np.zeros((len(texts), int(anchor.max()) + 2), bool)
-    r_place, l_place = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-    r_place[right], l_place[left] = np.arange(len(at)), np.arange(len(at))
-    for a in range(max(0, int(low.min())), int(anchor.max()) + 1):
-        own = np.flatnonzero((low <= a) & (a <= anchor))
+    live = np.flatnonzero(first_a <= last_a)
+    for a in range(max(0, int(first_a[live].min(initial=0))), int(last_a[live].max(initial=-1)) + 1):
+        own = live[(first_a[live] <= a) & (a <= last_a[live])]
         if len(own) < 2:
             continue
         r_class, l_class = np.cumsum(r_lcp < width - a), np.cumsum(l_lcp < a)
-        both = l_class[l_place[own]] * (len(at) + 1) + r_class[r_place[own]]
+        both = l_class[l_place[own]] * (len(size) + 1) + r_class[r_place[own]]
         order = np.argsort(both, kind="stable")
         same = both[order][1:] == both[order][:-1]
         flags[own[order], a] = np.append(same, False) | np.append(False, same)
@@ -207,7 +226,7 @@ def _spans(df: DataFrame, doc: str, text: str, width: int, hot: int, ws: Workspa
     def find(batches):
         for batch in batches:
             buf, offs = text_buffers(batch.column(2))
-            for i, j in slices(offs, 1 << 21):
+            for i, j in slices(offs, 1 << 17):
                 base, sub = offs[i], buf[offs[i] : offs[j]]
                 t, p, lo, hi = anchors(sub, offs[i : j + 1] - base, width)
                 data, h = sub.tobytes(), xxhash.xxh3_64_intdigest
