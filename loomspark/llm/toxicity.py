@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -20,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import arrow_batches
+from .store import arrow_batches, tidy
 
-SAMPLE = 8_000  # labelled documents that the field is fitted on, at most
+SAMPLE = 6_000  # labelled documents that the field is fitted on, at most
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 CONTEXT = 6  # words either side of a carrier that training looks at
@@ -147,9 +146,10 @@ def find(model: Model, evidence: Evidence, texts: list[str | None]) -> list[tupl
     return out
 
 
-def alike(docs: list[list[str]], bands: int = 16, rows: int = 6) -> list[int]:
+def alike(docs: list[np.ndarray], vocabulary: list[str], bands: int = 16, rows: int = 6) -> list[int]:
     """A number for each document, equal for near copies: those whose words share a band of minima."""
     times = np.random.default_rng(3).integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1)
+    hashes = np.fromiter((crc32(w.encode()) + 1 for w in vocabulary), np.uint64, len(vocabulary))
     root = list(range(len(docs)))
 
     def top(i):
@@ -157,13 +157,12 @@ def alike(docs: list[list[str]], bands: int = 16, rows: int = 6) -> list[int]:
             root[i] = i = root[root[i]]
         return i
 
-    first: dict[tuple, int] = {}
+    first: dict[bytes, int] = {}
     for i, words in enumerate(docs):
-        h = np.fromiter({crc32(w.encode()) + 1 for w in words} or {0}, np.uint64)
-        low = (h[:, None] * times[None, :] >> np.uint64(20)).min(0).reshape(bands, rows)
+        h = hashes[np.unique(words)] if len(words) else np.zeros(1, np.uint64)
+        low = np.concatenate([(h[:, None] * t[None, :] >> np.uint64(20)).min(0) for t in times.reshape(bands, rows)]).reshape(bands, rows)
         for b, key in enumerate(map(bytes, low)):
-            j = first.setdefault((b, key), i)
-            x, y = top(i), top(j)
+            x, y = top(i), top(first.setdefault(key + bytes([b]), i))
             root[max(x, y)] = min(x, y)
     return [top(i) for i in range(len(docs))]
 
@@ -172,44 +171,55 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 120, rate: flo
     """Fit on labelled documents. Toxic documents' words that carry a feature which is far commoner in
     toxic documents are the words labelled 1; all other words are labelled 0."""
     y = np.array(labels)
-    docs = [WORD.findall(lowered(t)) if t else [] for t in texts]
+    # words by number, so that a word of many documents is held once
+    number: dict[str, int] = {}
+    docs = [np.fromiter((number.setdefault(w, len(number)) for w in WORD.findall(lowered(t))), np.int32) if t else np.zeros(0, np.int32) for t in texts]
+    vocabulary = list(number)
+    del number
     # near copies say nothing new, so a feature counts once for all of them
-    groups: dict[tuple[int, int], set[str]] = {}
-    for words, label, group in zip(docs, y.tolist(), alike(docs), strict=True):
-        groups.setdefault((group, label), set()).update(words)
-    toxic, clean = Counter(), Counter()
-    for (_, label), words in groups.items():
-        (toxic if label else clean).update({f for w in words for f in carried(w)})
+    groups: dict[tuple[int, int], list[np.ndarray]] = {}
+    for words, label, group in zip(docs, y.tolist(), alike(docs, vocabulary), strict=True):
+        groups.setdefault((group, label), []).append(words)
     n1 = sum(label for _, label in groups)
     n0 = len(groups) - n1
+    feature: dict[str, int] = {}
+    carries = [[feature.setdefault(f, len(feature)) for f in carried(w)] for w in vocabulary]
+    toxic, clean = np.zeros(len(feature), np.int64), np.zeros(len(feature), np.int64)
+    for (_, label), parts in groups.items():
+        own = {f for w in np.unique(np.concatenate(parts)).tolist() for f in carries[w]}
+        (toxic if label else clean)[list(own)] += 1
+    del groups
     model = Model()
     base = np.log((n1 + 0.5) / (n0 + 0.5))
     model.head = (float(base), 0.0, 0.0)
     if not n1 or not n0:
         return model
     # a likelihood-ratio test of each feature, strict enough for their number
-    names = list(toxic)
-    a, b = np.array([toxic[f] for f in names]), np.array([clean[f] for f in names])
+    a, b = toxic, clean
     share = (a + b) / (n1 + n0)
     ratio = 2 * (a * np.log(np.maximum(a, 1e-9) / (n1 * share)) + b * np.log(np.maximum(b, 1e-9) / (n0 * share)))
     odds = np.log((a + 0.1) / (n1 + 0.2)) - np.log((b + 0.1) / (n0 + 0.2))
-    enough = 2 * np.log(len(toxic | clean) / CHANCE)
-    chosen = [names[k] for k in np.flatnonzero((ratio >= enough) & (odds >= LEAST_ODDS))]
-    if not chosen:
+    passed = np.flatnonzero((ratio >= 2 * np.log(len(a) / CHANCE)) & (odds >= LEAST_ODDS) & (a > 0))
+    if not len(passed):
         return model
-    index = {f: k for k, f in enumerate(sorted(chosen))}
+    names = list(feature)
+    chosen = sorted(names[k] for k in passed.tolist())
+    del feature, names
+    index = {f: k for k, f in enumerate(chosen)}
+    useful = {w: own for w, word in enumerate(vocabulary) if (own := [index[f] for f in carried(word) if f in index])}
+    hit = np.zeros(len(vocabulary), bool)
+    hit[list(useful)] = True
     width, slots = 2 * CONTEXT + 1, 1 + len(PREFIXES)
     feats, gold, real = [], [], []
     for words, label in zip(docs, y, strict=True):
-        at = [k for k, w in enumerate(words) if any(f in index for f in carried(w))]
         done = -1
-        for k in at:
+        for k in np.flatnonzero(hit[words]).tolist():
             if k <= done:
                 continue
             lo = max(0, k - CONTEXT)
             part = words[lo : lo + width]
             done = lo + width - 1
-            fs = [[index[f] for f in carried(w) if f in index] for w in part]
+            fs = [useful.get(w, []) for w in part.tolist()]
             feats.append([x + [-1] * (slots - len(x)) for x in fs] + [[-1] * slots] * (width - len(part)))
             gold.append([int(bool(x) and bool(label)) for x in fs] + [0] * (width - len(part)))
             real.append([True] * len(part) + [False] * (width - len(part)))
@@ -330,7 +340,7 @@ def score(df: DataFrame, model: Model, text: str = "text", spans: bool = True) -
                 cols.append(pa.array(where, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))))
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return df.select(*names).mapInArrow(run, schema)
+    return df.select(*names).mapInArrow(tidy(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
