@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .pretokens import TextEncoder
-from .store import arrow_batches, slices, text_buffers
+from .store import arrow_batches, slices, text_buffers, tidy
 
 
 class Merger:
@@ -166,7 +166,7 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
                 cols = [part.column(x) for x in names] + [pa.array(per, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(cols, [*names, "ids", "byte_offsets"])
 
-    return df.select(*{*names, text}).select(*dict.fromkeys([*names, text])).mapInArrow(run, schema)
+    return df.select(*{*names, text}).select(*dict.fromkeys([*names, text])).mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -183,7 +183,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             out = [c.decode(np.asarray(x.values if x.is_valid else [], np.int64))[0].tobytes() for x in col]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(out, pa.binary())], [*names, "decoded"])
 
-    return df.select(*names).mapInArrow(run, schema)
+    return df.select(*names).mapInArrow(tidy(run), schema)
 
 
 def digest(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,7 +210,7 @@ def digest(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
                     h2.append(hashlib.sha256(data[where[a] : where[b]]).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(h1, pa.string()), pa.array(h2, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(key, text).mapInArrow(tidy(run), f"{key} {dict(df.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

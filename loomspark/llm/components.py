@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Workspace
+from .store import Workspace, tidy
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +61,7 @@ def components(ws: Workspace, links: DataFrame, most_rounds: int = 60) -> DataFr
     round is a written table, so a lost executor costs one round's reads. Minima are
     partial aggregates, so a node with very many links meets no single task.
     """
-    edges = ws.save(links.select("u", "v").where("u <> v").mapInArrow(_contract, "u long, v long").distinct(), "links0")
+    edges = ws.save(links.select("u", "v").where("u <> v").mapInArrow(tidy(_contract), "u long, v long").distinct(), "links0")
     seen = None
     for k in range(most_rounds):
         mark = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import library_encoder
-from .store import Workspace, arrow_batches, numbered, slices, text_buffers
+from .store import Workspace, arrow_batches, numbered, slices, text_buffers, tidy
 
 WINDOW = 1024
 QUANTUM = 128  # ids that a source's turn gives; windows are a whole number of turns
@@ -40,7 +40,7 @@ def units(df: DataFrame, path: str, key: str, text: str, source: str, end: int,
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(n // quantum, pa.int64()), pa.array(n % quantum, pa.int64()), pa.array(sums, pa.list_(pa.int64())), pa.array(rest, pa.binary())], ["key", "source", "doc_tokens", "whole", "rest", "sums", "rest_ids"])
 
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {of[key]}, source string, doc_tokens long, whole long, rest long, sums array<long>, rest_ids binary")
+    return rows.mapInArrow(tidy(run), f"key {of[key]}, source string, doc_tokens long, whole long, rest long, sums array<long>, rest_ids binary")
 
 
 def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", source: str = "source", end: int = 0, window: int = WINDOW, quantum: int = QUANTUM, weights: dict[str, float] | None = None, seed: int = SEED) -> DataFrame:
@@ -101,7 +101,7 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", sour
             yield pa.RecordBatch.from_arrays([pa.array(out["key"], batch.schema.field("key").type), *(pa.array(out[x], pa.int64()) for x in names[1:])], names)
 
     rest = docs.where("rest > 0").select("key", "doc_tokens", "rest", "rest_ids", "source_no", (F.col("before_rest") - F.col("r0")).alias("at"), "r_n", "before_tail")
-    rest = ws.save(rest.mapInArrow(cut, f"key {schema}, start long, length long, ids_crc32 long, doc_tokens long, source_no long, k long, at long, tail_at long"), "rests")
+    rest = ws.save(rest.mapInArrow(tidy(cut), f"key {schema}, start long, length long, ids_crc32 long, doc_tokens long, source_no long, k long, at long, tail_at long"), "rests")
     heads = rest.where("at = 0").select("source_no", "k").join(sums.select("source_no", F.expr(f"r_n div {quantum}").alias("queue_n"), "weight", "w_n", "r_n"), "source_no")
     heads = heads.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in whole.schema[:5]), "source_no", F.lit(1).alias("queue"), "k", "queue_n", "weight", "w_n", "r_n")
     order = numbered(ws, whole.unionByName(heads).withColumn("due", due).drop("queue_n", "weight", "w_n", "r_n"), ["due", "source_no", "queue", "k"], "turns")

@@ -99,7 +99,7 @@ class WordTable:
 
     PROBES = 6
 
-    def __init__(self, encode, bits: int = 21, longest: int = 100_000):
+    def __init__(self, encode, bits: int = 20, longest: int = 50_000):
         self.encode, self.mask, self.longest = encode, np.int64((1 << bits) - 1), longest
         size = 1 << bits
         self.k1, self.k2 = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
@@ -200,7 +200,7 @@ class TextEncoder:
     special: (string, id) pairs that are cut out of a text before it is split.
     """
 
-    def __init__(self, encode, special: tuple[tuple[bytes, int], ...] = (), bits: int = 21):
+    def __init__(self, encode, special: tuple[tuple[bytes, int], ...] = (), bits: int = 20):
         self.table, self.special = WordTable(encode, bits), special
 
     def __call__(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .store import Workspace, arrow_batches, partitions, slices, text_buffers
+from .store import Workspace, arrow_batches, partitions, release, slices, text_buffers, tidy
 
 # The generator polynomial of the (23, 12) Golay code; seed of the shingles' hash.
 GOLAY, LENGTH, CHECK = 0xC75, 23, 11
@@ -170,13 +170,11 @@ def fingerprint_batch(buf: np.ndarray, offs: np.ndarray, words: int = 4) -> np.n
     # words of the batch joined by single spaces
     length = stop - start
     keep = ~blank
-    tail = stop < n
     joined = np.full(int(length.sum()) + len(length), 32, np.uint8)
     at = np.cumsum(length + 1) - (length + 1)
     mask = np.ones(len(joined), bool)
     mask[at + length] = False
     joined[mask] = low[keep]
-    del tail
     per = np.diff(np.searchsorted(start, offs))
     word0 = np.cumsum(per) - per
     shingles = np.where(per == 0, 0, np.maximum(per - words + 1, 1))
@@ -211,7 +209,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words:
             fp = np.concatenate(parts).reshape(-1).view(">i8").astype(np.int64) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["key", "fp"])
 
-    return df.select(key, text).mapInArrow(run, f"key {dict(df.dtypes)[key]}, fp long")
+    return df.select(key, text).mapInArrow(tidy(run), f"key {dict(df.dtypes)[key]}, fp long")
 
 
 def _keyed(buckets: int):
@@ -234,6 +232,8 @@ def _keyed(buckets: int):
 def _linked(table: pa.Table) -> pa.Table:
     pairs = np.frombuffer(b"".join(x.as_buffer() for x in table.column("pairs")), np.int64).reshape(-1, 2)
     u, v = links_of(pairs[:, 0].copy(), pairs[:, 1].copy().view(np.uint64))
+    del pairs
+    release()
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
@@ -253,7 +253,7 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4)
     n = nodes.count()
     buckets = max(partitions(spark), -(-n * 61 // KEYS_PER_BUCKET))
     arrow_batches(spark, 20_000)
-    keyed = nodes.select("fp").mapInArrow(_keyed(buckets), "bucket int, pairs binary").repartition(buckets, "bucket")
+    keyed = nodes.select("fp").mapInArrow(tidy(_keyed(buckets)), "bucket int, pairs binary").repartition(buckets, "bucket")
     links = keyed.groupBy("bucket").applyInArrow(_linked, "u long, v long")
     roots = components(ws, ws.save(links, "links"))
     named = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("v", "fp"))

@@ -6,6 +6,7 @@ back, so a lost executor costs a re-read and never a recomputation.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -78,7 +79,7 @@ def numbered(ws: Workspace, df: DataFrame, keys: list, name: str, amounts: tuple
                 total = [t + int(e[-1]) for t, e in zip(total, ends, strict=True)]
 
     rows = df.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
-    rows = ws.save(rows.mapInArrow(count, schema), name)
+    rows = ws.save(rows.mapInArrow(tidy(count), schema), name)
     out = rows.join(F.broadcast(bases(rows, dict(zip(held, [F.lit(1), *map(F.col, amounts)], strict=True)))), "_part")
     out = out.withColumn("pos", F.col("_row") + F.col("_base_row"))
     for a in amounts:
@@ -119,7 +120,7 @@ def text_buffers(column: pa.Array) -> tuple:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(offs, most: int = 1 << 22):
+def slices(offs, most: int = 1 << 20):
     """Runs (i, j) of texts that hold about `most` bytes together, at least one text each."""
     import numpy as np
 
@@ -130,6 +131,26 @@ def slices(offs, most: int = 1 << 22):
         i = min(j, n)
 
 
+def release() -> None:
+    """Hand freed memory back: Python workers live on between tasks, and two share an executor with its JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """A function of Arrow batches that hands memory back once its task has ended."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts can be long, so fewer of them cross to Python at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

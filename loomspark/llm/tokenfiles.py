@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import library_encoder
-from .store import Workspace, arrow_batches, bases, partitions, slices, text_buffers
+from .store import Workspace, arrow_batches, bases, partitions, slices, text_buffers, tidy
 
 MAGIC = b"LHF1"
 BLOCK = 256
@@ -170,7 +170,7 @@ def tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", en
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), pa.array(np.diff(ends), pa.int64()), blobs.cast(pa.binary())], [*names, "n_tokens", "ids"])
 
-    return df.select(*names, text).mapInArrow(run, ", ".join(f"`{c}` {of[c]}" for c in names) + ", n_tokens long, ids binary")
+    return df.select(*names, text).mapInArrow(tidy(run), ", ".join(f"`{c}` {of[c]}" for c in names) + ", n_tokens long, ids binary")
 
 
 @functools.cache
@@ -208,7 +208,7 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", end
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
 
     counts = np.zeros(size, np.int64)
-    for i, n in rows.select("ids").mapInArrow(histogram, "id int, n long").groupBy("id").agg(F.sum("n")).collect():  # at most one row per id of the vocabulary
+    for i, n in rows.select("ids").mapInArrow(tidy(histogram), "id int, n long").groupBy("id").agg(F.sum("n")).collect():  # at most one row per id of the vocabulary
         counts[i] = n
     lengths = code_lengths(counts, limit)
     table = zlib.compress(lengths.tobytes())
@@ -245,7 +245,7 @@ def write(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", end
 
     # equal keys are ordered by a hash of their ids: sort keys are sampled on the driver, so they stay narrow
     ordered = rows.withColumn("h", F.xxhash64("ids")).repartitionByRange(partitions(spark), key, "h").sortWithinPartitions(key, "h").drop("h")
-    packed = ordered.mapInArrow(pack_rows, "_part int, start long, n_tokens long, image binary")
+    packed = ordered.mapInArrow(tidy(pack_rows), "_part int, start long, n_tokens long, image binary")
     if out is not None:
         packed.write.option("compression", "none").parquet(out)
         packed = spark.read.schema(packed.schema).parquet(out)
@@ -280,7 +280,7 @@ def _decoded(segments: DataFrame, key_type: str, digest: bool) -> DataFrame:
                     last = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * len(n), pa.int32()), keys, pa.array(ends[:-1] + start.as_py(), pa.int64()), pa.array(n, pa.int64()), last], ["_part", "key", "at", "n_tokens", "last"])
 
-    rows = segments.select("_part", "start", "image").mapInArrow(run, f"_part int, key {key_type}, at long, n_tokens long, last {'long' if digest else 'array<int>'}")
+    rows = segments.select("_part", "start", "image").mapInArrow(tidy(run), f"_part int, key {key_type}, at long, n_tokens long, last {'long' if digest else 'array<int>'}")
     base = bases(segments, {"_n": F.col("n_tokens")})
     return rows.join(F.broadcast(base), "_part").select("key", (F.col("at") + F.col("_base_n")).alias("start"), "n_tokens", F.col("last").alias("ids_crc32" if digest else "ids"))
 
