@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Workspace, arrow_batches, partitions, slices, text_buffers
+from .store import Workspace, arrow_batches, partitions, release, slices, text_buffers, tidy
 
 WIDTH = 400
 ANCHOR = 48  # bytes whose hash names a bucket
 # A perfect difference set; every residue of 57 is a difference of two of these.
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
-BLOCK = 8_000  # entries sorted at a time
+BLOCK = 4_000  # entries sorted at a time
 HOT = 20_000  # entries of one bucket beyond which its strings are dealt out singly
 
 
@@ -233,17 +233,18 @@ def _spans(df: DataFrame, doc: str, text: str, width: int, hot: int, ws: Workspa
                 key = [h(data[k : k + ANCHOR]) for k in p.tolist()]
                 body = [h(data[a : b + width], 1) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
                 zero = (offs[i:j] - base)[t]
-                part = batch.slice(i, j - i).take(pa.array(t))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(np.array(body, np.uint64).view(np.int64)), *(pa.array((x - zero).astype(np.int32)) for x in (p, lo, hi))], ["doc", "th", "key", "body", "p", "lo", "hi"])
+                of = pa.array(t + i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(np.array(body, np.uint64).view(np.int64)), *(pa.array((x - zero).astype(np.int32)) for x in (p, lo, hi))], ["doc", "th", "key", "body", "p", "lo", "hi"])
 
-    found = ws.save(own.where(F.octet_length("text") >= width).mapInArrow(find, f"doc {kind}, th long, key long, body long, p int, lo int, hi int"), "anchors")
-    many = found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    found = ws.save(own.where(F.octet_length("text") >= width).mapInArrow(tidy(find), f"doc {kind}, th long, key long, body long, p int, lo int, hi int"), "anchors")
+    # a table of its own: the join then exchanges both sides, so that a frequent key's rows can be split
+    many = ws.save(found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "many")
     kept = ws.save(found.join(many, "key", "left_semi"), "kept")
     # entries: texts of a bucket that differ; key and body together are 128 bits of hash
     entries = kept.groupBy("key", "body").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "th", "p", "lo", "hi")))
     entries = ws.save(entries, "entries")
     whole = kept.join(entries.where("n > 1").select("key", "body"), ["key", "body"], "left_semi").select("doc", "th", "lo", "hi")
-    wide = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    wide = ws.save(entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "wide")
     part = entries.join(wide, "key").select("doc", "th", F.struct("key", "n", "m", "p", "lo", "hi").alias("e"))
     lists = part.groupBy("doc", "th").agg(F.collect_list("e").alias("es"))  # bounded by the document's length
     with_text = own.alias("o").join(lists.alias("l"), F.col("o.doc").eqNullSafe(F.col("l.doc")) & F.col("o.th").eqNullSafe(F.col("l.th")))
@@ -262,12 +263,12 @@ def _spans(df: DataFrame, doc: str, text: str, width: int, hot: int, ws: Workspa
                     out["a"].append(e["p"] - e["lo"])
                     out["text"].append(buf[offs[i] + e["lo"] : offs[i] + e["hi"] + width].tobytes())
                 if len(out["i"]) >= 5000 or i == batch.num_rows - 1:
-                    row = batch.take(pa.array(out["i"], pa.int32()))
-                    yield pa.RecordBatch.from_arrays([row.column(0), row.column(1), *(pa.array(out[k], pa.int64()) for k in ("key", "n", "m", "a", "lo")), pa.array(out["text"], pa.binary())], ["doc", "th", "key", "n", "m", "a", "lo", "text"])
+                    of = pa.array(out["i"], pa.int32())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *(pa.array(out[k], pa.int64()) for k in ("key", "n", "m", "a", "lo")), pa.array(out["text"], pa.binary())], ["doc", "th", "key", "n", "m", "a", "lo", "text"])
                     out = {k: [] for k in out}
 
     arrow_batches(spark, 500)
-    cut = with_text.mapInArrow(texts, f"doc {kind}, th long, key long, n long, m long, a long, lo long, text binary")
+    cut = with_text.mapInArrow(tidy(texts), f"doc {kind}, th long, key long, n long, m long, a long, lo long, text binary")
     total = part.count()
     cut = ws.save(cut, "cut")
     buckets = max(partitions(spark), -(-total // BLOCK))
@@ -280,6 +281,7 @@ def _spans(df: DataFrame, doc: str, text: str, width: int, hot: int, ws: Workspa
         runs = [r for r in runs if n[r[0]] == 1]  # other entries repeat as a whole
         e = np.array([r[0] for r in runs], np.int64)
         rows = table.select(["doc", "th"]).take(pa.array(e))
+        release()
         first, last = np.array([r[1] for r in runs], np.int64), np.array([r[2] for r in runs], np.int64)
         return pa.table({"doc": rows.column("doc"), "th": rows.column("th"), "lo": pa.array((lo[e] + first).astype(np.int32)), "hi": pa.array((lo[e] + last).astype(np.int32))})
 
@@ -292,10 +294,10 @@ def _spans(df: DataFrame, doc: str, text: str, width: int, hot: int, ws: Workspa
             for k, body in enumerate(batch.column(7).to_pylist()):
                 w = len(body) - width + 1
                 lo = batch.column(6)[k].as_py()
-                row = batch.slice(k, 1).take(pa.array([0] * w, pa.int32()))
-                yield pa.RecordBatch.from_arrays([row.column(0), row.column(1), row.column(3), pa.array(range(lo, lo + w), pa.int32()), pa.array([digest(body[s : s + width]) for s in range(w)], pa.binary())], ["doc", "th", "n", "lo", "h"])
+                of = pa.array([k] * w, pa.int32())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in (0, 1, 3)), pa.array(range(lo, lo + w), pa.int32()), pa.array([digest(body[s : s + width]) for s in range(w)], pa.binary())], ["doc", "th", "n", "lo", "h"])
 
-    hot_rows = cut.where(f"m > {hot}").mapInArrow(single_strings, f"doc {kind}, th long, n long, lo int, h binary")
+    hot_rows = cut.where(f"m > {hot}").mapInArrow(tidy(single_strings), f"doc {kind}, th long, n long, lo int, h binary")
     twice = hot_rows.groupBy("h").agg(F.sum("n").alias("c")).where("c > 1").select("h")
     singles = hot_rows.where("n = 1").join(twice, "h", "left_semi").select("doc", "th", "lo", F.col("lo").alias("hi"))
     return whole.unionByName(sorted_).unionByName(singles)
@@ -348,7 +350,7 @@ def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int =
 
     of = dict(df.dtypes)
     more = ", removed array<struct<from: long, to: long>>, kept binary" if texts else ""
-    return rows.mapInArrow(cut, f"`{doc}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}" + "".join(f", {k} {of[c]}" for c, k in zip(keep, carried, strict=True))).withColumnsRenamed(dict(zip(carried, keep, strict=True)))
+    return rows.mapInArrow(tidy(cut), f"`{doc}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}" + "".join(f", {k} {of[c]}" for c, k in zip(keep, carried, strict=True))).withColumnsRenamed(dict(zip(carried, keep, strict=True)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
