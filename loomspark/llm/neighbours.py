@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Workspace, arrow_batches, partitions
+from .store import Workspace, arrow_batches, partitions, tidy
 
 DIRECTIONS = 64
 SHARE = 0.7  # of the directions on which a vector must collide
 ROUNDS = 40
-BLOCK = 4096  # vectors of a block, whose projections are sorted together
+BLOCK = 8192  # vectors of a block, whose projections are sorted together
 SEED = 7
 
 
@@ -37,46 +37,51 @@ def directions(dims: int, n: int = DIRECTIONS, seed: int = SEED) -> np.ndarray:
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int, share: float = SHARE) -> list[tuple[int, int, float]]:
-    """(query, vector, distance): up to k nearest found in one block, for each query."""
+    """(query, vector, distance): up to k nearest found in one block, for each query. All queries widen their windows together."""
     lines = directions(vectors.shape[1])
     p, q = vectors @ lines, queries @ lines
-    order = np.argsort(p, axis=0, kind="stable")
-    sorted_ = np.take_along_axis(p, order, 0)
-    need = int(np.ceil(share * lines.shape[1]))
-    # the narrowest window holds a few neighbours on each direction
-    width0 = max(float(np.median(sorted_[-1] - sorted_[0])) / max(len(ids), 1) * 2, 1e-12)
+    order = np.argsort(p, axis=0, kind="stable").T.copy()
+    sorted_ = np.sort(p, axis=0, kind="stable").T.copy()
+    n, ways = len(ids), lines.shape[1]
+    need = int(np.ceil(share * ways))
+    # the narrowest window holds a few vectors on each direction
+    width = max(float(np.median(sorted_[:, -1] - sorted_[:, 0])) / max(n, 1) * 2, 1e-12)
+    count = np.zeros((len(q_ids), n), np.int16)
+    dist, seen = np.full(count.shape, np.inf), np.zeros(count.shape, bool)
+    own = ids[None, :] == q_ids[:, None]
+    lo = np.stack([np.searchsorted(sorted_[d], q[:, d]) for d in range(ways)])
+    hi = lo.copy()
+    live = np.arange(len(q_ids))
+    for _ in range(ROUNDS):
+        for d in range(ways):
+            a = np.minimum(np.searchsorted(sorted_[d], q[live, d] - width / 2, "left"), lo[d, live])
+            b = np.maximum(np.searchsorted(sorted_[d], q[live, d] + width / 2, "right"), hi[d, live])
+            # what the window gained on its two sides; a vector comes once per direction
+            start, size = np.concatenate([a, hi[d, live]]), np.concatenate([lo[d, live] - a, b - hi[d, live]])
+            at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            count[np.repeat(np.concatenate([live, live]), size), order[d, at]] += 1
+            lo[d, live], hi[d, live] = a, b
+        i, j = np.nonzero((count[live] >= need) & ~seen[live])
+        i = live[i]
+        seen[i, j] = True
+        dist[i, j] = np.where(own[i, j], np.inf, np.sqrt(((vectors[j] - queries[i]) ** 2).sum(1)))
+        if n >= k:
+            far = np.partition(dist[live], k - 1, axis=1)[:, k - 1]
+        else:
+            far = np.full(len(live), np.inf)
+        # a vector nearer than far is off by less than far times a normal number on each direction:
+        # once half the window exceeds 1.5 far, 87 % of its directions are expected to collide
+        live = live[~((width / 2 >= 1.5 * far) | seen[live].all(1))]
+        if not len(live):
+            break
+        width *= 2
     out = []
     for i in range(len(q_ids)):
-        count = np.zeros(len(ids), np.int16)
-        lo = np.array([np.searchsorted(sorted_[:, d], q[i, d]) for d in range(lines.shape[1])])
-        hi, width = lo.copy(), width0
-        seen, dist = np.zeros(len(ids), bool), np.full(len(ids), np.inf)
-        for _ in range(ROUNDS):
-            for d in range(lines.shape[1]):
-                a, b = np.searchsorted(sorted_[:, d], [q[i, d] - width / 2, np.nextafter(q[i, d] + width / 2, np.inf)])
-                a, b = min(a, lo[d]), max(b, hi[d])
-                count[order[a : lo[d], d]] += 1
-                count[order[hi[d] : b, d]] += 1
-                lo[d], hi[d] = a, b
-            new = np.flatnonzero((count >= need) & ~seen)
-            if len(new):
-                seen[new] = True
-                dist[new] = np.sqrt(((vectors[new] - queries[i]) ** 2).sum(1))
-                own = new[ids[new] == q_ids[i]]
-                dist[own] = np.inf
-            have = np.flatnonzero(np.isfinite(dist))
-            if len(have) >= k:
-                far = np.partition(dist[have], k - 1)[k - 1]
-                # a vector nearer than far is off by less than far times a normal number on each direction:
-                # once half the window exceeds 1.5 far, 87 % of its directions are expected to collide
-                if width / 2 >= 1.5 * far:
-                    break
-            if seen.all():
-                break
-            width *= 2
-        have = np.flatnonzero(np.isfinite(dist))
-        best = have[np.lexsort((ids[have], dist[have]))[:k]]
-        out += [(int(q_ids[i]), int(ids[j]), float(dist[j])) for j in best]
+        have = np.flatnonzero(np.isfinite(dist[i]))
+        if len(have) > k:
+            have = have[dist[i, have] <= np.partition(dist[i, have], k - 1)[k - 1]]
+        best = have[np.lexsort((ids[have], dist[i, have]))[:k]]
+        out += [(int(q_ids[i]), int(ids[j]), float(dist[i, j])) for j in best]
     return out
 
 
@@ -97,7 +102,7 @@ def search(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", ve
     n = rows.count()
     blocks = max(1, min(-(-n // BLOCK), n))
     asked = rows.where(F.col("id") % every == 0)
-    batches = max(1, -(-(n // max(every, 1)) // 256))
+    batches = max(1, -(-(n // max(every, 1)) // 128))
     # every block meets every batch of queries once: the stated query set against all rows, in blocks
     left = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block", "dims").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
     right = asked.withColumn("batch", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(batches)).cast("int")).groupBy("batch", "dims").agg(F.collect_list("id").alias("q_ids"), F.flatten(F.collect_list("v")).alias("qs"))
@@ -117,7 +122,7 @@ def search(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", ve
 
     from pyspark.sql import Window
 
-    found = work.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = work.mapInArrow(tidy(run), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 
