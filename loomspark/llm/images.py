@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Workspace, arrow_batches
+from .store import Workspace, arrow_batches, tidy
 
 SCALES = (1.0, 1.5, 2.25)
 CORNERS = 24  # strongest corners kept on each scale of an image: the descriptor's definition, not a cap on partners
 TESTS = 256
-TABLES, TABLE_BITS = 10, 22
-DISTANCE = 48  # bits that matching descriptors may differ in
-CONSENSUS = 5  # different corners of the query that must agree
+TABLES, TABLE_BITS = 16, 22
+DISTANCE = 56  # bits that matching descriptors may differ in
+CONSENSUS = 4  # different corners of the query that must agree
 PATCH = 7  # tests lie within this radius, in pixels of the scale
 SEED = 9
 
@@ -126,7 +126,7 @@ def descriptors(df: DataFrame, render, key_type: str) -> DataFrame:
                 p = np.concatenate(rows["place"])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows["i"])), pa.array(rows["corner"], pa.int32()), *(pa.array(p[:, k]) for k in range(4)), pa.array(rows["bits"], pa.binary()), pa.array(rows["keys"], pa.list_(pa.int64()))], ["id", "corner", "x", "y", "scale", "angle", "bits", "keys"])
 
-    return df.mapInArrow(run, f"id {key_type}, corner int, x double, y double, scale double, angle double, bits binary, keys array<long>")
+    return df.mapInArrow(tidy(run), f"id {key_type}, corner int, x double, y double, scale double, angle double, bits binary, keys array<long>")
 
 
 def _matched(batches):
@@ -176,7 +176,7 @@ def copies(index: DataFrame, queries: DataFrame, render, render_query, key_type:
     met = a.join(b, "k").select("id", "corner", "query_id", "q_corner").distinct()
     arrow_batches(index.sparkSession, 5000)
     pairs = met.join(left.drop("keys"), ["id", "corner"]).join(q.drop("keys"), ["query_id", "q_corner"])
-    votes = pairs.select("query_id", "id", "q_corner", "q_x", "q_y", "q_scale", "q_angle", "q_bits", "x", "y", "scale", "angle", "bits").mapInArrow(_matched, f"query_id {key_type}, id {key_type}, q_corner int, vote long, left double, top double")
+    votes = pairs.select("query_id", "id", "q_corner", "q_x", "q_y", "q_scale", "q_angle", "q_bits", "x", "y", "scale", "angle", "bits").mapInArrow(tidy(_matched), f"query_id {key_type}, id {key_type}, q_corner int, vote long, left double, top double")
     won = votes.groupBy("query_id", "id", "vote").agg(F.count_distinct("q_corner").alias("consensus"), F.avg("left").alias("left"), F.avg("top").alias("top")).where(F.col("consensus") >= CONSENSUS)
     best = F.max_by(F.struct("consensus", "left", "top"), F.struct("consensus", "vote"))
     return won.groupBy("query_id", "id").agg(best.alias("b")).select("query_id", "id", "b.consensus", "b.left", "b.top")
