@@ -151,21 +151,21 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def fingerprint_batch(buf: np.ndarray, offs: np.ndarray, words: int = 4) -> np.ndarray:
-    """Fingerprints as big-endian rows of 8 bytes."""
+def shingle_hashes(buf: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the shingles of all texts in turn, how many each text has)."""
     import xxhash
 
     n, docs = len(buf), len(offs) - 1
-    out = np.zeros((docs, 8), np.uint8)
+    none = np.zeros(0, np.uint64), np.zeros(docs, np.int64)
     if not n:
-        return out
+        return none
     low, blank = _LOWER[buf], _BLANK[buf]
     first = np.zeros(n + 1, bool)
     first[offs] = True
     after = np.append(True, blank[:-1]) | first[:n]
     start = np.flatnonzero(~blank & after)  # of words
     if not len(start):
-        return out
+        return none
     stop = np.flatnonzero(~blank & (np.append(blank[1:], True) | first[1:])) + 1
     # words of the batch joined by single spaces
     length = stop - start
@@ -184,6 +184,17 @@ def fingerprint_batch(buf: np.ndarray, offs: np.ndarray, words: int = 4) -> np.n
     e = np.minimum(w + words - 1, np.repeat(word0 + per - 1, shingles))
     data, digest = joined.tobytes(), xxhash.xxh64_digest
     h = np.frombuffer(b"".join([digest(data[i:j], SEED) for i, j in zip(at[w].tolist(), (at[e] + length[e]).tolist(), strict=True)]), "<u8")
+    return h, shingles
+
+
+def fingerprint_batch(buf: np.ndarray, offs: np.ndarray, words: int = 4) -> np.ndarray:
+    """Fingerprints as big-endian rows of 8 bytes."""
+    docs = len(offs) - 1
+    out = np.zeros((docs, 8), np.uint8)
+    h, shingles = shingle_hashes(buf, offs, words)
+    if not len(h):
+        return out
+    base = np.cumsum(shingles) - shingles
     # counts of each bit: bytes added eight at a time, in runs of at most 255 rows
     runs = -(-shingles // 255)
     run_doc = np.repeat(np.arange(docs), runs)
