@@ -17,6 +17,11 @@ two positions there is a shift below the cover's period that takes both to sampl
 positions, whose ranks were computed once by doubling. Memory is that of one block of
 buckets. Neighbours' common lengths (LCP) then name the class of every left part and
 right part, and a string repeats if its pair of classes occurs twice.
+
+Passages by words. The same is done with texts in which each word is a hash of eight
+bytes, so that a string of 8 n bytes is n words whatever their lengths. Only words that
+are covered whole go. What runs on for over LONG bytes without white space (scripts that
+do not part words) is left as bytes, each eight of which weigh as much as a word.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ ANCHOR = 48  # bytes whose hash names a bucket
 # A perfect difference set; every residue of 57 is a difference of two of these.
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 BLOCK = 4_000  # entries sorted at a time
+LONG = 64  # bytes of the longest word that is told by its hash
 HOT = 20_000  # entries of one bucket beyond which its strings are dealt out singly
 
 
@@ -215,7 +221,61 @@ def anchors(buf: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> tuple[np.n
     return text[head], p[head], start[head], start[last]
 
 
-def _spans(df: DataFrame, doc: str, text: str, width: int, hot: int, ws: Workspace) -> DataFrame:
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+@functools.cache
+def _mix() -> np.ndarray:
+    """[place in the word, byte]: random numbers, whose exclusive or is a word's hash."""
+    return np.random.default_rng(57).integers(0, 1 << 64, (LONG, 256), np.uint64)
+
+
+def word_code(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code, its offsets, and for each word: start and stop in buf, start in the code)."""
+    n = len(buf)
+    first = np.zeros(n + 1, bool)
+    first[offs] = True
+    blank = _BLANK[buf]
+    start = np.flatnonzero(~blank & (np.append(True, blank[:-1])[:n] | first[:n]))
+    if not len(start):
+        return np.zeros(0, np.uint8), np.zeros(len(offs), np.int64), start, start, start
+    stop = np.flatnonzero(~blank & (np.append(blank[1:], True) | first[1:])) + 1
+    length = stop - start
+    full = np.flatnonzero(~blank)
+    place = np.minimum(full - np.repeat(start, length), LONG - 1)
+    h = np.bitwise_xor.reduceat(_mix()[place, buf[full]], np.cumsum(length) - length)
+    size = np.where(length <= LONG, 8, -(-length // 8) * 8)
+    ends = np.append(0, np.cumsum(size))
+    code = np.zeros(int(ends[-1]) // 8, np.uint64)
+    code[ends[:-1] // 8] = h
+    code = code.view(np.uint8)
+    for w in np.flatnonzero(length > LONG).tolist():
+        code[ends[w] : ends[w + 1]] = 0
+        code[ends[w] : ends[w] + length[w]] = buf[start[w] : stop[w]]
+    return code, ends[np.searchsorted(start, offs)], start, stop, ends[:-1]
+
+
+def covered_bytes(own: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Bytes of a text that go if those of its code go: words covered whole, with the blanks up to the next word."""
+    _, _, start, stop, at = word_code(own, np.array([0, len(own)]))
+    ahead = np.append(start[1:], len(own))
+    held = np.append(0, np.cumsum(gone))
+    length = stop - start
+    size = np.where(length <= LONG, 8, length)
+    whole = held[at + size] - held[at] == size
+    edge = np.zeros(len(own) + 1, np.int32)
+    edge[start[whole]] += 1
+    np.add.at(edge, ahead[whole], -1)
+    out = np.cumsum(edge)[:-1] > 0
+    for w in np.flatnonzero(~whole & (length > LONG)).tolist():
+        out[start[w] : stop[w]] = gone[at[w] : at[w] + length[w]]
+    if len(start) and whole[0]:
+        out[: start[0]] = True
+    return out
+
+
+def _spans(df: DataFrame, doc: str, text: str, width: int, hot: int, ws: Workspace, words: bool = False) -> DataFrame:
     """(doc, th, lo, hi): runs of starts of strings that occur elsewhere too; th is the text's hash."""
     import xxhash
 
@@ -227,16 +287,19 @@ def _spans(df: DataFrame, doc: str, text: str, width: int, hot: int, ws: Workspa
         for batch in batches:
             buf, offs = text_buffers(batch.column(2))
             for i, j in slices(offs, 1 << 17):
-                base, sub = offs[i], buf[offs[i] : offs[j]]
-                t, p, lo, hi = anchors(sub, offs[i : j + 1] - base, width)
+                sub, own = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                if words:
+                    sub, own, *_ = word_code(sub, own)
+                t, p, lo, hi = anchors(sub, own, width)
                 data, h = sub.tobytes(), xxhash.xxh3_64_intdigest
                 key = [h(data[k : k + ANCHOR]) for k in p.tolist()]
                 body = [h(data[a : b + width], 1) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-                zero = (offs[i:j] - base)[t]
+                zero = own[t]
                 of = pa.array(t + i)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(np.array(body, np.uint64).view(np.int64)), *(pa.array((x - zero).astype(np.int32)) for x in (p, lo, hi))], ["doc", "th", "key", "body", "p", "lo", "hi"])
 
-    found = ws.save(own.where(F.octet_length("text") >= width).mapInArrow(tidy(find), f"doc {kind}, th long, key long, body long, p int, lo int, hi int"), "anchors")
+    least = width // 4 - 1 if words else width  # words of one byte and the blanks between
+    found = ws.save(own.where(F.octet_length("text") >= least).mapInArrow(tidy(find), f"doc {kind}, th long, key long, body long, p int, lo int, hi int"), "anchors")
     # a table of its own: the join then exchanges both sides, so that a frequent key's rows can be split
     many = ws.save(found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "many")
     kept = ws.save(found.join(many, "key", "left_semi"), "kept")
@@ -254,6 +317,8 @@ def _spans(df: DataFrame, doc: str, text: str, width: int, hot: int, ws: Workspa
     def texts(batches):
         for batch in batches:
             buf, offs = text_buffers(batch.column(2))
+            if words:
+                buf, offs, *_ = word_code(buf, offs)
             out = {k: [] for k in ("i", "key", "n", "m", "a", "lo", "text")}
             for i, es in enumerate(batch.column(3).to_pylist()):
                 for e in es:
@@ -303,8 +368,8 @@ def _spans(df: DataFrame, doc: str, text: str, width: int, hot: int, ws: Workspa
     return whole.unionByName(sorted_).unionByName(singles)
 
 
-def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, texts: bool = True, keep: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
-    """Documents without the bytes that repeat.
+def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, texts: bool = True, keep: tuple[str, ...] = (), hot: int = HOT, words: int = 0) -> DataFrame:
+    """Documents without the bytes that repeat: of strings of `width` bytes, or of `words` words if that is set.
 
     (doc, *keep, n_bytes, n_removed, n_spans, kept_sha256) and, if texts is set, removed
     (array of struct from, to in bytes) and kept (binary; a cut may fall within a
@@ -315,7 +380,8 @@ def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int =
     spark, ws = df.sparkSession, Workspace(df.sparkSession, "suffixes")
     kind = dict(df.dtypes)[doc]
     arrow_batches(spark, 500)
-    found = _spans(df, doc, text, width, hot, ws)
+    width = 8 * words or width
+    found = _spans(df, doc, text, width, hot, ws, words > 0)
     lists = found.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # bounded by the document's length
     carried = [f"_keep{k}" for k in range(len(keep))]
     own = df.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"), *(F.col(c).alias(k) for c, k in zip(keep, carried, strict=True)))
@@ -327,11 +393,15 @@ def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int =
             n, removed, spans, sha, where, kept = [], [], [], [], [], []
             for i, (lo, hi) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 own = buf[offs[i] : offs[i + 1]]
-                cover = np.zeros(len(own) + 1, np.int32)
+                gone = np.zeros(len(own), bool)
                 if lo.is_valid and len(lo):
+                    coded = word_code(own, np.array([0, len(own)]))[0] if words else own
+                    cover = np.zeros(len(coded) + 1, np.int32)
                     np.add.at(cover, lo.values.to_numpy(), 1)
                     np.add.at(cover, hi.values.to_numpy() + width, -1)
-                gone = np.cumsum(cover)[:-1] > 0
+                    gone = np.cumsum(cover)[:-1] > 0
+                    if words:
+                        gone = covered_bytes(own, gone)
                 edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
                 rest = own[~gone].tobytes()
                 n.append(len(own))
