@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .store import Workspace, arrow_batches, partitions, release, slices, text_buffers, tidy
+from .store import Workspace, partitions, release, slices, text_buffers, tidy
 
 # The generator polynomial of the (23, 12) Golay code; seed of the shingles' hash.
 GOLAY, LENGTH, CHECK = 0xC75, 23, 11
@@ -211,8 +211,6 @@ def fingerprint_batch(buf: np.ndarray, offs: np.ndarray, words: int = 4) -> np.n
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
     """(key, fp): the 64 bits as a long. Fewer words than a shingle make one shingle; no word gives 0."""
-    arrow_batches(df.sparkSession)
-
     def run(batches):
         for batch in batches:
             buf, offs = text_buffers(batch.column(1))
@@ -263,7 +261,6 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4)
     nodes = ws.save(rows.groupBy("fp").agg(F.min("key").alias("low")), "nodes")
     n = nodes.count()
     buckets = max(partitions(spark), -(-n * 61 // KEYS_PER_BUCKET))
-    arrow_batches(spark, 20_000)
     keyed = nodes.select("fp").mapInArrow(tidy(_keyed(buckets)), "bucket int, pairs binary").repartition(buckets, "bucket")
     links = keyed.groupBy("bucket").applyInArrow(_linked, "u long, v long")
     roots = components(ws, ws.save(links, "links"))
@@ -273,6 +270,18 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4)
     return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
+def similar(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Groups by shingle similarity: (key, th, group, component_id), see `copies`.
+
+    At 0.8 the fingerprints of two texts differ in 9.7 of 64 bits on average, and Golay
+    codewords within reach of that many errors are too common to be keys; so keys are
+    least shingle hashes here, and links are verified by the whole shingle sets.
+    """
+    from . import copies
+
+    return copies.link(df, key, text, words, similarity)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     out = link(spark.read.parquet(os.path.join(sf_dir, "documents.parquet")))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -6,6 +6,7 @@ back, so a lost executor costs a re-read and never a recomputation.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -17,9 +18,11 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh local one only where none is named (tests)."""
+    """The cluster's shared folder; a fresh local one only where none is named and one machine runs all (tests)."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = spark.conf.get("loomspark.shared.dir", None)
         if not at:
             at = "file://" + tempfile.mkdtemp(prefix="loomspark-")
@@ -37,13 +40,25 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return it reread, with the schema it had."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def result(self, df: DataFrame) -> DataFrame:
+        """Write df, delete every other table of this folder, and return df reread."""
+        out = self.save(df, "result")
+        self.drop(*(n for n in self.names() if n != "result"))
+        return out
+
+    def names(self) -> list[str]:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        return [f.getPath().getName() for f in root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root)]
+
     def drop(self, *names: str) -> None:
+        """Delete these tables; the name '' stands for the whole folder."""
         jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -151,6 +166,20 @@ def tidy(run):
     return wrapped
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long, so fewer of them cross to Python at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: str = "8m"):
+    """Texts can be long, so fewer bytes of them cross to Python at once; the session is left as it was."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def portions(batches, column: int | str, most: int = 1 << 21):
+    """The batches cut so that each holds about `most` bytes of a text column, at least one row."""
+    for batch in batches:
+        for i, j in slices(text_buffers(batch.column(column))[1], most):
+            yield batch.slice(i, j - i)

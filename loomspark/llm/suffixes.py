@@ -18,6 +18,13 @@ positions, whose ranks were computed once by doubling. Memory is that of one blo
 buckets. Neighbours' common lengths (LCP) then name the class of every left part and
 right part, and a string repeats if its pair of classes occurs twice.
 
+Large buckets. A bucket of over LARGE different entries is divided before it is sorted:
+strings that reach far to the left of the anchor go by the text left of it, the others
+by the text right of it, so an entry becomes two at most, and twins still meet. Each
+division halves the text that a bucket's strings may differ in, so after nine all strings
+of a bucket are equal, and no task sorts more than a bounded number of entries whatever
+the data. Equal entries of a bucket are told by 128 bits of hash, all others by bytes.
+
 Passages by words. The same is done with texts in which each word is a hash of eight
 bytes, so that a string of 8 n bytes is n words whatever their lengths. Only words that
 are covered whole go. What runs on for over LONG bytes without white space (scripts that
@@ -34,8 +41,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .store import Workspace, arrow_batches, partitions, release, slices, text_buffers, tidy
+from .store import Workspace, partitions, release, slices, text_buffers, tidy
 
 WIDTH = 400
 ANCHOR = 48  # bytes whose hash names a bucket
@@ -43,7 +51,8 @@ ANCHOR = 48  # bytes whose hash names a bucket
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 BLOCK = 4_000  # entries sorted at a time
 LONG = 64  # bytes of the longest word that is told by its hash
-HOT = 20_000  # entries of one bucket beyond which its strings are dealt out singly
+LARGE = 2_000  # different entries of a bucket beyond which it is divided
+PIECE = 1 << 20  # bytes of a text whose anchors are found at a time
 
 
 @functools.cache
@@ -275,7 +284,54 @@ def covered_bytes(own: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spans(df: DataFrame, doc: str, text: str, width: int, hot: int, ws: Workspace, words: bool = False) -> DataFrame:
+def pieces(buf: np.ndarray, offs: np.ndarray, width: int):
+    """`anchors` of all texts, a bounded part of a very long one at a time."""
+    whole = len(buf) <= PIECE or len(offs) > 2
+    for c in [0] if whole else range(0, max(1, len(buf) - width + 1), PIECE):
+        sub = buf if whole else buf[c : c + PIECE + width - 1]
+        t, *places = anchors(sub, offs if whole else np.array([0, len(sub)]), width)
+        yield t, *(x + c for x in places)
+
+
+def divide(text: bytes, a: int, left: int, right: int, width: int):
+    """(side, known left, known right, first, last, shared): the one or two groups that an entry's strings fall into.
+
+    a: the anchor's place in text; all strings of the bucket share `left` bytes before
+    and `right` bytes from the anchor on. A string is told by the bytes it has before
+    the anchor; first and last are the fewest and most of the group, shared what all
+    strings of the new bucket have in common.
+    """
+    low, high = a - (len(text) - width), a
+    far = left + -(-(width - left - right) // 2)
+    if high >= far:
+        yield b"l", far, right, max(low, far), high, text[a - far : a + right]
+    if low < far:
+        near = width - far + 1
+        yield b"r", left, near, low, min(high, far - 1), text[a - left : a + near]
+
+
+def _divided(width: int):
+    def run(batches):
+        import xxhash
+
+        h = xxhash.xxh3_64_intdigest
+        names = ["doc", "th", "key", "body", "n", "a", "lo", "left", "right", "text"]
+        for batch in batches:
+            c = {x: batch.column(x).to_pylist() for x in ("key", "n", "a", "lo", "left", "right", "text")}
+            out = {x: [] for x in ("i", *names[2:])}
+            for i, (key, n, a, lo, left, right, text) in enumerate(zip(*c.values(), strict=True)):
+                for side, l, r, few, most, shared in divide(text, a, left, right, width):
+                    own = text[a - most : a - few + width]
+                    new = np.array([h(shared + side + key.to_bytes(8, "little", signed=True)), h(own, 1)], np.uint64).view(np.int64)
+                    for x, value in zip(out, (i, int(new[0]), int(new[1]), n, most, lo + a - most, l, r, own), strict=True):
+                        out[x].append(value)
+            of = pa.array(out["i"], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(of), batch.column("th").take(of), *(pa.array(out[x], pa.int64()) for x in names[2:-1]), pa.array(out["text"], pa.binary())], names)
+
+    return run
+
+
+def _spans(df: DataFrame, doc: str, text: str, width: int, large: int, ws: Workspace, words: bool = False) -> DataFrame:
     """(doc, th, lo, hi): runs of starts of strings that occur elsewhere too; th is the text's hash."""
     import xxhash
 
@@ -290,23 +346,25 @@ def _spans(df: DataFrame, doc: str, text: str, width: int, hot: int, ws: Workspa
                 sub, own = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 if words:
                     sub, own, *_ = word_code(sub, own)
-                t, p, lo, hi = anchors(sub, own, width)
                 data, h = sub.tobytes(), xxhash.xxh3_64_intdigest
-                key = [h(data[k : k + ANCHOR]) for k in p.tolist()]
-                body = [h(data[a : b + width], 1) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-                zero = own[t]
-                of = pa.array(t + i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(np.array(body, np.uint64).view(np.int64)), *(pa.array((x - zero).astype(np.int32)) for x in (p, lo, hi))], ["doc", "th", "key", "body", "p", "lo", "hi"])
+                for t, p, lo, hi in pieces(sub, own, width):
+                    key = [h(data[k : k + ANCHOR]) for k in p.tolist()]
+                    body = [h(data[a : b + width], 1) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    zero = own[t]
+                    of = pa.array(t + i)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(np.array(body, np.uint64).view(np.int64)), *(pa.array((x - zero).astype(np.int32)) for x in (p, lo, hi))], ["doc", "th", "key", "body", "p", "lo", "hi"])
 
     least = width // 4 - 1 if words else width  # words of one byte and the blanks between
     found = ws.save(own.where(F.octet_length("text") >= least).mapInArrow(tidy(find), f"doc {kind}, th long, key long, body long, p int, lo int, hi int"), "anchors")
     # a table of its own: the join then exchanges both sides, so that a frequent key's rows can be split
     many = ws.save(found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "many")
     kept = ws.save(found.join(many, "key", "left_semi"), "kept")
+    ws.drop("anchors")
     # entries: texts of a bucket that differ; key and body together are 128 bits of hash
     entries = kept.groupBy("key", "body").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "th", "p", "lo", "hi")))
     entries = ws.save(entries, "entries")
-    whole = kept.join(entries.where("n > 1").select("key", "body"), ["key", "body"], "left_semi").select("doc", "th", "lo", "hi")
+    # merged, as only sorted joins are split where one entry has very many rows
+    whole = kept.join(entries.where("n > 1").select("key", "body").hint("merge"), ["key", "body"], "left_semi").select("doc", "th", "lo", "hi")
     wide = ws.save(entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "wide")
     part = entries.join(wide, "key").select("doc", "th", F.struct("key", "n", "m", "p", "lo", "hi").alias("e"))
     lists = part.groupBy("doc", "th").agg(F.collect_list("e").alias("es"))  # bounded by the document's length
@@ -332,10 +390,27 @@ def _spans(df: DataFrame, doc: str, text: str, width: int, hot: int, ws: Workspa
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *(pa.array(out[k], pa.int64()) for k in ("key", "n", "m", "a", "lo")), pa.array(out["text"], pa.binary())], ["doc", "th", "key", "n", "m", "a", "lo", "text"])
                     out = {k: [] for k in out}
 
-    arrow_batches(spark, 500)
-    cut = with_text.mapInArrow(tidy(texts), f"doc {kind}, th long, key long, n long, m long, a long, lo long, text binary")
+    cut = ws.save(with_text.mapInArrow(tidy(texts), f"doc {kind}, th long, key long, n long, m long, a long, lo long, text binary"), "cut")
+
+    def entry(rows):
+        return rows.select("doc", "th", "key", "n", "a", "lo", "text")
+
+    ready = [entry(cut.where(f"m <= {large}").dropDuplicates(["key", "doc", "th", "lo"]))]
+    division = f"doc {kind}, th long, key long, body long, n long, a long, lo long, left long, right long, text binary"
+    # the divisions end: each leaves less than half of the text that strings of a bucket may differ in
+    level, some = 0, not wide.where(f"m > {large}").isEmpty()
+    rest = cut.where(f"m > {large}").dropDuplicates(["key", "doc", "th", "lo"]).withColumns({"left": F.lit(0).cast("long"), "right": F.lit(ANCHOR).cast("long")})
+    while some:
+        level += 1
+        sub = ws.save(rest.mapInArrow(tidy(_divided(width)), division), f"divided{level}")
+        one = ws.save(sub.groupBy("key", "body").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.first(F.struct("doc", "th", "a", "lo", "left", "right", "text")).alias("f")), f"entries{level}")
+        twins = sub.where("n = 1").join(one.where("c > 1").select("key", "body").hint("merge"), ["key", "body"], "left_semi")
+        whole = whole.unionByName(twins.select("doc", "th", F.col("lo").cast("int").alias("lo"), F.expr(f"cast(lo + octet_length(text) - {width} as int)").alias("hi")))
+        sizes = ws.save(one.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), f"wide{level}")
+        rows = one.join(sizes, "key").select("key", "n", "m", "f.*")
+        ready.append(entry(rows.where(f"m <= {large}")))
+        rest, some = rows.where(f"m > {large}").drop("m"), not sizes.where(f"m > {large}").isEmpty()
     total = part.count()
-    cut = ws.save(cut, "cut")
     buckets = max(partitions(spark), -(-total // BLOCK))
 
     def sort(table: pa.Table) -> pa.Table:
@@ -350,78 +425,83 @@ def _spans(df: DataFrame, doc: str, text: str, width: int, hot: int, ws: Workspa
         first, last = np.array([r[1] for r in runs], np.int64), np.array([r[2] for r in runs], np.int64)
         return pa.table({"doc": rows.column("doc"), "th": rows.column("th"), "lo": pa.array((lo[e] + first).astype(np.int32)), "hi": pa.array((lo[e] + last).astype(np.int32))})
 
-    warm = cut.where(f"m <= {hot}").dropDuplicates(["key", "doc", "th", "lo"]).withColumn("bucket", F.pmod(F.col("key"), F.lit(buckets)))
-    sorted_ = warm.groupBy("bucket").applyInArrow(sort, f"doc {kind}, th long, lo int, hi int")
+    rows = functools.reduce(DataFrame.unionByName, ready).withColumn("bucket", F.pmod(F.col("key"), F.lit(buckets)))
+    return whole.unionByName(rows.groupBy("bucket").applyInArrow(sort, f"doc {kind}, th long, lo int, hi int"))
 
-    def single_strings(batches):
-        digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            for k, body in enumerate(batch.column(7).to_pylist()):
-                w = len(body) - width + 1
-                lo = batch.column(6)[k].as_py()
-                of = pa.array([k] * w, pa.int32())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in (0, 1, 3)), pa.array(range(lo, lo + w), pa.int32()), pa.array([digest(body[s : s + width]) for s in range(w)], pa.binary())], ["doc", "th", "n", "lo", "h"])
-
-    hot_rows = cut.where(f"m > {hot}").mapInArrow(tidy(single_strings), f"doc {kind}, th long, n long, lo int, h binary")
-    twice = hot_rows.groupBy("h").agg(F.sum("n").alias("c")).where("c > 1").select("h")
-    singles = hot_rows.where("n = 1").join(twice, "h", "left_semi").select("doc", "th", "lo", F.col("lo").alias("hi"))
-    return whole.unionByName(sorted_).unionByName(singles)
 
-
-def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, texts: bool = True, keep: tuple[str, ...] = (), hot: int = HOT, words: int = 0) -> DataFrame:
+def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, texts: bool = True, keep: tuple[str, ...] = (), large: int = LARGE, words: int = 0, passages: int = 0) -> DataFrame:
     """Documents without the bytes that repeat: of strings of `width` bytes, or of `words` words if that is set.
 
-    (doc, *keep, n_bytes, n_removed, n_spans, kept_sha256) and, if texts is set, removed
-    (array of struct from, to in bytes) and kept (binary; a cut may fall within a
-    character). A null text is empty; texts shorter than width lose nothing; rows that
-    repeat a document are each other's twins; null and equal keys are told apart by
-    the text; other columns are left out; an empty table gives no row.
+    (doc, *keep, n_bytes, n_removed, n_spans, kept_sha256); if passages is set,
+    n_passage_bytes: the bytes, removed or not, of words in passages of that many words
+    which occur elsewhere too; if texts is set, removed (array of struct from, to in
+    bytes) and kept (binary; a cut may fall within a character). A null text is empty;
+    texts shorter than width lose nothing; rows that repeat a document are each other's
+    twins; null and equal keys are told apart by the text; other columns are left out; an
+    empty table gives no row. The result is a written table, and what led to it is deleted.
     """
     spark, ws = df.sparkSession, Workspace(df.sparkSession, "suffixes")
     kind = dict(df.dtypes)[doc]
-    arrow_batches(spark, 500)
     width = 8 * words or width
-    found = _spans(df, doc, text, width, hot, ws, words > 0)
-    lists = found.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # bounded by the document's length
+    found = ws.save(_spans(df, doc, text, width, large, ws, words > 0), "spans").withColumn("own", F.lit(True))
+    if passages:
+        ws.drop(*(n for n in ws.names() if n != "spans"))
+        more = Workspace(spark, "passages")
+        found = found.unionByName(ws.save(_spans(df, doc, text, 8 * passages, large, more, True), "passages").withColumn("own", F.lit(False)))
+        more.drop("")
+    span = F.struct("lo", "hi")
+    lists = found.groupBy("doc", "th").agg(F.collect_list(F.when(F.col("own"), span)).alias("spans"), F.collect_list(F.when(~F.col("own"), span)).alias("passages"))  # bounded by the document's length
     carried = [f"_keep{k}" for k in range(len(keep))]
     own = df.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"), *(F.col(c).alias(k) for c, k in zip(keep, carried, strict=True)))
-    rows = own.alias("o").join(lists.alias("l"), F.col("o.doc").eqNullSafe(F.col("l.doc")) & F.col("o.th").eqNullSafe(F.col("l.th")), "left").select("o.doc", "text", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"), *carried)
+    rows = own.alias("o").join(lists.alias("l"), F.col("o.doc").eqNullSafe(F.col("l.doc")) & F.col("o.th").eqNullSafe(F.col("l.th")), "left")
+    rows = rows.select("o.doc", "text", *(F.col(x) for f in ("spans", "passages") for x in (f"{f}.lo", f"{f}.hi")), *carried).toDF("doc", "text", "lo", "hi", "p_lo", "p_hi", *carried)
+
+    def covered(coded, lo, hi, width):
+        cover = np.zeros(len(coded) + 1, np.int32)
+        np.add.at(cover, lo.values.to_numpy(), 1)
+        np.add.at(cover, hi.values.to_numpy() + width, -1)
+        return np.cumsum(cover)[:-1] > 0
 
     def cut(batches):
         for batch in batches:
             buf, offs = text_buffers(batch.column(1))
-            n, removed, spans, sha, where, kept = [], [], [], [], [], []
-            for i, (lo, hi) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            n, removed, spans, sha, told, where, kept = [], [], [], [], [], [], []
+            for i, (lo, hi, p_lo, p_hi) in enumerate(zip(*batch.columns[2:6], strict=True)):
                 own = buf[offs[i] : offs[i + 1]]
-                gone = np.zeros(len(own), bool)
-                if lo.is_valid and len(lo):
-                    coded = word_code(own, np.array([0, len(own)]))[0] if words else own
-                    cover = np.zeros(len(coded) + 1, np.int32)
-                    np.add.at(cover, lo.values.to_numpy(), 1)
-                    np.add.at(cover, hi.values.to_numpy() + width, -1)
-                    gone = np.cumsum(cover)[:-1] > 0
-                    if words:
-                        gone = covered_bytes(own, gone)
+                gone, told_ = np.zeros(len(own), bool), 0
+                some, more = lo.is_valid and len(lo) > 0, p_lo.is_valid and len(p_lo) > 0
+                coded = word_code(own, np.array([0, len(own)]))[0] if more or some and words else own
+                if some:
+                    gone = covered_bytes(own, covered(coded, lo, hi, width)) if words else covered(own, lo, hi, width)
+                if more:
+                    told_ = int(covered_bytes(own, covered(coded, p_lo, p_hi, 8 * passages)).sum())
                 edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
                 rest = own[~gone].tobytes()
                 n.append(len(own))
                 removed.append(int(gone.sum()))
                 spans.append(len(edge) // 2)
                 sha.append(hashlib.sha256(rest).hexdigest())
+                told.append(told_)
                 if texts:
                     where.append([{"from": a, "to": b} for a, b in edge.reshape(-1, 2).tolist()])
                     kept.append(rest)
             cols = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(sha, pa.string())]
-            names = [doc, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            if passages:
+                cols.append(pa.array(told, pa.int64()))
             if texts:
                 cols += [pa.array(where, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array(kept, pa.binary())]
-                names += ["removed", "kept"]
-            yield pa.RecordBatch.from_arrays(cols + [batch.column(k) for k in carried], names + carried)
+            yield pa.RecordBatch.from_arrays(cols + [batch.column(k) for k in carried], schema.names)
 
-    of = dict(df.dtypes)
-    more = ", removed array<struct<from: long, to: long>>, kept binary" if texts else ""
-    return rows.mapInArrow(tidy(cut), f"`{doc}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}" + "".join(f", {k} {of[c]}" for c, k in zip(keep, carried, strict=True))).withColumnsRenamed(dict(zip(carried, keep, strict=True)))
+    of = df.schema
+    schema = T.StructType([T.StructField("_doc", of[doc].dataType), *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
+    if passages:
+        schema = schema.add("n_passage_bytes", "long")
+    if texts:
+        schema = schema.add("removed", T.ArrayType(T.StructType().add("from", "long").add("to", "long"))).add("kept", "binary")
+    for k, c in zip(carried, keep, strict=True):
+        schema = schema.add(k, of[c].dataType)
+    return ws.result(rows.mapInArrow(tidy(cut), schema)).withColumnsRenamed({"_doc": doc} | dict(zip(carried, keep, strict=True)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return remove(spark.read.parquet(os.path.join(sf_dir, "documents.parquet")), texts=False)
+    return remove(spark.read.parquet(os.path.join(sf_dir, "documents.parquet")), texts=False, passages=51)

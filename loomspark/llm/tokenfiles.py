@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import library_encoder
-from .store import Workspace, arrow_batches, bases, partitions, slices, text_buffers, tidy
+from .store import Workspace, bases, partitions, slices, text_buffers, tidy
 
 MAGIC = b"LHF1"
 BLOCK = 256
@@ -150,7 +150,6 @@ def read_segment(image: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", end: int | None = 2, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, *keep, n_tokens, ids): ids as little-endian u32 or, for small vocabularies, u16, with the end id."""
-    arrow_batches(df.sparkSession)
     width = id_type(path)
     names = [key, *keep]
     of = dict(df.dtypes)
@@ -266,8 +265,6 @@ def digest(segments: DataFrame, key_type: str = "long") -> DataFrame:
 
 
 def _decoded(segments: DataFrame, key_type: str, digest: bool) -> DataFrame:
-    arrow_batches(segments.sparkSession)
-
     def run(batches):
         for batch in batches:
             for part, start, image in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
