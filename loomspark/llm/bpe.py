@@ -9,18 +9,26 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import os
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .pretokens import TextEncoder
-from .store import arrow_batches, slices, text_buffers, tidy
+from .store import slices, text_buffers, tidy
+
+
+LONG = 256  # bytes of the longest word that is merged together with others
 
 
 class Merger:
-    """Pair merging for many words at once: each round joins every word's lowest-ranked pair, leftmost first."""
+    """Pair merging for many words at once: each round joins every word's lowest-ranked pair, leftmost first.
+
+    Long words go one by one, as they would need a round for each of their pairs.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
@@ -63,6 +71,55 @@ class Merger:
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, how many each has)."""
+        if max(map(len, words), default=0) <= LONG:
+            return self._together(words)
+        ids, counts = self._together([w for w in words if len(w) <= LONG])
+        short = iter(np.split(ids, np.cumsum(counts)))
+        found = [next(short) if len(w) <= LONG else self._alone(w) for w in words]
+        return np.concatenate(found).astype(np.int32), np.fromiter(map(len, found), np.int32, len(found))
+
+    def _alone(self, word: bytes) -> np.ndarray:
+        """One long word, its pairs in a heap by rank and place: n log n steps."""
+        sym = self.byte[np.frombuffer(word, np.uint8)]
+        ranks = self._rank(sym[:-1], sym[1:])
+        sym, n = sym.tolist(), len(sym)
+        ahead, behind = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, r in enumerate(ranks.tolist()) if r < self.none]
+        heapq.heapify(heap)
+        current = ranks.tolist() + [self.none]
+
+        def renew(i):
+            j = ahead[i]
+            r = self._one(sym[i], sym[j]) if j < n else self.none
+            current[i] = r
+            if r < self.none:
+                heapq.heappush(heap, (r, i))
+
+        while heap:
+            r, i = heapq.heappop(heap)
+            if sym[i] < 0 or current[i] != r:
+                continue
+            j = ahead[i]
+            sym[i], sym[j], ahead[i] = r, -1, ahead[j]
+            if ahead[j] < n:
+                behind[ahead[j]] = i
+            renew(i)
+            if behind[i] >= 0:
+                renew(behind[i])
+        return np.array([x for x in sym if x >= 0], np.int64)
+
+    def _one(self, left: int, right: int) -> int:
+        key, mask = left * self.size + right, (1 << self.bits) - 1
+        slot = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - self.bits
+        while (have := int(self.keys[slot])) >= 0:
+            if have == key:
+                return int(self.vals[slot])
+            slot = (slot + 1) & mask
+        return self.none
+
+    def _together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
         size = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), size)
@@ -147,7 +204,6 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """
     from pyspark.sql import types as T
 
-    arrow_batches(df.sparkSession)
     schema = T.StructType([f for f in df.schema.fields if f.name not in ("ids", "byte_offsets")] + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("byte_offsets", T.ArrayType(T.IntegerType()))])
     names = [f.name for f in schema.fields[:-2]]
 
@@ -187,18 +243,19 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 
 def digest(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode, decode, and return only counts and digests: (key, n_tokens, ids_sha256, decoded_sha256).
+    """Encode, decode, and return only counts and digests: (key, n_tokens, ids_sha256, decoded_sha256, offsets_crc32).
 
     The same codec as `encode` and `decode`, without carrying the ids out of the task.
+    offsets_crc32 is that of the ids' byte offsets, as `encode` has them, in
+    little-endian unsigned 32-bit integers. A null text is empty; rows stay as they
+    are, repeated ones too; other columns are left out.
     """
-    arrow_batches(df.sparkSession)
-
     def run(batches):
         c = codec(path)
         text_of, mask_of, len_of = _digits(len(c.length))
         for batch in batches:
             buf, offs = text_buffers(batch.column(1))
-            count, h1, h2 = [], [], []
+            count, h1, h2, crc = [], [], [], []
             for i, j in slices(offs):
                 ids, ends = c.encode_texts(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 data, where = c.decode(ids)
@@ -208,9 +265,10 @@ def digest(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
                     count.append(b - a)
                     h1.append(hashlib.sha256(shown[at[a] : max(at[a], at[b] - 1)]).hexdigest())
                     h2.append(hashlib.sha256(data[where[a] : where[b]]).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(h1, pa.string()), pa.array(h2, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+                    crc.append(zlib.crc32((where[a : b + 1] - where[a]).astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(h1, pa.string()), pa.array(h2, pa.string()), pa.array(crc, pa.int64())], [key, "n_tokens", "ids_sha256", "decoded_sha256", "offsets_crc32"])
 
-    return df.select(key, text).mapInArrow(tidy(run), f"{key} {dict(df.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(key, text).mapInArrow(tidy(run), f"{key} {dict(df.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_crc32 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

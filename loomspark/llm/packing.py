@@ -11,16 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import library_encoder
-from .store import Workspace, arrow_batches, numbered, slices, text_buffers, tidy
+from .store import Workspace, numbered, slices, text_buffers, tidy
 
 WINDOW = 1024
-QUANTUM = 128  # ids that a source's turn gives; windows are a whole number of turns
+QUANTUM = 512  # ids that a source's turn gives, of one document as long as it has them; windows are a whole number of turns
 SEED = 42
 
 
 def units(df: DataFrame, path: str, key: str, text: str, source: str, end: int, quantum: int) -> DataFrame:
     """One row per document: its ids cut in whole quanta (crc32 of each) and a rest, whose ids are kept."""
-    arrow_batches(df.sparkSession)
     of = dict(df.dtypes)
 
     def run(batches):
@@ -51,13 +50,17 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", sour
     window and falls by a quantum when it is served; turn k of a queue of weight w
     and quantum q is therefore due when q (k + 1/2) / w of the windows have passed,
     so the order of all turns is a sort by due time, and deficits carry over windows
-    and partitions by the turns' global numbers. weights: the sources' shares, their
+    and partitions by the turns' global numbers. A turn is long enough to leave a document
+    in one piece for a while, so a single window holds a few sources only; it is the
+    deficits that keep any number of windows from the first on within a turn or two of
+    every source's share. weights: the sources' shares, their
     own token counts by default, which empty all queues at once. The ends of the rest
     queues, less than a quantum each, follow last; only the last sequence is short.
 
     A null text is empty and has the end id only; a null source is the source ''; rows
     with equal keys are packed one by one; other columns are left out; an empty table
-    gives no piece. No queue is gathered in one task.
+    gives no piece. No queue is gathered in one task. The result is a written table, and
+    what led to it is deleted.
     """
     if window % quantum:
         raise ValueError("a window must be a whole number of quanta")
@@ -110,7 +113,7 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", sour
     a = order.where("queue = 0").select(*cols[:5], *place)
     b = rest.where("tail_at is null").join(order.where("queue = 1").select("source_no", "k", "pos"), ["source_no", "k"]).select(*cols[:5], place[0], (F.expr(f"(pos % {turns}) * {quantum}") + F.col("at")).alias("offset"))
     c = rest.where("tail_at is not null").select(*cols[:5], F.floor(F.col("tail_at") / window).alias("sequence_id"), (F.col("tail_at") % window).alias("offset"))
-    return a.unionByName(b).unionByName(c).withColumnRenamed("key", key)
+    return ws.result(a.unionByName(b).unionByName(c)).withColumnRenamed("key", key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

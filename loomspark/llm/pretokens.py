@@ -4,11 +4,11 @@
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``
 starts a match, without running a regex. Every byte gets the class of its code
 point (letter, number, white space, other). Within a run of one class a byte's
-transition function is the identity, so the scan over bytes composes to one
-function per run; composing a run's function with its neighbours' needs one fact
-from each side: does the run before end in a plain space, and does a lone
-apostrophe before owe one or two letters to a contraction. As composition is
-associative, all runs are solved at once.
+transition function is the identity, so bytes compose to one function per run. A
+run's function takes what the text before it owes (nothing, a plain space that joins
+what follows, an apostrophe that may begin a contraction) to what it owes in turn; as
+composition is associative, the functions of all runs are composed by a blocked
+prefix scan, and each run then reads the state before it.
 """
 
 from __future__ import annotations
@@ -49,6 +49,38 @@ def byte_classes(buf: np.ndarray) -> np.ndarray:
     return cls
 
 
+# States between runs, and the transition function of each kind of run as the row [state before] -> state after.
+FREE, SPACED, QUOTED = range(3)
+PLAIN, GIVES_SPACE, QUOTE = range(3)
+TRANSITIONS = np.array([[FREE] * 3, [SPACED] * 3, [QUOTED, FREE, QUOTED]], np.uint8)
+
+
+def scan(functions: np.ndarray, start: int = FREE, block: int = 32) -> np.ndarray:
+    """The state before each of the functions (rows of [state] -> state), which are applied in turn.
+
+    Rows are composed within blocks, all blocks side by side; the blocks' functions are
+    composed by doubling; then all blocks are run from the states so found.
+    """
+    n, states = functions.shape
+    blocks = -(-n // block)
+    identity = np.arange(states, dtype=functions.dtype)
+    f = np.concatenate([functions, np.broadcast_to(identity, (blocks * block - n, states))]).reshape(blocks, block, states)
+    whole = f[:, 0]
+    for k in range(1, block):
+        whole = np.take_along_axis(f[:, k], whole, 1)
+    step = 1
+    while step < blocks:
+        whole = np.concatenate([whole[:step], np.take_along_axis(whole[step:], whole[:-step], 1)])
+        step *= 2
+    state = np.concatenate([[start], whole[:-1, start]]) if blocks else np.zeros(0, functions.dtype)
+    out = np.empty((blocks, block), functions.dtype)
+    rows = np.arange(blocks)
+    for k in range(block):
+        out[:, k] = state
+        state = f[rows, k, state]
+    return out.reshape(-1)[:n]
+
+
 def boundaries(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Byte positions, ascending, at which a match starts; texts never share one."""
     n = len(buf)
@@ -61,7 +93,7 @@ def boundaries(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     cut[1:] |= cls[1:] != cls[:-1]
     at = np.flatnonzero(cut)
     end = np.append(at[1:], n)
-    kind, fresh = cls[at], first[at]
+    kind = cls[at]
     last = first[end] | (end == n)  # the run ends its text
     lead = end - 1  # where the run's last character starts; white space has 3 bytes at most
     for _ in range(3):
@@ -69,16 +101,17 @@ def boundaries(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     white = kind == SPACE
     open_ = white & ~last
     gives = open_ & (buf[end - 1] == 0x20)  # its last space joins what follows
-    joined = np.zeros(len(at), bool)
-    joined[1:] = gives[:-1]
-    start = at - joined
-    # A lone apostrophe that no space joins may owe the next run's first letters to a contraction.
-    owes = np.flatnonzero((kind == OTHER) & (end - at == 1) & (buf[at] == 0x27) & ~joined & ~last)
-    owes = owes[kind[owes + 1] == LETTER]
-    c1, c2 = buf[at[owes] + 1], buf[np.minimum(at[owes] + 2, n - 1)]
+    quote = (kind == OTHER) & (end - at == 1) & (buf[at] == 0x27) & ~last
+    # the last run of a text owes nothing, so every text begins free
+    function = np.where(gives, GIVES_SPACE, np.where(quote, QUOTE, PLAIN))
+    before = scan(TRANSITIONS[function])
+    start = at - (before == SPACED)
+    # a quote may owe the letters that follow it to a contraction
+    owed = np.flatnonzero((before == QUOTED) & (kind == LETTER))
+    c1, c2 = buf[at[owed]], buf[np.minimum(at[owed] + 1, n - 1)]
     one = (c1 == ord("s")) | (c1 == ord("t")) | (c1 == ord("m")) | (c1 == ord("d"))
-    two = (((c1 == ord("r")) | (c1 == ord("v"))) & (c2 == ord("e")) | (c1 == ord("l")) & (c2 == ord("l"))) & (end[owes + 1] - at[owes + 1] >= 2)
-    start[owes + 1] += np.where(one, 1, np.where(two, 2, 0))
+    two = (((c1 == ord("r")) | (c1 == ord("v"))) & (c2 == ord("e")) | (c1 == ord("l")) & (c2 == ord("l"))) & (end[owed] - at[owed] >= 2)
+    start[owed] += np.where(one, 1, np.where(two, 2, 0))
     mark = np.zeros(n + 1, bool)
     mark[start[~white & (start < end)]] = True
     mark[at[white & (last | (lead > at))]] = True
