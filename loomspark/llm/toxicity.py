@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import arrow_batches, tidy
+from .store import portions, tidy
 
 SAMPLE = 6_000  # labelled documents that the field is fitted on, at most
 WORD = re.compile(r"[^\W\d_]+")
@@ -223,8 +223,8 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 120, rate: flo
             feats.append([x + [-1] * (slots - len(x)) for x in fs] + [[-1] * slots] * (width - len(part)))
             gold.append([int(bool(x) and bool(label)) for x in fs] + [0] * (width - len(part)))
             real.append([True] * len(part) + [False] * (width - len(part)))
-    # windows without any carrier anchor the rest's evidence
-    for words in docs[:1000]:
+    # a window of every document without any carrier anchors the rest's evidence
+    for words in docs:
         part = words[:width]
         feats.append([[-1] * slots] * width)
         gold.append([0] * width)
@@ -299,11 +299,13 @@ def held_out(key):
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled documents, the first by a hash of their keys, never held-out ones.
 
-    What reaches the driver is bounded by sample. Null labels and unmatched rows are left out.
+    What reaches the driver is bounded by sample, of keys and of rows: where keys repeat,
+    the first rows by a hash of their texts count. Null labels and unmatched rows are left out.
     """
     rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
     rows = rows.orderBy(F.xxhash64(F.col("_key").cast("string")), "_key", "_label").limit(sample)
-    got = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(rows), "_key").collect()
+    got = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(rows), "_key")
+    got = got.orderBy(F.xxhash64(F.col("_key").cast("string"), "_text"), "_label").limit(sample).collect()
     got.sort(key=lambda r: (str(r["_key"]), r["_label"], r["_text"] or ""))
     return fit([r["_text"] for r in got], [r["_label"] for r in got])
 
@@ -317,7 +319,6 @@ def score(df: DataFrame, model: Model, text: str = "text", spans: bool = True) -
     """
     from pyspark.sql import types as T
 
-    arrow_batches(df.sparkSession)
     added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     if spans:
         added.append(T.StructField("toxic_spans", T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())]))))
@@ -327,7 +328,7 @@ def score(df: DataFrame, model: Model, text: str = "text", spans: bool = True) -
 
     def run(batches):
         evidence = Evidence(model)
-        for batch in batches:
+        for batch in portions(batches, text):
             texts = batch.column(text).to_pylist()
             found = find(model, evidence, texts)
             s = model.score(np.array([m.sum() for _, m in found]), np.array([m.max(initial=0.0) for _, m in found]))
@@ -346,5 +347,5 @@ def score(df: DataFrame, model: Model, text: str = "text", spans: bool = True) -
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
     model = train(docs, spark.read.parquet(os.path.join(sf_dir, "labels.parquet")))
-    out = score(docs.select("doc_id", "text"), model, spans=False)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    out = score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "toxic_spans")
