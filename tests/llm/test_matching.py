@@ -6,7 +6,6 @@ import random
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -164,11 +163,11 @@ def repeated_texts(seed=6):
     return docs
 
 
-@pytest.mark.parametrize("hot", [suffixes.HOT, 2])
-def test_suffix_dedup(spark, hot):
+@pytest.mark.parametrize("large", [suffixes.LARGE, 2])
+def test_suffix_dedup(spark, large):
     texts = [*EDGE, *repeated_texts()]
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, doc string")
-    got = suffixes.remove(df, hot=hot, keep=("doc",)).orderBy("doc_id").collect()
+    got = suffixes.remove(df, large=large, keep=("doc",)).orderBy("doc_id").collect()
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_removal(texts, 400)
     for r in got:
         raw = (texts[r.doc_id] or "").encode()
@@ -233,6 +232,26 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_license_templates_are_an_index(spark):
+    rng = random.Random(14)
+    mit = [t for label, t in licenses.TEMPLATES if label == "mit"][-1]
+    words = mit.split()
+    assert len(words) > 150
+
+    def changed(share):
+        return " ".join("other" if rng.random() < share else w for w in words)
+
+    texts = [mit, "x " * 777 + changed(0.05) + " y" * 50, changed(0.6), mit, " ".join(words[: len(words) // 2])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("w", F.lit(1)).withColumn("_h1", F.lit(2))
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert [got[k].labels for k in range(5)] == ["mit", "mit", "", "mit", ""] and got[0].score == 1.0 and 0.8 <= got[1].score < 1 and got[0]._h1 == 2
+    many = [(f"t{k}", " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(200))) for k in range(60)]
+    lines = [len(licenses.scan(df, templates=t)._jdf.queryExecution().analyzed().toString().splitlines()) for t in (many[:2], many)]
+    assert lines[0] == lines[1]  # the plan has no more operators for more templates
+    own = spark.createDataFrame([(k, f"a b {t} c") for k, (_, t) in enumerate(many)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(own, templates=many).collect()} == {k: f"t{k}" for k in range(60)}
+
+
 # --- toxicity ---
 
 
@@ -327,6 +346,16 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0)).count() == 0
 
 
+def test_neighbours_ties_and_lone_vectors(spark):
+    # twelve vectors at the same distance: the smaller keys win; a few of another length, spread thinly over the blocks
+    rows = [(0, [1.0, 0.0, 0.0])] + [(k, [1.0, 3.0, 4.0] if k % 2 else [1.0, 4.0, -3.0]) for k in (40, 7, 12, 30, 29, 11, 8, 21, 33, 9, 10, 50)]
+    rows += [(100, [0.5] * 5), (101, [900.0] * 5), (102, [-7.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(df).orderBy("query_id", "rank").collect()]
+    assert got[:10] == [(0, n + 1, k, 5.0) for n, k in enumerate([7, 8, 9, 10, 11, 12, 21, 29, 30, 33])]
+    assert [x[2] for x in got[10:]] == [102, 101]
+
+
 # --- images ---
 
 
@@ -344,14 +373,53 @@ def test_images(spark):
 
 
 def test_small_images_have_no_corner():
-    for shape in ((0, 0), (3, 3), (64, 5)):
-        place, bits = images.describe(np.ones(shape) if 0 not in shape else np.zeros((1, 1)))
-        assert len(place) == len(bits) == 0
+    images_ = [None, np.zeros((0, 0)), np.ones((3, 3)), np.ones((64, 5)), np.ones(7), np.ones((64, 64))]
+    i, place, bits = images.describe(images_)
+    assert len(i) == len(place) == len(bits) == 0
+
+
+def test_a_crop_keeps_the_corners_of_its_part():
+    rng = np.random.default_rng(12)
+    big = images._smooth(images._smooth(rng.uniform(0, 255, (300, 400))))
+    i, place, bits = images.describe([big, big[100:200, 150:280]])
+    own, crop = ({(round(x), round(y)): b.tobytes() for (x, y, scale, _), b in zip(place[i == k], bits[i == k], strict=True) if scale == 1} for k in (0, 1))
+    inside = {(x - 150, y - 100): b for (x, y), b in own.items() if 165 <= x < 265 and 115 <= y < 185}
+    assert len(inside) > 20 and sum(crop.get(at) == b for at, b in inside.items()) >= 0.9 * len(inside)
+    # eight times the area has about eight times the corners
+    assert 6 < len(own) / len(images.describe([big[:100, :150]])[0]) * 2 and len(own) > 500
+
+
+def test_image_copies_are_those_of_all_descriptor_pairs(spark):
+    rng = np.random.default_rng(13)
+    shown = images.pictures(list(rng.normal(size=(60, 64))))
+    shown[7] = shown[3][:, ::-1]  # another image
+    asked = {k: images.edited(shown[k], k) for k in range(0, 60, 4)}
+    ids = spark.createDataFrame([(k,) for k in range(60)], "id long")
+    got = images.copies(ids, ids.where("id % 4 = 0"), lambda b: [shown[k] for k in b.column(0).to_pylist()], lambda b: [asked[k] for k in b.column(0).to_pylist()])
+    found = {(r.query_id, r.id): r.consensus for r in got.collect()}
+    # every pair of descriptors, whether or not they share a key
+    i, place, bits = images.describe(shown)
+    want = {}
+    for k, image in asked.items():
+        _, q_place, q_bits = images.describe([image])
+        a, b = np.nonzero(np.bitwise_count(q_bits[:, None] ^ bits[None]).sum(2) <= images.DISTANCE)
+        votes = collections.defaultdict(set)
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            (qx, qy, qs, qa), (px, py, ps, pa_) = q_place[x], place[y]
+            turn, ratio = pa_ - qa, ps / qs
+            left = px - ratio * (np.cos(turn) * qx - np.sin(turn) * qy)
+            top = py - ratio * (np.sin(turn) * qx + np.cos(turn) * qy)
+            for d in range(4):
+                votes[i[y], round(np.log(ratio) / np.log(1.5)), round(turn % (2 * np.pi) / (np.pi / 8)) % 16, np.floor(left / 8 + d // 2 / 2), np.floor(top / 8 + d % 2 / 2), d].add(x)
+        for (image_id, *_), corners in votes.items():
+            want[k, image_id] = max(want.get((k, image_id), 0), len(corners))
+    want = {p: n for p, n in want.items() if n >= images.CONSENSUS}
+    assert set(found) <= set(want) and all(found[p] <= want[p] + 1 for p in found)
+    assert len(found) >= 0.9 * len(want) and sum((k, k) in found for k in asked) >= 0.9 * len(asked)
 
 
 def test_described_rows_skip_missing(spark):
     df = spark.createDataFrame([(1,), (2,)], "id long")
-    render = lambda b: [None if k == 1 else images.picture(np.arange(64) - 30.0) for k in b.column(0).to_pylist()]
+    render = lambda b: [None if k == 1 else images.pictures([np.arange(64) - 30.0])[0] for k in b.column(0).to_pylist()]
     got = images.descriptors(df, render, "long").select("id").distinct().collect()
     assert [r.id for r in got] == [2]
-    assert isinstance(pa.array([1]), pa.Array)
