@@ -23,7 +23,7 @@ def trim_ws(c) -> Column:
 
 def collapse_ws(c) -> Column:
     """Every run of white space becomes one space, ends are trimmed."""
-    return trim_ws(F.regexp_replace(col(c), f"{WS}+", " "))
+    return F.trim(F.regexp_replace(col(c), f"{WS}+", " "))
 
 
 def not_blank(c) -> Column:
@@ -41,8 +41,7 @@ def clean_light(c) -> Column:
 
 def clean_hard(c) -> Column:
     """All white space becomes single spaces first; elongation signs go last, so spaces around a lone one stay."""
-    flat = F.regexp_replace(F.regexp_replace(col(c), r"[\t\n\r]+", " "), f"{WS}+", " ")
-    return F.replace(trim_ws(flat), F.lit(ELONGATION), F.lit(""))
+    return F.replace(collapse_ws(c), F.lit(ELONGATION), F.lit(""))
 
 
 def clean_text(c) -> Column:

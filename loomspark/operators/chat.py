@@ -56,7 +56,10 @@ def tagged(messages_: Column | str, end: str = "</s>", generate: bool = False) -
 
 
 def label_mask(prompt_ids: Column, full_ids: Column, longest: int) -> Column:
-    """The full ids with the prompt's part ignored, cut to the longest length."""
+    """The full ids with the prompt's part ignored, cut to the longest length.
+
+    A prompt that is longer than the full ids, as a template may make it, leaves no label.
+    """
     p = F.least(F.size(prompt_ids), F.size(full_ids))
     own = F.concat(F.array_repeat(F.lit(IGNORED), p), F.slice(full_ids, p + 1, F.size(full_ids)))
     return F.slice(own, 1, longest)
@@ -79,6 +82,24 @@ def tokenised(df: DataFrame, prompt: str, full: str, tokenizer=None, longest: in
     return rows.withColumns({"input_ids": cut, "attention_mask": F.transform(cut, lambda _: F.lit(1)), "labels": label_mask(F.col("_p"), F.col("_f"), longest)}).drop("_p", "_f")
 
 
+def token_budget(df: DataFrame, text: str, encode, decode, longest: int = 4096, new_tokens: int = 512, margin: int = 100) -> DataFrame:
+    """df with text cut to the ids that leave room for new ones. encode, decode: functions of lists, texts to ids and back."""
+    room = longest - new_tokens - margin
+    if room <= 0:
+        raise ValueError("no room is left for the input")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        out = texts.copy()
+        some = texts[texts.notna()]
+        long = {k: ids[:room] for k, ids in zip(some.index, encode(some.tolist()), strict=True) if len(ids) > room}
+        if long:
+            out[list(long)] = decode(list(long.values()))
+        return out
+
+    return df.withColumn(text, cut(text))
+
+
 def budget(c, longest: int, new_tokens: int, margin: int = 100) -> Column:
     """The first words that leave room for new ones."""
     room = longest - new_tokens - margin

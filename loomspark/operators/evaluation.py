@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .sampling import SEED, draw
 
@@ -93,6 +95,18 @@ def f_p_value(f: float, between: int, within: int) -> float:
     return _beta_tail(within / 2, between / 2, within / (within + between * f))
 
 
+@F.pandas_udf(T.DoubleType())
+def _tails(f: pd.Series, between: pd.Series, within: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) else f_p_value(x, a, b) for x, a, b in zip(f, between, within, strict=True)], dtype=float)
+
+
+def tests(df: DataFrame, group: str, columns: list[str], level: float = 0.05) -> DataFrame:
+    """(criterion, groups, n, f, p, significant): the test of every criterion; F is t squared where there are two groups."""
+    rows = reduce(DataFrame.unionByName, [variance_ratio(df, group, c).withColumn("criterion", F.lit(c)) for c in columns])
+    rows = rows.withColumn("p", _tails("f", (F.col("groups") - 1).cast("double"), (F.col("n") - F.col("groups")).cast("double")))
+    return rows.select("criterion", "groups", "n", "f", "p", F.coalesce(F.col("p") < level, F.lit(False)).alias("significant"))
+
+
 def significance(df: DataFrame, group: str, value: str, level: float = 0.05) -> dict:
     """The test over all groups: {groups, n, f, p, significant}; for two groups F is the square of Student's t."""
     row = variance_ratio(df, group, value).first()

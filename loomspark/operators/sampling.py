@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 SEED = 42
 
 
@@ -70,12 +72,20 @@ def row_numbers(df: DataFrame, order: str, buckets: int = 256) -> DataFrame:
 
 
 def mixture(df: DataFrame, weights: dict[str, float], source: str, key: str, test_size: float = 0.0, seed: int = SEED) -> DataFrame:
-    """int(rows * weight) rows of each named source, and split: the first part of each source's draw is test."""
+    """int(rows * weight) rows of each named source, and split: the first part of each source's draw is test.
+
+    Rows are numbered within a source's buckets (the draw's first three digits), whose first
+    numbers come from counts, so no task holds a source.
+    """
     weight = F.coalesce(*(F.when(F.col(source) == s, F.lit(float(w))) for s, w in weights.items()))
-    w = Window.partitionBy(source)
-    ranked = df.withColumn("_w", weight).where("_w is not null").withColumn("_n", F.floor(F.count("*").over(w) * F.col("_w")))
-    ranked = ranked.withColumn("_rn", F.row_number().over(w.orderBy(draw(key, seed), key))).where("_rn <= _n")
-    return ranked.withColumn("split", F.when(F.col("_rn") <= F.ceil(F.col("_n") * test_size), "test").otherwise("train")).drop("_w", "_n", "_rn")
+    rows = df.withColumns({"_w": weight, "_h": draw(key, seed)}).where("_w is not null").withColumn("_b", F.substring("_h", 1, 3))
+    counts = rows.groupBy(source, "_b").agg(F.count("*").alias("_c"), F.first("_w").alias("_w"))
+    own = Window.partitionBy(source)
+    # 4096 rows a named source at most
+    counts = counts.select(F.col(source).alias("_of"), F.col("_b").alias("_in"), F.floor(F.sum("_c").over(own) * F.col("_w")).alias("_n"), F.coalesce(F.sum("_c").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(source, "_b").orderBy("_h", key)))
+    ranked = ranked.join(F.broadcast(counts), (F.col(source) == F.col("_of")) & (F.col("_b") == F.col("_in"))).withColumn("_rn", F.col("_rn") + F.col("_base")).where("_rn <= _n")
+    return ranked.withColumn("split", F.when(F.col("_rn") <= F.ceil(F.col("_n") * test_size), "test").otherwise("train")).drop("_w", "_h", "_b", "_of", "_in", "_n", "_base", "_rn")
 
 
 FRACTIONS = (0.10, 0.25, 0.50, 1.0)  # shares of the eligible rows that the passes over the templates take
@@ -100,6 +110,27 @@ def claim(df: DataFrame, eligible: list[Column], key: str, fractions: tuple[floa
     return df.withColumn("template", out)
 
 
+def claim_exact(df: DataFrame, eligible: list[Column], key: str, fractions: tuple[float, ...] = FRACTIONS, seed: int = SEED) -> DataFrame:
+    """(key, template) of the claimed rows, step by step: each takes int(fraction * rows) of the rows that are
+    eligible and unclaimed when its turn comes, in seeded order.
+
+    Only keys take part. A step waits for the one before, so there are as many written
+    tables as steps; `claim` needs none, but keeps shares in expectation only.
+    """
+    flags = written(df.select(key, *(F.coalesce(e, F.lit(False)).alias(f"_e{k}") for k, e in enumerate(eligible))), "eligible")
+    out, step = None, 0
+    for f in fractions:
+        for t in range(len(eligible)):
+            free = flags.where(f"_e{t}").select(key)
+            if out is not None:
+                free = free.join(out.select(key), key, "left_anti")
+            free = written(positions(free, key, f"{seed}:{step}"), "free")
+            own = free.where(F.col("pos") <= int(f * free.count())).select(key, F.lit(t).alias("template"))
+            out = own if out is None else out.unionByName(own)
+            step += 1
+    return out
+
+
 def capped(df: DataFrame, most: int, key: str, seed: int = SEED) -> DataFrame:
     """At most so many claimed rows, the earlier templates' first."""
     return df.where("template is not null").orderBy("template", draw(key, seed), key).limit(most)
@@ -125,8 +156,10 @@ def quotas(df: DataFrame, eligible: list[Column], total: int, key: str, taken: l
 
 
 def remaining(assigned: DataFrame, template: str, total: int, templates: int) -> DataFrame:
-    """(template, left): what each template's quota still allows."""
-    return assigned.where(F.col(template).isNotNull()).groupBy(template).count().select(template, F.greatest(F.lit(0), F.lit(total // templates) - F.col("count")).alias("left"))
+    """(template, left): what the quota of each template, numbered from 0, still allows."""
+    all_ = assigned.sparkSession.range(templates).select(F.col("id").cast("int").alias(template))
+    used = assigned.where(F.col(template).isNotNull()).groupBy(template).count()
+    return all_.join(used, template, "left").select(template, F.greatest(F.lit(0), F.lit(total // templates) - F.coalesce("count", F.lit(0))).cast("long").alias("left"))
 
 
 def variant(variants, key, seed: int = SEED) -> Column:
@@ -150,21 +183,25 @@ OLD_LETTERS = ["أ", "ب", "ج", "د", "و"]
 def choices(df: DataFrame, answer: str, key: str, distractors: int = 4, strict: bool = False, letters: list[str] | None = None, seed: int = SEED) -> DataFrame:
     """df with choices (letter to value), correct_choice: the answer among other values of its column, shuffled.
 
-    Other values are few (a column of classes); they are one array, from which every row
-    takes the first `distractors` in its own seeded order. strict: rows with fewer are
-    left out; otherwise they get what there is. Rows without an answer are left out.
+    Other values are taken from a run of neighbours in the seeded order of all distinct
+    values, which begins at the row's draw; the answer itself is left out of it. Values
+    are numbered by buckets and looked up in an equi join, so there may be any number of
+    them. strict: rows with too few other values are left out; otherwise they get what
+    there is. Rows without an answer are left out.
     """
     letters = letters or (OLD_LETTERS if strict else LETTERS)
     value = F.trim(F.col(answer).cast("string"))
     rows = df.where(value.isNotNull() & (value != ""))
-    pool = rows.select(value.alias("_v")).distinct().agg(F.array_sort(F.collect_list("_v")).alias("_pool"))
-    rows = rows.join(F.broadcast(pool))  # one row: the array of classes
+    pool = positions(rows.select(value.alias("_v")).distinct(), "_v", seed)
+    n = pool.count()
+    near = F.explode(F.transform(F.sequence(F.lit(0), F.lit(distractors)), lambda j: F.struct(j.alias("j"), F.pmod(F.col("pos") - 1 - j, F.lit(max(n, 1))).alias("_start"))))
+    runs = pool.select("_v", near.alias("x")).groupBy(F.col("x._start").alias("_start")).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("x.j", "_v"))), lambda x: x["_v"])).alias("_run"))
+    rows = rows.withColumn("_start", pick_index(n, key, seed).cast("long")).join(runs, "_start")
     order = lambda arr, s: F.transform(F.array_sort(F.transform(arr, lambda v: F.struct(draw(key, s, v).alias("h"), v.alias("v")))), lambda x: x["v"])
-    others = F.slice(order(F.filter("_pool", lambda v: v != value), seed), 1, distractors)
-    rows = rows.withColumn("_o", others)
+    rows = rows.withColumn("_o", F.slice(F.filter("_run", lambda v: v != value), 1, distractors))
     if strict:
         rows = rows.where(F.size("_o") >= distractors)
     shuffled = order(F.concat(F.col("_o"), F.array(value)), seed + 1)
     rows = rows.withColumn("_c", shuffled)
     names = F.array(*map(F.lit, letters))
-    return rows.withColumn("choices", F.map_from_arrays(F.slice(names, F.lit(1), F.size("_c")), F.col("_c"))).withColumn("correct_choice", F.get(names, (F.array_position("_c", value) - 1).cast("int"))).drop("_pool", "_o", "_c")
+    return rows.withColumn("choices", F.map_from_arrays(F.slice(names, F.lit(1), F.size("_c")), F.col("_c"))).withColumn("correct_choice", F.get(names, (F.array_position("_c", value) - 1).cast("int"))).drop("_start", "_run", "_o", "_c")

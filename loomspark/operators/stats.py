@@ -10,17 +10,21 @@ from ..functions.missing import is_missing, same
 from ..functions.text import not_blank, word_count
 
 
-def origins(df: DataFrame, origin: Column, text: str) -> DataFrame:
+def origins(df: DataFrame, origin: Column, text: str, digits: int | None = None) -> DataFrame:
     """(origin, samples, non_empty, avg_chars, avg_lines) per origin, the largest first, then TOTAL.
 
     TOTAL's averages are the groups' averages, weighted: characters by non-empty samples, lines by all.
+    digits: averages are rounded, and TOTAL's come from the groups' rounded ones, as in a printed table.
     """
     full = not_blank(text)
     rows = df.select(origin.alias("origin"), F.when(full, F.length(text)).alias("c"), F.when(F.col(text).isNotNull(), count_lines(text)).alias("l"))
     own = rows.groupBy("origin").agg(F.count("*").alias("samples"), F.count("c").alias("non_empty"), F.sum("c").alias("c"), F.sum("l").alias("l"), F.count("l").alias("nl"))
+    if digits is not None:
+        own = own.withColumns({"c": F.round(F.col("c") / F.col("non_empty"), digits) * F.col("non_empty"), "l": F.round(F.col("l") / F.col("nl"), digits) * F.col("nl")})
     total = own.agg(F.sum("samples").alias("samples"), F.sum("non_empty").alias("non_empty"), F.sum("c").alias("c"), F.sum(F.col("l") * F.col("samples") / F.col("nl")).alias("l"), F.sum("samples").alias("nl"))
     both = own.withColumn("l", F.col("l").cast("double")).withColumn("is_total", F.lit(0)).unionByName(total.withColumn("origin", F.lit("TOTAL")).withColumn("is_total", F.lit(1)))
-    out = both.select("origin", "samples", "non_empty", (F.col("c") / F.col("non_empty")).alias("avg_chars"), (F.col("l") / F.col("nl")).alias("avg_lines"), "is_total")
+    shown = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
+    out = both.select("origin", "samples", "non_empty", shown(F.col("c") / F.col("non_empty")).alias("avg_chars"), shown(F.col("l") / F.col("nl")).alias("avg_lines"), "is_total")
     return out.orderBy("is_total", F.desc("samples"), "origin").drop("is_total")
 
 
@@ -52,24 +56,44 @@ def pivot_counts(df: DataFrame, row: str, column: str, values: list) -> DataFram
     return df.groupBy(row).pivot(column, values).count().fillna(0)
 
 
+EMPTY = "d41d8cd98f00b204e9800998ecf8427e"  # fixed value: md5 of the empty text
+
+
+def by_text(df: DataFrame, text: Column) -> DataFrame:
+    """(h, n): rows of each distinct text, which is told by its md5 and never shuffled; null for null texts.
+
+    A condition on h that came before the grouping would evaluate the text expression
+    again, so `full` (neither null nor empty) is told afterwards.
+    """
+    return df.select(F.md5(text).alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.max("h").alias("m")).select("h", "n", (F.col("m").isNotNull() & (F.col("m") != EMPTY)).alias("full"), "m")
+
+
 def duplicates(df: DataFrame, text: Column) -> DataFrame:
     """(total, non_empty, distinct_texts, duplicate_rows, duplicate_values) of a text expression."""
-    own = df.select(text.alias("t"))
-    groups = own.where("t is not null and t <> ''").groupBy("t").agg(F.count("*").alias("n"))
-    a = own.agg(F.count("*").alias("total"))
-    b = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("non_empty"), F.count("*").alias("distinct_texts"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"), F.count(F.when(F.col("n") > 1, 1)).alias("duplicate_values"))
-    return a.join(F.broadcast(b))  # one row each
+    full = lambda x, more=F.lit(True): F.when(F.col("full") & more, x)
+    return by_text(df, text).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(full(F.col("n"))), F.lit(0)).alias("non_empty"),
+        F.count(full(F.lit(1))).alias("distinct_texts"),
+        F.coalesce(F.sum(full(F.col("n") - 1)), F.lit(0)).alias("duplicate_rows"),
+        F.count(full(F.lit(1), F.col("n") > 1)).alias("duplicate_values"),
+    )
 
 
 def top_duplicates(df: DataFrame, text: Column, k: int = 10) -> DataFrame:
-    own = df.select(text.alias("t")).where("t is not null and t <> ''")
-    return own.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "t").limit(k)
+    """(t, n): the k commonest texts. Texts are counted by hash; only those of the winners, and of
+    what ties with the last of them, are looked up, as the order among equals is the texts'."""
+    counts = by_text(df, text).where("full and n > 1").select("h", "n")
+    last = counts.orderBy(F.desc("n")).limit(k).agg(F.min("n").alias("least"))
+    some = counts.join(F.broadcast(last), F.col("n") >= F.col("least")).select("h", "n")  # one row
+    rows = df.select(text.alias("t")).withColumn("h", F.md5("t"))
+    return rows.join(some, "h").groupBy("h").agg(F.first("t").alias("t"), F.first("n").alias("n")).orderBy(F.desc("n"), "t").limit(k).select("t", "n")
 
 
 def overlap(a: DataFrame, b: DataFrame, text: Column) -> DataFrame:
     """(shared, in_either, pct) of the distinct texts of two tables."""
-    mark = lambda df, n: df.select(text.alias("t")).where("t is not null").groupBy("t").agg(F.lit(1).alias(n))
-    both = mark(a, "a").join(mark(b, "b"), "t", "full_outer")
+    mark = lambda df, n: by_text(df, text).where("m is not null").select("h", F.lit(1).alias(n))
+    both = mark(a, "a").join(mark(b, "b"), "h", "full_outer")
     out = both.agg(F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("shared"), F.count("*").alias("in_either"))
     return out.withColumn("pct", F.when(F.col("in_either") > 0, F.col("shared") * 100.0 / F.col("in_either")).otherwise(0.0))
 

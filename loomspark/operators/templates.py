@@ -168,6 +168,20 @@ def prompts(df: DataFrame, kind: str, by_kind: dict[str, str], fields: dict[str,
     return df.withColumn("prompt", out)
 
 
+# Prompts for outside models, by what they ask for; the texts are this library's own.
+KEYWORDS = 'Read the Arabic poem below. Answer in Arabic with JSON only, {"keywords": [three words], "key_phrases": [three phrases]}: what the poem is about, and its most telling expressions.\n\n{poem_text}'
+_KEEP = " Return the changed poem only, one verse a line, as many lines as there were."
+CORRUPTIONS = {
+    "rhyme_structure": "Rewrite the poem so that no two verses rhyme any more; it rhymes in {rhyme} now. Keep meaning and meter." + _KEEP + "\n\n{poem_text}",
+    "rhyme_content": "Rewrite the poem by {poet_name} ({poet_era}) so that its content makes no sense, while every verse still rhymes in {rhyme}." + _KEEP + "\n\n{poem_text}",
+    "rhyme_substitution": "Give the poem, which rhymes in {rhyme}, another rhyme throughout. Keep meaning and meter." + _KEEP + "\n\n{poem_text}",
+    "era": 'Rewrite the poem {poem_title} by {poet_name} from the style of {poet_era} into that of {target_era}. Answer with JSON only: {"corrupted_poem": text, "corrupted_era": era}.\n\n{poem_text}',
+    "meter_destruction": "Rewrite the poem by {poet_name} ({poet_era}), now in {meter}, so that it has no meter. Keep meaning and rhyme." + _KEEP + "\n\n{poem_text}",
+    "meter_transformation": "Rewrite the poem by {poet_name} ({poet_era}) from {meter} into {target_meter}. Keep meaning and rhyme." + _KEEP + "\n\n{poem_text}",
+    "meter_inconsistency": "Rewrite the poem by {poet_name} ({poet_era}), now in {meter}, so that every verse has another rhythm. Keep meaning and rhyme." + _KEEP + "\n\n{poem_text}",
+}
+
+
 def expanded(df: DataFrame, kinds: list[str], column: str = "corruption_type") -> DataFrame:
     """Every row with every kind."""
     return df.withColumn(column, F.explode(F.array(*map(F.lit, kinds))))

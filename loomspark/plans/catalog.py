@@ -238,19 +238,22 @@ def script_filter(t):
 
 
 @query("""
-SELECT * FROM (VALUES (1, 'x، y، وz'), (2, 'x'), (3, ''), (4, 'x، وy'), (5, 'plain'), (6, 'it''s')) AS v(id, phrase)
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN lang || '، ' || source || '، وx' WHEN 1 THEN lang WHEN 2 THEN '' WHEN 3 THEN source || '، و' || lang WHEN 4 THEN source ELSE 'it''s، و' || lang END AS phrase FROM documents
 """)
 def naturalized_lists(t):
-    rows = rows_of(t.spark, "id int, v string", (1, '["x","y","z"]'), (2, "['x']"), (3, "[]"), (4, '["x","y"]'), (5, "plain"), (6, "['it\\'s']"))
-    return rows.select("id", values.naturalize("v", literals=True).alias("phrase"))
+    made = F.expr("""CASE doc_id % 6 WHEN 0 THEN concat('["', lang, '","', source, '","x"]') WHEN 1 THEN concat("['", lang, "']") WHEN 2 THEN '[]'
+        WHEN 3 THEN concat('["', source, '", "', lang, '", " "]') WHEN 4 THEN source ELSE concat("['it\\\\'s', '", lang, "']") END""")
+    return t.documents.select("doc_id", values.naturalize(made, literals=True).alias("phrase"))
 
 
 @query("""
-SELECT * FROM (VALUES ('a', 'بحر الطويل', 'العصر الحديث'), ('b', 'بحر الطويل', NULL), ('c', NULL, 'العصر الأيوبي'), ('d', 'بحر الكامل', 'other'), ('e', NULL, NULL)) AS v(id, meter, era)
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'بحر ' || source WHEN 1 THEN 'بحر ' || source WHEN 2 THEN NULL WHEN 3 THEN 'بحر ' || lang END AS meter,
+  CASE doc_id % 4 WHEN 0 THEN 'العصر الحديث' WHEN 1 THEN NULL WHEN 2 THEN 'العصر الأيوبي' ELSE source END AS era FROM documents
 """)
 def normal_names(t):
-    rows = rows_of(t.spark, "id string, m string, e string", ("a", "البحر الطويل", "الحديث"), ("b", " الطويل ", "غير محدد"), ("c", "بحر nan", "الدولة الايوبية"), ("d", "بحر الكامل", "other"), ("e", "", None))
-    return rows.select("id", values.normal_meter("m").alias("meter"), values.normal_era("e").alias("era"))
+    m = F.expr("CASE doc_id % 5 WHEN 0 THEN concat('البحر  ', source) WHEN 1 THEN concat(' ', source, ' ') WHEN 2 THEN 'بحر nan' WHEN 3 THEN concat('بحر ', lang) ELSE '' END")
+    e = F.expr("CASE doc_id % 4 WHEN 0 THEN 'الحديث' WHEN 1 THEN 'غير محدد' WHEN 2 THEN 'الدولة الايوبية' ELSE source END")
+    return t.documents.select("doc_id", values.normal_meter(m).alias("meter"), values.normal_era(e).alias("era"))
 
 
 @query("SELECT event_id, event_type, json_extract_string(props, '$.page') AS page, len(json_keys(props)) AS n_keys FROM events")
@@ -259,22 +262,27 @@ def json_props(t):
     return t.events.select("event_id", "event_type", F.try_element_at(m, F.lit("page")).alias("page"), F.size(F.map_keys(m)).cast("long").alias("n_keys"))
 
 
-@query("SELECT * FROM (VALUES (1, 3, 17), (3, 0, 2)) AS v(id, prompt, row)")
+@query("SELECT doc_id, doc_id % 7 AS prompt, doc_id AS row FROM documents WHERE doc_id % 3 <> 1")
 def reply_ids(t):
-    rows = rows_of(t.spark, "id int, v string", (1, "p3_r17"), (2, "bad"), (3, "p0_r2"))
-    return rows.withColumn("x", values.row_number_id("v")).where("x is not null").select("id", F.col("x.prompt").cast("int").alias("prompt"), F.col("x.row").cast("int").alias("row"))
+    made = F.expr("CASE WHEN doc_id % 3 = 1 THEN concat('p', doc_id, 'r', doc_id) ELSE concat('p', doc_id % 7, '_r', doc_id) END")
+    return t.documents.withColumn("x", values.row_number_id(made)).where("x is not null").select("doc_id", "x.prompt", "x.row")
 
 
-@query("""SELECT * FROM (VALUES (1, '{"a":1}'), (2, '{"b":2}'), (3, '{"c":3}'), (4, '{"d":4}'), (5, NULL)) AS v(id, body)""")
+_BODY = "'{\"a\":' || doc_id || ',\"lang\":\"' || lang || '\"}'"
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN {_BODY} END AS body FROM documents")
 def fenced_json(t):
-    rows = rows_of(t.spark, "id int, v string", (1, '```json {"a":1} ```'), (2, 'x ```\n{"b":2}\n```'), (3, '"""{"c":3}"""'), (4, 'so {"d":4}.'), (5, "none"))
-    return rows.select("id", values.fenced("v").alias("body"))
+    own = F.expr(_BODY)
+    made = F.expr("doc_id % 5")
+    reply = F.when(made == 0, F.concat(F.lit("```json "), own, F.lit(" ```"))).when(made == 1, F.concat(F.lit("x ```\n"), own, F.lit("\n```"))).when(made == 2, F.concat(F.lit('\"\"\"'), own, F.lit('\"\"\"'))).when(made == 3, F.concat(F.lit("so "), own, F.lit("."))).otherwise(F.col("lang"))
+    return t.documents.select("doc_id", values.fenced(reply).alias("body"))
 
 
-@query("SELECT * FROM (VALUES ('a/Qwen3-8B/random/4tasks/checkpoint-35000', 'qwen3-random'), ('x/y/checkpoint-7', 'checkpoint-7'), ('Llama-7B-Instruct/last', 'llama')) AS v(path, name)")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'qwen3-random' WHEN 1 THEN 'checkpoint-' || doc_id WHEN 2 THEN 'llama-' || lang ELSE 'jais-' || source || '-curriculum' END AS name FROM documents")
 def model_names(t):
-    rows = rows_of(t.spark, "path string", ("a/Qwen3-8B/random/4tasks/checkpoint-35000",), ("x/y/checkpoint-7",), ("Llama-7B-Instruct/last",))
-    return rows.select("path", text.model_name("path").alias("name"))
+    path = F.expr("CASE doc_id % 4 WHEN 0 THEN concat(source, '/Qwen3-8B/random/4tasks/checkpoint-', doc_id) WHEN 1 THEN concat(source, '/', lang, '/checkpoint-', doc_id) WHEN 2 THEN concat('Llama-7B-Instruct-', lang, '/last') ELSE concat('x/jais-', source, '-8b/curriculum/checkpoint-1') END")
+    return t.documents.select("doc_id", text.model_name(path).alias("name"))
 
 
 # --- duplicates and contamination -----------------------------------------------------
@@ -315,12 +323,20 @@ def fuzzy_cross_split(t):
     return dedup.cross_split(t.documents.where(f"NOT {HELD}"), t.documents.where(HELD), "text", "doc_id").select("doc_id")
 
 
+@query()
+def fuzzy_cross_split_wide(t):
+    return dedup.cross_split(t.documents.where(f"NOT {HELD}"), t.documents.where(HELD), "text", "doc_id", wide=True).select("doc_id")
+
+
 @query(f"SELECT doc_id FROM documents WHERE NOT {HELD} AND {S.hard('text')} NOT IN (SELECT {S.hard('text')} FROM documents WHERE {HELD})")
 def decontaminate_exact(t):
     return dedup.decontaminate(t.documents.where(f"NOT {HELD}"), t.documents.where(HELD), "text").select("doc_id")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS left_over")
+@query(f"""
+WITH b AS (SELECT DISTINCT {S.hard('text')} AS t FROM documents WHERE {HELD}), a AS (SELECT DISTINCT {S.hard('text')} AS t FROM documents WHERE NOT {HELD}), clean AS (SELECT t FROM a WHERE t NOT IN (SELECT t FROM b WHERE t IS NOT NULL))
+SELECT count(*) AS left_over FROM clean JOIN b USING (t)
+""")
 def decontaminate_verified(t):
     clean = dedup.decontaminate(t.documents.where(f"NOT {HELD}"), t.documents.where(HELD), "text")
     return dedup.contamination_summary(clean, t.documents.where(HELD), "text").select(F.col("shared").alias("left_over"))
@@ -358,9 +374,10 @@ def semi_join_labelled(t):
     return t.documents.join(t.labels, "doc_id", "left_semi").select("doc_id")
 
 
-@query("SELECT i AS doc_id FROM range(1, 501) r(i) WHERE i NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT i AS doc_id FROM range((SELECT min(doc_id) FROM documents), (SELECT max(doc_id) FROM documents) + 1) r(i) WHERE i NOT IN (SELECT doc_id FROM labels)")
 def resume_worklist(t):
-    return readers.work_list(t.spark, 1, 500, t.labels, "doc_id")
+    first, last = t.documents.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return readers.work_list(t.spark, first, last, t.labels, "doc_id")
 
 
 # --- sampling and assignment ----------------------------------------------------------
@@ -403,6 +420,23 @@ def template_claim(t):
     return sampling.claim(t.labelled, _eligible(), "doc_id").select("doc_id", "template")
 
 
+def _steps() -> str:
+    """The exact claims, step by step: what each takes of the eligible rows that are left."""
+    out, n = [], 0
+    for share in sampling.FRACTIONS:
+        for k, ok in enumerate(_CLAIMS):
+            left = f"AND doc_id NOT IN ({' UNION ALL '.join(f'SELECT doc_id FROM s{j}' for j in range(n))})" if n else ""
+            draw = S.draw("doc_id", f"42:{n}")
+            out.append(f"s{n} AS MATERIALIZED (SELECT doc_id, {k} AS template FROM (SELECT doc_id, row_number() OVER (ORDER BY {draw}, doc_id) AS rn, count(*) OVER () AS c FROM l WHERE {ok} {left}) WHERE rn <= floor({share}::DOUBLE * c))")
+            n += 1
+    return f"WITH l AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)), {', '.join(out)} " + " UNION ALL ".join(f"SELECT * FROM s{j}" for j in range(n))
+
+
+@query(_steps())
+def template_claim_exact(t):
+    return sampling.claim_exact(t.labelled, _eligible(), "doc_id")
+
+
 @query(f"""
 WITH c AS (SELECT doc_id, CAST(CASE {_WALK} END AS INTEGER) AS template FROM documents LEFT JOIN labels USING (doc_id))
 SELECT doc_id, template FROM c WHERE template IS NOT NULL ORDER BY template, {S.draw('doc_id')}, doc_id LIMIT 200
@@ -427,10 +461,10 @@ def random_alternative(t):
     return t.documents.select("doc_id", sampling.other_than(["en", "fr", "de", "es"], "lang", "doc_id").alias("other"), (sampling.uniform("doc_id") < 0.5).alias("coin"))
 
 
-_POOL = "(SELECT list_sort(list(DISTINCT source)) FROM documents)"
 _SEEDED = lambda arr, seed: f"list_transform(list_sort(list_transform({arr}, lambda v: {{'h': md5('{seed}:' || CAST(doc_id AS VARCHAR) || ':' || v), 'v': v}})), lambda x: x.v)"
 _MCQ = f"""
-WITH p AS (SELECT doc_id, source, {_SEEDED('list_filter(pool, lambda v: v <> source)', 42)}[1:4] AS o FROM documents, (SELECT list_sort(list(DISTINCT source)) AS pool FROM documents)),
+WITH v AS (SELECT list(v ORDER BY {S.draw('v')}, v) AS pool FROM (SELECT DISTINCT source AS v FROM documents)),
+p AS (SELECT doc_id, source, list_filter(list_transform(range(0, 5), lambda j: pool[({S.pick('len(pool)', 'doc_id')} + j) % len(pool) + 1]), lambda x: x <> source)[1:4] AS o FROM documents, v),
 c AS (SELECT doc_id, source, {_SEEDED('list_append(o, source)', 43)} AS c FROM p)
 """
 
@@ -531,13 +565,13 @@ _IDS = lambda x: f"list_transform({S.words(x)}, lambda w: CAST('0x' || substring
 @query(f"""
 WITH p AS (SELECT u.conv_id, u.turn, {_IDS('u.text')} AS p, {_IDS("u.text || ' ' || a.text")} AS f
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')
-SELECT conv_id, turn, CAST(least(len(f), 64) AS BIGINT) AS n, CAST(least(len(p), len(f), 64) AS BIGINT) AS masked, CAST(coalesce(list_sum(f[len(p) + 1:64]), 0) AS BIGINT) AS label_sum FROM p
+SELECT conv_id, turn, CAST(least(len(f), 2048) AS BIGINT) AS n, CAST(least(len(p), len(f), 2048) AS BIGINT) AS masked, CAST(coalesce(list_sum(f[len(p) + 1:2048]), 0) AS BIGINT) AS label_sum FROM p
 """)
 def label_mask(t):
     c = t.conversations
     u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
-    rows = chat.tokenised(u.join(a, ["conv_id", "turn"]).withColumn("full", F.concat_ws(" ", "q", "a")), "q", "full", longest=64)
+    rows = chat.tokenised(u.join(a, ["conv_id", "turn"]).withColumn("full", F.concat_ws(" ", "q", "a")), "q", "full")
     kept = F.filter("labels", lambda x: x != chat.IGNORED)
     return rows.select("conv_id", "turn", F.size("labels").cast("long").alias("n"), (F.size("labels") - F.size(kept)).cast("long").alias("masked"), F.aggregate(kept, F.lit(0).cast("long"), lambda s, x: s + x).alias("label_sum"))
 
@@ -548,9 +582,9 @@ def context_router(t):
     return rows.groupBy("context", "lang").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id, md5(CASE WHEN len({S.words('text')}) > 100 THEN array_to_string({S.words('text')}[1:100], ' ') ELSE text END) AS h FROM documents")
+@query(f"SELECT doc_id, md5(CASE WHEN len({S.words('text')}) > 3484 THEN array_to_string({S.words('text')}[1:3484], ' ') ELSE text END) AS h FROM documents")
 def token_budget(t):
-    return t.documents.select("doc_id", F.md5(chat.budget("text", 300, 100)).alias("h"))
+    return t.documents.select("doc_id", F.md5(chat.budget("text", 4096, 512)).alias("h"))
 
 
 @query(f"""
@@ -600,10 +634,10 @@ def best_config(t):
     return metrics.best(runs, "lang", "source", "score")
 
 
-@query(f"SELECT source, count(*) AS n, min(v) AS min_lines, max(v) AS max_lines, CAST(sum(v) AS BIGINT) / count(*) AS avg_lines FROM (SELECT source, len({S.full_lines('text')}) AS v FROM documents) GROUP BY source")
+@query(f"SELECT source, count(*) AS n, min(v) AS min_lines, max(v) AS max_lines, CAST(sum(v) AS BIGINT) / count(*) AS avg_lines, round(stddev_pop(v), 6) AS std_lines FROM (SELECT source, len({S.full_lines('text')}) AS v FROM documents) GROUP BY source")
 def run_line_metrics(t):
     out = metrics.run_metrics(t.documents, "text", "source")
-    return out.select("source", "n", F.col("min_lines").cast("long").alias("min_lines"), F.col("max_lines").cast("long").alias("max_lines"), "avg_lines")
+    return out.select("source", "n", F.col("min_lines").cast("long").alias("min_lines"), F.col("max_lines").cast("long").alias("max_lines"), "avg_lines", F.round("std_lines", 6).alias("std_lines"))
 
 
 _P = S.collapse("(CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 3 = 0 THEN text ELSE left(text, 50) END)")
@@ -636,11 +670,10 @@ def change_report(t):
     return out.select("doc_id", "kind", F.col("length_change").cast("long").alias("length_change"), "line_count_preserved", F.col("word_count_change").cast("long").alias("word_count_change"))
 
 
-@query("SELECT * FROM (VALUES ('a', 2::BIGINT, 4.0::DOUBLE, 3.0::DOUBLE), ('b', 1::BIGINT, 5.0::DOUBLE, 1.0::DOUBLE)) AS v(model, n, fluency, coherence)")
+@query("SELECT event_type, count(*) FILTER (event_id % 5 <> 0) AS n, avg(event_id % 6) FILTER (event_id % 5 <> 0) AS fluency, avg(event_id % 4) FILTER (event_id % 5 <> 0) AS coherence FROM events GROUP BY event_type")
 def judge_scores(t):
-    reply = lambda f, c: f'{{"fluency": {{"score": {f}, "reason": "r"}}, "coherence": {{"score": {c}, "reason": "r"}}}}'
-    rows = rows_of(t.spark, "model string, reply string", ("a", reply(3, 2)), ("a", reply(5, 4)), ("a", "no json"), ("b", reply(5, 1)))
-    return metrics.judged(rows, "reply", "model", aspects=["fluency", "coherence"])
+    reply = F.expr("""CASE WHEN event_id % 5 = 0 THEN 'no json' ELSE concat('{"fluency": {"score": ', event_id % 6, ', "reason": "r"}, "coherence": {"score": ', event_id % 4, ', "reason": "r"}}') END""")
+    return metrics.judged(t.events.select("event_type", reply.alias("reply")), "reply", "event_type", aspects=["fluency", "coherence"])
 
 
 # --- evaluation -----------------------------------------------------------------------
@@ -659,9 +692,10 @@ def _scores(t):
     return rows.select("sample_id", "model", F.concat(F.lit("a"), F.col("k").cast("string")).alias("annotator"), point("a").alias("c1"), point("b").alias("c2"))
 
 
-@query(f"WITH {_SCORES} SELECT model, avg(c1) AS c1_mean, count(c1) AS c1_n, avg(c2) AS c2_mean, count(c2) AS c2_n, avg((c1 + c2) / 2) AS overall_mean, count(*) AS overall_n FROM s GROUP BY model")
+@query(f"WITH {_SCORES} SELECT model, avg(c1) AS c1_mean, round(stddev_samp(c1), 6) AS c1_std, count(c1) AS c1_n, avg(c2) AS c2_mean, round(stddev_samp(c2), 6) AS c2_std, count(c2) AS c2_n, avg((c1 + c2) / 2) AS overall_mean, round(stddev_samp((c1 + c2) / 2), 6) AS overall_std, count(*) AS overall_n FROM s GROUP BY model")
 def human_eval_scores(t):
-    return evaluation.model_scores(_scores(t), "model", ["c1", "c2"]).select("model", "c1_mean", "c1_n", "c2_mean", "c2_n", "overall_mean", "overall_n")
+    out = evaluation.model_scores(_scores(t), "model", ["c1", "c2"])
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith("_std")})
 
 
 @query(f"WITH {_SCORES}, m AS (SELECT model, avg((c1 + c2) / 2) AS overall_mean FROM s GROUP BY model) SELECT model, overall_mean, CAST(row_number() OVER (ORDER BY overall_mean DESC, model) AS INTEGER) AS rank FROM m")
@@ -699,23 +733,36 @@ def anova_f(t):
     return evaluation.variance_ratio(_scores(t), "model", "c1").withColumn("f", F.round("f", 9))
 
 
+@query()
+def score_tests(t):
+    return evaluation.tests(_scores(t), "model", ["c1", "c2"])
+
+
 @query(f"""
-WITH r AS (SELECT doc_id, lang AS item, source AS model FROM documents WHERE source IN ('src1', 'src2', 'src3')),
-c AS (SELECT item FROM r GROUP BY item HAVING count(DISTINCT model) = 3 ORDER BY {S.draw('item')}, item LIMIT 2),
+WITH r AS (SELECT doc_id, lang AS item, source AS model FROM documents WHERE source IS NOT NULL),
+c AS (SELECT item FROM r GROUP BY item HAVING count(DISTINCT model) = (SELECT count(DISTINCT source) FROM documents) ORDER BY {S.draw('item')}, item LIMIT 2),
 i AS (SELECT item, printf('sample_%03d', row_number() OVER (ORDER BY {S.draw('item')}, item)) AS sample_id FROM c),
-b AS (SELECT model, 'model_' || CAST(row_number() OVER (ORDER BY {S.draw('model')}) AS VARCHAR) AS model_id FROM (VALUES ('src1'), ('src2'), ('src3')) v(model))
+b AS (SELECT model, 'model_' || CAST(row_number() OVER (ORDER BY {S.draw('model')}) AS VARCHAR) AS model_id FROM (SELECT DISTINCT model FROM r))
 SELECT sample_id, model_id, doc_id, {S.draw("sample_id || '/' || model_id")} AS sheet_key FROM (SELECT *, row_number() OVER (PARTITION BY item, model ORDER BY doc_id) AS rn FROM r) JOIN i USING (item) JOIN b USING (model) WHERE rn = 1
 """)
 def blind_sheet(t):
     rows = t.documents.select("doc_id", F.col("lang").alias("item"), F.col("source").alias("model"))
-    return evaluation.blind_sheet(rows, "item", "model", ["src1", "src2", "src3"], 2, "doc_id").select("sample_id", "model_id", "doc_id", "sheet_key")
+    models = sorted(r[0] for r in rows.where("model is not null").select("model").distinct().collect())  # the models under test are few
+    return evaluation.blind_sheet(rows, "item", "model", models, 2, "doc_id").select("sample_id", "model_id", "doc_id", "sheet_key")
 
 
-@query("SELECT * FROM (VALUES ('m1', '0.5', '0.25', '0.75'), ('m2', '1.0', '1.0', '')) AS v(model, \"Overall\", gulf, levant)")
+_TASKS = ["de", "en", "es", "fr"]
+
+
+@query(f"""
+WITH a AS (SELECT source AS model, lang AS task, count(*) % 5 / 4.0::DOUBLE AS v FROM documents GROUP BY 1, 2)
+SELECT model, coalesce(CAST(avg(v) FILTER (task IN {tuple(_TASKS)}) AS VARCHAR), '') AS "Overall", {', '.join(f"coalesce(CAST(max(v) FILTER (task = '{x}') AS VARCHAR), '') AS {x}" for x in _TASKS)} FROM a GROUP BY model
+""")
 def accuracy_matrix(t):
-    body = '{"results": {"gulf": {"acc,none": %s}, "levant": {"acc,none": %s}}}'
-    rows = rows_of(t.spark, "model string, body string", ("m1", body % (0.25, 0.75)), ("m2", '{"results": {"gulf": {"acc,none": 1.0}}}'))
-    return evaluation.accuracy_matrix(evaluation.harness_results(rows, "body"), "model", "task", "accuracy", ["gulf", "levant"])
+    """Counts stand for accuracies, a results file per model and task."""
+    rows = t.documents.groupBy(F.col("source").alias("model"), "lang").agg((F.count("*") % 5 / 4.0).alias("v"))
+    rows = rows.where(F.col("lang").isNotNull()).select("model", F.concat(F.lit('{"results": {"'), "lang", F.lit('": {"acc,none": '), F.col("v").cast("string"), F.lit("}}}")).alias("body"))
+    return evaluation.accuracy_matrix(evaluation.harness_results(rows, "body"), "model", "task", "accuracy", _TASKS)
 
 
 # --- pages, paths, events -------------------------------------------------------------
@@ -753,10 +800,10 @@ def url_parts(t):
     return t.pages.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.regexp_extract("url", "([^/]*)/*$", 1).alias("last"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'a/checkpoint-900'), ('b', 'b/checkpoint-20')) AS v(run, path)")
+@query("SELECT lang, arg_max(lang || '/' || source || '/checkpoint-' || doc_id, doc_id) AS path FROM documents WHERE doc_id % 3 <> 0 GROUP BY lang")
 def latest_checkpoint(t):
-    rows = rows_of(t.spark, "run string, path string", ("a", "a/checkpoint-100"), ("a", "a/checkpoint-900"), ("a", "a/other"), ("b", "b/checkpoint-3"), ("b", "b/checkpoint-20"))
-    return readers.latest(rows, "run")
+    path = F.expr("concat(lang, '/', source, CASE WHEN doc_id % 3 = 0 THEN '/other-' ELSE '/checkpoint-' END, doc_id)")
+    return readers.latest(t.documents.select("lang", path.alias("path")), "lang")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -789,9 +836,9 @@ def merge_back(t):
     return enrich.merge_back(enrich.merge_back(base, new, "doc_id", ["quality"]), langs, "doc_id", ["lang"])
 
 
-@query("SELECT doc_id, k AS corruption_type FROM documents, (VALUES ('full_style'), ('rhyme_structure')) v(k) WHERE doc_id % 100 = 0")
+@query("SELECT doc_id, k AS corruption_type FROM documents, (VALUES ('full_style'), ('rhyme_structure')) v(k)")
 def cross_types(t):
-    return templates.expanded(t.documents.where("doc_id % 100 = 0").select("doc_id"), ["full_style", "rhyme_structure"])
+    return templates.expanded(t.documents.select("doc_id"), ["full_style", "rhyme_structure"])
 
 
 @query("SELECT a.lang, a.n AS n_a, b.n AS n_b FROM (SELECT lang, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY lang) a FULL JOIN (SELECT lang, count(*) AS n FROM documents WHERE doc_id % 2 = 1 GROUP BY lang) b USING (lang)")

@@ -195,6 +195,19 @@ def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ()) -> Da
     return df.select(*kept, F.col(html).alias("_html")).mapInPandas(run, schema).withColumn("poem_no_diacritics", strip_marks("poem", wide=True))
 
 
+def checked(records: DataFrame, files: int | None = None) -> DataFrame:
+    """records, once they are found sound: a text that holds a null byte or a tag, or a count that isn't the files', is an error."""
+    names = [n for n, t in records.dtypes if t == "string" and n != "html"]
+    bad = records.agg(F.count("*").alias("rows"), *(F.count(F.when(F.col(n).rlike(r"\x00|<[a-zA-Z/][^>]*>"), 1)).alias(n) for n in names if n in ("title", "poet", "era", "country"))).first().asDict()
+    rows = bad.pop("rows")
+    wrong = {n: k for n, k in bad.items() if k}
+    if wrong:
+        raise ValueError(f"records with mark-up in a field: {wrong}")
+    if files is not None and rows != files:
+        raise ValueError(f"{files} files but {rows} records")
+    return records
+
+
 def profile(c) -> Column:
     """(name, description) of a profile's text: its first non-blank line and the rest."""
     own = F.filter(F.transform(F.split(col(c), "\n"), trim_ws), lambda x: x != "")

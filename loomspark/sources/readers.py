@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .workbook import read_sheet
+
 
 def delimited(spark: SparkSession, path, sep: str = ",", tolerant: bool = False, schema=None) -> DataFrame:
     """CSV or TSV with a header; fields may hold newlines and doubled quotes.
@@ -49,21 +53,18 @@ def load(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def sheet(spark: SparkSession, path: str, name: str | int = 0) -> DataFrame:
-    """A small sheet of a workbook, such as templates; column names are trimmed and lower-cased. Needs openpyxl."""
-    import pandas as pd
-
-    frame = pd.read_excel(path, sheet_name=name, dtype=str)
-    frame.columns = [str(c).strip().lower() for c in frame.columns]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in frame.columns])
-    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None).values.tolist(), schema)
+    """A small sheet of a workbook, such as templates, as strings; column names are trimmed and lower-cased."""
+    rows = read_sheet(spark.read.format("binaryFile").load(path).first()["content"], name)
+    header = [(c or f"column {k}").strip().lower() for k, c in enumerate(rows[0])] if rows else []
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    return spark.createDataFrame([r for r in rows[1:] if any(x is not None for x in r)], schema)
 
 
 def yaml_templates(spark: SparkSession, path: str) -> DataFrame:
     """(lang, id, inputs, output, text): a small YAML file of templates by language; one row per text. Needs yaml."""
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        found = yaml.safe_load(f) or {}
+    found = yaml.safe_load(spark.read.text(path, wholetext=True).first()[0]) or {}
     rows = []
     for lang, templates in found.items():
         for t in templates:
@@ -95,9 +96,50 @@ def titled_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def html_files(spark: SparkSession, root: str, glob: str = "*.html") -> DataFrame:
-    """(path, html) of every file, by path."""
+    """(path, html) of every file, sorted by path."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html")).orderBy("path")
+
+
+def hub(spark: SparkSession, name: str, split: str = "train", cache: str | None = None) -> DataFrame:
+    """A data set of a hub. cache: a folder that holds its Parquet files as <name>/<split>*; without one the `datasets` library fetches it."""
+    if cache is not None:
+        return spark.read.option("pathGlobFilter", f"{split}*").option("recursiveFileLookup", True).parquet(f"{cache.rstrip('/')}/{name}")
+    try:
+        import datasets as library
+    except ImportError as e:
+        raise RuntimeError("name a folder that holds the data set, or install the datasets library") from e
+    return spark.createDataFrame(library.load_dataset(name, split=split).to_pandas())
+
+
+def fetched(todo: DataFrame, url: str, get, tries: int = 3, wait: float = 1.0, key: str = "id") -> DataFrame:
+    """(key, url, status, body): pages of a work list. url: a pattern with {id}; get: a function of a URL to (status, body).
+
+    A page that fails is tried again after twice the time before; 404 is an answer, with
+    no body; what fails to the end has status -1, so that a later run's work list holds it.
+    """
+
+    def one(at: str):
+        for k in range(tries):
+            try:
+                status, body = get(at)
+                if status == 404:
+                    return status, None
+                if status < 400:
+                    return status, body
+            except OSError:
+                pass
+            if k + 1 < tries:
+                time.sleep(wait * 2**k)
+        return -1, None
+
+    def run(parts):
+        for part in parts:
+            urls = [url.format(id=i) for i in part[key]]
+            found = [one(u) for u in urls]
+            yield part[[key]].assign(url=urls, status=[s for s, _ in found], body=[b for _, b in found])
+
+    return todo.select(key).mapInPandas(run, f"`{key}` {dict(todo.dtypes)[key]}, url string, status int, body string")
 
 
 def latest(df: DataFrame, group: str, path: str = "path", pattern: str = r"checkpoint-([0-9]+)") -> DataFrame:

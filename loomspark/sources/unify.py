@@ -181,14 +181,16 @@ UNIFIERS = {
 }
 
 
-def unify_all(sources: dict[str, DataFrame]) -> tuple[DataFrame, list[str]]:
+def unify_all(sources: dict[str, DataFrame], layouts: dict[str, str] | None = None) -> tuple[DataFrame, list[str]]:
     """(the union, keys without a unifier, which are left out).
 
-    Columns are the sorted union of all; what a source lacks is null. poem_id is a row's
-    place by source and text, from 1; missing verse counts are counted.
+    layouts: keys of the caller's own, and the unifier's key each goes by. Columns are the
+    sorted union of all; what a source lacks is null. poem_id is a row's place by source
+    and text, from 1; missing verse counts are counted.
     """
-    known = {k: UNIFIERS[k](df).withColumn("dataset_name", F.lit(k)) for k, df in sources.items() if k in UNIFIERS}
-    unknown = [k for k in sources if k not in UNIFIERS]
+    of = {k: UNIFIERS.get((layouts or {}).get(k, k)) for k in sources}
+    known = {k: of[k](df).withColumn("dataset_name", F.lit(k)) for k, df in sources.items() if of[k]}
+    unknown = [k for k in sources if not of[k]]
     if not known:
         raise ValueError("no source has a unifier")
     strings = [df.select(*(F.col(f"`{c}`").cast("string").alias(c) if t != "array<string>" else F.col(f"`{c}`") for c, t in sorted(df.drop("poem_id").dtypes))) for df in known.values()]
@@ -196,11 +198,15 @@ def unify_all(sources: dict[str, DataFrame]) -> tuple[DataFrame, list[str]]:
     all_ = missing.with_columns(all_, "poem_verses", "poem_text")
     count = F.coalesce(values.first_integer("poem_verses"), F.when(F.col("poem_text").isNotNull(), lines.count_lines("poem_text").cast("long")))
     all_ = all_.withColumn("poem_verses", count).withColumn("poem_text_no_diacritics", strip_marks("poem_text"))
-    order = Window.partitionBy("dataset_name").orderBy(F.md5(F.coalesce("poem_text", F.lit(""))), F.to_json(F.struct(*sorted(all_.columns))))
-    # numbers run within a data set; its offset is what the sets before it hold
-    sizes = all_.groupBy("dataset_name").count().withColumn("base", F.coalesce(F.sum("count").over(Window.orderBy("dataset_name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    numbered = all_.withColumn("_n", F.row_number().over(order)).join(F.broadcast(sizes), "dataset_name")
-    return numbered.withColumn("poem_id", F.col("_n") + F.col("base")).drop("_n", "base").select("poem_id", *sorted(c for c in all_.columns)), unknown
+    # numbered within buckets of (source, hash of the text), whose first numbers are what the buckets before hold
+    all_ = all_.withColumn("_h", F.md5(F.coalesce("poem_text", F.lit("")))).withColumn("_b", F.substring("_h", 1, 3))
+    sizes = all_.groupBy("dataset_name", "_b").agg(F.count("*").alias("_c"))
+    # 4096 rows a source at most
+    sizes = sizes.select(F.col("dataset_name").alias("_of"), F.col("_b").alias("_in"), F.coalesce(F.sum("_c").over(Window.orderBy("dataset_name", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    columns = sorted(c for c in all_.columns if c not in ("_h", "_b"))
+    order = Window.partitionBy("dataset_name", "_b").orderBy("_h", F.to_json(F.struct(*columns)))
+    numbered = all_.withColumn("_n", F.row_number().over(order)).join(F.broadcast(sizes), (F.col("dataset_name") == F.col("_of")) & (F.col("_b") == F.col("_in")))
+    return numbered.withColumn("poem_id", F.col("_n") + F.col("_base")).select("poem_id", *columns), unknown
 
 
 def normalise_eras(df: DataFrame, countries: list[str] = values.COUNTRIES) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_name
+from .workbook import write_sheet
 
 LONG_CONTEXT = 8000  # tokens from which a sample counts as long
 
@@ -45,15 +47,56 @@ def by_context(df: DataFrame, path: str, tokens: str = "num_tokens", threshold:
     partitioned(routed(df, tokens, threshold), path, "context", "split", "task", mode=mode)
 
 
-def json_array(df: DataFrame) -> str:
-    """A small table as one JSON array, for harnesses that read nothing else."""
-    return "[" + ",\n".join(r[0] for r in df.select(F.to_json(F.struct("*"))).collect()) + "]"
+def json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The table as one JSON array in one file below path, for harnesses that read nothing else.
 
+    Rows pass through one task, which holds one batch at a time.
+    """
 
-def stats_text(templates: DataFrame, dialects: DataFrame) -> str:
-    """Two sections of `key: count` lines, of small tables (key, n)."""
-    section = lambda title, df: "\n".join([title, *(f"{k}: {n}" for k, n in df.orderBy(F.desc("n"), "key").collect())])
-    return section("Template Statistics", templates.select("key", "n")) + "\n\n" + section("Dialect Statistics", dialects.select("key", "n")) + "\n"
+    def framed(parts):
+        empty = True
+        for part in parts:
+            for text in part["j"]:
+                yield pd.DataFrame({"value": [("[" if empty else ",") + text]})
+                empty = False
+        yield pd.DataFrame({"value": ["[]" if empty else "]"]})
+
+    rows = df.select(F.to_json(F.struct("*")).alias("j")).coalesce(1)
+    rows.mapInPandas(framed, "value string").write.mode(mode).text(path)
+
+
+REPORT = 10_000  # rows that a report shows at most; more are an error
+
+
+def _report(df: DataFrame) -> list:
+    rows = df.limit(REPORT + 1).collect()
+    if len(rows) > REPORT:
+        raise ValueError(f"a report has {REPORT} rows at most")
+    return rows
+
+
+def put(spark, path: str, data: bytes) -> None:
+    """A small file at a path of any store that Spark can write to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def sheet(df: DataFrame, path: str, name: str = "Sheet1", widths: list[float] | None = None) -> None:
+    """A small table as a workbook of one sheet, with column widths."""
+    put(df.sparkSession, path, write_sheet(df.columns, [tuple(r) for r in _report(df)], name, widths))
+
+
+def stats_text(templates: DataFrame, dialects: DataFrame, path: str | None = None) -> str:
+    """Two sections of `key: count` lines, of small tables (key, n); written to path too, if there is one."""
+    section = lambda title, df: "\n".join([title, *(f"{k}: {n}" for k, n in _report(df.orderBy(F.desc("n"), "key")))])
+    text = section("Template Statistics", templates.select("key", "n")) + "\n\n" + section("Dialect Statistics", dialects.select("key", "n")) + "\n"
+    if path is not None:
+        put(templates.sparkSession, path, text.encode())
+    return text
 
 
 def latex_table(df: DataFrame, caption: str = "") -> str:
@@ -63,15 +106,21 @@ def latex_table(df: DataFrame, caption: str = "") -> str:
         shown = "" if v is None else f"{v:,}" if isinstance(v, int) else str(v)
         return "".join("\\" + c if c in "&%$#_{}" else c for c in shown)
 
-    body = [" & ".join(map(esc, r)) + r" \\" for r in df.collect()]
+    body = [" & ".join(map(esc, r)) + r" \\" for r in _report(df)]
     return "\n".join([r"\begin{table}", rf"\caption{{{esc(caption)}}}", rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", " & ".join(map(esc, df.columns)) + r" \\ \hline", *body, r"\end{tabular}", r"\end{table}"])
 
 
-def cached(spark, path: str, build, *key) -> DataFrame:
-    """The table kept under a path made of the key's parts, built first if it isn't there."""
+def with_predictions(path: str) -> str:
+    """The name of a file's copy with predictions: the same ending, the mark before it."""
+    stem, dot, ending = path.rpartition(".")
+    return f"{stem}_with_predictions.{ending}" if dot and "/" not in ending else f"{path}_with_predictions"
+
+
+def cached(spark, path: str, build, *key, force: bool = False) -> DataFrame:
+    """The table kept under a path made of the key's parts, built first if it isn't there, or in any case by force."""
     at = "/".join([path.rstrip("/"), *map(str, key)])
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    if force or not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         build().write.mode("overwrite").parquet(at)
     return spark.read.parquet(at)
 

@@ -196,3 +196,102 @@ def test_zipped(spark):
 def test_matched_names(spark):
     a, b = spark.createDataFrame([("ar_1.json",), ("ar_2.json",)], "n string"), spark.createDataFrame([("en_1.json",)], "n string")
     assert [r.stem for r in enrich.matched_names(a, b, "n").collect()] == ["1.json"]
+
+
+def test_cross_split_wide(spark):
+    held = [(100, "one two three four five six"), (101, "b a"), (102, "one two three four five sic"), (103, None)]
+    train = [(1, "two one three four five six"), (2, "a b"), (3, "one two three four five sic"), (4, "far away from all of it"), (5, None), (6, "one two three four five sit")]
+    a, b = (spark.createDataFrame(x, "id long, t string") for x in (train, held))
+    near = {r.id for r in dedup.cross_split(a, b, "t", "id", 0.7).collect()}
+    wide = {r.id for r in dedup.cross_split(a, b, "t", "id", 0.7, wide=True).collect()}
+    # 1 shares a bucket with 100; 6 shares none, so neither mode drops it; 2 is too unlike its bucket's text
+    assert near == wide == {2, 4, 5, 6}
+    # a text whose own bucket's text is too unlike, but another test text is near
+    more = spark.createDataFrame([(7, "zeta alpha beta gamma")], "id long, t string")
+    tests = spark.createDataFrame([(1, "gamma beta alpha zeta"), (2, "zeta alpha beta gammas")], "id long, t string")
+    assert dedup.cross_split(more, tests, "t", "id", 0.9).count() == 1 and dedup.cross_split(more, tests, "t", "id", 0.9, wide=True).count() == 0
+
+
+def test_similarity_bound():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(0, 15))) for _ in "ab")
+        s = dedup.similarity(a, b)
+        assert s == (1.0 if a == b else 2 * lcs(a, b) / (len(a) + len(b)))
+        t = dedup.similarity(a, b, 0.8)
+        assert t == s if s >= 0.8 else t < 0.8
+
+
+def test_containing_passages_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps over"), (2, "a catalogue of foxes"), (3, None), (4, "")], "id long, t string")
+    passages = spark.createDataFrame([(1, "uick brown fox jum"), (2, "fox"), (3, "of foxes"), (4, "missing passage here now"), (5, None), (6, ""), (7, "quick brown fox jumps")], "item long, p string")
+    got = {tuple(r) for r in dedup.containing(docs, passages, "t", "id", "p", "item").collect()}
+    assert got == {(1, 1), (1, 2), (2, 2), (2, 3), (1, 7)}
+    assert dedup.containing(docs, passages.limit(0), "t", "id", "p", "item").count() == 0
+
+
+def test_exact_claims(spark):
+    df = spark.createDataFrame([(k, 1 if k % 2 else None) for k in range(100)], "id long, a int")
+    got = sampling.claim_exact(df, [F.col("a").isNotNull(), F.lit(True)], "id", (0.1, 1.0)).groupBy("template").count().collect()
+    # 5 of 50; 9 of 95; all 45 or so odd ones that are left; the rest
+    first = 5
+    assert sum(r["count"] for r in got) == 100 and {r.template for r in got} == {0, 1}
+    assert {r.template: r["count"] for r in got}[0] >= first and sampling.claim_exact(df, [F.lit(False)], "id").count() == 0
+
+
+def test_remaining_names_every_template(spark):
+    df = spark.createDataFrame([(0,), (0,), (2,), (None,)], "template int")
+    assert {tuple(r) for r in sampling.remaining(df, "template", 12, 4).collect()} == {(0, 1), (1, 3), (2, 2), (3, 3)}
+
+
+def test_choices_among_many_values(spark):
+    df = spark.createDataFrame([(k, f"v{k % 300}") for k in range(900)] + [(1000, None), (1001, " ")], "id long, v string")
+    got = sampling.choices(df, "v", "id", strict=True).collect()
+    assert len(got) == 900
+    for r in got:
+        assert len(set(r.choices.values())) == 5 and r.choices[r.correct_choice] == r.v
+    assert len({v for r in got for v in r.choices.values()}) == 300
+
+
+def test_token_budget_and_masks(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    long = "some words of a text " * 50
+    df = spark.createDataFrame([(1, long), (2, "short"), (3, None)], "id long, t string")
+    got = {r.id: r.t for r in chat.token_budget(df, "t", encode, t.decode_batch, longest=160, new_tokens=40, margin=20).collect()}
+    assert len(encode([got[1]])[0]) == 100 and long.startswith(got[1]) and got[2] == "short" and got[3] is None
+    with pytest.raises(ValueError):
+        chat.token_budget(df, "t", encode, t.decode_batch, longest=100, new_tokens=40)
+    pairs = spark.createDataFrame([("a b c", "a b c d e"), ("a b c d", "a b")], "q string, f string")
+    got = chat.tokenised(pairs, "q", "f", lambda texts: encode(list(texts)), longest=4).collect()
+    ids = encode(["a b c d e"])[0]
+    assert got[0].input_ids == ids[:4] and got[0].labels == [-100] * 3 + ids[3:4]
+    assert got[1].labels == [-100] * len(got[1].input_ids)
+
+
+def test_score_tests(spark):
+    rows = [("m1", 1.0), ("m1", 2.0), ("m1", 3.0), ("m2", 4.0), ("m2", 5.0), ("m2", 7.0)]
+    df = spark.createDataFrame(rows, "model string, c double").withColumn("same", F.lit(1.0))
+    got = {r.criterion: r for r in evaluation.tests(df, "model", ["c", "same"]).collect()}
+    # Student's t of the two samples is 3.1622777, with four degrees of freedom: p = 0.0340739
+    assert abs(got["c"].f - 10) < 1e-9 and abs(got["c"].p - 0.0340739) < 1e-6
+    assert got["c"].p == evaluation.significance(df, "model", "c")["p"] and got["c"].significant and got["same"].p is None and not got["same"].significant
+
+
+def test_rounded_total(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "xy"), ("a", "x"), ("b", "xyz\nx")], "o string, t string")
+    got = {r.origin: r for r in stats.origins(df, F.col("o"), "t", digits=1).collect()}
+    assert got["a"].avg_chars == 1.3 and got["TOTAL"].avg_chars == round((1.3 * 3 + 5) / 4, 1)
+
+
+def test_prompts_fill_in(spark):
+    df = spark.createDataFrame([("era", "t", "p", "now", "text"), ("nothing", "t", "p", "now", "text")], "kind string, title string, poet string, era string, poem string")
+    fields = {"poem_title": F.col("title"), "poet_name": F.col("poet"), "poet_era": F.col("era"), "poem_text": F.col("poem"), "target_era": F.lit("then"), "rhyme": F.lit("r"), "meter": F.lit("m"), "target_meter": F.lit("n")}
+    got = [r.prompt for r in templates.prompts(df, "kind", templates.CORRUPTIONS, fields).collect()]
+    assert "from the style of now into that of then" in got[0] and got[0].endswith("text") and got[1] is None
+    for kind in templates.CORRUPTIONS:
+        one = templates.prompts(df.limit(1).withColumn("kind", F.lit(kind)), "kind", templates.CORRUPTIONS, fields).first().prompt
+        assert "{poem" not in one and "text" in one

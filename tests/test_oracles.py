@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -26,7 +27,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(x):
         if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
             return ""
-        if isinstance(x, (bool, str)):
+        if isinstance(x, (bool, np.bool_, str)):
             return str(x)
         try:
             return f"{float(x):.9g}"

@@ -1,3 +1,4 @@
+import json
 import os
 
 import pytest
@@ -35,7 +36,10 @@ def test_json(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "c"))[-2:] == ["context=LongContext", "context=ShortContext"]
     (tmp_path / "bad.jsonl").write_text('{"a": 1}\nnot json\n{"a": 2}\n')
     assert readers.load(spark, f"{tmp_path}/bad.jsonl", schema="a int").count() == 2
-    assert writers.json_array(spark.range(2)) == '[{"id":0},\n{"id":1}]'
+    writers.json_array(spark.range(20), f"{tmp_path}/array")
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "array").glob("part-*"))) == [{"id": k} for k in range(20)]
+    writers.json_array(spark.range(0), f"{tmp_path}/array")
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "array").glob("part-*"))) == []
     assert "1,234" in writers.latex_table(spark.range(1234, 1235))
 
 
@@ -124,3 +128,75 @@ def test_stream_windows(spark, tmp_path):
     rows = spark.sql("SELECT timestamp '2024-01-01 00:10:00' AS ts, 1L AS user, 2.0D AS value UNION ALL SELECT timestamp '2024-01-01 00:20:00', 1L, 3.0D")
     assert [(r.n, r.total) for r in events.windowed(rows, "ts", "value").collect()] == [(2, 5.0)]
     assert [r.n for r in events.sessions(rows, "ts", "user").collect()] == [2]
+
+
+def test_workbook_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a <b> & "c"', 2.5), (2, None, None), (3, "  spaced ", 0.0)], "Id int, Text string, Score double")
+    writers.sheet(df, f"{tmp_path}/x.xlsx", "Blätter", widths=[5, 40, 8])
+    got = readers.load(spark, f"{tmp_path}/x.xlsx")
+    assert got.columns == ["id", "text", "score"]
+    assert [tuple(r) for r in got.collect()] == [("1", 'a <b> & "c"', "2.5"), ("2", None, None), ("3", "  spaced ", "0.0")]
+    assert readers.sheet(spark, f"{tmp_path}/x.xlsx", "Blätter").count() == 3
+    with pytest.raises(ValueError):
+        readers.sheet(spark, f"{tmp_path}/x.xlsx", "none")
+
+
+def test_yaml_templates(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "t.yaml").write_text("msa:\n- {id: 1, input: [a, b], output: [c], text: [one, two]}\ngulf:\n- {id: x, input: [a], output: c, text: [three]}\n")
+    got = {tuple(map(str, r)) for r in readers.yaml_templates(spark, f"{tmp_path}/t.yaml").collect()}
+    assert got == {("msa", "1", "['a', 'b']", "c", "one"), ("msa", "1", "['a', 'b']", "c", "two"), ("gulf", "x", "['a']", "c", "three")}
+
+
+def test_hub_reads_a_cache(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/org/set/train")
+    for p in (tmp_path / "org/set/train").glob("part-*.parquet"):
+        p.rename(p.with_name(f"train-{p.name}"))
+    assert readers.hub(spark, "org/set", cache=str(tmp_path)).count() == 3
+    with pytest.raises(RuntimeError):
+        readers.hub(spark, "org/set")
+
+
+def test_fetched_pages(spark):
+    def get(url):
+        n = int(url.rsplit("/", 1)[1])
+        if n == 3:
+            raise OSError("down")
+        return (404, None) if n == 2 else (500, "x") if n == 4 else (200, f"page {n}")
+
+    todo = readers.work_list(spark, 1, 5, spark.createDataFrame([(5,)], "id long"))
+    got = {r.id: (r.status, r.body) for r in readers.fetched(todo, "http://x/{id}", get, tries=2, wait=0).collect()}
+    assert got == {1: (200, "page 1"), 2: (404, None), 3: (-1, None), 4: (-1, None)}
+
+
+def test_html_files_are_sorted_and_checked(spark, tmp_path):
+    for n in "cab":
+        (tmp_path / f"{n}.html").write_text(PAGE)
+    files = readers.html_files(spark, f"{tmp_path}")
+    assert [r.path[-6:] for r in files.collect()] == ["a.html", "b.html", "c.html"]
+    records = html.extract(files, "html", ("path",))
+    assert html.checked(records, 3).count() == 3
+    with pytest.raises(ValueError):
+        html.checked(records, 4)
+    with pytest.raises(ValueError):
+        html.checked(records.withColumn("title", F.lit("<b>x</b>")))
+
+
+def test_keys_and_versions(spark, tmp_path):
+    df = spark.createDataFrame([("a, b/c", 1), ("d", 2)], "k string, n int")
+    writers.by_key(df, f"{tmp_path}/k", "k")
+    assert {d for d in os.listdir(tmp_path / "k") if "=" in d} == {"template_key=a__b_c", "template_key=d"}
+    one, two = (writers.versioned(df, f"{tmp_path}/v") for _ in range(2))
+    assert one != two and spark.read.parquet(one).count() == 2
+    assert writers.with_predictions("a/b.tsv") == "a/b_with_predictions.tsv" and writers.with_predictions("a.b/c") == "a.b/c_with_predictions"
+    calls = []
+    build = lambda: calls.append(1) or spark.range(2)
+    for force in (False, True):
+        writers.cached(spark, f"file://{tmp_path}/f", build, force=force)
+    assert len(calls) == 2
+
+
+def test_layouts_by_own_keys(spark):
+    rows = spark.createDataFrame([("t", "p", "شعر", "o", "g", "n")], "poem_name string, poet_name string, poem string, era string, genre string, x string")
+    out, unknown = unify.unify_all({"mine": rows, "other": rows}, {"mine": "filed_poems"})
+    assert unknown == ["other"] and [r.dataset_name for r in out.collect()] == ["mine"] and out.first().poem_id == 1
