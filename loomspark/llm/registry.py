@@ -16,5 +16,5 @@ QUERIES = {
     "op9_image_copies": images.query,
     "op10_byte_bpe": bpe.query,
 }
-#: SQL can tell the license scan; the others are held against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op2_license_scan": licenses.ORACLE}
+#: SQL can tell these; the others are held against brute force in tests/llm.
+ORACLES: dict[str, str] = {"op2_license_scan": licenses.ORACLE, "op7_collision_counting": neighbours.ORACLE}

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -16,18 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh local one only where none is named and one machine runs all (tests)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = spark.conf.get("loomspark.shared.dir", None)
-        if not at:
-            at = "file://" + tempfile.mkdtemp(prefix="loomspark-")
-            spark.conf.set("loomspark.shared.dir", at)
-    return at.rstrip("/")
+from ..operators.scratch import shared_dir
 
 
 class Workspace:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loomspark.llm import licenses, registry, toxicity
+from loomspark.llm import registry, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -71,12 +71,16 @@ def test_stages_keep_the_columns(spark, folder):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-def test_license_sql(spark):
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = con.execute(licenses.ORACLE).df().sort_values("doc_id").reset_index(drop=True)
-    got = licenses.query(spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
-    assert sorted(got.columns) == sorted(want.columns)
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    want = con.execute(registry.ORACLES[name]).df()
+    got = registry.QUERIES[name](spark, SF).toPandas()
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+    keys = [c for c in ("doc_id", "query_id", "rank") if c in want.columns]
+    want, got = (x.sort_values(keys).reset_index(drop=True) for x in (want, got))
     for c in want.columns:
         assert (got[c].fillna(-1) == want[c].fillna(-1)).all(), c
 
