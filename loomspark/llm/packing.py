@@ -16,6 +16,7 @@ from .store import Workspace, numbered, slices, text_buffers, tidy
 WINDOW = 1024
 QUANTUM = 512  # ids that a source's turn gives, of one document as long as it has them; windows are a whole number of turns
 SEED = 42
+FEW = 50_000  # sources whose numbers are broadcast (5 MB)
 
 
 def units(df: DataFrame, path: str, key: str, text: str, source: str, end: int, quantum: int) -> DataFrame:
@@ -76,7 +77,9 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", sour
         weight = F.coalesce(*(F.when(F.col("source") == s, F.lit(float(w))) for s, w in weights.items()), F.lit(1.0))
     sums = sums.withColumn("weight", weight).withColumnRenamed("pos", "source_no")
     n_turns = sums.agg(F.coalesce(F.sum("turns"), F.lit(0))).first()[0]
-    docs = docs.drop("pos").join(sums.select("source", "source_no", "w0", "r0", "w_n", "r_n", "weight", "before_tail"), "source")
+    of = sums.select("source", "source_no", "w0", "r0", "w_n", "r_n", "weight", "before_tail")
+    # a source may hold most rows, so documents aren't dealt out by source while the sources are few enough to broadcast
+    docs = docs.drop("pos").join(F.broadcast(of) if sums.count() <= FEW else of, "source")
     # a queue's share of its source's weight is its share of the source's ids
     due = (F.col("k") + 0.5) * (F.col("queue_n") + F.lit(0.0)) ** -1 * ((F.col("w_n") * quantum + F.col("r_n")) / F.col("weight"))
     whole = docs.where("whole > 0").select("key", "doc_tokens", "source_no", "weight", "w_n", "r_n", (F.col("before_whole") - F.col("w0")).alias("first"), F.posexplode("sums").alias("j", "ids_crc32"))
