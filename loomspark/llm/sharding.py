@@ -21,10 +21,11 @@ def interleave(df: DataFrame, shards: int = 24, key: str = "doc_id", source: str
     a shard. Null sources form a stratum of their own; rows that are equal in every
     column that takes part (key, keep) are interchangeable, so their order does not
     show; with fewer rows than shards some shards are empty; an empty table gives no
-    row. Ranks come from range partitions and per-partition counts, so no source is
-    gathered in one task.
+    row; kept columns called shard or slot give way to the result's. Ranks come from range partitions and per-partition counts, so no source is
+    gathered in one task. The result is a written table.
     """
     ws = Workspace(df.sparkSession, "sharding")
+    keep = tuple(c for c in keep if c not in ("shard", "slot"))
     rows = df.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("_source"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)))
     others = [F.col(f"_keep{i}") for i in range(len(keep))]
     rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), F.col("_key").cast("string")))
@@ -37,7 +38,7 @@ def interleave(df: DataFrame, shards: int = 24, key: str = "doc_id", source: str
     shard = F.expr(f"((pos + 1) * {shards} - 1) div {max(n, 1)}")
     first = F.expr(f"(shard * {n}) div {shards}")
     placed = placed.withColumn("shard", shard.cast("int"))
-    return placed.select(F.col("_key").alias(key), *(o.alias(c) for o, c in zip(others, keep, strict=True)), "shard", (F.col("pos") - first).alias("slot"))
+    return ws.result(placed.select(F.col("_key").alias(key), *(o.alias(c) for o, c in zip(others, keep, strict=True)), "shard", (F.col("pos") - first).alias("slot")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

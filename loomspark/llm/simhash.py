@@ -254,7 +254,9 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4)
     bucket; the number of buckets follows the number of fingerprints. What a bucket
     returns is a forest, never all pairs. Null texts are empty and have fingerprint
     0, linked like any other; null keys take part but are never the smallest unless
-    all are null; other columns are left out; an empty table gives no row.
+    all are null; other columns are left out; an empty table gives no row. Members of a
+    key meet in one task: those that are linked are reached at once from the first of
+    them, and distinct fingerprints around one place are bounded by what four bits allow.
     """
     spark, ws = df.sparkSession, Workspace(df.sparkSession, "simhash")
     rows = ws.save(fingerprints(df, key, text, words), "fingerprints")
@@ -267,7 +269,7 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4)
     named = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("v", "fp"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    return ws.result(rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id"))
 
 
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -10,6 +10,7 @@ import public_tokenizers as P
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomspark.llm import bpe, packing, pretokens, sharding, tokenfiles
@@ -204,7 +205,8 @@ def test_windows_keep_the_mixture(spark):
 def test_sharding(spark):
     rows = [(k, f"s{k % 3}" if k % 2 else "hot", k % 7) for k in range(1000)] + [(None, None, 1), (5, "s2", 5), (5, "s2", 5)]
     df = spark.createDataFrame(rows, "doc_id long, source string, shard int")
-    got = sharding.interleave(df.withColumnRenamed("shard", "x"), 24, keep=("x",)).toPandas()
+    got = sharding.interleave(df.withColumn("x", F.col("shard")), 24, keep=("shard", "x")).toPandas()
+    assert list(got.columns) == ["doc_id", "x", "shard", "slot"]
     assert len(got) == len(rows)
     by = got.groupby("shard").slot
     assert by.count().max() - by.count().min() <= 1 and len(by) == 24
