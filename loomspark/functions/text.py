@@ -106,6 +106,13 @@ def thousands(c) -> Column:
     return F.format_number(col(c), 0)
 
 
+def display_name(c) -> Column:
+    """A template's key as a reader would have it: inputs, an arrow, outputs; names with spaces and capitals."""
+    side = lambda x: F.array_join(F.transform(F.split(x, "__"), lambda w: F.initcap(F.replace(w, F.lit("_"), F.lit(" ")))), ", ")
+    parts = F.split(col(c), "___")
+    return F.array_join(F.transform(parts, side), " → ")
+
+
 def escape_latex(c) -> Column:
     return F.regexp_replace(col(c), r"([&%$#_{}])", r"\\$1")
 

@@ -28,10 +28,10 @@ def with_retries(call: Callable, attempts: int = 3, delay: float = 1.0, growth:
     return run
 
 
-def complete(df: DataFrame, prompt: str, provider: Callable[[list[str]], list[str]], out: str = "model_generation", parallel: int | None = None) -> DataFrame:
+def complete(df: DataFrame, prompt: str, provider: Callable[[list[str]], list[str]], out: str = "model_generation", parallel: int | None = None, most: int = 1000) -> DataFrame:
     """df with out: the provider's reply to each prompt; null prompts have none.
 
-    provider is called with an Arrow batch's prompts; parallel bounds how many batches are under way.
+    provider is called with at most so many prompts at a time; parallel bounds how many calls are under way.
     """
     schema = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes if n != out), f"`{out}` string"])
     names = [c for c in df.columns if c != out]
@@ -41,7 +41,8 @@ def complete(df: DataFrame, prompt: str, provider: Callable[[list[str]], list[st
             ask = part[prompt].notna()
             replies = pd.Series([None] * len(part), index=part.index, dtype=object)
             if ask.any():
-                replies[ask] = provider(part.loc[ask, prompt].tolist())
+                own = part.loc[ask, prompt].tolist()
+                replies[ask] = [r for k in range(0, len(own), most) for r in provider(own[k : k + most])]
             yield part[names].assign(**{out: replies})
 
     rows = df.select(*names)
@@ -53,16 +54,18 @@ def pending(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key), key, "left_anti")
 
 
-def resume(todo: DataFrame, path: str, key: str, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def resume(todo: DataFrame, path: str, key: str, step: Callable[[DataFrame], DataFrame], saves: int = 1) -> DataFrame:
     """Append step's results for the rows that the table at path lacks; returns the whole table.
 
     A run that is lost leaves whole files only, and the next one does what is missing.
+    saves: the rows are dealt by a hash of their keys into so many parts, each saved when it is done.
     """
     spark = todo.sparkSession
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     have = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
     rest = pending(todo, spark.read.parquet(path), key) if have else todo
-    step(rest).write.mode("append").parquet(path)
+    for k in range(saves):
+        step(rest.where(F.pmod(F.xxhash64(key), F.lit(saves)) == k) if saves > 1 else rest).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 

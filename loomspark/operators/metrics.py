@@ -11,13 +11,13 @@ from ..functions.text import ARABIC, clean_text, col, has_script, not_blank, onl
 WEIGHTS = (0.5, 0.3, 0.2)  # of repetition, lost variety and word frequency in the composite
 
 
-def repetition(df: DataFrame, text: str, key: str, letters: str = ARABIC) -> DataFrame:
-    """(key, total_words, unique_words, repeated_words, max_word_frequency) and the ratios made of them; zeros for texts without words.
+def repetition(df: DataFrame, text: str, key: str, letters: str = ARABIC, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *keep, total_words, unique_words, repeated_words, max_word_frequency) and the ratios made of them; zeros for texts without words.
 
     Words are counted within the row, so nothing is exchanged: sorted words, where each
     word's run ends.
     """
-    own = df.select(key, F.array_sort(words(only_script(F.coalesce(F.col(text), F.lit("")), letters))).alias("_w"))
+    own = df.select(key, *keep, F.array_sort(words(only_script(F.coalesce(F.col(text), F.lit("")), letters))).alias("_w"))
     # (word, run length) folded over the sorted words: types, types with more than one, longest run
     zero = F.struct(F.lit("").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("types"), F.lit(0).alias("more"), F.lit(0).alias("top"))
 
@@ -32,9 +32,9 @@ def repetition(df: DataFrame, text: str, key: str, letters: str = ARABIC) -> Dat
             F.greatest(acc["top"], run).alias("top"),
         )
 
-    rows = own.select(key, F.size("_w").cast("long").alias("total_words"), F.aggregate("_w", zero, step).alias("_a"))
+    rows = own.select(key, *keep, F.size("_w").cast("long").alias("total_words"), F.aggregate("_w", zero, step).alias("_a"))
     n, t = F.col("total_words"), F.col("unique_words")
-    out = rows.select(key, "total_words", F.col("_a.types").cast("long").alias("unique_words"), F.col("_a.more").cast("long").alias("repeated_words"), F.col("_a.top").cast("long").alias("max_word_frequency"))
+    out = rows.select(key, *keep, "total_words", F.col("_a.types").cast("long").alias("unique_words"), F.col("_a.more").cast("long").alias("repeated_words"), F.col("_a.top").cast("long").alias("max_word_frequency"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     return out.withColumns({"word_repetition_rate": ratio(F.col("repeated_words") * 100.0, t), "unique_word_ratio": ratio(t, n), "avg_word_frequency": ratio(n, t)})
 
@@ -50,6 +50,14 @@ def run_metrics(df: DataFrame, text: str, *by: str) -> DataFrame:
     return df.withColumn("_v", count_full_lines(text)).groupBy(*by).agg(F.count("*").alias("n"), F.avg("_v").alias("avg_lines"), F.stddev_pop("_v").alias("std_lines"), F.min("_v").alias("min_lines"), F.max("_v").alias("max_lines"))
 
 
+def generation_metrics(df: DataFrame, text: str, key: str, *by: str, letters: str = ARABIC) -> DataFrame:
+    """A run's mean row metrics (`repetition`'s), and its lines' mean, population deviation, least and most."""
+    rows = repetition(df.withColumn("_v", count_full_lines(text)), text, key, letters, keep=(*by, "_v"))
+    means = ("word_repetition_rate", "unique_word_ratio", "avg_word_frequency", "max_word_frequency", "total_words", "unique_words")
+    lines = [F.avg("_v").alias("avg_lines"), F.stddev_pop("_v").alias("std_lines"), F.min("_v").alias("min_lines"), F.max("_v").alias("max_lines")]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *(F.avg(m).alias(f"mean_{m}") for m in means), *lines)
+
+
 def best(df: DataFrame, group: str, name: str, score: str, lowest: bool = True) -> DataFrame:
     """(group, name, score) of the best by score, the first name among equals; null scores don't count."""
     rows = df.where(F.col(score).isNotNull())

@@ -148,6 +148,18 @@ def verse_histogram(t):
     return stats.histogram(t.documents, lines.count_newlines("text"), 0, 100, 10)
 
 
+_GRID = [0.0, 2.0, 5.0, 10.0, 20.0, 50.0]
+
+
+@query(f"""
+WITH v AS (SELECT (len({S.lines('text')}) - 1)::DOUBLE AS v FROM documents WHERE text IS NOT NULL),
+o AS (SELECT count(*)::DOUBLE AS t, sum(v) AS s, sum(v * v) AS q FROM v), h AS (SELECT t, sqrt((q - s * s / t) / (t - 1)) * pow(t, -0.2) AS h FROM o)
+SELECT x, round(sum(exp(-pow((x - v) / h, 2) / 2)) / (any_value(t) * any_value(h) * sqrt(2 * pi())), 9) AS density FROM v, h, unnest({_GRID}::DOUBLE[]) g(x) GROUP BY x
+""")
+def verse_density(t):
+    return stats.density(t.documents, lines.count_newlines("text"), _GRID).withColumn("density", F.round("density", 9))
+
+
 @query("""
 WITH top AS (SELECT source FROM documents GROUP BY source ORDER BY count(*) DESC, source LIMIT 5)
 SELECT source, lang, count(*) AS n FROM documents WHERE source IN (SELECT source FROM top) GROUP BY source, lang
@@ -408,10 +420,10 @@ def mixture_weighted(t):
 
 
 def _eligible():
-    return [F.col("quality").isNotNull() & (F.col("quality") == 1), F.col("toxic").isNotNull(), F.col("text").isNotNull()]
+    return [templates.eligible(["quality"]) & (F.col("quality") == 1), templates.eligible(["toxic"]), templates.eligible(["text"])]
 
 
-_CLAIMS = ["quality = 1", "toxic IS NOT NULL", "text IS NOT NULL"]
+_CLAIMS = [f"(NOT {S.missing('quality')} AND quality = 1)", f"NOT {S.missing('toxic')}", f"NOT {S.missing('text')}"]
 _WALK = " ".join(f"WHEN {ok} AND {S.uniform('doc_id', 42, repr(str(3 * f + k)))} < {share}::DOUBLE THEN {k}" for f, share in enumerate(sampling.FRACTIONS) for k, ok in enumerate(_CLAIMS))
 
 
@@ -621,6 +633,19 @@ def repetition_metrics(t):
     return metrics.repetition(t.documents, "text", "doc_id", LATIN)
 
 
+@query(f"""
+WITH {_M1}, v AS (SELECT doc_id, lang, source, len({S.full_lines('text')}) AS v FROM documents)
+SELECT lang, source, count(*) AS n, round(avg(word_repetition_rate), 6) AS rate, round(avg(unique_word_ratio), 6) AS variety, round(avg(avg_word_frequency), 6) AS frequency, round(avg(max_word_frequency), 6) AS top,
+  round(avg(total_words), 6) AS words, round(avg(unique_words), 6) AS types, round(avg(v), 6) AS avg_lines, round(stddev_pop(v), 6) AS std_lines, min(v) AS min_lines, max(v) AS max_lines
+FROM r JOIN v USING (doc_id) GROUP BY lang, source
+""")
+def generation_metrics(t):
+    out = metrics.generation_metrics(t.documents, "text", "doc_id", "lang", "source", letters=LATIN)
+    names = {"word_repetition_rate": "rate", "unique_word_ratio": "variety", "avg_word_frequency": "frequency", "max_word_frequency": "top", "total_words": "words", "unique_words": "types"}
+    out = out.withColumnsRenamed({f"mean_{a}": b for a, b in names.items()})
+    return out.withColumns({c: F.round(c, 6) for c in (*names.values(), "avg_lines", "std_lines")} | {c: F.col(c).cast("long") for c in ("min_lines", "max_lines")})
+
+
 @query(f"""
 WITH {_M1}, s AS (SELECT lang, source, CAST(sum(repeated_words) AS BIGINT) * 100.0::DOUBLE / CAST(sum(unique_words) AS BIGINT) AS rate, CAST(sum(unique_words) AS BIGINT) / CAST(sum(total_words) AS BIGINT) AS uwr, CAST(sum(total_words) AS BIGINT) / CAST(sum(unique_words) AS BIGINT) AS freq
   FROM r JOIN documents USING (doc_id) GROUP BY lang, source),
@@ -661,13 +686,18 @@ def success_by_type(t):
 
 
 @query(f"""
-SELECT doc_id, kind, CAST(length(changed) - length(text) AS BIGINT) AS length_change, CASE WHEN kind = 'rhyme_content' THEN len({S.lines('text')}) = len({S.lines('changed')}) END AS line_count_preserved, CASE WHEN kind = 'meter_destruction' THEN CAST(len({S.words('changed')}) - len({S.words('text')}) AS BIGINT) END AS word_count_change
-FROM (SELECT doc_id, text, replace(text, 'e', 'e ') AS changed, CASE WHEN doc_id % 2 = 0 THEN 'rhyme_content' ELSE 'meter_destruction' END AS kind FROM documents)
+WITH d AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 3 THEN '{{"corrupted_poem": "x"' || CASE WHEN doc_id % 8 = 3 THEN ', "corrupted_era": "e"}}' ELSE '}}' END ELSE replace(text, 'e', 'e ') END AS changed,
+  CASE doc_id % 4 WHEN 0 THEN 'rhyme_content' WHEN 1 THEN 'meter_destruction' ELSE 'era' END AS kind FROM documents)
+SELECT doc_id, kind, length(text) AS original_length, length(changed) AS changed_length, CAST(length(changed) - length(text) AS BIGINT) AS length_change, regexp_matches(changed, '[{LATIN}]') AS has_script,
+  CASE WHEN kind = 'rhyme_content' THEN len({S.lines('text')}) = len({S.lines('changed')}) END AS line_count_preserved, CASE WHEN kind = 'era' THEN doc_id % 4 = 3 END AS json_valid, CASE WHEN kind = 'era' THEN doc_id % 8 = 3 END AS has_changed_era,
+  CASE WHEN kind = 'meter_destruction' THEN CAST(len({S.words('changed')}) - len({S.words('text')}) AS BIGINT) END AS word_count_change FROM d WHERE text IS NOT NULL
 """)
 def change_report(t):
-    rows = t.documents.withColumns({"changed": F.replace("text", F.lit("e"), F.lit("e ")), "kind": F.when(F.col("doc_id") % 2 == 0, "rhyme_content").otherwise("meter_destruction")})
+    kind = F.expr("CASE doc_id % 4 WHEN 0 THEN 'rhyme_content' WHEN 1 THEN 'meter_destruction' ELSE 'era' END")
+    made = F.expr("""CASE WHEN doc_id % 8 = 3 THEN '{"corrupted_poem": "x", "corrupted_era": "e"}' WHEN doc_id % 4 = 3 THEN '{"corrupted_poem": "x"}' ELSE replace(text, 'e', 'e ') END""")
+    rows = t.documents.where("text is not null").withColumns({"changed": made, "kind": kind})
     out = metrics.change_report(rows, "text", "changed", "kind", LATIN)
-    return out.select("doc_id", "kind", F.col("length_change").cast("long").alias("length_change"), "line_count_preserved", F.col("word_count_change").cast("long").alias("word_count_change"))
+    return out.select("doc_id", "kind", *(F.col(c).cast("long").alias(c) for c in ("original_length", "changed_length", "length_change")), "has_script", "line_count_preserved", "json_valid", "has_changed_era", F.col("word_count_change").cast("long").alias("word_count_change"))
 
 
 @query("SELECT event_type, count(*) FILTER (event_id % 5 <> 0) AS n, avg(event_id % 6) FILTER (event_id % 5 <> 0) AS fluency, avg(event_id % 4) FILTER (event_id % 5 <> 0) AS coherence FROM events GROUP BY event_type")

@@ -101,3 +101,8 @@ def test_reply_items(spark):
 def test_ids(spark):
     assert tuple(one(spark, "p3_r17", values.row_number_id)) == (3, 17)
     assert one(spark, "bad", values.row_number_id) is None
+
+
+def test_display_names(spark):
+    df = spark.createDataFrame([("meter__poet_name___poem_text",), (None,)], "k string")
+    assert [r[0] for r in df.select(text.display_name("k")).collect()] == ["Meter, Poet Name → Poem Text", None]

@@ -295,3 +295,22 @@ def test_prompts_fill_in(spark):
     for kind in templates.CORRUPTIONS:
         one = templates.prompts(df.limit(1).withColumn("kind", F.lit(kind)), "kind", templates.CORRUPTIONS, fields).first().prompt
         assert "{poem" not in one and "text" in one
+
+
+def test_signatures_are_cached(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b c", 1), (2, "a b c", 1)], "id long, t string, p int")
+    for _ in range(2):
+        assert [(r.kept, r.dropped) for r in dedup.match_log(df, "t", "id", ["p"], cache=f"file://{tmp_path}/c").collect()] == [(1, 2)]
+
+
+def test_saves_and_batches(spark, tmp_path):
+    df = spark.range(25).select(F.col("id"), F.concat(F.lit("p"), F.col("id")).alias("q"))
+
+    def provider(prompts):
+        assert len(prompts) <= 4
+        return [p + "!" for p in prompts]
+
+    step = lambda rows: enrich.complete(rows, "q", provider, "a", most=4)
+    path = f"file://{tmp_path}/r"
+    assert enrich.resume(df.where("id < 10"), path, "id", step, saves=3).count() == 10
+    assert {r.a for r in enrich.resume(df, path, "id", step).collect()} == {f"p{k}!" for k in range(25)}
