@@ -8,8 +8,8 @@ candidates; close ones are matches. Each match of a query's corner says where, h
 and how turned the query would lie in the image; matches that agree on it are the
 geometric consensus.
 
-Only keys that some query has travel to the join: which ones is a bitmap of TABLES times
-2 ** TABLE_BITS bits (8 MB), whatever the number of images and queries.
+Only keys that some query may have travel to the join: which ones is a bitmap of TABLES
+times 2 ** SLOT_BITS bits (8 MB), whatever the number of images and queries.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ from .store import Workspace, text_buffers, tidy
 SCALES = (1.0, 1.5, 2.25)
 RADIUS = 4  # pixels of the scale within which a corner is the strongest
 TESTS = 256
-TABLES, TABLE_BITS = 16, 22
-DISTANCE = 56  # bits that matching descriptors may differ in
+TABLES, TABLE_BITS = 16, 48
+SLOT_BITS = 22  # of a table's slots in the bitmap of the keys that queries have
+DISTANCE = 40  # bits that matching descriptors may differ in
 CONSENSUS = 4  # different corners of the query that must agree
 PATCH = 7  # tests lie within this radius, in pixels of the scale
 SEED = 9
@@ -163,16 +164,22 @@ def table_keys(bits: np.ndarray) -> np.ndarray:
     return out
 
 
+def slots(keys: np.ndarray) -> np.ndarray:
+    """The place of each key in the bitmap; other keys of the table may share it."""
+    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)
+    return keys >> TABLE_BITS << SLOT_BITS | mixed.astype(np.int64)
+
+
 def _bits_of(column: pa.Array) -> np.ndarray:
     return text_buffers(column)[0].reshape(-1, TESTS // 8)
 
 
 def _marked(batches):
     """The bits of the keys that a task's descriptors have, as (word, its bits)."""
-    held = np.zeros((TABLES << TABLE_BITS) // 64, np.uint64)
+    held = np.zeros((TABLES << SLOT_BITS) // 64, np.uint64)
     for batch in batches:
-        keys = table_keys(_bits_of(batch.column(0))).reshape(-1)
-        np.bitwise_or.at(held, keys >> 6, np.uint64(1) << (keys & 63).astype(np.uint64))
+        at = slots(table_keys(_bits_of(batch.column(0)))).reshape(-1)
+        np.bitwise_or.at(held, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
     used = np.flatnonzero(held)
     for n in range(0, len(used), 10_000):
         part = used[n : n + 10_000]
@@ -189,7 +196,8 @@ def _keyed(wanted):
                 keys = table_keys(_bits_of(part.column(part.schema.get_field_index("bits"))))
                 ok = np.ones(keys.shape, bool)
                 if wanted is not None:
-                    ok = (wanted.value[keys >> 6] >> (keys & 63).astype(np.uint64)) & np.uint64(1) > 0
+                    at = slots(keys)
+                    ok = (wanted.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
                 row, table = np.nonzero(ok)
                 found = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[row, table]), *found.columns], ["k", *found.schema.names])
@@ -237,7 +245,7 @@ def copies(index: DataFrame, queries: DataFrame, render, render_query, key_type:
     spark, ws = index.sparkSession, Workspace(index.sparkSession, "images")
     right = ws.save(descriptors(queries, render_query, key_type), "queries")
     words = right.select("bits").mapInArrow(tidy(_marked), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    held = np.zeros((TABLES << TABLE_BITS) // 64, np.uint64)  # bounded by the number of keys that there can be
+    held = np.zeros((TABLES << SLOT_BITS) // 64, np.uint64)  # whatever the number of queries
     found = words.toArrow()
     held[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
     wanted = spark.sparkContext.broadcast(held)
@@ -256,28 +264,26 @@ def copies(index: DataFrame, queries: DataFrame, render, render_query, key_type:
     return out
 
 
-@functools.cache
-def _waves(dims: int, side: int) -> np.ndarray:
-    rng = np.random.default_rng(SEED + dims)
-    f, phase = rng.uniform(-9, 9, (dims, 2)), rng.uniform(0, 2 * np.pi, dims)
-    y, x = np.meshgrid(np.arange(side) / side, np.arange(side) / side, indexing="ij")
-    return np.cos(2 * np.pi * (f[:, 0, None, None] * x + f[:, 1, None, None] * y) + phase[:, None, None])
+def pictures(vectors: list, side: int = 64) -> list[np.ndarray | None]:
+    """Grey images for vectors: a texture drawn with the vector's bytes as seed. None for those that hold nothing finite.
 
+    Equal vectors have equal pictures and different ones unrelated pictures, so that what
+    is found are copies and not likenesses.
+    """
+    import xxhash
 
-def pictures(vectors: list, side: int = 64) -> list[np.ndarray | None]:
-    """Grey images that show vectors: one plane wave per component. None for those that hold nothing finite."""
     out: list[np.ndarray | None] = [None] * len(vectors)
-    by: dict[int, list[int]] = {}
     rows = [np.asarray([np.nan if x is None else x for x in v], np.float64) if v is not None else np.zeros(0) for v in vectors]
-    for k, v in enumerate(rows):
-        if len(v) and np.isfinite(v).all() and np.any(v):
-            by.setdefault(len(v), []).append(k)
-    for dims, ks in by.items():
-        v = np.stack([rows[k] for k in ks])
-        shown = (v / np.abs(v).max(1, keepdims=True) @ _waves(dims, side).reshape(dims, -1)).reshape(-1, side, side)
-        low, high = shown.min((1, 2)), shown.max((1, 2))
-        for k, x, a, b in zip(ks, shown, low, high, strict=True):
-            out[k] = np.rint((x - a) / (b - a) * 255) if b > a else None
+    some = [k for k, v in enumerate(rows) if len(v) and np.isfinite(v).all() and np.any(v)]
+    for n in range(0, len(some), 64):
+        ks = some[n : n + 64]
+        draws = [np.random.default_rng(xxhash.xxh64_intdigest(rows[k].tobytes(), SEED)) for k in ks]
+        fine = _smooth(_smooth(_smooth(np.stack([d.standard_normal((side, side)) for d in draws]))))
+        coarse = _resized(np.stack([d.standard_normal((side // 8, side // 8)) for d in draws]), 1 / 8)
+        shown = fine / fine.std((1, 2), keepdims=True) + coarse
+        low, high = shown.min((1, 2), keepdims=True), shown.max((1, 2), keepdims=True)
+        for k, x in zip(ks, np.rint((shown - low) / (high - low) * 255), strict=True):
+            out[k] = x
     return out
 
 
@@ -293,7 +299,7 @@ def edited(image: np.ndarray, seed: int) -> np.ndarray:
 def search(df: DataFrame, every: int = 50, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, image_id, n_rows, consensus, left, top) for the rows whose key is divisible by `every`.
 
-    The tables hold no images, so each row's vector is shown as one (see `pictures`); the
+    The tables hold no images, so each row's vector is shown as one of its own (see `pictures`); the
     query of a row is an edited copy of its image. Rows with equal vectors are one image
     under their smallest key, n_rows says how many, so equal rows are never paired.
     """

@@ -22,6 +22,7 @@ from .store import Workspace, partitions, tidy
 DIRECTIONS = 64
 SHARE = 0.7  # of the directions on which a vector must collide
 ROUNDS = 40
+VERIFIED = 1 << 14  # pairs whose distances are computed at a time
 BLOCK = 8192  # vectors of a block, whose projections are sorted together
 SEED = 7
 
@@ -65,7 +66,9 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, querie
         i, j = np.nonzero((count[live] >= need) & ~seen[live])
         i = live[i]
         seen[i, j] = True
-        dist[i, j] = np.where(own[i, j], np.inf, np.sqrt(((vectors[j] - queries[i]) ** 2).sum(1)))
+        for c in range(0, len(i), VERIFIED):  # pairs at a time
+            a, b = i[c : c + VERIFIED], j[c : c + VERIFIED]
+            dist[a, b] = np.where(own[a, b], np.inf, np.sqrt(((vectors[b] - queries[a]) ** 2).sum(1)))
         if n >= k:
             far = np.partition(dist[live], k - 1, axis=1)[:, k - 1]
         else:
