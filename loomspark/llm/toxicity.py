@@ -168,8 +168,12 @@ def alike(docs: list[np.ndarray], vocabulary: list[str], bands: int = 16, rows:
 
 
 def fit(texts: list[str | None], labels: list[int], rounds: int = 120, rate: float = 0.2, penalty: float = 0.02) -> Model:
-    """Fit on labelled documents. Toxic documents' words that carry a feature which is far commoner in
-    toxic documents are the words labelled 1; all other words are labelled 0."""
+    """Fit on labelled documents, of whose words no labels are known: a document is toxic if any of its words is.
+
+    The field's likelihood of the documents' labels is climbed. A clean document's words
+    are all 0; a toxic document's are what the field itself expects of them, given that
+    they are not all 0. For the first rounds only, its words with a feature that is far
+    commoner in toxic documents count as 1, so that the climb starts near."""
     y = np.array(labels)
     # words by number, so that a word of many documents is held once
     number: dict[str, int] = {}
@@ -210,8 +214,8 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 120, rate: flo
     hit = np.zeros(len(vocabulary), bool)
     hit[list(useful)] = True
     width, slots = 2 * CONTEXT + 1, 1 + len(PREFIXES)
-    feats, gold, real = [], [], []
-    for words, label in zip(docs, y, strict=True):
+    feats, gold, real, of = [], [], [], []
+    for d, (words, label) in enumerate(zip(docs, y, strict=True)):
         done = -1
         for k in np.flatnonzero(hit[words]).tolist():
             if k <= done:
@@ -223,13 +227,16 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 120, rate: flo
             feats.append([x + [-1] * (slots - len(x)) for x in fs] + [[-1] * slots] * (width - len(part)))
             gold.append([int(bool(x) and bool(label)) for x in fs] + [0] * (width - len(part)))
             real.append([True] * len(part) + [False] * (width - len(part)))
+            of.append(d)
     # a window of every document without any carrier anchors the rest's evidence
-    for words in docs:
+    for d, words in enumerate(docs):
         part = words[:width]
+        of.append(-1 if y[d] else d)
         feats.append([[-1] * slots] * width)
         gold.append([0] * width)
         real.append([True] * len(part) + [False] * (width - len(part)))
-    feats, gold, real = np.array(feats), np.array(gold), np.array(real)
+    feats, gold, real, of = np.array(feats), np.array(gold, float), np.array(real), np.array(of)
+    told = (of >= 0) & (y[of] == 1)  # windows of toxic documents
     w, rest, move = np.full(len(index) + 1, 1.0), -2.0, np.zeros((2, 2))
     w[-1] = 0
     theta = np.concatenate([w, [rest], move.reshape(-1)])
@@ -239,11 +246,18 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 120, rate: flo
     for a in (0, 1):
         for b in (0, 1):
             pair_gold[a, b] = ((gold[:, :-1] == a) & (gold[:, 1:] == b) & both).sum()
+    free = both[~told].sum()
     scale = real.sum()
     for k in range(1, rounds + 1):
         w, rest, move = theta[: len(index) + 1], theta[-5], theta[-4:].reshape(2, 2)
         e = w[feats].sum(2) + rest
-        one, pairs = _dense(e, real, move)
+        one, step = _dense(e, real, move)
+        pairs = step[both].sum(0)
+        if k > rounds // 3:
+            gold = np.where(told[:, None], 0.0, gold)
+            gold[told], expected = given_some(one[told], step[told], real[told], of[told], len(y))
+            pair_gold = expected[both[told]].sum(0)
+            pair_gold[0, 0] += free
         d = (gold - one) * real
         g = np.zeros_like(theta)
         g[: len(index) + 1] = np.bincount(np.where(feats < 0, len(index), feats).reshape(-1), np.repeat(d.reshape(-1), slots), len(index) + 1)
@@ -270,8 +284,23 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 120, rate: flo
     return model
 
 
+def given_some(one: np.ndarray, step: np.ndarray, real: np.ndarray, of: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """What `_dense` tells, given that not all words of a window's document (of: its number) are 0.
+
+    A window's words are all 0 with a probability that follows from its transitions, a
+    document's with the product over its windows.
+    """
+    both = real[:, 1:] & real[:, :-1]
+    zero = np.where(both, np.log(np.maximum(step[:, :, 0, 0], 1e-300)) - np.log(np.maximum(1 - one[:, :-1], 1e-300)), 0.0).sum(1)
+    zero += np.log(np.maximum(1 - one[:, 0], 1e-300))
+    some = np.maximum(-np.expm1(np.bincount(of, zero, docs)), 1e-6)[of]
+    pairs = step / some[:, None, None, None]
+    pairs[:, :, 0, 0] = np.maximum(1 - pairs.sum((2, 3)) + pairs[:, :, 0, 0], 0.0)
+    return np.minimum(one / some[:, None], 1.0), pairs
+
+
 def _dense(e: np.ndarray, real: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(P(state 1) per word, expected transitions) of padded windows."""
+    """(P(state 1) per word, P(states of each word and the next)) of padded windows."""
     n, t = e.shape
     own, step = np.exp(np.stack([np.zeros_like(e), np.clip(e, -60, 60)], 2)), np.exp(move)
     own = np.where(real[:, :, None], own, 1.0)
@@ -286,9 +315,7 @@ def _dense(e: np.ndarray, real: np.ndarray, move: np.ndarray) -> tuple[np.ndarra
     m = ahead * behind
     one = m[:, :, 1] / m.sum(2)
     p = ahead[:, :-1, :, None] * step[None, None] * (own * behind)[:, 1:, None, :]
-    p = p / p.sum((2, 3), keepdims=True)
-    p = p[real[:, 1:] & real[:, :-1]]
-    return one, p.sum(0)
+    return one, p / p.sum((2, 3), keepdims=True)
 
 
 def held_out(key):

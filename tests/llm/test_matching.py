@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -178,6 +179,34 @@ def test_suffix_dedup(spark, large):
         assert left + raw[at:] == bytes(r.kept) and r.doc == "x"
 
 
+@pytest.mark.parametrize("large", [suffixes.LARGE, 3])
+def test_passages_are_told_beside_the_bytes(spark, large):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 150))) for _ in range(30)]
+    p = [[word() for _ in range(n)] for n in (50, 51, 52, 60, 90)]
+    texts += [" ".join([texts[k % 30], *own, texts[(k + 3) % 30]]) for own in p for k in range(rng.randint(2, 9))] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffixes.remove(df, texts=False, passages=51, large=large).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_removal(texts, 400)
+    words = [(t or "").split() for t in texts]
+    seen = collections.Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
+    for r, t, w in zip(got, texts, words, strict=True):
+        gone = {k for i in range(len(w) - 50) if seen[tuple(w[i : i + 51])] > 1 for k in range(i, i + 51)}
+        # each word with the blank after it, where there is one
+        assert r.n_passage_bytes == sum(len(w[k]) + (k + 1 < len(w)) for k in gone), t
+
+
+def test_long_texts_go_in_pieces(spark, monkeypatch):
+    texts = repeated_texts(3)
+    texts = [" ".join(texts), " ".join(texts[5:9]), texts[20] + texts[21]]
+    buf, offs = np.frombuffer(texts[0].encode(), np.uint8), np.array([0, len(texts[0])])
+    whole = {(int(p), s) for _, p, a, b in zip(*suffixes.anchors(buf, offs, 400), strict=True) for s in range(a, b + 1)}
+    monkeypatch.setattr(suffixes, "PIECE", 1000)
+    parts = [x for x in suffixes.pieces(buf, offs, 400)]
+    assert len(parts) > 5 and {(int(p), s) for x in parts for _, p, a, b in zip(*x, strict=True) for s in range(a, b + 1)} == whole
+
+
 def test_suffix_dedup_repeated_rows_and_null_keys(spark):
     t = repeated_texts()[0] * 3
     rows = [(1, t), (1, t), (None, "x" * 450), (None, "y" * 450), (2, "z" * 500)]
@@ -270,6 +299,27 @@ def toxic_corpus(n=600, seed=8):
     return out
 
 
+def test_expectations_given_some_word_is_toxic():
+    rng = np.random.default_rng(15)
+    e, move = rng.normal(size=(2, 3)), rng.normal(size=(2, 2))
+    real = np.array([[True] * 3, [True, True, False]])
+    one, step = toxicity._dense(np.where(real, e, 0), real, move)
+    got, pairs = toxicity.given_some(one, step, real, np.array([0, 0]), 1)
+    total, want, want_pairs = 0.0, np.zeros((2, 3)), np.zeros((2, 2, 2, 2))
+    for bits in itertools.product((0, 1), repeat=5):
+        rows = [bits[:3], bits[3:]]
+        w = np.exp(sum(e[r, k] * b for r, row in enumerate(rows) for k, b in enumerate(row)) + sum(move[a, b] for row in rows for a, b in itertools.pairwise(row)))
+        if any(bits):
+            total += w
+            for r, row in enumerate(rows):
+                for k, b in enumerate(row):
+                    want[r, k] += w * b
+                for k, (a, b) in enumerate(itertools.pairwise(row)):
+                    want_pairs[r, k, a, b] += w
+    assert np.allclose(got[real], (want / total)[real])
+    assert np.allclose(pairs[0], want_pairs[0] / total) and np.allclose(pairs[1, 0], want_pairs[1, 0] / total)
+
+
 def test_toxicity(spark):
     rows = toxic_corpus()
     docs = spark.createDataFrame([(k, t, 1) for k, t, _ in rows] + [(9001, None, 1), (9002, "", 1)], "doc_id long, text string, score int")
@@ -364,7 +414,7 @@ def test_images(spark):
     v = rng.normal(size=(250, 64))
     rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(300, v[3].tolist()), (301, v[3].tolist()), (350, None), (400, [0.0] * 64), (450, [None] * 64)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = images.search(df, every=10).collect()
+    got = images.search(df.withColumns({c: F.lit(1) for c in ("id", "v", "n", "bits", "query_id")}), every=10).collect()
     own = {r.query_id for r in got if r.query_id == r.image_id}
     assert len(own & set(range(0, 250, 10))) >= 23  # recall of 0.9 or more over 25 edited crops
     assert {(r.query_id, r.image_id, r.n_rows) for r in got if r.query_id == 300} == {(300, 3, 3)}
