@@ -51,7 +51,7 @@ ANCHOR = 48  # bytes whose hash names a bucket
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 BLOCK = 4_000  # entries sorted at a time
 LONG = 64  # bytes of the longest word that is told by its hash
-LARGE = 2_000  # different entries of a bucket beyond which it is divided
+LARGE = 1_000  # different entries of a bucket beyond which it is divided
 PIECE = 1 << 20  # bytes of a text whose anchors are found at a time
 
 
@@ -67,11 +67,42 @@ def _shifts() -> np.ndarray:
     return out
 
 
-class CoverRanks:
-    """Ranks of the sampled suffixes of a block's text, by at least `width` bytes."""
+class Text:
+    """A block's text, with room to read past its end."""
 
     def __init__(self, text: np.ndarray, width: int):
         self.text = np.concatenate([text, np.zeros(width + 4 * PERIOD + 64, np.uint8)])
+
+    def words(self, at: np.ndarray) -> list[np.ndarray]:
+        """The 64 bytes at each position as eight integers in byte order."""
+        view = np.ndarray((len(self.text) - 7,), ">u8", self.text, strides=(1,))
+        return [view[np.minimum(at + 8 * k, len(view) - 1)].astype(np.uint64) for k in range(8)]
+
+    def shared(self, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+        """Leading bytes that are equal, up to width."""
+        out = np.empty(len(a), np.int64)
+        span = np.arange(width)
+        for k in range(0, len(a), 4096):
+            differ = self.text[a[k : k + 4096, None] + span] != self.text[b[k : k + 4096, None] + span]
+            out[k : k + 4096] = np.where(differ.any(1), differ.argmax(1), width)
+        return out
+
+    def presorted(self, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order of the suffixes within groups by 64 bytes, whether each ties with the one before, whether it has its group)."""
+        words = self.words(at)
+        order = np.lexsort([*words[::-1], group])
+        one = np.append(False, group[order][1:] == group[order][:-1])
+        same = one.copy()
+        for w in words:
+            same[1:] &= w[order][1:] == w[order][:-1]
+        return order, same, one
+
+
+class CoverRanks(Text):
+    """Ranks of the sampled suffixes of a block's text, by at least `width` bytes."""
+
+    def __init__(self, text: np.ndarray, width: int):
+        super().__init__(text, width)
         rows = -(-len(text) // PERIOD) + 1
         at = (np.arange(rows)[:, None] * PERIOD + np.array(COVER)).reshape(-1)
         at = at[at <= len(text) + PERIOD]
@@ -92,7 +123,10 @@ class CoverRanks:
         for w in words:
             h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(32)
-        _, first, of = np.unique(h, return_index=True, return_inverse=True)
+        order = np.argsort(h)
+        fresh = np.append(True, h[order][1:] != h[order][:-1]) if len(h) else np.zeros(0, bool)
+        first, of = order[fresh], np.empty(len(h), np.int64)
+        of[order] = np.cumsum(fresh) - 1
         if any((w[first][of] != w).any() for w in words):  # two blocks share a hash
             first, of = np.arange(len(h)), np.arange(len(h))
         few = [w[first] for w in words]
@@ -104,23 +138,14 @@ class CoverRanks:
         rank[order] = np.cumsum(new)
         return rank[of]
 
-    def words(self, at: np.ndarray) -> list[np.ndarray]:
-        """The 64 bytes at each position as eight integers in byte order."""
-        view = np.ndarray((len(self.text) - 7,), ">u8", self.text, strides=(1,))
-        return [view[np.minimum(at + 8 * k, len(view) - 1)].astype(np.uint64) for k in range(8)]
-
     def index(self, at):
         return at // PERIOD * len(COVER) + self.place[at % PERIOD]
 
     def sort(self, at: np.ndarray, group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(order of the suffixes within groups, bytes shared with the one before; -1 where a group begins)."""
-        words = self.words(at)
-        order = np.lexsort([*words[::-1], group])
-        same = group[order][1:] == group[order][:-1]
-        for w in words:
-            same &= w[order][1:] == w[order][:-1]
-        ties = np.flatnonzero(np.append(same, False) & ~np.append(False, same))
-        ends = np.flatnonzero(np.append(False, same) & ~np.append(same, False)) + 1
+        order, same, _ = self.presorted(at, group)
+        ties = np.flatnonzero(np.append(same[1:], False) & ~same)
+        ends = np.flatnonzero(same & ~np.append(same[1:], False)) + 1
         shift, rank, place, n_cover, top = _shifts(), self.rank, self.place, len(COVER), len(self.rank) - 1
 
         def before(x, y):
@@ -139,15 +164,6 @@ class CoverRanks:
         lcp[inner] = self.shared(at[order[inner]], at[order[inner - 1]], width)
         return order, lcp
 
-    def shared(self, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
-        """Leading bytes that are equal, up to width."""
-        out = np.empty(len(a), np.int64)
-        span = np.arange(width)
-        for k in range(0, len(a), 4096):
-            differ = self.text[a[k : k + 4096, None] + span] != self.text[b[k : k + 4096, None] + span]
-            out[k : k + 4096] = np.where(differ.any(1), differ.argmax(1), width)
-        return out
-
 
 def repeats(keys: np.ndarray, texts: list[bytes], anchor: np.ndarray, width: int = WIDTH) -> list[tuple[int, int, int]]:
     """(entry, first, last): runs of strings, by where they start in the entry's text, that occur in another entry of its key.
@@ -175,7 +191,18 @@ def _block(keys, texts, anchor, width):
 
     def sides(parts, length):
         at = np.cumsum(length) - length
-        order, lcp = CoverRanks(np.frombuffer(b"".join(parts), np.uint8), width).sort(at, keys, width)
+        text = Text(np.frombuffer(b"".join(parts), np.uint8), width)
+        order, same, one = text.presorted(at, keys)
+        lcp = np.full(len(at), -1)
+        inner = np.flatnonzero(one & ~same)
+        lcp[inner] = text.shared(at[order[inner]], at[order[inner - 1]], 64)
+        tied = np.flatnonzero(same | np.append(same[1:], False))
+        if len(tied):  # only these need cover ranks
+            own = order[tied]
+            ranks = CoverRanks(np.frombuffer(b"".join([parts[k] for k in own.tolist()]), np.uint8), width)
+            by, more = ranks.sort(np.cumsum(length[own]) - length[own], np.cumsum(~same[tied]), width)
+            order[tied] = own[by]
+            lcp[tied] = np.where(more >= 0, more, lcp[tied])
         place = np.empty(len(at), np.int64)
         place[order] = np.arange(len(at))
         # what an entry shares at most with any other of its key
@@ -232,12 +259,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> tuple[np.n
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-
-
-@functools.cache
-def _mix() -> np.ndarray:
-    """[place in the word, byte]: random numbers, whose exclusive or is a word's hash."""
-    return np.random.default_rng(57).integers(0, 1 << 64, (LONG, 256), np.uint64)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def word_code(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -251,9 +273,16 @@ def word_code(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, np.uint8), np.zeros(len(offs), np.int64), start, start, start
     stop = np.flatnonzero(~blank & (np.append(blank[1:], True) | first[1:])) + 1
     length = stop - start
-    full = np.flatnonzero(~blank)
-    place = np.minimum(full - np.repeat(start, length), LONG - 1)
-    h = np.bitwise_xor.reduceat(_mix()[place, buf[full]], np.cumsum(length) - length)
+    # eight bytes of all words at a time
+    raw = np.ndarray((n,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    h, own = length.astype(np.uint64), np.arange(len(start))
+    for k in range(0, LONG, 8):
+        own = own[length[own] > k]
+        if not len(own):
+            break
+        x = (h[own] ^ (raw[start[own] + k] & _MASKS[np.minimum(length[own] - k, 8)])) * np.uint64(0x9E3779B97F4A7C15)
+        h[own] = (x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
     size = np.where(length <= LONG, 8, -(-length // 8) * 8)
     ends = np.append(0, np.cumsum(size))
     code = np.zeros(int(ends[-1]) // 8, np.uint64)
@@ -284,6 +313,16 @@ def covered_bytes(own: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return out
 
 
+def anchor_keys(buf: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """A hash of the ANCHOR bytes at each place."""
+    words = np.ndarray((max(len(buf) - 7, 0),), "<u8", np.ascontiguousarray(buf), strides=(1,))
+    h = np.full(len(p), ANCHOR, np.uint64)
+    for k in range(0, ANCHOR, 8):
+        h = (h ^ words[p + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
+
+
 def pieces(buf: np.ndarray, offs: np.ndarray, width: int):
     """`anchors` of all texts, a bounded part of a very long one at a time."""
     whole = len(buf) <= PIECE or len(offs) > 2
@@ -310,29 +349,34 @@ def divide(text: bytes, a: int, left: int, right: int, width: int):
         yield b"r", left, near, low, min(high, far - 1), text[a - left : a + near]
 
 
-def _divided(width: int):
+def _divided(modes):
     def run(batches):
         import xxhash
 
         h = xxhash.xxh3_64_intdigest
-        names = ["doc", "th", "key", "body", "n", "a", "lo", "left", "right", "text"]
+        names = ["doc", "th", "mode", "key", "body", "n", "a", "lo", "left", "right", "text"]
         for batch in batches:
-            c = {x: batch.column(x).to_pylist() for x in ("key", "n", "a", "lo", "left", "right", "text")}
+            c = {x: batch.column(x).to_pylist() for x in ("mode", "key", "n", "a", "lo", "left", "right", "text")}
             out = {x: [] for x in ("i", *names[2:])}
-            for i, (key, n, a, lo, left, right, text) in enumerate(zip(*c.values(), strict=True)):
+            for i, (mode, key, n, a, lo, left, right, text) in enumerate(zip(*c.values(), strict=True)):
+                width = modes[mode][0]
                 for side, l, r, few, most, shared in divide(text, a, left, right, width):
                     own = text[a - most : a - few + width]
                     new = np.array([h(shared + side + key.to_bytes(8, "little", signed=True)), h(own, 1)], np.uint64).view(np.int64)
-                    for x, value in zip(out, (i, int(new[0]), int(new[1]), n, most, lo + a - most, l, r, own), strict=True):
+                    for x, value in zip(out, (i, mode, int(new[0]), int(new[1]), n, most, lo + a - most, l, r, own), strict=True):
                         out[x].append(value)
             of = pa.array(out["i"], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(of), batch.column("th").take(of), *(pa.array(out[x], pa.int64()) for x in names[2:-1]), pa.array(out["text"], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(of), batch.column("th").take(of), pa.array(out["mode"], pa.int32()), *(pa.array(out[x], pa.int64()) for x in names[3:-1]), pa.array(out["text"], pa.binary())], names)
 
     return run
 
 
-def _spans(df: DataFrame, doc: str, text: str, width: int, large: int, ws: Workspace, words: bool = False) -> DataFrame:
-    """(doc, th, lo, hi): runs of starts of strings that occur elsewhere too; th is the text's hash."""
+def _spans(df: DataFrame, doc: str, text: str, modes: list[tuple[int, bool]], large: int, ws: Workspace) -> DataFrame:
+    """(doc, th, mode, lo, hi): runs of starts of strings that occur elsewhere too; th is the text's hash.
+
+    modes: (width, whether words are told by hashes); all are searched for side by side,
+    in buckets of their own, so that texts are moved once.
+    """
     import xxhash
 
     spark = df.sparkSession
@@ -340,72 +384,78 @@ def _spans(df: DataFrame, doc: str, text: str, width: int, large: int, ws: Works
     own = df.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
 
     def find(batches):
+        h = xxhash.xxh3_64_intdigest
         for batch in batches:
             buf, offs = text_buffers(batch.column(2))
             for i, j in slices(offs, 1 << 17):
-                sub, own = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                if words:
-                    sub, own, *_ = word_code(sub, own)
-                data, h = sub.tobytes(), xxhash.xxh3_64_intdigest
-                for t, p, lo, hi in pieces(sub, own, width):
-                    key = [h(data[k : k + ANCHOR]) for k in p.tolist()]
-                    body = [h(data[a : b + width], 1) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-                    zero = own[t]
-                    of = pa.array(t + i)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(np.array(body, np.uint64).view(np.int64)), *(pa.array((x - zero).astype(np.int32)) for x in (p, lo, hi))], ["doc", "th", "key", "body", "p", "lo", "hi"])
-
-    least = width // 4 - 1 if words else width  # words of one byte and the blanks between
-    found = ws.save(own.where(F.octet_length("text") >= least).mapInArrow(tidy(find), f"doc {kind}, th long, key long, body long, p int, lo int, hi int"), "anchors")
-    # a table of its own: the join then exchanges both sides, so that a frequent key's rows can be split
-    many = ws.save(found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "many")
-    kept = ws.save(found.join(many, "key", "left_semi"), "kept")
-    ws.drop("anchors")
+                for mode, (width, words) in enumerate(modes):
+                    sub, own = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                    if words:
+                        sub, own, *_ = word_code(sub, own)
+                    data = sub.tobytes()
+                    for t, p, lo, hi in pieces(sub, own, width):
+                        key = anchor_keys(sub, p) + np.uint64(mode)
+                        body = [h(data[a : b + width], 1) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                        zero = own[t]
+                        of = pa.array(t + i)
+                        at = (x - zero for x in (p, lo, hi))
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.full(len(t), mode, np.int32)), pa.array(key.view(np.int64)), pa.array(np.array(body, np.uint64).view(np.int64)), *(pa.array(x.astype(np.int32)) for x in at)], ["doc", "th", "mode", "key", "body", "p", "lo", "hi"])
+
+    least = min(width // 4 - 1 if words else width for width, words in modes)  # words of one byte and the blanks between
+    found = ws.save(own.where(F.octet_length("text") >= least).mapInArrow(tidy(find), f"doc {kind}, th long, mode int, key long, body long, p int, lo int, hi int"), "anchors")
     # entries: texts of a bucket that differ; key and body together are 128 bits of hash
-    entries = kept.groupBy("key", "body").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "th", "p", "lo", "hi")))
+    entries = found.groupBy("key", "body").agg(F.count("*").alias("n"), F.first(F.struct("doc", "th", "mode", "p", "lo", "hi")).alias("f")).select("key", "body", "n", "f.*")
+    # tables of their own: joins then exchange both sides, so that a frequent key's rows can be split
     entries = ws.save(entries, "entries")
-    # merged, as only sorted joins are split where one entry has very many rows
-    whole = kept.join(entries.where("n > 1").select("key", "body").hint("merge"), ["key", "body"], "left_semi").select("doc", "th", "lo", "hi")
+    whole = [ws.save(found.join(entries.where("n > 1").select("key", "body"), ["key", "body"], "left_semi").select("doc", "th", "mode", "lo", "hi"), "whole")]
+    ws.drop("anchors")
     wide = ws.save(entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "wide")
-    part = entries.join(wide, "key").select("doc", "th", F.struct("key", "n", "m", "p", "lo", "hi").alias("e"))
+    part = entries.join(wide, "key").select("doc", "th", F.struct("mode", "key", "n", "m", "p", "lo", "hi").alias("e"))
     lists = part.groupBy("doc", "th").agg(F.collect_list("e").alias("es"))  # bounded by the document's length
     with_text = own.alias("o").join(lists.alias("l"), F.col("o.doc").eqNullSafe(F.col("l.doc")) & F.col("o.th").eqNullSafe(F.col("l.th")))
     # rows that repeat a document, text and all, need its entries once
     with_text = with_text.select("o.doc", "o.th", "text", "es")
 
     def texts(batches):
+        names = ("mode", "key", "n", "m", "a", "lo")
         for batch in batches:
-            buf, offs = text_buffers(batch.column(2))
-            if words:
-                buf, offs, *_ = word_code(buf, offs)
-            out = {k: [] for k in ("i", "key", "n", "m", "a", "lo", "text")}
+            raw, ends = text_buffers(batch.column(2))
+            out = {k: [] for k in ("i", *names, "text")}
             for i, es in enumerate(batch.column(3).to_pylist()):
+                own = raw[ends[i] : ends[i + 1]]
+                held = {}
                 for e in es:
+                    mode = e["mode"]
+                    if mode not in held:
+                        held[mode] = word_code(own, np.array([0, len(own)]))[0] if modes[mode][1] else own
                     out["i"].append(i)
-                    for k in ("key", "n", "m", "lo"):
+                    for k in ("mode", "key", "n", "m", "lo"):
                         out[k].append(e[k])
                     out["a"].append(e["p"] - e["lo"])
-                    out["text"].append(buf[offs[i] + e["lo"] : offs[i] + e["hi"] + width].tobytes())
+                    out["text"].append(held[mode][e["lo"] : e["hi"] + modes[mode][0]].tobytes())
                 if len(out["i"]) >= 5000 or i == batch.num_rows - 1:
                     of = pa.array(out["i"], pa.int32())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *(pa.array(out[k], pa.int64()) for k in ("key", "n", "m", "a", "lo")), pa.array(out["text"], pa.binary())], ["doc", "th", "key", "n", "m", "a", "lo", "text"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(out["mode"], pa.int32()), *(pa.array(out[k], pa.int64()) for k in names[1:]), pa.array(out["text"], pa.binary())], ["doc", "th", *names, "text"])
                     out = {k: [] for k in out}
 
-    cut = ws.save(with_text.mapInArrow(tidy(texts), f"doc {kind}, th long, key long, n long, m long, a long, lo long, text binary"), "cut")
+    cut = ws.save(with_text.mapInArrow(tidy(texts), f"doc {kind}, th long, mode int, key long, n long, m long, a long, lo long, text binary"), "cut")
 
     def entry(rows):
-        return rows.select("doc", "th", "key", "n", "a", "lo", "text")
+        return rows.select("doc", "th", "mode", "key", "n", "a", "lo", "text")
 
     ready = [entry(cut.where(f"m <= {large}").dropDuplicates(["key", "doc", "th", "lo"]))]
-    division = f"doc {kind}, th long, key long, body long, n long, a long, lo long, left long, right long, text binary"
+    division = f"doc {kind}, th long, mode int, key long, body long, n long, a long, lo long, left long, right long, text binary"
+    width_of = "element_at(array({}), mode + 1)".format(", ".join(str(width) for width, _ in modes))
     # the divisions end: each leaves less than half of the text that strings of a bucket may differ in
     level, some = 0, not wide.where(f"m > {large}").isEmpty()
     rest = cut.where(f"m > {large}").dropDuplicates(["key", "doc", "th", "lo"]).withColumns({"left": F.lit(0).cast("long"), "right": F.lit(ANCHOR).cast("long")})
     while some:
         level += 1
-        sub = ws.save(rest.mapInArrow(tidy(_divided(width)), division), f"divided{level}")
-        one = ws.save(sub.groupBy("key", "body").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.first(F.struct("doc", "th", "a", "lo", "left", "right", "text")).alias("f")), f"entries{level}")
-        twins = sub.where("n = 1").join(one.where("c > 1").select("key", "body").hint("merge"), ["key", "body"], "left_semi")
-        whole = whole.unionByName(twins.select("doc", "th", F.col("lo").cast("int").alias("lo"), F.expr(f"cast(lo + octet_length(text) - {width} as int)").alias("hi")))
+        sub = ws.save(rest.mapInArrow(tidy(_divided(modes)), division), f"divided{level}")
+        one = ws.save(sub.groupBy("key", "body").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.first(F.struct("doc", "th", "mode", "a", "lo", "left", "right", "text")).alias("f")), f"entries{level}")
+        twins = sub.where("n = 1").select("key", "body", "doc", "th", "mode", F.col("lo").cast("int").alias("lo"), F.expr(f"cast(lo + octet_length(text) - {width_of} as int)").alias("hi"))
+        twins = twins.join(one.where("c > 1").select("key", "body"), ["key", "body"], "left_semi").drop("key", "body")
+        whole.append(ws.save(twins, f"whole{level}"))
         sizes = ws.save(one.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), f"wide{level}")
         rows = one.join(sizes, "key").select("key", "n", "m", "f.*")
         ready.append(entry(rows.where(f"m <= {large}")))
@@ -414,19 +464,25 @@ def _spans(df: DataFrame, doc: str, text: str, width: int, large: int, ws: Works
     buckets = max(partitions(spark), -(-total // BLOCK))
 
     def sort(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("key", "ascending")])
-        keys = table.column("key").to_numpy()
-        runs = repeats(keys, table.column("text").to_pylist(), table.column("a").to_numpy(), width)
+        table = table.combine_chunks().sort_by([("mode", "ascending"), ("key", "ascending")])
+        modes_, keys, anchor = (table.column(c).to_numpy() for c in ("mode", "key", "a"))
+        texts_, runs = table.column("text").to_pylist(), []
+        for mode, (width, _) in enumerate(modes):
+            i, j = np.searchsorted(modes_, [mode, mode + 1]).tolist()
+            if i < j:
+                runs += [(i + e, lo, hi) for e, lo, hi in repeats(keys[i:j], texts_[i:j], anchor[i:j], width)]
+        del texts_
         n, lo = table.column("n").to_numpy(), table.column("lo").to_numpy()
         runs = [r for r in runs if n[r[0]] == 1]  # other entries repeat as a whole
         e = np.array([r[0] for r in runs], np.int64)
-        rows = table.select(["doc", "th"]).take(pa.array(e))
+        rows = table.select(["doc", "th", "mode"]).take(pa.array(e))
         release()
         first, last = np.array([r[1] for r in runs], np.int64), np.array([r[2] for r in runs], np.int64)
-        return pa.table({"doc": rows.column("doc"), "th": rows.column("th"), "lo": pa.array((lo[e] + first).astype(np.int32)), "hi": pa.array((lo[e] + last).astype(np.int32))})
+        return pa.table({"doc": rows.column("doc"), "th": rows.column("th"), "mode": rows.column("mode"), "lo": pa.array((lo[e] + first).astype(np.int32)), "hi": pa.array((lo[e] + last).astype(np.int32))})
 
     rows = functools.reduce(DataFrame.unionByName, ready).withColumn("bucket", F.pmod(F.col("key"), F.lit(buckets)))
-    return whole.unionByName(rows.groupBy("bucket").applyInArrow(sort, f"doc {kind}, th long, lo int, hi int"))
+    whole.append(ws.save(rows.groupBy("bucket").applyInArrow(sort, f"doc {kind}, th long, mode int, lo int, hi int"), "sorted"))
+    return functools.reduce(DataFrame.unionByName, whole)
 
 
 def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, texts: bool = True, keep: tuple[str, ...] = (), large: int = LARGE, words: int = 0, passages: int = 0) -> DataFrame:
@@ -440,17 +496,13 @@ def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int =
     twins; null and equal keys are told apart by the text; other columns are left out; an
     empty table gives no row. The result is a written table, and what led to it is deleted.
     """
-    spark, ws = df.sparkSession, Workspace(df.sparkSession, "suffixes")
-    kind = dict(df.dtypes)[doc]
+    ws = Workspace(df.sparkSession, "suffixes")
     width = 8 * words or width
-    found = ws.save(_spans(df, doc, text, width, large, ws, words > 0), "spans").withColumn("own", F.lit(True))
-    if passages:
-        ws.drop(*(n for n in ws.names() if n != "spans"))
-        more = Workspace(spark, "passages")
-        found = found.unionByName(ws.save(_spans(df, doc, text, 8 * passages, large, more, True), "passages").withColumn("own", F.lit(False)))
-        more.drop("")
+    modes = [(width, words > 0), *([(8 * passages, True)] if passages else [])]
+    found = _spans(df, doc, text, modes, large, ws)
+    ws.drop(*(n for n in ws.names() if not n.startswith(("whole", "sorted"))))
     span = F.struct("lo", "hi")
-    lists = found.groupBy("doc", "th").agg(F.collect_list(F.when(F.col("own"), span)).alias("spans"), F.collect_list(F.when(~F.col("own"), span)).alias("passages"))  # bounded by the document's length
+    lists = found.groupBy("doc", "th").agg(F.collect_list(F.when(F.col("mode") == 0, span)).alias("spans"), F.collect_list(F.when(F.col("mode") == 1, span)).alias("passages"))  # bounded by the document's length
     carried = [f"_keep{k}" for k in range(len(keep))]
     own = df.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"), *(F.col(c).alias(k) for c, k in zip(keep, carried, strict=True)))
     rows = own.alias("o").join(lists.alias("l"), F.col("o.doc").eqNullSafe(F.col("l.doc")) & F.col("o.th").eqNullSafe(F.col("l.th")), "left")
