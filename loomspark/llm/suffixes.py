@@ -294,9 +294,9 @@ def word_code(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code, ends[np.searchsorted(start, offs)], start, stop, ends[:-1]
 
 
-def covered_bytes(own: np.ndarray, gone: np.ndarray) -> np.ndarray:
-    """Bytes of a text that go if those of its code go: words covered whole, with the blanks up to the next word."""
-    _, _, start, stop, at = word_code(own, np.array([0, len(own)]))
+def covered_bytes(own: np.ndarray, coded: tuple, gone: np.ndarray) -> np.ndarray:
+    """Bytes of a text that go if those of its code (`word_code`) go: words covered whole, with the blanks up to the next word."""
+    _, _, start, stop, at = coded
     ahead = np.append(start[1:], len(own))
     held = np.append(0, np.cumsum(gone))
     length = stop - start
@@ -404,7 +404,7 @@ def _spans(df: DataFrame, doc: str, text: str, modes: list[tuple[int, bool]], la
     least = min(width // 4 - 1 if words else width for width, words in modes)  # words of one byte and the blanks between
     found = ws.save(own.where(F.octet_length("text") >= least).mapInArrow(tidy(find), f"doc {kind}, th long, mode int, key long, body long, p int, lo int, hi int"), "anchors")
     # entries: texts of a bucket that differ; key and body together are 128 bits of hash
-    entries = found.groupBy("key", "body").agg(F.count("*").alias("n"), F.first(F.struct("doc", "th", "mode", "p", "lo", "hi")).alias("f")).select("key", "body", "n", "f.*")
+    entries = found.groupBy("key", "body").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "th", "mode", "p", "lo", "hi")))
     # tables of their own: joins then exchange both sides, so that a frequent key's rows can be split
     entries = ws.save(entries, "entries")
     whole = [ws.save(found.join(entries.where("n > 1").select("key", "body"), ["key", "body"], "left_semi").select("doc", "th", "mode", "lo", "hi"), "whole")]
@@ -419,20 +419,18 @@ def _spans(df: DataFrame, doc: str, text: str, modes: list[tuple[int, bool]], la
     def texts(batches):
         names = ("mode", "key", "n", "m", "a", "lo")
         for batch in batches:
-            raw, ends = text_buffers(batch.column(2))
+            raw = text_buffers(batch.column(2))
+            held = [word_code(*raw)[:2] if words else raw for _, words in modes]
             out = {k: [] for k in ("i", *names, "text")}
             for i, es in enumerate(batch.column(3).to_pylist()):
-                own = raw[ends[i] : ends[i + 1]]
-                held = {}
                 for e in es:
                     mode = e["mode"]
-                    if mode not in held:
-                        held[mode] = word_code(own, np.array([0, len(own)]))[0] if modes[mode][1] else own
+                    own, ends = held[mode]
                     out["i"].append(i)
                     for k in ("mode", "key", "n", "m", "lo"):
                         out[k].append(e[k])
                     out["a"].append(e["p"] - e["lo"])
-                    out["text"].append(held[mode][e["lo"] : e["hi"] + modes[mode][0]].tobytes())
+                    out["text"].append(own[ends[i] + e["lo"] : ends[i] + e["hi"] + modes[mode][0]].tobytes())
                 if len(out["i"]) >= 5000 or i == batch.num_rows - 1:
                     of = pa.array(out["i"], pa.int32())
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(out["mode"], pa.int32()), *(pa.array(out[k], pa.int64()) for k in names[1:]), pa.array(out["text"], pa.binary())], ["doc", "th", *names, "text"])
@@ -458,6 +456,7 @@ def _spans(df: DataFrame, doc: str, text: str, modes: list[tuple[int, bool]], la
         whole.append(ws.save(twins, f"whole{level}"))
         sizes = ws.save(one.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), f"wide{level}")
         rows = one.join(sizes, "key").select("key", "n", "m", "f.*")
+        ws.drop(f"divided{level}")
         ready.append(entry(rows.where(f"m <= {large}")))
         rest, some = rows.where(f"m > {large}").drop("m"), not sizes.where(f"m > {large}").isEmpty()
     total = part.count()
@@ -522,11 +521,11 @@ def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int =
                 own = buf[offs[i] : offs[i + 1]]
                 gone, told_ = np.zeros(len(own), bool), 0
                 some, more = lo.is_valid and len(lo) > 0, p_lo.is_valid and len(p_lo) > 0
-                coded = word_code(own, np.array([0, len(own)]))[0] if more or some and words else own
+                coded = word_code(own, np.array([0, len(own)])) if more or some and words else None
                 if some:
-                    gone = covered_bytes(own, covered(coded, lo, hi, width)) if words else covered(own, lo, hi, width)
+                    gone = covered_bytes(own, coded, covered(coded[0], lo, hi, width)) if words else covered(own, lo, hi, width)
                 if more:
-                    told_ = int(covered_bytes(own, covered(coded, p_lo, p_hi, 8 * passages)).sum())
+                    told_ = int(covered_bytes(own, coded, covered(coded[0], p_lo, p_hi, 8 * passages)).sum())
                 edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
                 rest = own[~gone].tobytes()
                 n.append(len(own))
