@@ -907,3 +907,6 @@ def null_keeping_filters(t):
 @query(f"SELECT doc_id, {S.missing('quality')} AS missing, (lang IS NOT NULL)::INT + (quality IS NOT NULL)::INT + (toxic IS NOT NULL)::INT AS filled FROM documents LEFT JOIN labels USING (doc_id)")
 def missing_flags(t):
     return t.labelled.select("doc_id", missing.is_missing("quality").alias("missing"), missing.filled("lang", "quality", "toxic").alias("filled"))
+
+
+from . import files, shapes  # noqa: E402, F401  these register more queries

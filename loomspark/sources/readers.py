@@ -82,7 +82,8 @@ def path_part(level: int) -> Column:
 
 def datasets(spark: SparkSession, root: str, fmt: str = "csv", **options) -> DataFrame:
     """All data sets below a folder, one sub-folder each, whose name is dataset_name."""
-    reader = spark.read.options(header=True, multiLine=True, escape='"', **options)
+    own = {"header": True, "multiLine": True, "escape": '"'} if fmt == "csv" else {}
+    reader = spark.read.options(**own | options)
     return reader.format(fmt).load(f"{root.rstrip('/')}/*/").withColumn("dataset_name", path_part(1))
 
 

@@ -76,7 +76,7 @@ def described(c: str):
     text = trim_ws(c)
     mended = F.when(text.startswith("[") & ~text.endswith("]"), F.concat(text, F.lit("]"))).otherwise(text)
     found = F.from_json(mended, "array<struct<text: string>>")
-    return F.coalesce(F.concat_ws(" ", F.transform(found, lambda x: x["text"])), F.col(c))
+    return F.when(found.isNotNull(), F.concat_ws(" ", F.transform(found, lambda x: x["text"]))).otherwise(F.col(c))
 
 
 def quoted_poems(df: DataFrame) -> DataFrame:

@@ -15,7 +15,9 @@ LONG_CONTEXT = 8000  # tokens from which a sample counts as long
 
 
 def delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
+    """With a header; white space at the ends of fields stays."""
+    writer = df.write.mode(mode).option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def instructions(df: DataFrame, path: str, instruction: str = "input", output: str = "output", mode: str = "overwrite") -> None:
