@@ -252,3 +252,18 @@ def random_windows(t):
     return rows.select("doc_id", (F.contains("text", "w") & n.between(1, 5)).alias("inside"))
 
 
+
+
+@query("""
+SELECT doc_id, 'T ' || doc_id AS title, 'http://x/' || doc_id AS poem_url, 'x/cat-poet-' || doc_id AS poet_page_url, source AS poet, 'era ' || lang AS era, source AS country, 'about ' || lang AS poet_description, 'id' || doc_id || '@' AS poet_english_id,
+  CASE doc_id % 3 WHEN 0 THEN lang || chr(9) || source || chr(10) || 'odd' || chr(9) WHEN 1 THEN lang || chr(10) || source ELSE 'in ' || lang || chr(10) || 'area' END AS poem, 't ' || lang || '|u' AS tags FROM documents
+""")
+def built_page_records(t):
+    """H1 to H7 on pages of three layouts, whose fields are documents' columns."""
+    page = """concat('<html><head><title>', lang, ' - ', source, ' - site</title>', CASE WHEN doc_id % 2 = 0 THEN concat('<link rel="canonical" href="http://x/', doc_id, '">') ELSE concat('<meta property="og:url" content="http://x/', doc_id, '">') END,
+        CASE WHEN doc_id % 3 = 0 THEN concat('<script type="application/ld+json">{"itemListElement": [{"name": "era ', lang, '", "item": "e"}, {"name": "p", "item": {"@id": "x/cat-poet-', doc_id, '"}}, {"name": "T ', doc_id, '", "item": "t"}]}</script>') ELSE '' END, '</head><body>',
+        CASE WHEN doc_id % 3 <> 0 THEN concat('<div class="a breadcrumb"><a href="e"> era ', lang, '</a><a href="x/cat-poet-', doc_id, '">p</a><a href="t">T  ', doc_id, '</a></div>') ELSE '' END,
+        CASE doc_id % 3 WHEN 0 THEN concat('<h3>', lang, '</h3><h3> ', source, '</h3><h3>odd</h3>') WHEN 1 THEN concat('<h4>', lang, '<br>', source, '</h4>') ELSE concat('<textarea id="post_content">in  ', lang, '\n area</textarea><h3>no</h3>') END,
+        '<div class="tips"><a>t ', lang, '</a><a> u </a></div><span class="country">‏', source, '</span><div class="poet-description"><p>about  ', lang, '</p></div><span> id', doc_id, '@ </span></body></html>')"""
+    out = html.checked(html.extract(made(t, "doc_id", f"{page} AS html"), "html", ("doc_id",)))
+    return out.select("doc_id", "title", "poem_url", "poet_page_url", "poet", "era", "country", "poet_description", "poet_english_id", "poem", F.array_join("tags", "|").alias("tags"))
