@@ -53,15 +53,16 @@ def _contract(batches):
         yield out()
 
 
-def components(ws: Workspace, links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(ws: Workspace, links: DataFrame, most_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """(u, v): v is the smallest node of u's component, for each node of links (u, v longs) but the smallest ones.
 
     Rounds of large and small stars (each node hands its neighbours its smallest
     neighbour); their number grows with the logarithm of the longest chain. Every
     round is a written table, so a lost executor costs one round's reads. Minima are
-    partial aggregates, so a node with very many links meets no single task.
+    partial aggregates, so a node with very many links meets no single task. rows: how
+    many links there are at most, if that is known.
     """
-    edges = ws.save(links.select("u", "v").where("u <> v").mapInArrow(tidy(_contract), "u long, v long").distinct(), "links0")
+    edges = ws.save(links.select("u", "v").where("u <> v").mapInArrow(tidy(_contract), "u long, v long").distinct(), "links0", rows)
     seen = None
     for k in range(most_rounds):
         mark = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -76,7 +77,8 @@ def components(ws: Workspace, links: DataFrame, most_rounds: int = 60) -> DataFr
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("w"), "m").where("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = ws.save(small, f"links{k + 1}")
+        # stars have no more links than there were
+        edges = ws.save(small, f"links{k + 1}", 2 * mark[0])
         if k:
             ws.drop(f"links{k}")
     raise RuntimeError("the components did not settle")

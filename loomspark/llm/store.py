@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 from ..operators.scratch import shared_dir
 
 
+ROWS_PER_FILE = 100_000  # of narrow rows
+
+
 class Workspace:
     """A folder of one run; tables are written with Spark's commit protocol."""
 
@@ -25,9 +28,14 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return it reread, with the schema it had."""
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write df and return it reread, with the schema it had.
+
+        rows: what it holds at most, so that few rows don't become a file in each partition.
+        """
         path = f"{self.root}/{name}"
+        if rows is not None and rows < partitions(self.spark) * ROWS_PER_FILE:
+            df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
         with small_batches(self.spark):
             df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -52,6 +52,7 @@ PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 BLOCK = 4_000  # entries sorted at a time
 LONG = 64  # bytes of the longest word that is told by its hash
 LARGE = 1_000  # different entries of a bucket beyond which it is divided
+WIDE = 10  # narrow rows that an entry with its text weighs as much as
 PIECE = 1 << 20  # bytes of a text whose anchors are found at a time
 
 
@@ -445,20 +446,21 @@ def _spans(df: DataFrame, doc: str, text: str, modes: list[tuple[int, bool]], la
     division = f"doc {kind}, th long, mode int, key long, body long, n long, a long, lo long, left long, right long, text binary"
     width_of = "element_at(array({}), mode + 1)".format(", ".join(str(width) for width, _ in modes))
     # the divisions end: each leaves less than half of the text that strings of a bucket may differ in
-    level, some = 0, not wide.where(f"m > {large}").isEmpty()
+    many = lambda sizes: sizes.where(f"m > {large}").agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    level, some = 0, many(wide)
     rest = cut.where(f"m > {large}").dropDuplicates(["key", "doc", "th", "lo"]).withColumns({"left": F.lit(0).cast("long"), "right": F.lit(ANCHOR).cast("long")})
     while some:
         level += 1
-        sub = ws.save(rest.mapInArrow(tidy(_divided(modes)), division), f"divided{level}")
-        one = ws.save(sub.groupBy("key", "body").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.first(F.struct("doc", "th", "mode", "a", "lo", "left", "right", "text")).alias("f")), f"entries{level}")
+        sub = ws.save(rest.mapInArrow(tidy(_divided(modes)), division), f"divided{level}", 2 * WIDE * some)
+        one = ws.save(sub.groupBy("key", "body").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.first(F.struct("doc", "th", "mode", "a", "lo", "left", "right", "text")).alias("f")), f"entries{level}", 2 * WIDE * some)
         twins = sub.where("n = 1").select("key", "body", "doc", "th", "mode", F.col("lo").cast("int").alias("lo"), F.expr(f"cast(lo + octet_length(text) - {width_of} as int)").alias("hi"))
         twins = twins.join(one.where("c > 1").select("key", "body"), ["key", "body"], "left_semi").drop("key", "body")
-        whole.append(ws.save(twins, f"whole{level}"))
-        sizes = ws.save(one.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), f"wide{level}")
+        whole.append(ws.save(twins, f"whole{level}", 2 * some))
+        sizes = ws.save(one.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), f"wide{level}", some)
         rows = one.join(sizes, "key").select("key", "n", "m", "f.*")
         ws.drop(f"divided{level}")
         ready.append(entry(rows.where(f"m <= {large}")))
-        rest, some = rows.where(f"m > {large}").drop("m"), not sizes.where(f"m > {large}").isEmpty()
+        rest, some = rows.where(f"m > {large}").drop("m"), many(sizes)
     total = part.count()
     buckets = max(partitions(spark), -(-total // BLOCK))
 
