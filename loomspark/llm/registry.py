@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, images, licenses, neighbours, packing, sharding, simhash, suffixes, tokenfiles, toxicity, tries
+from . import bpe, covertrees, divergence, images, licenses, neighbours, packing, sharding, simhash, suffixes, tokenfiles, toxicity, tries
 
 QUERIES = {
     "op1_token_files": tokenfiles.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_image_copies": images.query,
     "op10_byte_bpe": bpe.query,
     "op11_prefix_trie": tries.query,
+    "op12_source_divergence": divergence.query,
+    "op13_dual_tree_topk": covertrees.query,
 }
 #: SQL can tell these; the others are held against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op2_license_scan": licenses.ORACLE, "op7_collision_counting": neighbours.ORACLE, "op11_prefix_trie": tries.ORACLE}
+ORACLES: dict[str, str] = {"op2_license_scan": licenses.ORACLE, "op7_collision_counting": neighbours.ORACLE, "op11_prefix_trie": tries.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_dual_tree_topk": covertrees.ORACLE}

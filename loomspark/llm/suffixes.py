@@ -503,7 +503,8 @@ def remove(df: DataFrame, doc: str = "doc_id", text: str = "text", width: int =
     found = _spans(df, doc, text, modes, large, ws)
     ws.drop(*(n for n in ws.names() if not n.startswith(("whole", "sorted"))))
     span = F.struct("lo", "hi")
-    lists = found.groupBy("doc", "th").agg(F.collect_list(F.when(F.col("mode") == 0, span)).alias("spans"), F.collect_list(F.when(F.col("mode") == 1, span)).alias("passages"))  # bounded by the document's length
+    # sets: rows that repeat a document bring the same spans, so what is held is bounded by the document's length
+    lists = found.groupBy("doc", "th").agg(F.collect_set(F.when(F.col("mode") == 0, span)).alias("spans"), F.collect_set(F.when(F.col("mode") == 1, span)).alias("passages"))
     carried = [f"_keep{k}" for k in range(len(keep))]
     own = df.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"), *(F.col(c).alias(k) for c, k in zip(keep, carried, strict=True)))
     rows = own.alias("o").join(lists.alias("l"), F.col("o.doc").eqNullSafe(F.col("l.doc")) & F.col("o.th").eqNullSafe(F.col("l.th")), "left")
