@@ -36,7 +36,9 @@ def whole(column):
 
 
 def distances(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    return np.sqrt(((points - centre) ** 2).sum(-1))
+    """Infinite where squares don't fit a double: then nothing is pruned."""
+    with np.errstate(over="ignore"):
+        return np.sqrt(((points - centre) ** 2).sum(-1))
 
 
 def farthest_first(points: np.ndarray, most: int) -> np.ndarray:
@@ -61,7 +63,7 @@ class Tree:
         far, near = distances(points, points[0]), np.zeros(n, np.int64)
         self.at, self.up = [np.array([0])], [np.zeros(1, np.int64)]
         apart = far.max() / 2
-        while apart > 0 and len(self.at[-1]) * LEAF < n:
+        while 0 < apart < np.inf and len(self.at[-1]) * LEAF < n:
             above, nodes = near.copy(), list(self.at[-1])
             while len(nodes) * LEAF < n and far.max() > apart:
                 k = int(far.argmax())
@@ -90,7 +92,10 @@ class Best:
         self.score, self.key = np.full((len(floor), k), -np.inf), np.full((len(floor), k), LONG)
 
     def worst(self) -> np.ndarray:
-        return np.maximum(self.score[:, -1].astype(float), self.floor)
+        last = self.score[:, -1]
+        if last.dtype == object:
+            last = np.array([float(min(x, 1e300)) if x > -1e300 else -np.inf for x in last])
+        return np.maximum(last, self.floor)
 
     def offer(self, scores: np.ndarray, keys: np.ndarray) -> None:
         """Scores of all queries with these keys' vectors; -inf where they don't count."""
@@ -107,7 +112,7 @@ class Best:
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of rows of whole numbers, exact: in doubles while they fit, else in whole numbers of any size."""
-    if a.shape[1] * np.abs(a).max(initial=0.0) * np.abs(b).max(initial=0.0) < EXACT:
+    if a.shape[1] * float(np.abs(a).max(initial=0.0)) * float(np.abs(b).max(initial=0.0)) < EXACT:
         return a @ b.T
     to = np.frompyfunc(int, 1, 1)
     return to(a).astype(object) @ to(b).astype(object).T
@@ -121,7 +126,7 @@ def dual(left: Tree, q_uids: np.ndarray, right: Tree, uids: np.ndarray, keys: np
     whose node was pruned with this node's parent needs it no more.
     """
     alive, scored = np.ones((1, 1), bool), np.zeros(len(right.points), bool)
-    slack = 1e-9 * (left.norms.max() * right.norms.max() + 1)
+    slack = 1e-9 * (min(left.norms.max(), 1e150) * min(right.norms.max(), 1e150) + 1)
     for level in range(max(len(left.at), len(right.at))):
         a, b = min(level, len(left.at) - 1), min(level, len(right.at) - 1)
         if 0 < level < len(left.at):
@@ -129,10 +134,11 @@ def dual(left: Tree, q_uids: np.ndarray, right: Tree, uids: np.ndarray, keys: np
         if 0 < level < len(right.at):
             alive = alive[:, right.up[b]]
         c, d, rc, rd = left.at[a], right.at[b], left.radius[a][:, None], right.radius[b][None]
-        bound = left.points[c] @ right.points[d].T + rd * left.norms[c][:, None] + rc * right.norms[d][None] + rc * rd
+        with np.errstate(over="ignore", invalid="ignore"):
+            bound = left.points[c] @ right.points[d].T + rd * left.norms[c][:, None] + rc * right.norms[d][None] + rc * rd + slack
         worst = np.full(len(c), np.inf)
         np.minimum.at(worst, left.own[a], best.worst())
-        alive = alive & (bound + slack >= worst[:, None])
+        alive = alive & ~(bound < worst[:, None])
         new = np.flatnonzero(alive.any(0) & ~scored[d])
         if len(new):
             s = products(left.points, right.points[d[new]])
@@ -244,7 +250,7 @@ def search(df: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id", vect
     told by row, so rows of one key meet each other, and each query row has its own answer. Components
     count as floor(256 x). Null keys, null vectors and vectors with null or non-finite components take
     no part; vectors of other lengths are no candidates; zero and empty vectors are vectors like others.
-    Ties go to the smaller key. Scores beyond a long are its bounds. No query gives no row.
+    Ties go to the smaller key. Scores beyond a long are its bounds, and tie. No query gives no row.
 
     First each block's queries search their own block, which gives thresholds. Then pairs of nodes go
     down the tree from its top, each round in equi joins with both sides' children, and are dropped by

@@ -244,14 +244,17 @@ def test_licenses(spark):
         "license mit the under released",
         "under the MIT. license",
         "licensed " + "x " * 40 + "apache license, Version 2.0",
-        "Subject to the terms of the Mozilla Public, version 2",
+        "Subject to the terms of the Mozilla Public License, version 2",
+        "This work is licensed under the GNU General Public License version 3",
+        "the MIT license, under which it was released",
     ]
     df = edge_docs(spark, more)
     got = {r.doc_id: r for r in licenses.scan(df).collect()}
     n = len(EDGE)
     assert (got[n].n_base, got[n].first_word, got[n].last_word, got[n].base_labels, got[n].labels, got[n].score) == (2, 1, 5, "mit", "mit", 1.0)
     assert (got[n + 1].base_labels, got[n + 1].labels) == ("cc-by-nc", "cc-by-nc")
-    assert (got[n + 2].n_base, got[n + 2].labels, got[n + 2].score) == (0, "mit", 1.0)
+    assert (got[n + 2].n_base, got[n + 2].labels, got[n + 2].score) == (0, "", 0.0)  # the words of a notice, but no name
+    assert (got[n + 6].labels, got[n + 6].score) == ("gpl-3", 1.0) and (got[n + 7].labels, got[n + 7].score) == ("mit", 1.0)
     assert (got[n + 3].n_base, got[n + 3].first_word) == (1, 0)
     assert got[n + 4].base_labels == "apache-2" and got[n + 4].n_base == 1
     assert got[n + 5].labels == "mpl-2" and got[n + 5].base_labels == "" and 0.8 <= got[n + 5].score < 1
@@ -261,14 +264,37 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_other_licenses_get_no_label(spark):
+    texts = [
+        "This work is licensed under the GNU General Public License version 2",
+        "This work is licensed under the GNU Lesser General Public License version 3",
+        "Licensed under the Creative Commons Attribution license",
+        "Licensed under the Creative Commons Attribution NoDerivs license",
+        "subject to the terms of the Eclipse Public License version 2.0",
+        "released under the BSD license",
+        "The band released an album under the label; no license applies",
+        "Licensed under the Apache License, Version 1.1",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(r.labels, r.score) for r in licenses.scan(df).orderBy("doc_id").collect()] == [("", 0.0)] * len(texts)
+
+
+def test_license_of_a_very_long_text(spark):
+    notice = "released under the MIT license"
+    rows = [(0, "word " * 300_000 + notice + " word" * 1000), (1, "under the license mit released " * 50_000), (2, notice), (2, notice)]
+    got = [(r.doc_id, r.n_words, r.labels, r.first_word) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [(0, 301_005, "mit", 300_001), (1, 250_000, "", None), (2, 5, "mit", 1), (2, 5, "mit", 1)]
+
+
 def test_license_templates_are_an_index(spark):
     rng = random.Random(14)
-    mit = [t for label, t in licenses.TEMPLATES if label == "mit"][-1]
+    mit = [t for label, t, *_ in licenses.TEMPLATES if label == "mit"][-1]
     words = mit.split()
     assert len(words) > 150
 
     def changed(share):
-        return " ".join("other" if rng.random() < share else w for w in words)
+        held = words.index("included") - 4  # the phrase that names it stays
+        return " ".join("other" if rng.random() < share and not held <= k < held + 8 else w for k, w in enumerate(words))
 
     texts = [mit, "x " * 777 + changed(0.05) + " y" * 50, changed(0.6), mit, " ".join(words[: len(words) // 2])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("w", F.lit(1)).withColumn("_h1", F.lit(2))
