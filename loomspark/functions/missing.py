@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import col, trim_ws
+from .text import WS, col, trim_ws
 
 # Spellings of a missing value, compared in lower case after trimming.
 SPELLINGS = ("", "empty", "nan", "none", "<na>")
 EMPTY_CONTAINERS = ("[]", "[ ]", "{}")
 
 
+#: A whole value that is blank or a spelling of nothing. Possessive runs make a match end at the
+#: first character that fits neither, however long the value.
+NOTHING = f"^{WS}*+(?:(?i:{'|'.join(x for x in SPELLINGS if x)})|{'|'.join(re.escape(x) for x in EMPTY_CONTAINERS)})?{WS}*+$(?!\n)"
+
+
 def is_missing(c) -> Column:
     """Null, blank, or a spelling of nothing."""
-    c = trim_ws(col(c).cast("string"))
-    return c.isNull() | F.lower(c).isin(*SPELLINGS) | c.isin(*EMPTY_CONTAINERS)
+    c = col(c).cast("string")
+    return c.isNull() | c.rlike(NOTHING)
 
 
 def nullify(df: DataFrame, *columns: str) -> DataFrame:

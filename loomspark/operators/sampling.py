@@ -3,6 +3,8 @@ so it is the same on every run, in every partitioning and in other engines."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,24 +101,108 @@ def claim(df: DataFrame, eligible: list[Column], key: str, fractions: tuple[floa
     step's fraction as probability, so the shares are the passes' in expectation and
     no step waits for another. The last fraction, 1, leaves no eligible row.
     """
-    step, out = 0, F.lit(None).cast("int")
-    branches = []
-    for f in fractions:
-        for t, ok in enumerate(eligible):
-            branches.append((ok & (uniform(key, seed, step) < f), t))
-            step += 1
-    for condition, t in reversed(branches):
-        out = F.when(F.coalesce(condition, F.lit(False)), F.lit(t)).otherwise(out)
-    return df.withColumn("template", out)
+    # a condition may be dear, so each is a column of its own, which the branches name
+    flags = {f"_e{t}": F.coalesce(ok, F.lit(False)) for t, ok in enumerate(eligible)}
+    out = F.lit(None).cast("int")
+    steps = [(share, t) for share in fractions for t in range(len(eligible))]
+    for step, (share, t) in reversed(list(enumerate(steps))):
+        out = F.when(F.col(f"_e{t}") & (uniform(key, seed, step) < share), F.lit(t)).otherwise(out)
+    return df.withColumns(flags).withColumn("template", out).drop(*flags)
+
+
+PATTERNS = 4096  # eligibility patterns up to which steps are solved on their counts
+
+
+def patterns(df: DataFrame, eligible: list[Column], key: str) -> tuple[DataFrame, list[int]]:
+    """(key, pattern): which of the conditions hold, a hex digit for every four; and each template's place in it.
+
+    Equal conditions, of which many templates have the same, are one.
+    """
+    own = {str(e): e for e in eligible}
+    place = {name: k for k, name in enumerate(own)}
+    bits = [F.coalesce(e, F.lit(False)).cast("int") for e in own.values()]
+    digits = [F.hex(sum((b * (1 << j) for j, b in enumerate(bits[k : k + 4])), F.lit(0)).cast("long")) for k in range(0, len(bits), 4)]
+    return df.select(key, F.concat(*digits).alias("pattern")), [place[str(e)] for e in eligible]
+
+
+def solved(counts: dict[str, int], places: list[int], steps: list) -> list[tuple[str, int, int, int]]:
+    """(pattern, first, last, template): which of each pattern's rows, from 0, every step takes.
+
+    steps: (template, function of the eligible rows that are left to how many are taken). A step
+    takes from each pattern in proportion to what is left of it; what rounding leaves goes to the
+    largest remainders, of equal ones to the first patterns.
+    """
+    names = sorted(counts)
+    left, used = [counts[x] for x in names], [0] * len(names)
+    fits = [[i for i, x in enumerate(names) if int(x[p // 4], 16) >> p % 4 & 1] for p in places]
+    out = []
+    for t, amount in steps:
+        own = [i for i in fits[t] if left[i]]
+        total = sum(left[i] for i in own)
+        n = min(amount(total), total)
+        if n <= 0:
+            continue
+        take = {i: n * left[i] // total for i in own}
+        rest = sorted(own, key=lambda i: (-(n * left[i] % total), names[i]))
+        for i in rest[: n - sum(take.values())]:
+            take[i] += 1
+        for i, m in take.items():
+            if m:
+                out.append((names[i], used[i], used[i] + m - 1, t))
+                used[i] += m
+                left[i] -= m
+    return out
+
+
+def by_patterns(df: DataFrame, eligible: list[Column], key: str, steps: list, seed: int = SEED) -> DataFrame | None:
+    """(key, template) of the rows that the steps take; None if there are more than PATTERNS patterns.
+
+    Two scans of the keys' patterns, which are written once: their counts, by pattern and
+    bucket of the draw (4096 a pattern at most), reach the driver; then rows are numbered within
+    buckets, in seeded order, and look up the step that takes their number. However many steps
+    there are, rows are exchanged once, and a pattern that most rows have is dealt by its buckets.
+    """
+    rows, places = patterns(df, eligible, key)
+    rows = written(rows.withColumn("_h", draw(key, seed)).withColumn("_b", F.substring("_h", 1, 3)), "patterns")
+    if rows.select("pattern").distinct().limit(PATTERNS + 1).count() > PATTERNS:
+        return None
+    counts = rows.groupBy("pattern", "_b").agg(F.count("*").alias("c"))
+    totals = {r[0]: r[1] for r in counts.groupBy("pattern").agg(F.sum("c")).collect()}
+    base = counts.select("pattern", "_b", F.coalesce(F.sum("c").over(Window.partitionBy("pattern").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    taken: dict[str, list] = {}
+    for pattern, first, last, t in solved(totals, places, steps):
+        taken.setdefault(pattern, []).append((last, t, first))
+    numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("pattern", "_b").orderBy("_h", key)) - 1).join(base, ["pattern", "_b"])
+
+    @F.pandas_udf("int")
+    def template(pattern: pd.Series, n: pd.Series) -> pd.Series:
+        out = pd.Series(-1, index=pattern.index, dtype="int32")
+        for name, own in n.groupby(pattern).groups.items():
+            ends = taken.get(name, [])
+            if ends:
+                at = np.searchsorted([e[0] for e in ends], n[own])
+                out[own] = np.array([*(e[1] for e in ends), -1], np.int32)[at]
+        return out
+
+    return numbered.select(key, template("pattern", F.col("_base") + F.col("_rn")).alias("template")).where("template >= 0")
 
 
 def claim_exact(df: DataFrame, eligible: list[Column], key: str, fractions: tuple[float, ...] = FRACTIONS, seed: int = SEED) -> DataFrame:
     """(key, template) of the claimed rows, step by step: each takes int(fraction * rows) of the rows that are
-    eligible and unclaimed when its turn comes, in seeded order.
+    eligible and unclaimed when its turn comes, spread evenly over the rows' eligibility patterns.
 
-    Only keys take part. A step waits for the one before, so there are as many written
-    tables as steps; `claim` needs none, but keeps shares in expectation only.
+    Steps are solved on the patterns' counts (see `by_patterns`), so thousands of templates
+    cost no more jobs than three. With more than PATTERNS patterns the steps are taken one
+    after the other (see `claim_steps`): as many rows each, in the order of another draw.
     """
+    amount = lambda share: lambda total: int(share * total)
+    steps = [(t, amount(share)) for share in fractions for t in range(len(eligible))]
+    out = by_patterns(df, eligible, key, steps, seed)
+    return claim_steps(df, eligible, key, fractions, seed) if out is None else out
+
+
+def claim_steps(df: DataFrame, eligible: list[Column], key: str, fractions: tuple[float, ...] = FRACTIONS, seed: int = SEED) -> DataFrame:
+    """As `claim_exact`, a written table a step, each in a seeded order of its own; for any number of patterns."""
     flags = written(df.select(key, *(F.coalesce(e, F.lit(False)).alias(f"_e{k}") for k, e in enumerate(eligible))), "eligible")
     out, step = None, 0
     for f in fractions:
@@ -139,18 +225,22 @@ def capped(df: DataFrame, most: int, key: str, seed: int = SEED) -> DataFrame:
 def quotas(df: DataFrame, eligible: list[Column], total: int, key: str, taken: list[int] | None = None, seed: int = SEED) -> DataFrame:
     """(key, template): each template gets total // templates rows less what it has, the last template first.
 
-    A template takes its eligible rows that no later template took, in seeded order.
-    Quotas bound every step's rows, so the steps exchange only keys.
+    A template takes from its eligible rows that no later template took, spread evenly over
+    their eligibility patterns and in seeded order within each; see `by_patterns`. With more than
+    PATTERNS patterns the templates take their rows one after the other.
     """
     base, n = total // len(eligible), len(eligible)
+    quota = [max(0, base - (taken[t] if taken else 0)) for t in range(n)]
+    amount = lambda t: lambda _: quota[t]
+    out = by_patterns(df, eligible, key, [(t, amount(t)) for t in reversed(range(n))], seed)
+    if out is not None:
+        return out
     flags = df.select(key, *(F.coalesce(e, F.lit(False)).alias(f"_e{k}") for k, e in enumerate(eligible)))
-    out = None
     for t in reversed(range(n)):
-        left = max(0, base - (taken[t] if taken else 0))
         free = flags.where(f"_e{t}").select(key)
         if out is not None:
             free = free.join(out.select(key), key, "left_anti")
-        own = free.orderBy(draw(key, seed, t), key).limit(left).withColumn("template", F.lit(t))
+        own = free.orderBy(draw(key, seed, t), key).limit(quota[t]).withColumn("template", F.lit(t))
         out = own if out is None else out.unionByName(own)
     return out
 

@@ -432,19 +432,33 @@ def template_claim(t):
     return sampling.claim(t.labelled, _eligible(), "doc_id").select("doc_id", "template")
 
 
-def _steps() -> str:
-    """The exact claims, step by step: what each takes of the eligible rows that are left."""
-    out, n = [], 0
-    for share in sampling.FRACTIONS:
-        for k, ok in enumerate(_CLAIMS):
-            left = f"AND doc_id NOT IN ({' UNION ALL '.join(f'SELECT doc_id FROM s{j}' for j in range(n))})" if n else ""
-            draw = S.draw("doc_id", f"42:{n}")
-            out.append(f"s{n} AS MATERIALIZED (SELECT doc_id, {k} AS template FROM (SELECT doc_id, row_number() OVER (ORDER BY {draw}, doc_id) AS rn, count(*) OVER () AS c FROM l WHERE {ok} {left}) WHERE rn <= floor({share}::DOUBLE * c))")
-            n += 1
-    return f"WITH l AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)), {', '.join(out)} " + " UNION ALL ".join(f"SELECT * FROM s{j}" for j in range(n))
-
-
-@query(_steps())
+def _steps(claims: list[str], steps: list[tuple[int, str]], source: str) -> str:
+    """Steps solved on patterns' counts: c{n} holds what is left of each pattern, t{n} what step n takes of it.
+
+    steps: (template, SQL of how many of `total` are taken). Rows are numbered within their pattern.
+    """
+    bit = lambda k: f"(CASE WHEN {claims[k]} THEN {1 << k} ELSE 0 END)"
+    out = [
+        f"l AS MATERIALIZED (SELECT doc_id, {' + '.join(bit(k) for k in range(len(claims)))} AS pattern FROM {source})",
+        f"r AS MATERIALIZED (SELECT doc_id, pattern, row_number() OVER (PARTITION BY pattern ORDER BY {S.draw('doc_id')}, doc_id) - 1 AS rn FROM l)",
+        "c0 AS MATERIALIZED (SELECT pattern, count(*) AS have, 0::HUGEINT AS used FROM l GROUP BY pattern)",
+    ]
+    for n, (k, amount) in enumerate(steps):
+        out += [
+            f"m{n} AS (SELECT pattern, have, used, sum(have) OVER () AS total FROM c{n} WHERE pattern & {1 << k} > 0 AND have > 0)",
+            f"a{n} AS (SELECT *, least(CAST({amount} AS BIGINT), total) AS n FROM m{n})",
+            f"b{n} AS (SELECT pattern, n, n * have // total AS got, n - sum(n * have // total) OVER () AS rest, row_number() OVER (ORDER BY n * have % total DESC, hex(pattern)) AS place FROM a{n})",
+            f"t{n} AS MATERIALIZED (SELECT pattern, got + CASE WHEN place <= rest THEN 1 ELSE 0 END AS got FROM b{n})",
+            f"c{n + 1} AS MATERIALIZED (SELECT pattern, have - coalesce(got, 0) AS have, used + coalesce(got, 0) AS used FROM c{n} LEFT JOIN t{n} USING (pattern))",
+        ]
+    each = " UNION ALL ".join(f"SELECT r.doc_id, {k} AS template FROM r JOIN c{n} USING (pattern) JOIN t{n} USING (pattern) WHERE rn >= used AND rn < used + got" for n, (k, _) in enumerate(steps))
+    return f"WITH {', '.join(out)} {each}"
+
+
+_LABELLED = "(SELECT * FROM documents LEFT JOIN labels USING (doc_id))"
+
+
+@query(_steps(_CLAIMS, [(k, f"floor({share}::DOUBLE * total)") for share in sampling.FRACTIONS for k in range(len(_CLAIMS))], _LABELLED))
 def template_claim_exact(t):
     return sampling.claim_exact(t.labelled, _eligible(), "doc_id")
 
@@ -457,13 +471,7 @@ def template_claim_capped(t):
     return sampling.capped(sampling.claim(t.labelled, _eligible(), "doc_id").select("doc_id", "template"), 200, "doc_id")
 
 
-@query(f"""
-WITH d AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)),
-t2 AS (SELECT doc_id, 2 AS template FROM d WHERE text IS NOT NULL ORDER BY {S.draw('doc_id', 42, "'2'")}, doc_id LIMIT 50),
-t1 AS (SELECT doc_id, 1 AS template FROM d WHERE toxic IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM t2) ORDER BY {S.draw('doc_id', 42, "'1'")}, doc_id LIMIT 40),
-t0 AS (SELECT doc_id, 0 AS template FROM d WHERE quality = 1 AND doc_id NOT IN (SELECT doc_id FROM t2 UNION ALL SELECT doc_id FROM t1) ORDER BY {S.draw('doc_id', 42, "'0'")}, doc_id LIMIT 50)
-SELECT * FROM t2 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t0
-""")
+@query(_steps(_CLAIMS, [(2, "50"), (1, "40"), (0, "50")], _LABELLED))
 def quota_assign(t):
     return sampling.quotas(t.labelled, _eligible(), 150, "doc_id", taken=[0, 10, 0])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -58,120 +59,196 @@ def title_and_poet(c) -> Column:
     return F.struct(F.get(parts, F.lit(0)).alias("title"), F.when(F.size(parts) >= 3, F.get(parts, F.lit(1))).alias("poet"))
 
 
-class Tree(HTMLParser):
-    """Elements as [tag, attributes, children], with text as strings."""
+#: What an element ends when it begins, if that is still open in its own block.
+ENDS = {x: {x} for x in ("p", "li", "option", "tr")} | dict.fromkeys(("dt", "dd"), {"dt", "dd"}) | dict.fromkeys(("td", "th"), {"td", "th"}) | dict.fromkeys(HEADINGS := ("h1", "h2", "h3", "h4", "h5", "h6"), set(HEADINGS))
+#: Blocks that such an end doesn't leave.
+BLOCKS = {"article", "aside", "body", "div", "footer", "form", "header", "main", "nav", "ol", "section", "table", "td", "th", "ul"}
+
+
+class _Break(str):
+    """A line break that an element makes, as against one in the text."""
+
+
+BREAK = _Break("\n")
+
+
+class Span:
+    """Where an element's text lies among the page's pieces."""
+
+    __slots__ = ("begin", "end", "extra")
+
+    def __init__(self, begin: int, extra: str | None = None):
+        self.begin, self.end, self.extra = begin, None, extra
+
+
+class Events(HTMLParser):
+    """What a record needs, by one pass over a page's tags and texts.
+
+    Every text is kept once, in `pieces`; an element that is looked for is a pair of places in
+    it. Open elements are a stack with a count by tag, so an end tag that closes nothing costs
+    nothing, and unclosed elements, in any number, cost what they hold.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = ["", {}, []]
-        self.open = [self.root]
+        self.pieces: list[str] = []
+        self.open: list[tuple[str, list[Span], tuple[str, ...]]] = []
+        self.count: Counter = Counter()  # open elements by tag, and by what they are looked for as
+        self.found: dict[str, list[Span]] = defaultdict(list)
+        self.facts: dict[str, list] = defaultdict(list)
+        self.data: list[str] | None = None  # of a JSON-LD script
+        self.last_of: dict[str, list[Span]] = {}  # links and headings hold none of their kind: the next ends the last
+
+    def kinds(self, tag: str, have: dict) -> list[str]:
+        """As what this element is looked for."""
+        classes = (have.get("class") or "").split()
+        out = [tag] if tag in ("title", "h3", "h4", "span") else []
+        if tag == "div":
+            out += [c for c in ("tips", "pmContainer", "poet-description") if c in classes]
+        out += [c for c in ("breadcrumb", "country") if c in classes]
+        if tag == "textarea" and have.get("id") == "post_content":
+            out.append("post_content")
+        if tag == "a":
+            out += [f"{c} a" for c in ("tips", "breadcrumb") if self.count[f".{c}"]]
+        return out
 
     def handle_starttag(self, tag, attrs):
-        node = [tag, dict(attrs), []]
-        self.open[-1][2].append(node)
-        if tag not in VOID:
-            self.open.append(node)
+        have = dict(attrs)
+        for other in ENDS.get(tag, ()):
+            if self.count[other]:
+                self.implied(ENDS[tag])
+                break
+        if tag == "link" and have.get("rel") == "canonical":
+            self.facts["canonical"].append(have.get("href"))
+        elif tag == "meta" and have.get("property") == "og:url":
+            self.facts["og:url"].append(have.get("content"))
+        elif tag == "script" and have.get("type") == "application/ld+json":
+            self.data = []
+        if not self.count["silent"] and tag in BREAKS:
+            self.pieces.append(BREAK)
+        if tag in VOID:
+            return
+        kinds = self.kinds(tag, have)
+        spans = [Span(len(self.pieces), have.get("href")) for _ in kinds]
+        for kind, span in zip(kinds, spans, strict=True):
+            self.found[kind].append(span)
+        if tag == "a" or tag in HEADINGS:
+            for span in self.last_of.get(tag, ()):
+                span.end = len(self.pieces) if span.end is None else span.end
+            self.last_of[tag] = spans
+        marks = (*(f".{k}" for k in kinds if k in ("tips", "breadcrumb")), *(["silent"] if tag in SILENT else []))
+        self.open.append((tag, spans, marks))
+        self.count[tag] += 1
+        self.count.update(marks)
 
     def handle_startendtag(self, tag, attrs):
-        self.open[-1][2].append([tag, dict(attrs), []])
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.close_one()
+
+    def close_one(self):
+        tag, spans, marks = self.open.pop()
+        self.count[tag] -= 1
+        self.count.subtract(marks)
+        for span in spans:
+            span.end = len(self.pieces) if span.end is None else span.end
+        if tag == "script" and self.data is not None:
+            self.facts["json"].append("".join(self.data))
+            self.data = None
+        if tag in BREAKS and not self.count["silent"]:
+            self.pieces.append(BREAK)
+
+    def implied(self, ends: set[str]):
+        """Close the innermost of these elements with all in it, unless a block lies between."""
+        for k in range(len(self.open) - 1, -1, -1):
+            tag = self.open[k][0]
+            if tag in ends:
+                while len(self.open) > k:
+                    self.close_one()
+                return
+            if tag in BLOCKS:
+                return
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                break
+        if self.count[tag]:
+            while self.open[-1][0] != tag:
+                self.close_one()
+            self.close_one()
 
     def handle_data(self, data):
-        self.open[-1][2].append(data)
-
-
-def parse(html: str | None) -> list:
-    tree = Tree()
-    tree.feed(html or "")
-    tree.close()
-    return tree.root
-
-
-def find_all(node, tag: str | None = None, **attrs) -> list:
-    """Elements below node in order; class_ matches one of an element's classes."""
-    out = []
-    for child in node[2]:
-        if isinstance(child, str):
-            continue
-        have = child[1]
-        ok = tag is None or child[0] == tag
-        for k, v in attrs.items():
-            ok = ok and (v in (have.get("class") or "").split() if k == "class_" else have.get(k) == v)
-        if ok:
-            out.append(child)
-        out += find_all(child, tag, **attrs)
-    return out
-
-
-def text_of(node, breaks: bool = True) -> str:
-    """Text below a node; scripts are silent; line elements break lines."""
-    if isinstance(node, str):
-        return node
-    if node[0] in SILENT:
+        if self.data is not None:
+            self.data.append(data)
+        if not self.count["silent"]:
+            self.pieces.append(data)
+
+    def finish(self):
+        self.close()
+        while self.open:
+            self.close_one()
+
+    def line(self, span: Span) -> str:
+        """An element's text on one line."""
+        return " ".join("".join(x for x in self.pieces[span.begin : span.end] if x is not BREAK).split())
+
+    def lines(self, span: Span) -> str:
+        return "\n".join(x for x in (" ".join(p.split()) for p in "".join(self.pieces[span.begin : span.end]).split("\n")) if x)
+
+    def last(self, span: Span) -> str:
+        """The last characters of an element's text that aren't blank; only the end of it is looked at."""
+        for k in range(span.end - 1, span.begin - 1, -1):
+            if text := self.pieces[k].strip():
+                return text
         return ""
-    inner = "".join(text_of(c, breaks) for c in node[2])
-    return f"\n{inner}\n" if breaks and node[0] in BREAKS and node[0] != "br" else "\n" if node[0] == "br" and breaks else inner
 
 
-def _lines(text: str) -> list[str]:
-    return [x for x in (" ".join(p.split()) for p in text.split("\n")) if x]
-
-
-def poem_of(root) -> str | None:
+def poem_of(page: Events) -> str | None:
     """A poem's body, whichever of the known page layouts holds it."""
-    halves = [" ".join(text_of(h, False).split()) for h in find_all(root, "h3")]
-    whole = find_all(root, "div", class_="pmContainer")
-    area = find_all(root, "textarea", id="post_content")
-    if area:
-        return "\n".join(_lines(text_of(area[0])))
-    if whole:
-        return "\n".join(_lines(text_of(whole[0])))
+    for kind in ("post_content", "pmContainer"):
+        if page.found[kind]:
+            return page.lines(page.found[kind][0])
+    halves = [page.line(h) for h in page.found["h3"]]
     if halves:
         halves += [""] * (len(halves) % 2)
         return "\n".join(f"{a}\t{b}" for a, b in zip(halves[::2], halves[1::2], strict=True))
-    single = find_all(root, "h4")
-    return "\n".join(_lines(text_of(single[0]))) if single else None
+    return page.lines(page.found["h4"][0]) if page.found["h4"] else None
 
 
-def record_of(html: str | None) -> dict:
-    """All fields of a scraped page; what a page lacks is None."""
-    root = parse(html)
-    head = find_all(root, "title")
-    name = " ".join(text_of(head[0], False).split()) if head else None
-    tips = [" ".join(text_of(a, False).split()) for d in find_all(root, "div", class_="tips") for a in find_all(d, "a")]
-    canonical = [x[1].get("href") for x in find_all(root, "link", rel="canonical")] or [x[1].get("content") for x in find_all(root, "meta", property="og:url")]
-    crumbs = []
-    for s in find_all(root, "script", type="application/ld+json"):
+def crumbs_of(page: Events) -> list[tuple[str | None, str | None]]:
+    """(name, url) of the page's breadcrumbs: of its JSON-LD lists, else of its links."""
+    out = []
+    for text in page.facts["json"]:
         try:
-            found = json.loads("".join(c for c in s[2] if isinstance(c, str)))
-        except ValueError:
+            found = json.loads(text)
+        except (ValueError, RecursionError):
             continue
         for item in found.get("itemListElement", []) if isinstance(found, dict) else []:
             at = item.get("item")
-            crumbs.append((item.get("name") or (at.get("name") if isinstance(at, dict) else None), at.get("@id") if isinstance(at, dict) else at))
-    if not crumbs:
-        path = [a for d in find_all(root, class_="breadcrumb") for a in find_all(d, "a")]
-        crumbs = [(" ".join(text_of(a, False).split()), a[1].get("href")) for a in path]
+            out.append((item.get("name") or (at.get("name") if isinstance(at, dict) else None), at.get("@id") if isinstance(at, dict) else at))
+    return out or [(page.line(a), a.extra) for a in page.found["breadcrumb a"]]
+
+
+def record_of(html: str | None) -> dict:
+    """All fields of a scraped page, however its elements are closed; what a page lacks is None."""
+    page = Events()
+    page.feed(html or "")
+    page.finish()
+    first = lambda kind: page.line(page.found[kind][0]) if page.found[kind] else None
+    name, crumbs = first("title"), crumbs_of(page)
     parts = [p.strip() for p in (name or "").split("-")]
-    poet_page = next((u for _, u in crumbs if u and "cat-poet" in u), None)
-    about = find_all(root, "div", class_="poet-description")
+    english = next((s for s in page.found["span"] if page.last(s).endswith("@")), None)
+    country = first("country")
     return {
         "title": crumbs[2][0] if len(crumbs) > 2 else parts[0] or None,
-        "poem_url": canonical[0] if canonical else None,
-        "poet_page_url": poet_page,
+        "poem_url": next(iter(page.facts["canonical"] or page.facts["og:url"]), None),
+        "poet_page_url": next((u for _, u in crumbs if u and "cat-poet" in u), None),
         "poet": parts[1] if len(parts) >= 3 else None,
         "era": crumbs[0][0] if crumbs else None,
-        "country": next((" ".join(text_of(s, False).replace("‏", "").split()) for s in find_all(root, class_="country")), None),
-        "poet_description": " ".join(text_of(about[0], False).split()) if about else None,
-        "poet_english_id": next((x.strip() for s in find_all(root, "span") for x in [text_of(s, False)] if x.strip().endswith("@")), None),
-        "poem": poem_of(root),
-        "tags": tips,
-        "text": "\n".join(_lines(text_of(root))),
+        "country": None if country is None else " ".join(country.replace("\u200f", "").split()),
+        "poet_description": first("poet-description"),
+        "poet_english_id": None if english is None else "".join(x for x in page.pieces[english.begin : english.end] if x is not BREAK).strip(),
+        "poem": poem_of(page),
+        "tags": [page.line(a) for a in page.found["tips a"]],
+        "text": page.lines(Span(0)),
     }
 
 

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomspark.functions import missing
 from loomspark.operators import chat, dedup, enrich, evaluation, metrics, sampling, stats, templates
 
 
@@ -314,3 +315,36 @@ def test_saves_and_batches(spark, tmp_path):
     path = f"file://{tmp_path}/r"
     assert enrich.resume(df.where("id < 10"), path, "id", step, saves=3).count() == 10
     assert {r.a for r in enrich.resume(df, path, "id", step).collect()} == {f"p{k}!" for k in range(25)}
+
+
+def test_exact_claims_of_thousands_of_templates(spark):
+    df = spark.range(3000).select("id", *((F.col("id") % m == 0).alias(f"c{m}") for m in (2, 3, 5, 7)))
+    names = ["c2", "c3", "c5", "c7"]
+    eligible = [F.col(names[k % 4]) if k % 3 else F.col(names[k % 4]) & F.col(names[(k + 1) % 4]) for k in range(2000)]
+    got = {r.id: r.template for r in sampling.claim_exact(df, eligible, "id", (0.3, 1.0)).collect()}
+    rows = {i: [i % m == 0 for m in (2, 3, 5, 7)] for i in range(3000)}
+    fits = lambda i, k: rows[i][k % 4] and (k % 3 > 0 or rows[i][(k + 1) % 4])
+    assert set(got) == {i for i in rows if any(rows[i])} and all(fits(i, k) for i, k in got.items())
+    # the first templates' shares, before any pass comes again to what they left
+    once = {r.id: r.template for r in sampling.claim_exact(df, eligible[:40], "id", (0.3,)).collect()}
+    for k in range(40):
+        free = [i for i in rows if fits(i, k) and once.get(i, 99) >= k]
+        assert sum(t == k for t in once.values()) == int(0.3 * len(free))
+    patterns = sampling.patterns(df, eligible, "id")[0]
+    assert patterns.select("pattern").distinct().count() == 16
+
+
+def test_exact_claims_beyond_the_patterns(spark, monkeypatch):
+    df = spark.range(60).select("id", (F.col("id") % 2 == 0).alias("a"), (F.col("id") % 3 == 0).alias("b"))
+    counts = lambda: {r.template: r["count"] for r in sampling.claim_exact(df, [F.col("a"), F.col("b")], "id", (0.5, 1.0)).groupBy("template").count().collect()}
+    assert sum(counts().values()) == 40
+    monkeypatch.setattr(sampling, "PATTERNS", 2)
+    assert sum(counts().values()) == 40
+    assert sampling.quotas(df, [F.col("a"), F.col("b")], 20, "id").count() == 20
+
+
+def test_missing_values_at_any_length(spark):
+    blank, long = " " * 200_000, "x" * 200_000
+    rows = [None, "", " \t", "NaN", " none\n", "[ ]", " {}", "<NA>", "Empty ", blank, blank + "nan", "nan nan", "[]x", blank + "x", long, "nan\nx"]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, x string").select("k", missing.is_missing("x").alias("m")).orderBy("k").collect()
+    assert [r.m for r in got] == [True] * 11 + [False] * 5

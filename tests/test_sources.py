@@ -200,3 +200,18 @@ def test_layouts_by_own_keys(spark):
     rows = spark.createDataFrame([("t", "p", "شعر", "o", "g", "n")], "poem_name string, poet_name string, poem string, era string, genre string, x string")
     out, unknown = unify.unify_all({"mine": rows, "other": rows}, {"mine": "filed_poems"})
     assert unknown == ["other"] and [r.dataset_name for r in out.collect()] == ["mine"] and out.first().poem_id == 1
+
+
+@pytest.mark.parametrize("mark_up", ["<p>x", "<div>x", "<div class=tips><a>x", "<h3>x<div>", "<span>x", "<li><b>x", "</div></p>x", "<a><p>x</b>"])
+def test_unclosed_elements_in_any_number(mark_up):
+    got = html.record_of("<title>t - p - s</title>" + mark_up * 100_000)
+    assert (got["title"], got["poet"], got["text"].count("x")) == ("t", "p", 100_000)
+    assert len(got["tags"]) == (100_000 if "tips" in mark_up else 0) and set(got["tags"]) <= {"x"}
+
+
+def test_implied_ends():
+    page = "<div class=tips><a>one<a>two</div><a>three</a><h4>a<br>b<script type='application/ld+json'>{\"itemListElement\": [{\"name\": \"era\", \"item\": \"u\"}]}</script><p>c<p>d"
+    got = html.record_of(page)
+    assert got["tags"] == ["one", "two"] and got["era"] == "era" and got["poem"] == "a\nb\nc\nd" and got["text"] == "onetwo\nthree\na\nb\nc\nd"
+    assert html.record_of("<h3>x<h3>y</h3><h3>z")["poem"] == "x\ty\nz\t"
+    assert html.record_of(None)["text"] == "" and html.record_of("<span>a<span>id@</span></span>")["poet_english_id"] == "aid@"
