@@ -340,6 +340,11 @@ def fuzzy_cross_split_wide(t):
     return dedup.cross_split(t.documents.where(f"NOT {HELD}"), t.documents.where(HELD), "text", "doc_id", wide=True).select("doc_id")
 
 
+@query()
+def near_copy_pairs(t):
+    return dedup.near_copies(t.documents.where(f"NOT {HELD}"), t.documents.where(HELD), "text", "doc_id")
+
+
 @query(f"SELECT doc_id FROM documents WHERE NOT {HELD} AND {S.hard('text')} NOT IN (SELECT {S.hard('text')} FROM documents WHERE {HELD})")
 def decontaminate_exact(t):
     return dedup.decontaminate(t.documents.where(f"NOT {HELD}"), t.documents.where(HELD), "text").select("doc_id")

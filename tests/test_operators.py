@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import missing
-from loomspark.operators import chat, dedup, enrich, evaluation, metrics, sampling, stats, templates
+from loomspark.operators import chat, dedup, enrich, evaluation, metrics, sampling, similar, stats, templates
 
 
 def lcs(a, b):
@@ -21,7 +21,7 @@ def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(300):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in "ab")
-        assert dedup.common_subsequence(a, b) == lcs(a, b)
+        assert similar.common_subsequence(a, b) == lcs(a, b)
     assert dedup.similarity("abcd", "abxd") == 0.75
 
 
@@ -348,3 +348,81 @@ def test_missing_values_at_any_length(spark):
     rows = [None, "", " \t", "NaN", " none\n", "[ ]", " {}", "<NA>", "Empty ", blank, blank + "nan", "nan nan", "[]x", blank + "x", long, "nan\nx"]
     got = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, x string").select("k", missing.is_missing("x").alias("m")).orderBy("k").collect()
     assert [r.m for r in got] == [True] * 11 + [False] * 5
+
+
+def shuffles(n, seed, words=7):
+    """Rows (key, text, values) of one bucket: the same words in other orders."""
+    rng, own = random.Random(seed), [f"w{chr(97 + k) * 3}" for k in range(words)]
+    texts = {" ".join(rng.sample(own, words)) for _ in range(4 * n)}
+    return [(k, t, rng.choice([None, 1]), rng.choice([None, 1])) for k, t in enumerate(sorted(texts)[:n])]
+
+
+@pytest.mark.parametrize(("threshold", "pivots", "pairs"), [(0.6, 8, 10**6), (0.75, 1000, 10**6), (0.9, 16, 3)])
+def test_large_buckets_are_greedy_too(spark, monkeypatch, threshold, pivots, pairs):
+    for name, n in (("BUCKET", 10), ("PIVOTS", pivots), ("PAIRS", pairs)):
+        monkeypatch.setattr(dedup, name, n)
+    monkeypatch.setattr(similar, "ROWS", 16)
+    rows = shuffles(90, 5)
+    log = dedup.match_log(spark.createDataFrame(rows, "id long, t string, p int, q int"), "t", "id", ["p", "q"], threshold).collect()
+    want = greedy([(k, t, (p is not None) + (q is not None)) for k, t, p, q in rows], threshold)
+    assert {r.dropped for r in log} == want and len(log) == len(want)
+
+
+def test_settling_equals_the_pair_loop():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randint(2, 9)
+        near = {(i, j) for i, j in itertools.combinations(range(n), 2) if rng.random() < 0.4}
+        values = [rng.randint(0, 3) for _ in range(n)]
+        gone = set()
+        for i, j in itertools.combinations(range(n), 2):
+            if i not in gone and j not in gone and (i, j) in near:
+                gone.add(j if values[i] >= values[j] else i)
+        got = dedup.settle(list(enumerate(values)), lambda i, n=n, near=near: [(j, 1.0) for j in range(i + 1, n) if (i, j) in near])
+        assert {x for _, x, _ in got} == gone
+
+
+def test_near_copies_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similar, "ROWS", 8)
+    rng, letters = random.Random(11), "abcdefgh é中 "
+    base = ["".join(rng.choices(letters, k=rng.choice([1, 5, 30, 200, 900]))) for _ in range(60)]
+
+    def edited(t):
+        out = list(t)
+        for _ in range(rng.randint(0, max(1, len(t) // 8))):
+            at = rng.randrange(len(out) + 1)
+            out[at : at + rng.randint(0, 1)] = rng.choice(["", rng.choice(letters)])
+        return "".join(out)
+
+    train = [*enumerate(base), (900, base[0]), (901, None), (902, " "), (903, "x" * 20_000)]
+    test = [(k, edited(t)) for k, t in enumerate(base[:40])] + [(800, base[3]), (801, None), (802, "x" * 19_000), (803, base[3])]
+    a, b = (spark.createDataFrame(x, "id long, t string") for x in (train, test))
+    for threshold in (0.9, 0.7):
+        got = {(r.id, r.other, round(r.similarity, 9)) for r in dedup.near_copies(a, b, "t", "id", threshold).collect()}
+        full = [(i, j, dedup.similarity(x, y)) for i, x in train for j, y in test if x and y and x.strip() and y.strip()]
+        assert got == {(i, j, round(s, 9)) for i, j, s in full if s >= threshold} and len(got) > 20
+    assert dedup.near_copies(a.limit(0), b, "t", "id").count() == 0
+
+
+def test_bounds_leave_few_pairs():
+    rng = random.Random(12)
+    syllables = ["".join(rng.choices("abcdefghijklmnop", k=2)) for _ in range(60)]
+    text = lambda: " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(120))
+    a, b = similar.Block([text() for _ in range(40)]), similar.Block([text() for _ in range(40)])
+    assert sum(len(similar.candidates(a, i, b, 0.9)) for i in range(40)) < 40 * 40 / 20
+    assert all(i in similar.candidates(a, i, a, 0.9) for i in range(40))
+
+
+def test_similarity_bounds_never_lose_a_pair():
+    rng = random.Random(21)
+    for _ in range(300):
+        a = "".join(rng.choices("abcd", k=rng.randint(65, 160)))
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 3)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "ab"])
+        b = "".join(b) if rng.random() < 0.8 else "".join(rng.choices("abcd", k=rng.randint(65, 160)))
+        full = 2 * lcs(a, b) / (len(a) + len(b))
+        for least in (0.5, 0.7, 0.8, 0.9, full):
+            got = dedup.similarity(a, b, least)
+            assert got == full if full >= least else full - 1e-12 <= got < least
