@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,3 +122,76 @@ def mix(tasks: dict[str, DataFrame], key: str, order: str = "random", seed: int
     parts = [tasks[t].withColumns({"task": F.lit(t), "task_no": F.lit(names.index(t) if order == "curriculum" else 0)}) for t in names]
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return both.withColumn("mix_key", draw(key, seed, F.col("task")))
+
+
+_OPEN, _CLOSE = "<|im_start|>\n", "<|im_end|>\n"  # what stands around a message's role and content
+
+
+def labelled(df: DataFrame, messages_: str, tokenizer: str, longest: int | None = None, role: str = "assistant") -> DataFrame:
+    """df with input_ids and labels: the ids of the whole rendered conversation, and of these the ones that lie within
+    what the role says, the others ignored.
+
+    tokenizer: the path of a tokenizer's file, loaded once a worker. Ids are aligned by the characters they stand for:
+    one that reaches over the edge of a turn is ignored, and every turn of the role is learnt, however many there are.
+    Null roles and contents are empty; a null list has no ids. longest: ids that are kept.
+    """
+    whole = F.transform(F.col(messages_), lambda m: F.struct(F.coalesce(m["role"], F.lit("")).alias("role"), F.coalesce(m["content"], F.lit("")).alias("content")))
+    # a rendered message is mark, role, newline, content, end mark
+    turns = F.transform("_m", lambda m: F.struct((m["role"] == role).alias("own"), F.length(m["role"]).alias("role"), F.length(m["content"]).alias("content")))
+    rows = df.withColumn("_m", whole).withColumns({"_t": chatml("_m"), "_s": turns})
+
+    @F.pandas_udf("input_ids array<int>, labels array<int>")
+    def encode(texts: pd.Series, messages: pd.Series) -> pd.DataFrame:
+        ids, labels = [], []
+        for text, turns in zip(texts, messages, strict=True):
+            if text is None:
+                ids.append(None)
+                labels.append(None)
+                continue
+            got = _tokenizer(tokenizer).encode(text, add_special_tokens=False)
+            at = np.array(got.offsets, np.int64).reshape(-1, 2)
+            own, said, held = (np.array([s[k] for s in turns], np.int64) for k in ("own", "role", "content"))
+            whole = said + held + len(_OPEN) + len(_CLOSE)
+            ends = np.cumsum(whole)
+            edges = np.stack([ends - whole + len(_OPEN) + said, ends], axis=1)[own > 0]
+            turn = np.searchsorted(edges[:, 0], at[:, 0], "right") - 1
+            inside = (turn >= 0) & (at[:, 1] <= edges[np.maximum(turn, 0), 1]) if len(edges) else np.zeros(len(at), bool)
+            own_ids = np.array(got.ids, np.int64)
+            ids.append(own_ids[:longest].tolist())
+            labels.append(np.where(inside, own_ids, IGNORED)[:longest].tolist())
+        return pd.DataFrame({"input_ids": ids, "labels": labels})
+
+    return rows.withColumn("_e", encode("_t", "_s")).withColumns({"input_ids": F.col("_e.input_ids"), "labels": F.col("_e.labels")}).drop("_m", "_t", "_s", "_e")
+
+
+_LOADED: dict = {}
+
+
+def _tokenizer(path: str):
+    if path not in _LOADED:
+        from tokenizers import Tokenizer
+
+        _LOADED[path] = Tokenizer.from_file(path)
+    return _LOADED[path]
+
+
+def within_budget(df: DataFrame, text: str, tokenizer: str, longest: int = 4096, new_tokens: int = 512, margin: int = 100) -> DataFrame:
+    """df with text cut after the last whole character of the ids that leave room for new ones; what fits stays as it is."""
+    room = longest - new_tokens - margin
+    if room <= 0:
+        raise ValueError("no room is left for the input")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        out = []
+        for x in texts:
+            at = None if x is None else _tokenizer(tokenizer).encode(x, add_special_tokens=False).offsets
+            if at is None or len(at) <= room:
+                out.append(x)
+            else:
+                # a character whose bytes are not all among the ids that stay goes too
+                end, after = at[room - 1][1], at[room][0]
+                out.append(x[: min(end, after)])
+        return pd.Series(out, index=texts.index, dtype=object)
+
+    return df.withColumn(text, cut(text))

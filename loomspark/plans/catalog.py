@@ -922,4 +922,4 @@ def missing_flags(t):
     return t.labelled.select("doc_id", missing.is_missing("quality").alias("missing"), missing.filled("lang", "quality", "toxic").alias("filled"))
 
 
-from . import files, shapes  # noqa: E402, F401  these register more queries
+from . import files, flows, shapes  # noqa: E402, F401  these register more queries

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_name
+from . import named
 from .workbook import write_sheet
 
 LONG_CONTEXT = 8000  # tokens from which a sample counts as long
@@ -50,21 +50,8 @@ def by_context(df: DataFrame, path: str, tokens: str = "num_tokens", threshold:
 
 
 def json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The table as one JSON array in one file below path, for harnesses that read nothing else.
-
-    Rows pass through one task, which holds one batch at a time.
-    """
-
-    def framed(parts):
-        empty = True
-        for part in parts:
-            for text in part["j"]:
-                yield pd.DataFrame({"value": [("[" if empty else ",") + text]})
-                empty = False
-        yield pd.DataFrame({"value": ["[]" if empty else "]"]})
-
-    rows = df.select(F.to_json(F.struct("*")).alias("j")).coalesce(1)
-    rows.mapInPandas(framed, "value string").write.mode(mode).text(path)
+    """The table as one JSON array in one file, for harnesses that read nothing else; see `named`."""
+    named.one_array(df, path, mode)
 
 
 REPORT = 10_000  # rows that a report shows at most; more are an error

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 
 def source(spark: SparkSession, path: str, like: str | None = None) -> DataFrame:
-    """A folder of Parquet files as a stream, with the schema of what is there."""
-    return spark.readStream.schema(spark.read.parquet(like or path).schema).parquet(path)
+    """A folder of Parquet files, or one file, as a stream, with the schema of what is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    rows = spark.readStream.schema(spark.read.parquet(like or path).schema)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return rows.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    return rows.parquet(path)
 
 
 def windowed(events: DataFrame, time: str, value: str, *by: str, size: str = "1 hour", slide: str | None = None, late: str = "30 minutes") -> DataFrame:

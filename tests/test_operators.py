@@ -426,3 +426,46 @@ def test_similarity_bounds_never_lose_a_pair():
         for least in (0.5, 0.7, 0.8, 0.9, full):
             got = dedup.similarity(a, b, least)
             assert got == full if full >= least else full - 1e-12 <= got < least
+
+
+def test_labels_by_characters(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    turns = [("system", "Be kind."), ("user", "hello  é中 there"), ("assistant", "hi — ça va? \n\n"), ("user", None), ("assistant", ""), (None, "x"), ("assistant", "end" * 50)]
+    long = [(r, f"turn {k} ünd so") for k in range(300) for r in ("user", "assistant")]
+    df = spark.createDataFrame([(1, turns), (2, []), (3, None), (4, long)], "id int, messages array<struct<role: string, content: string>>")
+    got = {r.id: r for r in chat.labelled(df, "messages", path).collect()}
+    for key, messages in ((1, turns), (2, []), (4, long)):
+        text, learnt = "", []
+        for role, content in messages:
+            text += f"<|im_start|>{role or ''}\n"
+            begin = len(text)
+            text += f"{content or ''}<|im_end|>\n"
+            if role == "assistant":
+                learnt.append((begin, len(text)))
+        e = own.encode(text, add_special_tokens=False)
+        want = [i if any(a <= x and y <= b for a, b in learnt) else -100 for i, (x, y) in zip(e.ids, e.offsets)]
+        assert got[key].input_ids == e.ids and got[key].labels == want
+    assert got[3].input_ids is None and sum(x != -100 for x in got[4].labels) > 300 and got[2].labels == []
+    short = {r.id: r for r in chat.labelled(df, "messages", path, longest=5).collect()}
+    assert short[4].labels == got[4].labels[:5]
+
+
+def test_budget_in_ids(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    texts = [None, "", "short", "word " * 300, "🙂" * 100, "é中🙂 mixed " * 60]
+    got = [r.t for r in chat.within_budget(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "t", path, longest=40, new_tokens=8, margin=12).orderBy("id").collect()]
+    for x, y in zip(texts, got):
+        if x is None or len(own.encode(x, add_special_tokens=False).ids) <= 20:
+            assert x == y
+        else:
+            assert x.startswith(y) and 0 < len(own.encode(y, add_special_tokens=False).ids) <= 20
+    with pytest.raises(ValueError):
+        chat.within_budget(spark.range(1), "id", path, longest=10)
