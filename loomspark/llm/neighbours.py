@@ -37,8 +37,12 @@ def directions(dims: int, n: int = DIRECTIONS, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dims, n))
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int, share: float = SHARE) -> list[tuple[int, int, float]]:
-    """(query, vector, distance): up to k nearest found in one block, for each query. All queries widen their windows together."""
+def search_block(ids: np.ndarray, vectors: np.ndarray, q_rows: np.ndarray, queries: np.ndarray, k: int, share: float = SHARE, rows: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """(query's place, vector, distance): up to k nearest found in one block, for each query. All queries widen their windows together.
+
+    rows and q_rows: the numbers of the vectors' and the queries' rows, as ids may repeat; by default the vectors' ids.
+    """
+    rows = ids if rows is None else rows
     lines = directions(vectors.shape[1])
     p, q = vectors @ lines, queries @ lines
     order = np.argsort(p, axis=0, kind="stable").T.copy()
@@ -48,12 +52,12 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, querie
     # the narrowest window holds a few vectors on each direction, if all were evenly spread
     spread = np.maximum(sorted_[:, -1], q.max(0, initial=-np.inf)) - np.minimum(sorted_[:, 0], q.min(0, initial=np.inf))
     width = max(float(np.median(spread)) / max(n, 1) * 2, 1e-12)
-    count = np.zeros((len(q_ids), n), np.int16)
+    count = np.zeros((len(q_rows), n), np.int16)
     dist, seen = np.full(count.shape, np.inf), np.zeros(count.shape, bool)
-    own = ids[None, :] == q_ids[:, None]
+    own = rows[None, :] == q_rows[:, None]
     lo = np.stack([np.searchsorted(sorted_[d], q[:, d]) for d in range(ways)])
     hi = lo.copy()
-    live = np.arange(len(q_ids))
+    live = np.arange(len(q_rows))
     for _ in range(ROUNDS):
         for d in range(ways):
             a = np.minimum(np.searchsorted(sorted_[d], q[live, d] - width / 2, "left"), lo[d, live])
@@ -83,14 +87,14 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, querie
         j = np.flatnonzero(~seen[i] & ~own[i])
         dist[i, j] = np.sqrt(((vectors[j] - queries[i]) ** 2).sum(1))
     out = []
-    for i in range(len(q_ids)):
+    for i in range(len(q_rows)):
         have = np.flatnonzero(np.isfinite(dist[i]))
         if len(have) > k:
             have = have[dist[i, have] <= np.partition(dist[i, have], k - 1)[k - 1]]
         # summed component by component, as SQL engines do
         exact = np.sqrt(np.cumsum((vectors[have] - queries[i]) ** 2, axis=1)[:, -1])
         best = np.lexsort((ids[have], exact))[:k]
-        out += [(int(q_ids[i]), int(ids[have[j]]), float(exact[j])) for j in best]
+        out += [(i, int(ids[have[j]]), float(exact[j])) for j in best]
     return out
 
 
@@ -101,7 +105,8 @@ def search(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", ve
     usable vectors but the query's own. Vectors lie in blocks of bounded size; each block
     keeps its sorted projections, and takes the queries a bounded batch at a time, so
     neither a task's memory nor what it returns (k rows a query and block) grows with the
-    table. Null keys take no part; vectors of another length than the query's are no
+    table. Rows are told by numbers of their own, so rows of one key meet each other, and each
+    query row has its own answer. Null keys take no part; vectors of another length than the query's are no
     candidates; ties go to the smaller key; equal vectors all count; other columns are
     left out; no query gives no row. The result is a written table.
 
@@ -111,47 +116,48 @@ def search(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", ve
     """
     spark, ws = df.sparkSession, Workspace(df.sparkSession, "neighbours")
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    rows = ws.save(rows.withColumn("dims", F.size("v")), "vectors")
+    rows = ws.save(rows.withColumns({"dims": F.size("v"), "row": F.monotonically_increasing_id()}), "vectors")
     n = rows.count()
     blocks = max(1, min(-(-n // BLOCK), n))
     asked = rows.where(F.col("id") % every == 0)
     batches = max(1, -(-(n // max(every, 1)) // 128))
     # every block meets every batch of queries once: the stated query set against all rows, in blocks
-    left = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block", "dims").agg(F.collect_list(F.struct("id", "v")).alias("held"))
-    right = asked.withColumn("batch", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(batches)).cast("int")).groupBy("batch", "dims").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
+    left = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).groupBy("block", "dims").agg(F.collect_list(F.struct("id", "v", "row")).alias("held"))
+    right = asked.withColumn("batch", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(batches)).cast("int")).groupBy("batch", "dims").agg(F.collect_list(F.struct("id", "v", "row")).alias("asked"))
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     work = left.join(right, ["block", "dims"]).repartition(min(blocks * batches, 8 * partitions(spark)), "block", "batch")
 
     def numbers(held, dims):
         flat = held.flatten()
-        return flat.field(0).to_numpy(), flat.field(1).flatten().to_numpy().reshape(-1, dims)
+        return flat.field(0).to_numpy(), flat.field(1).flatten().to_numpy().reshape(-1, dims), flat.field(2).to_numpy()
 
     def run(parts):
         for part in parts:
             for r in range(part.num_rows):
                 dims, held, queries = (part.column(part.schema.get_field_index(name)).slice(r, 1) for name in ("dims", "held", "asked"))
-                ids, vs = numbers(held, dims[0].as_py())
-                q_ids, qs = numbers(queries, dims[0].as_py())
-                found = search_block(ids, vs, q_ids, qs, k)
-                yield pa.RecordBatch.from_arrays([pa.array([f[x] for f in found], t) for x, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+                ids, vs, own = numbers(held, dims[0].as_py())
+                q_ids, qs, q_rows = numbers(queries, dims[0].as_py())
+                found = search_block(ids, vs, q_rows, qs, k, rows=own)
+                at = np.array([f[0] for f in found], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(q_rows[at]), pa.array(q_ids[at]), *(pa.array([f[x] for f in found], t) for x, t in ((1, pa.int64()), (2, pa.float64())))], ["row", "query_id", "vec_id", "score"])
 
     from pyspark.sql import Window
 
-    found = work.mapInArrow(tidy(run), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = work.mapInArrow(tidy(run), "row long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id"))
     return ws.result(found.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score"))
 
 
 #: The same rows by brute force, where the search misses none (its recall is 1.0 on the tables measured).
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 d AS (
-  SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, v.e), lambda p: (p[2] - p[1]) * (p[2] - p[1])))) AS score
-  FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0)
+  SELECT q.row, q.vec_id AS query_id, v.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, v.e), lambda p: (p[2] - p[1]) * (p[2] - p[1])))) AS score
+  FROM v q JOIN v ON q.row <> v.row AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10
 """
 
 

@@ -499,3 +499,24 @@ def test_described_rows_skip_missing(spark):
     render = lambda b: [None if k == 1 else images.pictures([np.arange(64) - 30.0])[0] for k in b.column(0).to_pylist()]
     got = images.descriptors(df, render, "long").select("id").distinct().collect()
     assert [r.id for r in got] == [2]
+
+
+def test_rows_of_one_vector_id_are_rows_of_their_own(spark):
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.1]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (200, [5.0, 5.0])]
+    got = collections.Counter((r.query_id, r.vec_id, round(r.score, 6)) for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    want = collections.Counter((i, j, round(float(np.linalg.norm(np.subtract(v, w))), 6)) for a, (i, v) in enumerate(rows) if i % 100 == 0 for b, (j, w) in enumerate(rows) if a != b)
+    assert got == want and sum(got.values()) == 12
+
+
+def test_many_rows_of_one_document(spark):
+    text = " ".join(f"w{k}" for k in range(900))
+    rows = [(7 if k % 2 else None, text) for k in range(5000)] + [(k, f"other {k} " * 60) for k in range(8, 12)]
+    got = suffixes.remove(spark.createDataFrame(rows, "doc_id long, text string"), texts=False)
+    own = [r for r in got.collect() if r.n_bytes == len(text)]
+    assert len(own) == 5000 and all(r.n_removed == len(text) and r.n_spans == 1 for r in own)
+
+
+def test_very_long_texts_of_fingerprints_and_labels(spark):
+    long = "word other thing " * 60_000
+    got = {r.doc_id: r for r in simhash.link(spark.createDataFrame([(1, long), (2, long + "x"), (3, "short"), (3, "short")], "doc_id long, text string")).collect()}
+    assert got[1].component_id == got[2].component_id == 1 and got[3].component_id == 3
