@@ -64,6 +64,17 @@ def corpus_origin_stats(t):
     return stats.origins(t.documents, F.col("source"), "text")
 
 
+@query(f"""
+WITH r AS (SELECT source AS origin, CASE WHEN length({S.trim('text')}) > 0 THEN length(text) END AS c, len({S.lines('text')}) AS l FROM documents),
+g AS (SELECT origin, count(*) AS samples, count(c) AS non_empty, round(CAST(sum(c) AS BIGINT) / count(c), 2) AS a, round(sum(l)::DOUBLE / count(l), 2) AS b FROM r GROUP BY origin)
+SELECT origin, samples, non_empty, a AS avg_chars, b AS avg_lines FROM g
+UNION ALL SELECT 'TOTAL', CAST(sum(samples) AS BIGINT), CAST(sum(non_empty) AS BIGINT), round(sum(a * non_empty) / sum(non_empty), 2), round(sum(b * samples) / sum(samples), 2) FROM g
+""")
+def corpus_origin_stats_rounded(t):
+    """A2: TOTAL from the groups' rounded averages, as in a printed table."""
+    return stats.origins(t.documents, F.col("source"), "text", digits=2)
+
+
 @query("""
 SELECT CASE WHEN lang = 'en' THEN 'web_' || source ELSE lang END AS origin, count(*) AS samples, count(text) AS non_empty,
   CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1
@@ -776,6 +787,22 @@ def anova_f(t):
     return evaluation.variance_ratio(_scores(t), "model", "c1").withColumn("f", F.round("f", 9))
 
 
+_THREE = _SCORES.replace("doc_id % 4", "doc_id % 3")
+
+
+@query(f"""
+WITH {_THREE}, l AS (SELECT model, 'c1' AS criterion, c1 AS c FROM s UNION ALL SELECT model, 'c2', c2 FROM s),
+g AS (SELECT criterion, model, count(*) AS n, sum(c) AS s, sum(c * c) AS q FROM l GROUP BY criterion, model),
+o AS (SELECT criterion, count(*) AS groups, CAST(sum(n) AS BIGINT) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM g GROUP BY criterion),
+f AS (SELECT criterion, groups, n, (b - s * s / n) / (groups - 1) / ((q - b) / (n - groups)) AS f FROM o)
+SELECT criterion, groups, n, round(f, 9) AS f, round(pow(1 + 2 * f / (n - groups), -(n - groups) / 2.0::DOUBLE), 9) AS p, pow(1 + 2 * f / (n - groups), -(n - groups) / 2.0::DOUBLE) < 0.05 AS significant FROM f
+""")
+def score_tests_of_three(t):
+    """With three groups the tail of F is a power."""
+    rows = _scores(t).withColumn("model", F.concat(F.lit("m"), (F.col("sample_id") % 3).cast("string")))
+    return evaluation.tests(rows, "model", ["c1", "c2"]).withColumns({"f": F.round("f", 9), "p": F.round("p", 9)})
+
+
 @query()
 def score_tests(t):
     return evaluation.tests(_scores(t), "model", ["c1", "c2"])

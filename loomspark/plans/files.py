@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import enrich, templates
 from ..operators.scratch import shared_dir
-from ..sources import readers, writers
+from ..sources import named, readers, writers
 from .catalog import query
 
 
@@ -32,7 +33,8 @@ def tolerant_rows(t):
     """Every fourth line has a field too many."""
     line = F.concat_ws("\t", F.col("doc_id").cast("string"), "lang", F.when(F.col("doc_id") % 4 == 0, F.lit("more")))
     path = place(t, "tolerant")
-    t.spark.range(1).select(F.lit("doc_id\tlang").alias("value")).unionByName(t.documents.select(line.alias("value"))).coalesce(1).write.text(path)
+    t.documents.select(line.alias("value")).write.text(f"{path}-parts")
+    named.join(t.spark, named.parts(t.spark, f"{path}-parts"), path, begin=b"doc_id\tlang\n")
     return readers.delimited(t.spark, path, "\t", tolerant=True, schema="doc_id long, lang string")
 
 
@@ -145,3 +147,60 @@ def text_widths_of_csv(t):
     return got.select("doc_id", (F.size(F.split("text", " ")) - 3).cast("long").alias("n"))
 
 
+@query("""
+WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
+SELECT replace(source || '_x', '_', '\\_') || ' & ' || format('{:,}', n) || ' & 50\\% \\\\' AS line FROM c
+UNION ALL SELECT l FROM (VALUES ('\\begin{table}'), ('\\caption{Rows \\& more}'), ('\\begin{tabular}{lll}'), ('name & rows & part \\\\ \\hline'), ('\\end{tabular}'), ('\\end{table}')) v(l)
+""")
+def latex_lines(t):
+    """A small table in LaTeX, line by line."""
+    rows = t.documents.groupBy(F.concat("source", F.lit("_x")).alias("name")).agg((F.count("*")).cast("int").alias("rows")).withColumn("part", F.lit("50%"))
+    shown = writers.latex_table(rows, "Rows & more")
+    return t.spark.createDataFrame([(x,) for x in shown.split("\n")], "line string")
+
+
+@query("SELECT doc_id, 'en: ' || doc_id AS prediction, 'test_with_predictions.tsv' AS file FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, NULL, 'test_with_predictions.tsv' FROM documents WHERE lang <> 'en' OR lang IS NULL")
+def predictions_file(t):
+    """E6x: a file's rows with a model's answers beside them, in a file named after it; null prompts have none."""
+    path = f"{place(t, 'predicted')}/test.tsv"
+    writers.delimited(t.documents.select("doc_id", F.when(F.col("lang") == "en", F.col("doc_id").cast("string")).alias("prompt")), path)
+    rows = readers.delimited(t.spark, path, "\t", schema="doc_id long, prompt string")
+    to = writers.with_predictions(path)
+    writers.delimited(enrich.complete(rows, "prompt", lambda asked: [f"en: {p}" for p in asked], "prediction").select("doc_id", "prediction"), to)
+    got = readers.delimited(t.spark, to, "\t", schema="doc_id long, prediction string")
+    return got.select("doc_id", "prediction", readers.path_part(1).alias("file"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id % 10 <> 0")
+def hub_table(t):
+    """A hub's cache holds a data set's files by split."""
+    cache = place(t, "hub")
+    for split, own in (("test", "doc_id % 10 = 0"), ("train", "doc_id % 10 <> 0")):
+        t.documents.where(own).select("doc_id", "lang").coalesce(1).write.parquet(f"{cache}/{split}-parts")
+        named.join(t.spark, named.parts(t.spark, f"{cache}/{split}-parts"), f"{cache}/owner/set/{split}-0.parquet")
+    return readers.hub(t.spark, "owner/set", "train", cache)
+
+
+@query("SELECT page_id, md5(regexp_replace(html, chr(13) || '?' || chr(10), ' ', 'g') || chr(10)) AS html_md5 FROM pages")
+def page_files(t):
+    """A file for each page, each a record."""
+    root = place(t, "pages")
+    t.pages.select("page_id", F.regexp_replace("html", "\r?\n", " ").alias("value")).repartition("page_id").write.partitionBy("page_id").text(root)
+    files = readers.html_files(t.spark, root, "part-*")
+    return files.select(F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("long").alias("page_id"), F.md5("html").alias("html_md5"))
+
+
+@query("SELECT lang, 't' || lang AS id, 'lang,source' AS inputs, 'text' AS output, 'Write in ' || lang || '.' AS text FROM (SELECT DISTINCT lang FROM documents) UNION ALL SELECT lang, 't' || lang, 'lang,source', 'text', 'And: ' || lang FROM (SELECT DISTINCT lang FROM documents)")
+def yaml_sheet(t):
+    """A template for each language, of which there are few."""
+    path = f"{place(t, 'yaml')}/templates.yaml"
+    lines = [f"{r.lang}:\n- id: t{r.lang}\n  input: [lang, source]\n  output: text\n  text:\n  - Write in {r.lang}.\n  - 'And: {r.lang}'\n" for r in t.documents.select("lang").distinct().collect()]
+    writers.put(t.spark, path, "".join(lines).encode())
+    return readers.yaml_templates(t.spark, path).withColumn("inputs", F.array_join("inputs", ","))
+
+
+@query("SELECT doc_id, format('{:,}', n_chars * 1000) AS shown, 'Poem ' || upper(lang[1]) || lang[2:] || ', Era → Full Text' AS name FROM documents")
+def display_names(t):
+    """numbers and template keys as readers would have them."""
+    key = F.concat(F.lit("poem_"), "lang", F.lit("__era___full_text"))
+    return t.documents.select("doc_id", text.thousands(F.col("n_chars") * 1000).alias("shown"), text.display_name(key).alias("name"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lines, missing, text, values
@@ -122,11 +123,12 @@ def normalised_eras(t):
     return unify.normalise_eras(rows)
 
 
-@query("SELECT doc_id, lang AS original, 'out' AS valid FROM documents WHERE doc_id % 2 = 0")
+@query("SELECT doc_id, lang AS original, n_chars % 3 = 0 AND doc_id % 2 = 0 AS valid, CASE WHEN n_chars % 3 = 0 AND doc_id % 2 = 0 THEN source END AS meter FROM documents")
 def split_valid_rows(t):
-    """Rows with an error result are split off."""
-    rows = made(t, "doc_id AS id", "'1\na' AS poem_verses", """CASE WHEN doc_id % 2 = 0 THEN '"a" "b" "c"' ELSE '"a"' END AS tags""", "lang")
-    return unify.numbered_poems(rows).where("valid").select(F.col("poem_id").alias("doc_id"), F.col("lang").alias("original"), F.lit("out").alias("valid"))
+    """Rows whose tags are no three, or whose declared verses are not the text's, are told from good ones."""
+    rows = made(t, "doc_id AS id", "'1\na' AS poem_verses", """CASE WHEN n_chars % 3 = 0 THEN concat('"', source, '" "b" "c"') ELSE '"a"' END AS tags""", "CASE WHEN doc_id % 2 = 0 THEN '1 verse' ELSE '2 verses' END AS verse_count", "lang")
+    out = unify.numbered_poems(rows, strict=True)
+    return out.select(F.col("poem_id").alias("doc_id"), F.col("lang").alias("original"), "valid", F.when(F.col("valid"), F.coalesce("meter", "genre", "poet_era")).alias("meter"))
 
 
 @query("SELECT c AS name FROM (VALUES ('doc_id'), ('lang'), ('quality')) v(c)")
@@ -193,13 +195,19 @@ def profiles(t):
 # --- templates, assignment, alignment ---
 
 
-@query("SELECT inputs, output, variants FROM (VALUES ('lang,source', 'text', 'A {lang}:msa|B {lang}:gulf'), ('lang', 'text', 'C:msa'), ('lang', 'title', 'D:gulf|E:msa')) v(inputs, output, variants)")
+@query("""
+WITH r AS (SELECT CASE WHEN doc_id % 3 < 2 THEN 'lang,source' ELSE 'lang' END AS inputs, CASE WHEN doc_id % 2 = 0 THEN 'text' ELSE 'title' END AS output, lang, source, doc_id FROM documents),
+v AS (SELECT inputs, output, 'A ' || lang AS text, 'msa' AS dialect FROM r UNION SELECT inputs, output, 'B ' || source, 'gulf' FROM r WHERE doc_id % 5 <> 0)
+SELECT inputs, output, string_agg(text || ':' || dialect, '|' ORDER BY text, dialect) AS variants, CAST(row_number() OVER (ORDER BY len(string_split(inputs, ',')) DESC, inputs, output) AS INTEGER) AS place
+FROM v GROUP BY inputs, output
+""")
 def grouped_templates(t):
-    rows = [("lang, source", "text ", "A {lang}", "B {lang}"), ("lang,source", "text", "A {lang}", None), ("lang", "text", "C", " "), ("lang", "title", "E", "D")]
-    sheet = t.spark.createDataFrame(rows, "placeholder string, output string, msa string, gulf string")
-    out = templates.by_arity(templates.grouped(sheet))
+    """A sheet with a line for each document; place is where a template comes by its number of inputs."""
+    sheet = made(t, "CASE doc_id % 3 WHEN 0 THEN 'lang, source' WHEN 1 THEN 'lang,source' ELSE 'lang' END AS placeholder", "CASE WHEN doc_id % 2 = 0 THEN 'text ' ELSE 'title' END AS output", "concat('A ', lang) AS msa", "CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE concat('B ', source) END AS gulf")
+    # numbers in the order in which the rows come
+    out = templates.by_arity(templates.grouped(sheet)).withColumn("_n", F.monotonically_increasing_id())
     shown = F.array_join(F.transform("variants", lambda v: F.concat(v["text"], F.lit(":"), v["dialect"])), "|")
-    return out.select(F.array_join("inputs", ",").alias("inputs"), "output", shown.alias("variants"))
+    return out.select(F.array_join("inputs", ",").alias("inputs"), "output", shown.alias("variants"), F.row_number().over(Window.orderBy("_n")).alias("place"))
 
 
 @query("SELECT doc_id, 'Go on:' || chr(10) || chr(10) || lang || chr(10) || ' in ' || source AS prompt FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 2 = 1")
@@ -244,12 +252,14 @@ def matched_file_names(t):
     return enrich.matched_names(a, pairs.select(F.concat(F.lit("en_"), "lang", "source").alias("name")), "name")
 
 
-@query(f"SELECT doc_id, len(l) >= 1 AND list_has_any(ws, [w]) AS inside FROM (SELECT doc_id, {S.lines('text')} AS l, [1] AS ws, 1 AS w FROM documents)")
+_SIZE = f"least({S.pick('5', 'doc_id', 42, repr('size'))} + 1, len(l))"
+_START = f"CAST(floor((len(l) - {_SIZE} + 1) * {S.uniform('doc_id', 42, repr('start'))}) AS INTEGER)"
+
+
+@query(f"SELECT doc_id, md5(array_to_string(l[{_START} + 1 : {_START} + {_SIZE}], chr(10))) AS lines_md5 FROM (SELECT doc_id, {S.lines('text')} AS l FROM documents)")
 def random_windows(t):
-    """one to five neighbouring lines, which stand in the text as they are."""
-    rows = t.documents.withColumn("w", templates.random_window("text", "doc_id"))
-    n = F.size(F.split("w", "\n"))
-    return rows.select("doc_id", (F.contains("text", "w") & n.between(1, 5)).alias("inside"))
+    """one to five neighbouring lines, by the row's draw."""
+    return t.documents.select("doc_id", F.md5(templates.random_window("text", "doc_id")).alias("lines_md5"))
 
 
 
