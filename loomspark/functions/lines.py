@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, trim_ws
+from .text import col, not_blank, trim_ws
 
 #: A number that stands between verses; digits of all scripts.
 NUMBER_MARK = r"(?U)\n*\b\d+\b\n*"
@@ -17,7 +17,7 @@ def lines(c) -> Column:
 
 def full_lines(c) -> Column:
     """Lines that are not blank, as they are."""
-    return F.filter(lines(c), lambda x: F.length(trim_ws(x)) > 0)
+    return F.filter(lines(c), not_blank)
 
 
 def count_lines(c) -> Column:
@@ -92,11 +92,14 @@ def cut_at(n, percent) -> Column:
 
 def continuation(c, percent) -> Column:
     """(given, rest) of the non-blank lines, cut at a percentage; null below two lines."""
-    own = full_lines(c)
-    n = F.size(own)
-    k = cut_at(n, percent)
-    parts = F.struct(F.array_join(F.slice(own, F.lit(1), k), "\n").alias("given"), F.array_join(F.slice(own, k + 1, n), "\n").alias("rest"))
-    return F.when(n >= 2, parts)
+
+    def parts(own):
+        n = F.size(own)
+        k = cut_at(n, percent)
+        return F.when(n >= 2, F.struct(F.array_join(F.slice(own, F.lit(1), k), "\n").alias("given"), F.array_join(F.slice(own, k + 1, n), "\n").alias("rest")))
+
+    # as the variable of a lambda the lines are found once
+    return F.get(F.transform(F.array(full_lines(c)), parts), 0)
 
 
 def window(c, start, size) -> Column:

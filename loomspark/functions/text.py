@@ -27,7 +27,8 @@ def collapse_ws(c) -> Column:
 
 
 def not_blank(c) -> Column:
-    return F.length(trim_ws(c)) > 0
+    """Any other character than white space; the first one ends the search."""
+    return col(c).rlike("[^" + WS[1:])
 
 
 def strip_marks(c, wide: bool = False) -> Column:

@@ -18,23 +18,14 @@ def repetition(df: DataFrame, text: str, key: str, letters: str = ARABIC, keep:
     word's run ends.
     """
     own = df.select(key, *keep, F.array_sort(words(only_script(F.coalesce(F.col(text), F.lit("")), letters))).alias("_w"))
-    # (word, run length) folded over the sorted words: types, types with more than one, longest run
-    zero = F.struct(F.lit("").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("types"), F.lit(0).alias("more"), F.lit(0).alias("top"))
-
-    def step(acc, w):
-        same = (acc["run"] > 0) & (acc["w"] == w)
-        run = F.when(same, acc["run"] + 1).otherwise(1)
-        return F.struct(
-            w.alias("w"),
-            run.alias("run"),
-            (acc["types"] + F.when(same, 0).otherwise(1)).alias("types"),
-            (acc["more"] + F.when(run == 2, 1).otherwise(0)).alias("more"),
-            F.greatest(acc["top"], run).alias("top"),
-        )
-
-    rows = own.select(key, *keep, F.size("_w").cast("long").alias("total_words"), F.aggregate("_w", zero, step).alias("_a"))
+    # where each word's run begins, and how long it is
+    begins = F.filter(F.transform("_w", lambda w, i: F.when((i == 0) | (w != F.get("_w", i - 1)), i)), lambda i: i.isNotNull())
+    rows = own.select(key, *keep, F.size("_w").cast("long").alias("total_words"), begins.alias("_b"))
+    runs = F.transform("_b", lambda i, k: F.coalesce(F.get("_b", k + 1).cast("long"), F.col("total_words")) - i)
+    rows = rows.select(key, *keep, "total_words", runs.alias("_r"))
+    longest = F.coalesce(F.array_max("_r"), F.lit(0).cast("long"))
+    out = rows.select(key, *keep, "total_words", F.size("_r").cast("long").alias("unique_words"), F.size(F.filter("_r", lambda n: n > 1)).cast("long").alias("repeated_words"), longest.alias("max_word_frequency"))
     n, t = F.col("total_words"), F.col("unique_words")
-    out = rows.select(key, *keep, "total_words", F.col("_a.types").cast("long").alias("unique_words"), F.col("_a.more").cast("long").alias("repeated_words"), F.col("_a.top").cast("long").alias("max_word_frequency"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     return out.withColumns({"word_repetition_rate": ratio(F.col("repeated_words") * 100.0, t), "unique_word_ratio": ratio(t, n), "avg_word_frequency": ratio(n, t)})
 

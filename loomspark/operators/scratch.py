@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -22,8 +23,29 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_ROOTS: list[str] = []  # of the workspaces that are open
+
+
+def root(spark: SparkSession) -> str:
+    """Where tables go now: the innermost workspace, else the shared folder."""
+    return _ROOTS[-1] if _ROOTS else shared_dir(spark)
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession):
+    """What is written inside is deleted at the end, so results have to be used, or written elsewhere, before."""
+    path = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
+    _ROOTS.append(path)
+    try:
+        yield path
+    finally:
+        _ROOTS.remove(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and reread, with the schema it had: what reads it several times computes it once."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

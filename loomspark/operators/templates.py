@@ -91,15 +91,18 @@ def samples(df: DataFrame, templates: list[dict], key: str, text: str, task: str
         fields = {n: naturalize(c) for n, c in fields.items()}
         if "poem_title" in fields:
             fields["poem_title"] = quoted_title(fields["poem_title"])
-        fields["poem_text"] = body
-        fields["existing_verses"] = cut["given"]
+        fields |= {"poem_text": body, "existing_verses": cut["given"]}
+        # what no variant has a place for is never made
+        fields = {n: c for n, c in fields.items() if any("{" + n + "}" in x for x, _ in spec["variants"])}
         here = F.col("template") == t
         branches_text = F.when(here, filled_in(tidy_template(own["text"]), fields)).otherwise(branches_text)
         branches_dialect = F.when(here, own["dialect"]).otherwise(branches_dialect)
         out = cut["rest"] if task == "continuation" else F.trim(F.col(spec["output"]).cast("string"))
         branches_out = F.when(here, out).otherwise(branches_out)
-    rows = df.where("template is not null").select(F.col(key), "template", branches_dialect.alias("dialect"), clean_light(branches_text).alias("input"), clean_light(branches_out).alias("output"))
-    return rows.where("input is not null and output is not null")
+    made = F.struct(F.col("template"), branches_dialect.alias("dialect"), clean_light(branches_text).alias("input"), clean_light(branches_out).alias("output"))
+    # a generator's rows are made once; a filter on what was made would make it a second time
+    whole = F.filter(F.array(made), lambda x: x["input"].isNotNull() & x["output"].isNotNull())
+    return df.where("template is not null").select(F.col(key), F.inline(whole))
 
 
 def restorations(df: DataFrame, templates: DataFrame, key: str, corrupted: str, original: str, assigned: str) -> DataFrame:

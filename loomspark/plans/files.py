@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import enrich, templates
-from ..operators.scratch import shared_dir
+from ..operators.scratch import root
 from ..sources import named, readers, writers
 from .catalog import query
 
 
 def place(t, name: str) -> str:
-    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{root(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT doc_id, lang, k AS kind, md5(coalesce(text, '')) AS h FROM documents, (VALUES ('csv'), ('tsv')) v(k)")

@@ -35,6 +35,7 @@ def join(spark, files: list[str], path: str, begin: bytes = b"", between: bytes
         fs.mkdirs(at.getParent())
         fs.rename(_fs(spark, files[0])[1], at)
         return
+    fs.mkdirs(at.getParent())
     hidden = spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}-{uuid.uuid4().hex}")
     try:
         out = fs.create(hidden, True)
@@ -58,7 +59,8 @@ def join(spark, files: list[str], path: str, begin: bytes = b"", between: bytes
         fs.delete(hidden, False)
 
 
-def _vacant(spark, path: str, mode: str) -> None:
+def vacant(spark, path: str, mode: str) -> None:
+    """Make room at path, where the mode is to overwrite; else what is there is an error."""
     fs, at = _fs(spark, path)
     if fs.exists(at):
         if mode != "overwrite":
@@ -78,7 +80,7 @@ def one_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows = df.select(F.to_json(F.struct("*")).alias("j")).select(F.when(first, F.col("j")).otherwise(F.concat(F.lit(","), "j")).alias("value"))
     try:
         rows.write.option("maxRecordsPerFile", 0).text(folder)
-        _vacant(spark, path, mode)
+        vacant(spark, path, mode)
         join(spark, parts(spark, folder), path, b"[\n", b",", b"]\n")
     finally:
         fs, at = _fs(spark, folder)
@@ -98,7 +100,7 @@ def file_per_key(df: DataFrame, key: str, folder: str, ending: str = "jsonl", mo
     dealt = rows.join(sizes, "_name").withColumn("_part", F.pmod("_h", "_parts")).repartition("_name", "_part")
     try:
         dealt.select("_name", "value").write.partitionBy("_name").option("maxRecordsPerFile", 0).text(beside)
-        _vacant(spark, folder, mode)
+        vacant(spark, folder, mode)
         fs, at = _fs(spark, beside)
         jvm_unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
         for found in fs.listStatus(at):

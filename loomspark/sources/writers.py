@@ -50,8 +50,9 @@ def by_context(df: DataFrame, path: str, tokens: str = "num_tokens", threshold:
 
 
 def json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The table as one JSON array in one file, for harnesses that read nothing else; see `named`."""
-    named.one_array(df, path, mode)
+    """The table as one JSON array in one file below path, for harnesses that read nothing else; see `named.one_array`."""
+    named.vacant(df.sparkSession, path, mode)
+    named.one_array(df, f"{path.rstrip('/')}/part-00000.json", mode)
 
 
 REPORT = 10_000  # rows that a report shows at most; more are an error

@@ -145,3 +145,16 @@ def test_pieces_of_replies(spark):
         ("b", 3, '{"open": "', "cut off"),
         ("e", 1, '{"k":"\\\\"}', None),
     ]
+
+
+def test_workspaces_delete_what_was_written(spark, tmp_path):
+    from loomspark.operators.scratch import workspace, written
+
+    with workspace(spark) as path:
+        assert written(spark.range(5), "rows").count() == 5
+        at = path.removeprefix("file:").replace("//", "/") if path.startswith("file:") else path
+        assert os.path.isdir(at) and len(os.listdir(at)) == 1
+        with workspace(spark) as inner:
+            written(spark.range(2), "rows")
+        assert not os.path.exists(inner.removeprefix("file://")) and os.path.isdir(at)
+    assert not os.path.exists(at)
