@@ -520,3 +520,21 @@ def test_very_long_texts_of_fingerprints_and_labels(spark):
     long = "word other thing " * 60_000
     got = {r.doc_id: r for r in simhash.link(spark.createDataFrame([(1, long), (2, long + "x"), (3, "short"), (3, "short")], "doc_id long, text string")).collect()}
     assert got[1].component_id == got[2].component_id == 1 and got[3].component_id == 3
+
+
+def test_images_that_share_parts(spark):
+    """Pictures of four quarters, each from one pool: what is told apart are copies from pictures with a quarter in common."""
+    rng = np.random.default_rng(31)
+    pool = [images.pictures([rng.normal(size=16)], 48)[0] for _ in range(24)]
+    parts = np.array([rng.choice(24, 4, replace=False) for _ in range(240)])
+    shown = [np.block([[pool[a], pool[b]], [pool[c], pool[d]]]) + rng.normal(0, 2, (96, 96)) for a, b, c, d in parts]
+    asked = {k: images.edited(shown[k], k) for k in range(0, 240, 6)}
+    ids = spark.range(240)
+    got = images.copies(ids, ids.where("id % 6 = 0"), lambda b: [shown[k] for k in b.column(0).to_pylist()], lambda b: [asked[k] for k in b.column(0).to_pylist()]).collect()
+    found = {(r.query_id, r.id): r.consensus for r in got}
+    own = sum((q, q) in found for q in asked)
+    strange = [p for p in found if not set(parts[p[0]]) & set(parts[p[1]])]
+    alike = [p for p in found if p[0] != p[1] and p not in strange]
+    best = sum(max((n, i) for (q, i), n in found.items() if q == k)[1] == k for k in asked if (k, k) in found)
+    print(f"own {own} of {len(asked)}, best {best}, with a common part {len(alike)}, with none {len(strange)}")
+    assert own >= 0.95 * len(asked) and best >= 0.95 * own and not strange
