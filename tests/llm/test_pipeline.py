@@ -74,17 +74,17 @@ def test_stages_keep_the_columns(spark, folder):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.execute(registry.ORACLES[name]).df()
     got = registry.QUERIES[name](spark, SF).toPandas()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
-    keys = [c for c in ("doc_id", "query_id", "rank") if c in want.columns]
+    keys = [c for c in ("doc_id", "query_id", "lang", "source", "part", "rank", "depth", "conv_id") if c in want.columns]
     want, got = (x.sort_values(keys).reset_index(drop=True) for x in (want, got))
     for c in want.columns:
         assert (got[c].fillna(-1) == want[c].fillna(-1)).all(), c
 
 
 def test_one_query_per_operator():
-    assert [k.split("_")[0] for k in registry.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in registry.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(registry.ORACLES) <= set(registry.QUERIES)
