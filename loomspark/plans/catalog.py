@@ -20,6 +20,7 @@ from . import sql as S
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 LATIN = r"A-Za-z\x{00C0}-\x{024F}"
+HELD = "doc_id % 10 = 0"  # the part of documents that stands for a test split
 
 
 class Tables:
@@ -310,7 +311,6 @@ def model_names(t):
 
 # --- duplicates and contamination -----------------------------------------------------
 
-HELD = "doc_id % 10 = 0"  # the part of documents that stands for a test split
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {S.hard('text')} ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
@@ -326,27 +326,68 @@ def bucket_dedup_best(t):
     return dedup.keep_fullest(t.labelled, text.bucket(text.token_signature("text")), "doc_id", ["quality", "toxic"]).select("doc_id")
 
 
-@query()
+#: Similarity of the pairs p (id, a, b): r holds the common subsequences of a's beginning with each beginning of b.
+_SIMILAR = """
+l(id, i, r) AS (
+  SELECT id, 0, list_transform(range(length(b) + 1), lambda j: 0) FROM p
+  UNION ALL
+  SELECT l.id, l.i + 1, list_transform(range(length(p.b) + 1), lambda j: list_max(list_transform(range(j + 1), lambda q: greatest(l.r[q + 1], CASE WHEN q > 0 AND p.b[q] = p.a[l.i + 1] THEN l.r[q] + 1 ELSE 0 END))))
+  FROM l JOIN p USING (id) WHERE l.i < length(p.a)),
+similar_ AS (SELECT p.*, 2 * l.r[length(p.b) + 1] / (length(p.a) + length(p.b))::DOUBLE AS s FROM l JOIN p USING (id) WHERE l.i = length(p.a))
+"""
+_HEADS = f"""
+d AS (SELECT doc_id AS k, text AS t, {S.bucket('text')} AS bucket, (quality IS NOT NULL)::INT + (toxic IS NOT NULL)::INT AS n FROM documents LEFT JOIN labels USING (doc_id) WHERE NOT {S.missing('text')}),
+first_ AS (SELECT *, row_number() OVER (PARTITION BY bucket, t ORDER BY n DESC, k) AS rn, first_value(k) OVER (PARTITION BY bucket, t ORDER BY n DESC, k) AS kept FROM d),
+p AS (SELECT row_number() OVER () AS id, x.bucket, x.k AS i, y.k AS j, x.n AS ni, y.n AS nj, x.t AS a, y.t AS b FROM first_ x JOIN first_ y ON x.bucket = y.bucket AND x.k < y.k WHERE x.rn = 1 AND y.rn = 1)
+"""
+#: The pairs of a bucket in order; one that is gone meets no other.
+_LOG = f"""
+WITH RECURSIVE {_HEADS}, {_SIMILAR},
+c AS (SELECT bucket, i, j, ni, nj, s, row_number() OVER (PARTITION BY bucket ORDER BY i, j) AS step FROM similar_ WHERE s >= 0.9),
+g(bucket, step, gone, log) AS (
+  SELECT DISTINCT bucket, 0::BIGINT, []::BIGINT[], []::STRUCT(kept BIGINT, dropped BIGINT, similarity DOUBLE)[] FROM c
+  UNION ALL
+  SELECT g.bucket, c.step, CASE WHEN list_contains(gone, i) OR list_contains(gone, j) THEN gone ELSE list_append(gone, CASE WHEN ni >= nj THEN j ELSE i END) END,
+    CASE WHEN list_contains(gone, i) OR list_contains(gone, j) THEN log WHEN ni >= nj THEN list_append(log, {{'kept': i, 'dropped': j, 'similarity': s}}) ELSE list_append(log, {{'kept': j, 'dropped': i, 'similarity': s}}) END
+  FROM g JOIN c ON c.bucket = g.bucket AND c.step = g.step + 1),
+log_ AS (
+  SELECT kept, k AS dropped, 1.0::DOUBLE AS similarity FROM first_ WHERE rn > 1
+  UNION ALL SELECT x.kept, x.dropped, x.similarity FROM (SELECT unnest(log) AS x FROM g WHERE (bucket, step) IN (SELECT (bucket, max(step)) FROM c GROUP BY bucket)))
+"""
+_TEXTS = f"x AS (SELECT doc_id AS k, text AS t, {S.bucket('text')} AS bucket, {HELD} AS held FROM documents WHERE NOT {S.missing('text')}), e AS (SELECT DISTINCT bucket, t FROM x WHERE held)"
+
+
+def _crossed(on: str) -> str:
+    """Train rows that neither equal a test text nor are near one; on: which test texts those that share a bucket with any meet."""
+    return f"""
+WITH RECURSIVE {_TEXTS},
+m AS (SELECT * FROM x WHERE NOT held AND bucket IN (SELECT bucket FROM e) AND t NOT IN (SELECT t FROM e)),
+p AS (SELECT row_number() OVER () AS id, m.k, m.t AS a, e.t AS b FROM m JOIN e ON {on} WHERE 2 * least(length(m.t), length(e.t)) >= 0.9::DOUBLE * (length(m.t) + length(e.t))), {_SIMILAR}
+SELECT doc_id FROM documents WHERE NOT coalesce({HELD}, FALSE) AND doc_id NOT IN (SELECT k FROM similar_ WHERE s >= 0.9 UNION ALL SELECT k FROM x WHERE NOT held AND t IN (SELECT t FROM e))
+"""
+
+
+@query(_LOG + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT dropped FROM log_)")
 def fuzzy_block_dedup(t):
     return dedup.near_exact(t.labelled, "text", "doc_id", ["quality", "toxic"]).select("doc_id")
 
 
-@query()
+@query(_LOG + "SELECT * FROM log_")
 def fuzzy_match_log(t):
     return dedup.match_log(t.labelled, "text", "doc_id", ["quality", "toxic"])
 
 
-@query()
+@query(f"WITH RECURSIVE {_HEADS}, {_SIMILAR} SELECT v.t::DOUBLE AS threshold, count(s) AS pairs FROM (VALUES (0.7), (0.9), (0.93), (0.95), (0.98)) v(t) LEFT JOIN similar_ ON s >= v.t::DOUBLE GROUP BY v.t")
 def fuzzy_threshold_sweep(t):
     return dedup.sweep(t.documents, "text", "doc_id")
 
 
-@query()
+@query(_crossed("m.bucket = e.bucket"))
 def fuzzy_cross_split(t):
     return dedup.cross_split(t.documents.where(f"NOT {HELD}"), t.documents.where(HELD), "text", "doc_id").select("doc_id")
 
 
-@query()
+@query(_crossed("TRUE"))
 def fuzzy_cross_split_wide(t):
     return dedup.cross_split(t.documents.where(f"NOT {HELD}"), t.documents.where(HELD), "text", "doc_id", wide=True).select("doc_id")
 
