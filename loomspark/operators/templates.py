@@ -30,10 +30,15 @@ IO_PAIRS = [
     ("poet_name", "location"),
     ("poet_name", "poet_era"),
 ]
-CORRUPTIONS = ["full_style", "rhyme_structure", "rhyme_content", "rhyme_substitution", "era_corruption", "meter_transformation", "meter_destruction", "meter_inconsistency"]
+CORRUPTION_KINDS = ["full_style", "rhyme_structure", "rhyme_content", "rhyme_substitution", "era_corruption", "meter_transformation", "meter_destruction", "meter_inconsistency"]
 CUT_PERCENTS = list(range(10, 90, 10))
 
 
+def corruption_kind(template) -> Column:
+    """The kind that a template's number, from 0, stands for; null for other numbers."""
+    return F.get(F.array(*map(F.lit, CORRUPTION_KINDS)), col(template))
+
+
 def grouped(sheet: DataFrame, dialects: list[str] = DIALECTS) -> DataFrame:
     """(inputs, output, variants): a row per placeholders and output, all filled dialect texts as variants (text, dialect)."""
     have = [d for d in dialects if d in sheet.columns]

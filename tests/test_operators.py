@@ -469,3 +469,16 @@ def test_budget_in_ids(spark):
             assert x.startswith(y) and 0 < len(own.encode(y, add_special_tokens=False).ids) <= 20
     with pytest.raises(ValueError):
         chat.within_budget(spark.range(1), "id", path, longest=10)
+
+
+def test_short_passages_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "FEW", 4)
+    texts = [(k, f"begin w{k} middle x{k % 5} end") for k in range(30)]
+    passages = [(100 + k, p) for k, p in enumerate([f"w{k}" for k in range(12)] + ["x1 e", "nd", "absent", "", None, "begin w7 middle x2"])]
+    got = {(r.doc_id, r.item_id) for r in dedup.containing(spark.createDataFrame(texts, "doc_id long, t string"), spark.createDataFrame(passages, "item_id long, p string"), "t", "doc_id", "p", "item_id").collect()}
+    assert got == {(i, j) for i, t in texts for j, p in passages if p and p in t}
+
+
+def test_kinds_by_template_number(spark):
+    got = [r.k for r in spark.range(-1, 9).select(templates.corruption_kind(F.col("id").cast("int")).alias("k")).collect()]
+    assert got == [None, *templates.CORRUPTION_KINDS, None] and len(templates.CORRUPTION_KINDS) == 8
