@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Workspace, partitions, tidy
+from .store import Workspace, partitions, release
 
 DIRECTIONS = 64
 SHARE = 0.7  # of the directions on which a vector must collide
 ROUNDS = 40
 VERIFIED = 1 << 14  # pairs whose distances are computed at a time
 BLOCK = 8192  # vectors of a block, whose projections are sorted together
+BATCH = 128  # queries that widen their windows together
+ASKED = 4096  # queries, on average, that meet a block in one unit of work
 SEED = 7
 
 
@@ -37,16 +39,23 @@ def directions(dims: int, n: int = DIRECTIONS, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dims, n))
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, q_rows: np.ndarray, queries: np.ndarray, k: int, share: float = SHARE, rows: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+def sorted_projections(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the vectors on each direction, their numbers in that order)."""
+    p = vectors @ directions(vectors.shape[1])
+    order = np.argsort(p, axis=0, kind="stable")
+    return order.T.copy(), np.take_along_axis(p, order, axis=0).T.copy()
+
+
+def search_block(ids: np.ndarray, vectors: np.ndarray, q_rows: np.ndarray, queries: np.ndarray, k: int, share: float = SHARE, rows: np.ndarray | None = None, held: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, float]]:
     """(query's place, vector, distance): up to k nearest found in one block, for each query. All queries widen their windows together.
 
     rows and q_rows: the numbers of the vectors' and the queries' rows, as ids may repeat; by default the vectors' ids.
+    held: the block's sorted projections, where they are at hand.
     """
     rows = ids if rows is None else rows
     lines = directions(vectors.shape[1])
-    p, q = vectors @ lines, queries @ lines
-    order = np.argsort(p, axis=0, kind="stable").T.copy()
-    sorted_ = np.sort(p, axis=0, kind="stable").T.copy()
+    q = queries @ lines
+    order, sorted_ = held or sorted_projections(vectors)
     n, ways = len(ids), lines.shape[1]
     need = int(np.ceil(share * ways))
     # the narrowest window holds a few vectors on each direction, if all were evenly spread
@@ -103,9 +112,10 @@ def search(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", ve
 
     Queries are the usable vectors whose key is divisible by `every`; candidates are all
     usable vectors but the query's own. Vectors lie in blocks of bounded size; each block
-    keeps its sorted projections, and takes the queries a bounded batch at a time, so
-    neither a task's memory nor what it returns (k rows a query and block) grows with the
-    table. Rows are told by numbers of their own, so rows of one key meet each other, and each
+    sorts its projections once and takes the queries a bounded batch at a time. A block and
+    a share of the queries are a unit of work, and both go to it as rows: a block is moved
+    once a share, a query once a block. So neither a task's memory nor what it returns (k
+    rows a query and block) grows with the table, and nothing is broadcast. Rows are told by numbers of their own, so rows of one key meet each other, and each
     query row has its own answer. Null keys take no part; vectors of another length than the query's are no
     candidates; ties go to the smaller key; equal vectors all count; other columns are
     left out; no query gives no row. The result is a written table.
@@ -117,33 +127,44 @@ def search(df: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", ve
     spark, ws = df.sparkSession, Workspace(df.sparkSession, "neighbours")
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     rows = ws.save(rows.withColumns({"dims": F.size("v"), "row": F.monotonically_increasing_id()}), "vectors")
-    n = rows.count()
-    blocks = max(1, min(-(-n // BLOCK), n))
     asked = rows.where(F.col("id") % every == 0)
-    batches = max(1, -(-(n // max(every, 1)) // 128))
-    # every block meets every batch of queries once: the stated query set against all rows, in blocks
-    left = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).groupBy("block", "dims").agg(F.collect_list(F.struct("id", "v", "row")).alias("held"))
-    right = asked.withColumn("batch", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(batches)).cast("int")).groupBy("batch", "dims").agg(F.collect_list(F.struct("id", "v", "row")).alias("asked"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    work = left.join(right, ["block", "dims"]).repartition(min(blocks * batches, 8 * partitions(spark)), "block", "batch")
-
-    def numbers(held, dims):
-        flat = held.flatten()
-        return flat.field(0).to_numpy(), flat.field(1).flatten().to_numpy().reshape(-1, dims), flat.field(2).to_numpy()
-
-    def run(parts):
-        for part in parts:
-            for r in range(part.num_rows):
-                dims, held, queries = (part.column(part.schema.get_field_index(name)).slice(r, 1) for name in ("dims", "held", "asked"))
-                ids, vs, own = numbers(held, dims[0].as_py())
-                q_ids, qs, q_rows = numbers(queries, dims[0].as_py())
-                found = search_block(ids, vs, q_rows, qs, k, rows=own)
-                at = np.array([f[0] for f in found], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(q_rows[at]), pa.array(q_ids[at]), *(pa.array([f[x] for f in found], t) for x, t in ((1, pa.int64()), (2, pa.float64())))], ["row", "query_id", "vec_id", "score"])
+    n, n_asked = rows.count(), asked.count()
+    blocks = max(1, -(-n // BLOCK))
+    # as many shares as bound a unit's queries, or as give every partition a unit
+    shares = max(-(-n_asked // ASKED), min(-(-n_asked // BATCH), -(-partitions(spark) // blocks)), 1)
+    # every block meets every query once: the stated query set against all rows, in blocks
+    block, part = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(shares)).cast("int")
+    unit, tasks = ["block", "part", "dims"], min(blocks * shares, 8 * partitions(spark))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumns({"block": block, "part": each(shares)}).repartition(tasks, *unit)
+    right = asked.withColumns({"part": part, "block": each(blocks)}).repartition(tasks, *unit)
+
+    def numbers(table, dims):
+        flat = table.combine_chunks()
+        vectors = flat.column("v").combine_chunks()
+        return flat.column("id").to_numpy(), vectors.flatten().to_numpy().reshape(-1, dims), flat.column("row").to_numpy()
+
+    names = ["row", "query_id", "vec_id", "score"]
+
+    def run(key, own, queries):
+        dims, none = key[2].as_py(), np.zeros(0, np.int64)
+        parts = [(none, none, none, np.zeros(0))]
+        if own.num_rows and queries.num_rows:
+            ids, vs, held_rows = numbers(own, dims)
+            q_ids, qs, q_rows = numbers(queries, dims)
+            held = sorted_projections(vs)
+            for i in range(0, len(q_rows), BATCH):
+                found = search_block(ids, vs, q_rows[i : i + BATCH], qs[i : i + BATCH], k, rows=held_rows, held=held)
+                at = i + np.array([f[0] for f in found], np.int64)
+                parts.append((q_rows[at], q_ids[at], np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.float64)))
+        out = pa.table([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
+        del own, queries
+        release()
+        return out
 
     from pyspark.sql import Window
 
-    found = work.mapInArrow(tidy(run), "row long, query_id long, vec_id long, score double")
+    found = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInArrow(run, "row long, query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id"))
     return ws.result(found.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score"))
 

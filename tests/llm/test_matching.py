@@ -422,6 +422,24 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0)).count() == 0
 
 
+def test_neighbours_broadcast_nothing(spark, monkeypatch):
+    """Queries are as many as the blocks of the table have it; they once met them through a broadcast of all pairs."""
+    for name, n in (("BLOCK", 32), ("BATCH", 3), ("ASKED", 8)):
+        monkeypatch.setattr(neighbours, name, n)
+    plans = []
+    monkeypatch.setattr(neighbours.Workspace, "result", lambda ws, df: plans.append(df._jdf.queryExecution().toString()) or ws.save(df, "result"))
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, [1.0] * 5), (301, [2.0] * 5)]
+    got = {(r.query_id, r.rank): r.vec_id for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, k=4).collect()}
+    assert "Broadcast" not in plans[0]
+    for q in range(0, 300, 10):
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        assert [got[q, r] for r in range(1, 5)] == np.argsort(d)[:4].tolist()
+    assert got[300, 1] == 301 and (300, 2) not in got
+
+
 def test_neighbours_ties_and_lone_vectors(spark):
     # twelve vectors at the same distance: the smaller keys win; a few of another length, spread thinly over the blocks
     rows = [(0, [1.0, 0.0, 0.0])] + [(k, [1.0, 3.0, 4.0] if k % 2 else [1.0, 4.0, -3.0]) for k in (40, 7, 12, 30, 29, 11, 8, 21, 33, 9, 10, 50)]
