@@ -404,6 +404,20 @@ def test_near_copies_equal_all_pairs(spark, monkeypatch):
     assert dedup.near_copies(a.limit(0), b, "t", "id").count() == 0
 
 
+def test_texts_move_to_few_tiles(spark, monkeypatch):
+    """Each block once met each block as a row of its own: 48 and 24 blocks of two texts moved as 2304 blocks."""
+    monkeypatch.setattr(similar, "ROWS", 2)
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcd ", k=40)) for _ in range(96)]
+    a = spark.createDataFrame([(0, k, t) for k, t in enumerate(texts)], "g int, k long, t string")
+    b = spark.createDataFrame([(0, k, t[:-1]) for k, t in enumerate(texts[:48])], "g int, k long, t string")
+    out = similar.near_copies(a, b, 0.9)
+    assert {(r.k, r.other) for r in out.collect()} >= {(k, k) for k in range(48)}
+    full = {(i, j) for i, j in itertools.combinations(range(96), 2) if similar.similarity(texts[i], texts[j]) >= 0.6}
+    assert [(r.k, r.other) for r in similar.within(a, 0.6).orderBy("k", "other").collect()] == sorted(full) and full
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
 def test_bounds_leave_few_pairs():
     rng = random.Random(12)
     syllables = ["".join(rng.choices("abcdefghijklmnop", k=2)) for _ in range(60)]
