@@ -1,4 +1,7 @@
-"""Near copies by the similarity of their shingle sets: least hashes as keys, exact verification.
+"""Near copies by the similarity of their shingle sets: Golay keys of fingerprints, least hashes as keys, exact verification.
+
+Texts whose fingerprints Golay keys connect (see `simhash`) are held against the first text of
+their component. What differs in more than four bits is met by other keys.
 
 A text's set are the hashes of its shingles of `words` words. Under one random order of
 all hashes, two texts have the same least one with the probability of their Jaccard
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import fingerprint_of, reached, shingle_hashes
 from .store import Workspace, partitions, slices, text_buffers, tidy
 
 MISS = 1.5e-5  # of the pairs that are just similar enough
@@ -44,9 +47,13 @@ def bands_for(similarity: float) -> tuple[int, int]:
 
 def keys_batch(buf: np.ndarray, offs: np.ndarray, words: int, rows: int, bands: int) -> np.ndarray:
     """[text, band]: the keys; texts without a word share theirs."""
+    return keys_of(*shingle_hashes(buf, offs, words), rows, bands)
+
+
+def keys_of(h: np.ndarray, count: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """The same of hashes, and of how many of them each text has."""
     rng = np.random.default_rng(SEED)
     flip, odd = (rng.integers(0, 1 << 64, rows * bands, np.uint64) for _ in range(2))
-    h, count = shingle_hashes(buf, offs, words)
     out = np.zeros((len(count), bands), np.uint64)
     some = np.flatnonzero(count)
     if len(some):
@@ -133,26 +140,41 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WO
     all are null; other columns are left out; an empty table gives no row.
     """
     spark, ws = df.sparkSession, Workspace(df.sparkSession, "copies")
-    stars = [Workspace(spark, "copies-star"), Workspace(spark, "copies-rest")]
+    stars = [Workspace(spark, f"copies-{n}") for n in ("star", "rest", "golay")]
     own = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("th2"), F.col(text).alias("text"))
     per_key, bands = bands_for(similarity)
 
     def sketch(batches):
         for batch in batches:
             buf, offs = text_buffers(batch.column(2))
-            parts = [keys_batch(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words, per_key, bands) for i, j in slices(offs)]
+            parts, fps = [], [np.zeros((0, 8), np.uint8)]
+            for i, j in slices(offs):
+                hashed = shingle_hashes(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words)
+                parts.append(keys_of(*hashed, per_key, bands))
+                fps.append(fingerprint_of(*hashed))
             keys = np.concatenate(parts).view(np.int64) if parts else np.zeros((0, bands), np.int64)
+            fp = np.concatenate(fps).reshape(-1).view(">i8").astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["th", "th2", "ks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), lists], ["th", "th2", "fp", "ks"])
 
-    nodes = own.select("th", "th2", "text").mapInArrow(tidy(sketch), "th long, th2 long, ks array<long>").dropDuplicates(["th", "th2"])
+    def placed(rows, roots, *columns):
+        for c in columns:
+            rows = rows.join(roots.select(F.col("u").alias(c), F.col("v").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+        return rows
+
+    nodes = own.select("th", "th2", "text").mapInArrow(tidy(sketch), "th long, th2 long, fp long, ks array<long>").dropDuplicates(["th", "th2"])
     nodes = ws.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     most = bands * nodes.count()  # of keys, which bounds the tables of members
     keyed = nodes.select("node", F.explode("ks").alias("k"))
     # the text of a key that the others are held against first: another one in each key
     wide = keyed.groupBy("k").agg(F.min(F.struct(F.xxhash64("k", "node").alias("h"), "node"))["node"].alias("rep"), F.count("*").alias("c")).where("c > 1")
     members = ws.save(keyed.join(wide, "k"), "members")
-    some = nodes.select("th", "th2", "node").join(members.select("node").distinct(), "node", "left_semi")
+    # texts of fingerprints that Golay keys connect, with the first text of each component
+    connected = placed(nodes.select("node", "fp"), reached(stars[2], nodes.select("fp").distinct()), "fp")
+    first = connected.groupBy("fp_root").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1")
+    near = ws.save(connected.join(first, "fp_root").where("node <> b").select(F.col("node").alias("a"), "b"), "golay", most)
+    met = members.select("node").unionByName(near.select(F.col("a").alias("node"))).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    some = nodes.select("th", "th2", "node").join(met, "node", "left_semi")
     texts = ws.save(own.select("th", "th2", "text").join(some, ["th", "th2"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
     def similar(batches):
@@ -170,7 +192,7 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WO
             yield pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns[:2]], ["u", "v"])
 
     def verified(pairs):
-        pairs = ws.save(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "pairs", most)
+        pairs = ws.save(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "pairs", 2 * most)
         text_of = lambda end: texts.withColumnsRenamed({"node": end, "text": f"{end}_text"})
         # small tables of much work: all tasks take part, each with up to BLOCK pairs of a text or so
         parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
@@ -179,15 +201,11 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WO
         pairs = pairs.join(text_of("v"), "v").repartition(4 * partitions(spark), "u", "part").join(firsts, ["u", "part"])
         return pairs.select("u", "v", "u_text", "v_text").mapInArrow(tidy(similar), "u long, v long")
 
-    def placed(rows, roots, *columns):
-        for c in columns:
-            rows = rows.join(roots.select(F.col("u").alias(c), F.col("v").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
-        return rows
-
-    star = ws.save(members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), "star", most)
+    star = members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    star = ws.save(star.unionByName(near).distinct(), "star", 2 * most)
     roots = components(stars[0], ws.save(verified(star), "links-star"))
     apart = ws.save(placed(members, roots, "node", "rep"), "placed", most)
-    ws.drop("members", "star", "pairs", "links-star")
+    ws.drop("members", "golay", "star", "pairs", "links-star")
     # the block of a text under a key, and how many blocks the key has
     block = (F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("c") / BLOCK)).alias("block"), F.ceil(F.col("c") / BLOCK).alias("blocks"))
     open_ = apart.where("node_root <> rep_root")

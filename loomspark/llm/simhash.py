@@ -189,9 +189,13 @@ def shingle_hashes(buf: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.nd
 
 def fingerprint_batch(buf: np.ndarray, offs: np.ndarray, words: int = 4) -> np.ndarray:
     """Fingerprints as big-endian rows of 8 bytes."""
-    docs = len(offs) - 1
+    return fingerprint_of(*shingle_hashes(buf, offs, words))
+
+
+def fingerprint_of(h: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """The same of hashes, and of how many of them each text has."""
+    docs = len(shingles)
     out = np.zeros((docs, 8), np.uint8)
-    h, shingles = shingle_hashes(buf, offs, words)
     if not len(h):
         return out
     base = np.cumsum(shingles) - shingles
@@ -246,6 +250,14 @@ def _linked(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
+def reached(ws: Workspace, fps: DataFrame) -> DataFrame:
+    """(u, v): v is the smallest fingerprint reachable from u over links of DISTANCE bits or fewer; but for the smallest ones."""
+    n = fps.count()
+    buckets = max(partitions(fps.sparkSession), -(-n * 61 // KEYS_PER_BUCKET))
+    keyed = fps.select("fp").mapInArrow(tidy(_keyed(buckets)), "bucket int, pairs binary").repartition(buckets, "bucket")
+    return components(ws, ws.save(keyed.groupBy("bucket").applyInArrow(_linked, "u long, v long"), "links"))
+
+
 def link(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
     """(key, fp, component_id): component_id is the smallest key reachable over links of 4 bits or fewer.
 
@@ -258,14 +270,10 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4)
     key meet in one task: those that are linked are reached at once from the first of
     them, and distinct fingerprints around one place are bounded by what four bits allow.
     """
-    spark, ws = df.sparkSession, Workspace(df.sparkSession, "simhash")
+    ws = Workspace(df.sparkSession, "simhash")
     rows = ws.save(fingerprints(df, key, text, words), "fingerprints")
     nodes = ws.save(rows.groupBy("fp").agg(F.min("key").alias("low")), "nodes")
-    n = nodes.count()
-    buckets = max(partitions(spark), -(-n * 61 // KEYS_PER_BUCKET))
-    keyed = nodes.select("fp").mapInArrow(tidy(_keyed(buckets)), "bucket int, pairs binary").repartition(buckets, "bucket")
-    links = keyed.groupBy("bucket").applyInArrow(_linked, "u long, v long")
-    roots = components(ws, ws.save(links, "links"))
+    roots = reached(ws, nodes)
     named = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("v", "fp"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")
@@ -275,9 +283,10 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4)
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Groups by shingle similarity: (key, th, group, component_id), see `copies`.
 
-    At 0.8 the fingerprints of two texts differ in 9.7 of 64 bits on average, and Golay
-    codewords within reach of that many errors are too common to be keys; so keys are
-    least shingle hashes here, and links are verified by the whole shingle sets.
+    Fingerprints of `words` words that Golay keys link are candidates first. At 0.8, though, the
+    fingerprints of two texts differ in 9.7 of 64 bits on average, and Golay codewords within reach
+    of that many errors are too common to be keys; so least shingle hashes are keys of what 4 bits
+    can't reach. All links are verified by the whole shingle sets.
     """
     from . import copies
 

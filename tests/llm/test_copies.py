@@ -3,6 +3,7 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -144,3 +145,14 @@ def test_a_large_group_of_near_copies_is_dealt_out(spark, monkeypatch):
     rows = [(k, " ".join([*own, f"end{k}"])) for k in range(300)] + [(1000 + k, f"other text number {k} of its own kind") for k in range(40)]
     got = {r.doc_id: r.component_id for r in copies.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[k] == 0 for k in range(300)) and all(got[1000 + k] == 1000 + k for k in range(40))
+
+
+def test_near_copies_meet_by_golay_keys(spark, monkeypatch):
+    """The pipeline's second stage links what fingerprints within four bits tell, though no other key meets."""
+    monkeypatch.setattr(copies, "keys_of", lambda h, count, rows, bands: np.arange(len(count) * bands, dtype=np.uint64).reshape(-1, bands) + np.random.default_rng().integers(0, 1 << 62, 1, np.uint64))
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 900)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(words[1:]), " ".join(words[::-1]), None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in copies.link(rows).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
