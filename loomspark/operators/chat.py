@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -14,6 +15,7 @@ from .sampling import SEED, draw
 from .templates import CURRICULUM
 
 IGNORED = -100  # label of tokens that training does not predict
+PIECE = 1 << 20  # characters whose ids are held at once, beside one conversation's
 
 
 def message(role: str, text) -> Column:
@@ -140,8 +142,7 @@ def labelled(df: DataFrame, messages_: str, tokenizer: str, longest: int | None
     turns = F.transform("_m", lambda m: F.struct((m["role"] == role).alias("own"), F.length(m["role"]).alias("role"), F.length(m["content"]).alias("content")))
     rows = df.withColumn("_m", whole).withColumns({"_t": chatml("_m"), "_s": turns})
 
-    @F.pandas_udf("input_ids array<int>, labels array<int>")
-    def encode(texts: pd.Series, messages: pd.Series) -> pd.DataFrame:
+    def encoded(texts: pd.Series, messages: pd.Series) -> pd.DataFrame:
         ids, labels = [], []
         for text, turns in zip(texts, messages, strict=True):
             if text is None:
@@ -156,10 +157,18 @@ def labelled(df: DataFrame, messages_: str, tokenizer: str, longest: int | None
             edges = np.stack([ends - whole + len(_OPEN) + said, ends], axis=1)[own > 0]
             turn = np.searchsorted(edges[:, 0], at[:, 0], "right") - 1
             inside = (turn >= 0) & (at[:, 1] <= edges[np.maximum(turn, 0), 1]) if len(edges) else np.zeros(len(at), bool)
-            own_ids = np.array(got.ids, np.int64)
-            ids.append(own_ids[:longest].tolist())
-            labels.append(np.where(inside, own_ids, IGNORED)[:longest].tolist())
-        return pd.DataFrame({"input_ids": ids, "labels": labels})
+            own_ids = np.array(got.ids, np.int32)
+            ids.append(own_ids[:longest])
+            labels.append(np.where(inside, own_ids, np.int32(IGNORED))[:longest])
+        return pd.DataFrame({"input_ids": pd.Series(ids, dtype=object), "labels": pd.Series(labels, dtype=object)})
+
+    @F.pandas_udf("input_ids array<int>, labels array<int>")
+    def encode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        # a batch is so many rows however long they are; their ids are handed back piece by piece
+        for texts, messages in batches:
+            begins = np.cumsum(texts.str.len().fillna(0)).to_numpy() // PIECE
+            for own in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(begins)) + 1):
+                yield encoded(texts.iloc[own], messages.iloc[own])
 
     return rows.withColumn("_e", encode("_t", "_s")).withColumns({"input_ids": F.col("_e.input_ids"), "labels": F.col("_e.labels")}).drop("_m", "_t", "_s", "_e")
 

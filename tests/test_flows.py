@@ -158,3 +158,13 @@ def test_workspaces_delete_what_was_written(spark, tmp_path):
             written(spark.range(2), "rows")
         assert not os.path.exists(inner.removeprefix("file://")) and os.path.isdir(at)
     assert not os.path.exists(at)
+
+
+def test_labels_come_in_pieces(spark, monkeypatch):
+    import public_tokenizers
+    from loomspark.operators import chat
+
+    rows = spark.createDataFrame([(k, [("user", "q"), ("assistant", "some words " * (k % 4))]) for k in range(40)] + [(40, None)], "id long, m array<struct<role string, content string>>").coalesce(1)
+    whole = {r.id: (r.input_ids, r.labels) for r in chat.labelled(rows, "m", public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    monkeypatch.setattr(chat, "PIECE", 50)
+    assert {r.id: (r.input_ids, r.labels) for r in chat.labelled(rows, "m", public_tokenizers.path("byte_bpe_50k.json")).collect()} == whole and len(whole) == 41
