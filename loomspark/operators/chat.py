@@ -174,6 +174,7 @@ def labelled(df: DataFrame, messages_: str, tokenizer: str, longest: int | None
 
 
 _LOADED: dict = {}
+_EDGES: dict = {}
 
 
 def _tokenizer(path: str):
@@ -184,6 +185,37 @@ def _tokenizer(path: str):
     return _LOADED[path]
 
 
+def _edge(t) -> int | None:
+    """Characters before a cut that may turn out otherwise than in the whole text; None where that isn't known.
+
+    Splits of a ByteLevel tokenizer look at two characters after them at most, and at the tokens that were added.
+    """
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    added = t.get_added_tokens_decoder().values()
+    plain = t.normalizer is None and t.truncation is None and isinstance(t.pre_tokenizer, ByteLevel) and t.pre_tokenizer.use_regex
+    if not plain or any(x.lstrip or x.rstrip or x.single_word for x in added):
+        return None
+    return 2 + max((len(x.content) for x in added), default=0)
+
+
+def first_offsets(tokenizer: str, text: str, n: int) -> list[tuple[int, int]]:
+    """Offsets of a text's first ids, n of them at least if it has so many; the rest of a long text is not encoded."""
+    t = _tokenizer(tokenizer)
+    if tokenizer not in _EDGES:
+        _EDGES[tokenizer] = _edge(t)
+    edge, size = _EDGES[tokenizer], 8 * n + 64
+    while edge is not None and size < len(text):
+        got = t.encode(text[:size], add_special_tokens=False)
+        at, words = got.offsets, got.word_ids
+        # the first split that comes near the cut, from which on ids may be others
+        near = next((words[k] for k, (_, end) in enumerate(at) if end > size - edge), None)
+        if len(at) >= n and near is not None and words[n - 1] < near:
+            return at[:n]
+        size *= 4
+    return t.encode(text, add_special_tokens=False).offsets
+
+
 def within_budget(df: DataFrame, text: str, tokenizer: str, longest: int = 4096, new_tokens: int = 512, margin: int = 100) -> DataFrame:
     """df with text cut after the last whole character of the ids that leave room for new ones; what fits stays as it is."""
     room = longest - new_tokens - margin
@@ -194,7 +226,7 @@ def within_budget(df: DataFrame, text: str, tokenizer: str, longest: int = 4096,
     def cut(texts: pd.Series) -> pd.Series:
         out = []
         for x in texts:
-            at = None if x is None else _tokenizer(tokenizer).encode(x, add_special_tokens=False).offsets
+            at = None if x is None else first_offsets(tokenizer, x, room + 1)
             if at is None or len(at) <= room:
                 out.append(x)
             else:

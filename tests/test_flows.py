@@ -160,6 +160,20 @@ def test_workspaces_delete_what_was_written(spark, tmp_path):
     assert not os.path.exists(at)
 
 
+def test_first_offsets_are_those_of_the_whole_text():
+    import public_tokenizers
+    from loomspark.operators import chat
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(5)
+    parts = ["word", " ", "  ", "\n", "'ll", "<|endoftext|>", "é中", " 1234", "...", "x" * 300, " " * 90, "<|endo"]
+    for _ in range(300):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 400)))
+        for n in (1, 5, 65):
+            assert chat.first_offsets(path, text, n)[:n] == chat._tokenizer(path).encode(text, add_special_tokens=False).offsets[:n]
+    # a long text is not encoded whole
+    assert len(chat.first_offsets(path, "some words " * 10_000, 65)) == 65
+
+
 def test_labels_come_in_pieces(spark, monkeypatch):
     import public_tokenizers
     from loomspark.operators import chat
