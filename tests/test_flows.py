@@ -182,3 +182,24 @@ def test_labels_come_in_pieces(spark, monkeypatch):
     whole = {r.id: (r.input_ids, r.labels) for r in chat.labelled(rows, "m", public_tokenizers.path("byte_bpe_50k.json")).collect()}
     monkeypatch.setattr(chat, "PIECE", 50)
     assert {r.id: (r.input_ids, r.labels) for r in chat.labelled(rows, "m", public_tokenizers.path("byte_bpe_50k.json")).collect()} == whole and len(whole) == 41
+
+
+def test_requests_due_together_share_a_timer():
+    class Waiting(dict):
+        exists = lambda self: bool(len(self))
+        containsKey = lambda self, k: k in self
+        updateValue = dict.__setitem__
+
+    class Values:
+        getCurrentProcessingTimeInMs = lambda self: 1000
+
+    import pandas as pd
+
+    timers, lane = [], retries.Lane(lambda p, t: [RuntimeError("busy")] * len(p), 3, 0.2, 2.0, 1000)
+    lane.waiting, lane.handle = Waiting(), type("Handle", (), {"registerTimer": lambda self, due: timers.append(due)})()
+    rows = pd.DataFrame({"id": [str(k) for k in range(50)], "prompt": ["p"] * 50})
+    assert [len(x) for x in lane.handleInputRows(0, [rows], Values())] == [0]
+    assert timers == [1200] and len(lane.waiting) == 50
+    # one that waits is not asked again
+    assert [len(x) for x in lane.handleInputRows(0, [rows], Values())] == [0]
+    assert timers == [1200]
