@@ -7,9 +7,11 @@ renamed last. A write that fails leaves nothing.
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_name
@@ -101,12 +103,59 @@ def file_per_key(df: DataFrame, key: str, folder: str, ending: str = "jsonl", mo
     try:
         dealt.select("_name", "value").write.partitionBy("_name").option("maxRecordsPerFile", 0).text(beside)
         vacant(spark, folder, mode)
-        fs, at = _fs(spark, beside)
-        jvm_unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-        for found in fs.listStatus(at):
-            label = found.getPath().getName()
-            if label.startswith("_name="):
-                join(spark, parts(spark, found.getPath().toString()), f"{folder.rstrip('/')}/{jvm_unescape(label.removeprefix('_name='))}.{ending}")
+        _by_name(spark, beside, folder, ending)
     finally:
         fs, at = _fs(spark, beside)
         fs.delete(at, True)
+
+
+def _by_name(spark, beside: str, folder: str, ending: str) -> None:
+    """folder/<name>.<ending> of the parts in each folder beside/_name=<name>."""
+    fs, at = _fs(spark, beside)
+    jvm_unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    for found in fs.listStatus(at):
+        label = found.getPath().getName()
+        if label.startswith("_name="):
+            join(spark, parts(spark, found.getPath().toString()), f"{folder.rstrip('/')}/{jvm_unescape(label.removeprefix('_name='))}.{ending}")
+
+
+FOLDER_FILES = 1000  # that a folder of a file for each row has, about
+
+
+def file_per_row(df: DataFrame, key: str, text: str, folder: str, ending: str = "html", mode: str = "overwrite") -> None:
+    """folder/<number>/<key>.<ending> for each row: its text and a newline. A key's further rows are <key>~2, <key>~3.
+
+    Names hang on the rows alone and a file is named once it is whole, so a task that runs again writes the same
+    files. In a folder of the machines' own file system, shared by all, tasks write the files themselves: Hadoop's
+    local store starts a process several times a file. Others are written by Spark, a folder a row, and renamed.
+    """
+    spark, beside = df.sparkSession, _beside(folder)
+    name = F.coalesce(F.nullif(safe_name(F.col(key).cast("string")), F.lit("")), F.lit("null"))
+    rows = df.select(name.alias("_name"), F.coalesce(F.col(text), F.lit("")).alias("value"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_name").orderBy("value")))
+    rows = rows.withColumn("_name", F.when(F.col("_n") == 1, F.col("_name")).otherwise(F.concat("_name", F.lit("~"), F.col("_n").cast("string"))))
+    fs, at = _fs(spark, beside)
+    try:
+        if fs.getUri().getScheme() == "file":
+            folders, place = max(1, -(-df.count() // FOLDER_FILES)), at.toUri().getPath()
+            fs.mkdirs(at)
+            dealt = rows.select(F.concat_ws("/", F.lit(place), F.pmod(F.xxhash64("_name"), F.lit(folders)).cast("string"), F.concat("_name", F.lit(f".{ending}"))).alias("path"), "value")
+            dealt.foreachPartition(_put_all)
+            vacant(spark, folder, mode)
+            if not fs.rename(at, _fs(spark, folder)[1]):
+                raise OSError(f"can't name {folder}")
+        else:
+            rows.select("_name", "value").write.partitionBy("_name").text(beside)
+            vacant(spark, folder, mode)
+            _by_name(spark, beside, f"{folder.rstrip('/')}/0", ending)
+    finally:
+        fs.delete(at, True)
+
+
+def _put_all(rows: Iterator) -> None:
+    for r in rows:
+        hidden = f"{os.path.dirname(r.path)}/.{uuid.uuid4().hex}"
+        os.makedirs(os.path.dirname(r.path), exist_ok=True)
+        with open(hidden, "wb") as out:
+            out.write(r.value.encode() + b"\n")
+        os.replace(hidden, r.path)

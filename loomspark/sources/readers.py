@@ -97,9 +97,9 @@ def titled_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def html_files(spark: SparkSession, root: str, glob: str = "*.html") -> DataFrame:
-    """(path, html) of every file, sorted by path."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html")).orderBy("path")
+    """(path, html) of every file, sorted by path. Read as bytes, as whole texts cost a search for codecs a file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("content").cast("string").alias("html")).orderBy("path")
 
 
 def hub(spark: SparkSession, name: str, split: str = "train", cache: str | None = None) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -215,3 +216,27 @@ def test_implied_ends():
     assert got["tags"] == ["one", "two"] and got["era"] == "era" and got["poem"] == "a\nb\nc\nd" and got["text"] == "onetwo\nthree\na\nb\nc\nd"
     assert html.record_of("<h3>x<h3>y</h3><h3>z")["poem"] == "x\ty\nz\t"
     assert html.record_of(None)["text"] == "" and html.record_of("<span>a<span>id@</span></span>")["poet_english_id"] == "aid@"
+
+
+def test_a_file_for_each_page_needs_no_folder_for_each(spark, tmp_path):
+    from loomspark.operators.scratch import workspace
+    from loomspark.plans import catalog, files  # noqa: F401
+
+    rows = [(k, f"<p>é{k}\r\nx</p>") for k in range(50)] + [(7, "<p>again</p>"), (7, "<p>again</p>")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    with workspace(spark) as at:
+        got = sorted(map(tuple, catalog.QUERIES["page_files"](spark, f"{tmp_path}").collect()))
+        made = [d for d, _, own in os.walk(at.removeprefix("file://")) if any(f.endswith(".html") for f in own)]
+    assert got == sorted((k, hashlib.md5(h.replace("\r\n", " ").encode() + b"\n").hexdigest()) for k, h in rows)
+    assert len(made) == 1
+
+
+def test_a_file_for_each_row_in_other_stores(spark, tmp_path):
+    from loomspark.sources import named
+
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.pages.link./in", f"file://{tmp_path}")
+    df = spark.createDataFrame([(1, "a"), (2, None), (None, "c"), (2, "b")], "k long, t string")
+    for root in ("viewfs://pages/in/far", f"file://{tmp_path}/near"):
+        named.file_per_row(df, "k", "t", root)
+        got = [(r.path.rsplit("/", 1)[1], r.html) for r in readers.html_files(spark, root).collect()]
+        assert got == [("1.html", "a\n"), ("2.html", "\n"), ("2~2.html", "b\n"), ("null.html", "c\n")]
