@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lines import count_full_lines, count_lines
-from ..functions.text import ARABIC, clean_text, col, has_script, not_blank, only_script, word_count, words
+from ..functions.text import ARABIC, WS, clean_text, col, has_script, not_blank, word_count
 
 WEIGHTS = (0.5, 0.3, 0.2)  # of repetition, lost variety and word frequency in the composite
 
 
+def counted_words(letters: str) -> Callable:
+    """Of a text's words, once other characters than letters are gone: all, different ones, repeated ones, the most frequent one's.
+
+    Such classes of characters, which Java tests range by range, took most of the time, so words are counted in Python.
+    """
+    # `str.split` parts at just the characters of WS
+    other = re.compile(re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: rf"\U{int(m[1], 16):08X}", f"[^{letters}{WS[1:-1]}]+"))
+
+    @F.pandas_udf("total_words long, unique_words long, repeated_words long, max_word_frequency long")
+    def counts(texts: pd.Series) -> pd.DataFrame:
+        rows = [Counter(other.sub("", t).split()).values() for t in texts]
+        return pd.DataFrame({"total_words": [sum(n) for n in rows], "unique_words": [len(n) for n in rows], "repeated_words": [sum(k > 1 for k in n) for n in rows], "max_word_frequency": [max(n, default=0) for n in rows]}, dtype="int64")
+
+    return counts
+
+
 def repetition(df: DataFrame, text: str, key: str, letters: str = ARABIC, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, *keep, total_words, unique_words, repeated_words, max_word_frequency) and the ratios made of them; zeros for texts without words.
 
-    Words are counted within the row, so nothing is exchanged: sorted words, where each
-    word's run ends.
+    Words are counted within the row, so nothing is exchanged.
     """
-    own = df.select(key, *keep, F.array_sort(words(only_script(F.coalesce(F.col(text), F.lit("")), letters))).alias("_w"))
-    # where each word's run begins, and how long it is
-    begins = F.filter(F.transform("_w", lambda w, i: F.when((i == 0) | (w != F.get("_w", i - 1)), i)), lambda i: i.isNotNull())
-    rows = own.select(key, *keep, F.size("_w").cast("long").alias("total_words"), begins.alias("_b"))
-    runs = F.transform("_b", lambda i, k: F.coalesce(F.get("_b", k + 1).cast("long"), F.col("total_words")) - i)
-    rows = rows.select(key, *keep, "total_words", runs.alias("_r"))
-    longest = F.coalesce(F.array_max("_r"), F.lit(0).cast("long"))
-    out = rows.select(key, *keep, "total_words", F.size("_r").cast("long").alias("unique_words"), F.size(F.filter("_r", lambda n: n > 1)).cast("long").alias("repeated_words"), longest.alias("max_word_frequency"))
+    out = df.select(key, *keep, counted_words(letters)(F.coalesce(F.col(text), F.lit(""))).alias("_c")).select(key, *keep, "_c.*")
     n, t = F.col("total_words"), F.col("unique_words")
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     return out.withColumns({"word_repetition_rate": ratio(F.col("repeated_words") * 100.0, t), "unique_word_ratio": ratio(t, n), "avg_word_frequency": ratio(n, t)})

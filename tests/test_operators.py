@@ -1,10 +1,12 @@
 import itertools
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.functions import missing
+from loomspark.functions import missing, text
 from loomspark.operators import chat, dedup, enrich, evaluation, metrics, sampling, similar, stats, templates
 
 
@@ -87,6 +89,19 @@ def test_total_row_is_weighted(spark):
     assert total.avg_chars == 20.0
 
 
+def test_words_are_counted_in_time(spark):
+    wide = text.WS[1:-1]
+    classes = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: rf"\U{int(m[1], 16):08X}", f"[{wide}]"))
+    assert all(chr(c).isspace() == bool(classes.match(chr(c))) for c in range(0x110000))
+    row = spark.createDataFrame([(1, "Été\u00a0été, été\u2003d'été 12\U0001f600 x\x1cy\u0250")], "id long, t string")
+    latin = r"A-Za-z\x{00C0}-\x{024F}"
+    assert metrics.repetition(row, "t", "id", latin).first()[1:5] == (6, 5, 1, 2)
+    own = spark.range(0, 160, 1, 1).select("id", F.repeat(F.lit("word, other words; "), 5000).alias("t"))
+    began = time.perf_counter()
+    assert metrics.repetition(own, "t", "id", latin).where("total_words = 15000 and unique_words = 3").count() == 160
+    assert time.perf_counter() - began < 8  # 15 million characters in one task
+
+
 def test_repetition(spark):
     df = spark.createDataFrame([(1, "a a b c"), (2, ""), (3, None)], "id long, t string")
     got = {r.id: r for r in metrics.repetition(df, "t", "id", "a-z").collect()}
