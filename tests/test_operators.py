@@ -89,6 +89,22 @@ def test_total_row_is_weighted(spark):
     assert total.avg_chars == 20.0
 
 
+def test_classes_of_characters_tell_texts_apart(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcdijé") for _ in range(rng.randint(0, 30))) for _ in "ab")
+        distance = len(a) + len(b) - 2 * lcs(a, b)
+        assert not similar.apart([similar.Pattern(x) for x in similar.by_class(a)], similar.by_class(b), distance)
+    names = ["".join(rng.choice("etaoinshrdlu") for _ in range(6)) for _ in range(200)]
+    texts = [" ".join(rng.choices(names, k=200)) for _ in range(30)]
+    near = [t.replace(names[k], "") for k, t in enumerate(texts[:5])]
+    met, within = [], similar.Pattern.within_reach
+    monkeypatch.setattr(similar.Pattern, "within_reach", lambda *args: met.append(1) or within(*args))
+    found = {(i, j) for i, j, _ in similar.close(similar.Block(texts), similar.Block(near), 0.9)}
+    assert found == {(i, j) for i, x in enumerate(texts) for j, y in enumerate(near) if similar.similarity(x, y) >= 0.9} and len(found) == 5
+    assert len(met) <= 5
+
+
 def test_words_are_counted_in_time(spark):
     wide = text.WS[1:-1]
     classes = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: rf"\U{int(m[1], 16):08X}", f"[{wide}]"))
