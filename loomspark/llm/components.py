@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .store import Workspace, tidy
 
+FEW = 500_000  # links (16 bytes each) that one task connects at once
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) of the links of one task, without the smallest nodes themselves."""
@@ -59,8 +61,10 @@ def components(ws: Workspace, links: DataFrame, most_rounds: int = 60, rows: int
     Rounds of large and small stars (each node hands its neighbours its smallest
     neighbour); their number grows with the logarithm of the longest chain. Every
     round is a written table, so a lost executor costs one round's reads. Minima are
-    partial aggregates, so a node with very many links meets no single task. rows: how
-    many links there are at most, if that is known.
+    partial aggregates, so a node with very many links meets no single task. Up to FEW
+    links need no rounds: one task connects them, as each round's plans and their tasks
+    in every partition cost the driver more than so few links are worth. rows: how many
+    links there are at most, if that is known.
     """
     edges = ws.save(links.select("u", "v").where("u <> v").mapInArrow(tidy(_contract), "u long, v long").distinct(), "links0", rows)
     seen = None
@@ -68,6 +72,8 @@ def components(ws: Workspace, links: DataFrame, most_rounds: int = 60, rows: int
         mark = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
             return edges
+        if mark[0] <= FEW:
+            return ws.save(edges.coalesce(1).mapInArrow(tidy(_contract), "u long, v long"), "forest")
         seen = mark
         # large star: v > u goes to the smallest of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -10,6 +10,7 @@ words are summed into a document's score and give the offending offsets.
 from __future__ import annotations
 
 import os
+import pickle
 import re
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -326,15 +327,24 @@ def held_out(key):
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled documents, the first by a hash of their keys, never held-out ones.
 
-    What reaches the driver is bounded by sample, of keys and of rows: where keys repeat,
-    the first rows by a hash of their texts count. Null labels and unmatched rows are left out.
+    One task fits, and only the model reaches the driver. What that task holds is bounded by
+    sample, of keys and of rows: where keys repeat, the first rows by a hash of their texts
+    count. Null labels and unmatched rows are left out.
     """
     rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
     rows = rows.orderBy(F.xxhash64(F.col("_key").cast("string")), "_key", "_label").limit(sample)
     got = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(rows), "_key")
-    got = got.orderBy(F.xxhash64(F.col("_key").cast("string"), "_text"), "_label").limit(sample).collect()
-    got.sort(key=lambda r: (str(r["_key"]), r["_label"], r["_text"] or ""))
-    return fit([r["_text"] for r in got], [r["_label"] for r in got])
+    got = got.orderBy(F.xxhash64(F.col("_key").cast("string"), "_text"), "_label").limit(sample).coalesce(1)
+
+    def fitted(batches):
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        rows.sort(key=lambda r: (str(r[0]), r[1], r[2] or ""))
+        model = fit([r[2] for r in rows], [r[1] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], ["model"])
+
+    # an empty table may have no task at all
+    models = got.select("_key", "_label", "_text").mapInArrow(tidy(fitted), "model binary").collect()
+    return pickle.loads(models[0]["model"]) if models else fit([], [])
 
 
 def score(df: DataFrame, model: Model, text: str = "text", spans: bool = True) -> DataFrame:

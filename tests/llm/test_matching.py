@@ -120,6 +120,17 @@ def test_components(spark):
     assert got == {x: top(x) for x in parent if top(x) != x}
 
 
+@pytest.mark.parametrize("few", [0, components.FEW])
+def test_few_links_take_no_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    ws = Workspace(spark, "t")
+    chain, star = [(k, k + 1) for k in range(40)], [(200, k) for k in range(-60, -20)]
+    df = spark.createDataFrame(chain + star + [(7, 7)], "u long, v long").repartition(4)
+    got = sorted(map(tuple, components.components(ws, df).collect()))
+    assert got == sorted([(k, -60) for k in (200, *range(-59, -20))] + [(k, 0) for k in range(1, 41)])
+    assert ("forest" in ws.names(), set(ws.names()) <= {"links0", "forest"}) == (bool(few), bool(few))
+
+
 def test_numbered(spark):
     df = spark.createDataFrame([(k % 3, k, k % 5 if k % 4 else None) for k in range(500)], "a int, b int, n int")
     got = sorted((r.pos, r.a, r.b, r.before_n) for r in numbered(Workspace(spark, "t"), df, ["a", "b"], "x", ("n",)).collect())
@@ -368,6 +379,20 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.score(docs, nothing).collect()} <= {0, 1}
 
 
+def test_a_task_fits_the_field(spark, monkeypatch):
+    import os
+
+    def fit(texts, labels):
+        return toxicity.Model({t: float(n) for t, n in zip(texts, labels, strict=True)}, rest=float(os.getpid()))
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int").repartition(4)
+    model = toxicity.train(docs, labels)
+    assert model.rest != os.getpid()  # the driver holds no texts
+    assert model.weights == {f"text {k}": float(k % 2) for k in range(40) if zlib.crc32(str(k).encode()) % 5}
+
+
 def test_marginals_equal_enumeration():
     import itertools
 
