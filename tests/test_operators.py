@@ -3,6 +3,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -449,6 +450,50 @@ def test_texts_move_to_few_tiles(spark, monkeypatch):
     assert "collect_list" not in out._jdf.queryExecution().toString()
 
 
+def test_classes_rule_out_many_pairs_at_once(monkeypatch):
+    """Pairs of a block once went through a comparison of their own, character by character, unless counts told."""
+    rng = random.Random(6)
+    names = ["".join(rng.choice("etaoinshrdlu") for _ in range(6)) for _ in range(60)]
+    texts = [" ".join(rng.choices(names, k=300)) for _ in range(50)]
+    near = [t.replace(names[k], "", 9) for k, t in enumerate(texts[:40])]
+    met, apart = [], similar.apart
+    monkeypatch.setattr(similar, "apart", lambda *args: met.append(1) or apart(*args))
+    a, b = similar.Block(texts), similar.Block(near)
+    assert [(i, j) for i, j, _ in similar.close(a, b, 0.9)] == [(k, k) for k in range(40)]
+    assert len(similar.counted(a, np.arange(50), b, 0.9)[0]) > 1000 and not met
+
+
+def test_classes_rule_out_no_copy():
+    rng = random.Random(3)
+    for letters, size, threshold in itertools.product(("ab", "eeeeexyzÄ漢字かな\U0001f600", "abcdefgh é中 ", "etaoinshrdlu ."), (1, 40, 300), (0.6, 0.9)):
+        base = ["".join(rng.choices(letters, k=rng.randint(size // 2, size))) for _ in range(8)]
+        near = []
+        for t in base * 2:
+            out = list(t)
+            for _ in range(rng.randint(0, max(1, len(t) // 6))):
+                at = rng.randrange(len(out) + 1)
+                out[at : at + rng.randint(0, 1)] = rng.choice(["", rng.choice(letters)])
+            at = rng.randrange(len(out) + 1)  # many that stand together, too
+            near.append("".join(out[:at] + rng.choices(letters, k=rng.choice([0, len(t) // 12])) + out[at:]))
+        x, y = [*base, "", letters], [*near, "", "q"]
+        want = {(i, j): similar.similarity(u, v) for i, u in enumerate(x) for j, v in enumerate(y) if similar.similarity(u, v) >= threshold}
+        a, b = similar.Block(x), similar.Block(y)
+        i, j, told = similar.sieve(a, np.arange(len(x)), b, threshold, 0)
+        assert told and set(zip(i.tolist(), j.tolist(), strict=True)) >= set(want)
+        assert {(i, j): s for i, j, s in similar.close(a, b, threshold)} == want
+
+
+def test_tiles_of_long_texts_are_smaller(spark, monkeypatch):
+    """A tile of long texts once had as many blocks as others, whose pairs cost far less."""
+    for name, value in (("ROWS", 2), ("SPAN", 4), ("LEAST", 1), ("LONG", 10)):
+        monkeypatch.setattr(similar, name, value)
+    a = spark.createDataFrame([(0, k, f"{k:02}" * 20) for k in range(12)], "g int, k long, t string")
+    short = a.selectExpr("g", "k", "left(t, 2) AS t")
+    parts = [similar.near_copies(x, x, 0.9).rdd.getNumPartitions() for x in (a, short)]
+    assert parts[0] >= 36 > parts[1]
+    assert {(r.k, r.other) for r in similar.near_copies(a, a, 0.9).collect()} >= {(k, k) for k in range(12)}
+
+
 def test_bounds_leave_few_pairs():
     rng = random.Random(12)
     syllables = ["".join(rng.choices("abcdefghijklmnop", k=2)) for _ in range(60)]
