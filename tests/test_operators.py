@@ -414,6 +414,20 @@ def test_settling_equals_the_pair_loop():
         assert {x for _, x, _ in got} == gone
 
 
+def test_cross_split_compares_a_text_once(spark, monkeypatch):
+    """Each row of a group of copies once met the test texts by itself."""
+    met, compared = [], similar.near_copies
+    monkeypatch.setattr(similar, "near_copies", lambda a, b, threshold: met.append(a.count()) or compared(a, b, threshold))
+    words = [f"word{k}" for k in range(40)]
+    near, far, other = " ".join([*words[1:], words[0]]), " ".join(reversed(words)), "something else"
+    train = spark.createDataFrame([(k, [near, far, other][k % 3]) for k in range(90)], "id long, t string")
+    test = spark.createDataFrame([(0, " ".join(words))], "id long, t string")
+    for wide in (False, True):
+        left = {r.id for r in dedup.cross_split(train, test, "t", "id", 0.9, wide=wide).collect()}
+        assert left == {k for k in range(90) if k % 3}
+    assert met == [2, 2]
+
+
 def test_near_copies_equal_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(similar, "ROWS", 8)
     rng, letters = random.Random(11), "abcdefgh é中 "
